@@ -9,7 +9,10 @@ task sorts all pieces of a common length.
 from __future__ import annotations
 
 import functools
+import os
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -23,11 +26,19 @@ from .common import cells, durable
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, {ids}cell long"
 #: Words whose ids a worker keeps; the store is emptied when full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
+#: Marks that no letter joins in the tokenizer's own splitting; apostrophes may begin a contraction and aren't among them.
+MARKS = ".,;:!?%$#&*|()[]{}<>/+=-_\"~@^"
+
+
+#: Byte-level vocabularies spell a byte as itself where it is a printable Latin-1 character, else as the next one from U+0100 on.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 @functools.cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -43,19 +54,31 @@ class WordIds:
     def __init__(self, path: str) -> None:
         self.path, self.known = path, {"": b""}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {"": b""}
-        coded = _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, coded, strict=True))
+    def _learn(self, words: set[str]) -> None:
+        """Ids of new words. Letters followed by marks are cut there first, as the tokenizer cuts them, so that fewer parts are new."""
+        known, cut = self.known, {}
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core.isalpha():
+                cut[w] = core.lower() if "\u03a3" not in core else core, w[len(core) :]  # a sigma's lower case depends on its place
+        fresh = {p for parts in cut.values() for p in parts}.union(w for w in words if w not in cut).difference(known)
+        rest = []
+        tokenize = _tokenizer(self.path).model.tokenize
+        for w in fresh:  # plain words skip the tokenizer's normalising and splitting, which leave them as they are
+            if w.isalpha() and w.islower() and unicodedata.is_normalized("NFC", w):
+                known[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            else:
+                rest.append(w)
+        coded = _tokenizer(self.path).encode_batch_fast(rest, add_special_tokens=False)
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, coded, strict=True))
+        known.update((w, known[c] + known[m]) for w, (c, m) in cut.items())
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = list(set().union(*split).difference(self.known)) if split else []
-        if fresh:
-            self._learn(fresh)
-            if any(w not in self.known for s in split for w in s):  # the store was emptied
-                self._learn(list(set().union(*split)))
+        words = set().union(*split)
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.known = {"": b""}
+        self._learn(words.difference(self.known))
         known = self.known
         return [b"".join(map(known.__getitem__, s)) for s in split]
 

@@ -18,6 +18,36 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_sampling import sample_pieces
+
+    return sample_pieces(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=3, theta=1.0, seed=0, with_ids=False)
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_paths import extract_pages
+
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_ngrams import quality_verdicts
+
+    return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("row_key")
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -85,7 +115,12 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_sampling": op1_piece_sampling,
+    "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_license_scan": op5_license_scan,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op10_line_dedup": op10_line_dedup,
