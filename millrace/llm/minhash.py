@@ -2,7 +2,7 @@
 
 Shingles of five words are weighted by term frequency and a damped inverse document frequency. Document frequencies come from a
 count-min sketch of all documents, whose size doesn't depend on the corpus. ICWS samples are banded into buckets. Inside a bucket,
-leaders are compared with the other members by exact weighted Jaccard similarity, in rounds with four times as many leaders each; a
+leaders are compared with the other members by exact weighted Jaccard similarity, in rounds with eight times as many leaders each; a
 bucket is settled once its members are in one component or every remaining pair has been compared. No bucket emits all its pairs
 unless its members stay unconnected, and no link between components is lost.
 """
@@ -25,11 +25,13 @@ from .components import connected_components
 _WORD = re.compile(r"\w+")
 _A = np.uint64(0x9E3779B97F4A7C15)
 #: Count-min sketch: rows, counters in a row, counters that travel together.
-DEPTH, WIDTH, BLOCK = 2, 1 << 20, 1 << 14
+DEPTH, WIDTH, BLOCK = 2, 1 << 19, 1 << 14
 #: Members of one leader that a task compares at once.
 SALT_ROWS = 128
 #: Code points whose shingles are sampled at once.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 300_000
+#: Shingle hashes have 48 bits, so that a hash and its text's place in a batch sort as one number.
+HASH_BITS = np.uint64(48)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,27 +56,26 @@ def shingle_hashes(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndar
         with np.errstate(over="ignore"):
             for i in range(min(size, len(h))):
                 x = (x ^ (x >> np.uint64(29))) * _A + h[i : i + n]
-        out.append(_mix(x))
+        out.append(_mix(x) >> (np.uint64(64) - HASH_BITS))
         counts.append(n)
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(counts, np.int64)
 
 
 def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text in order: hashes, term frequencies, how many each text has."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((hashes, text))
-    h, t = hashes[order], text[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    at = np.flatnonzero(new)
-    return h[at], np.diff(np.append(at, len(h))), np.bincount(t[at], minlength=len(counts))
+    key = (np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << HASH_BITS) | hashes
+    key.sort()
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(at, len(key)))
+    key = key[at]
+    return key & ((np.uint64(1) << HASH_BITS) - np.uint64(1)), tf, np.bincount((key >> HASH_BITS).astype(np.int64), minlength=len(counts))
 
 
 def _batches(pdf: pd.DataFrame, column: str = "text", size: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
     start = total = 0
     for i, n in enumerate(pdf[column].str.len()):
         total += n
-        if total >= size:
+        if total >= size or i + 1 - start >= 1 << 15:
             yield pdf.iloc[start : i + 1]
             start, total = i + 1, 0
     if start < len(pdf):
@@ -128,7 +129,7 @@ def document_frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
             n_docs = int(np.frombuffer(n, "<i8")[0])
         else:
             sketch[block] = np.frombuffer(n, "<i8")
-    return sketch.reshape(DEPTH, WIDTH), n_docs
+    return sketch.reshape(DEPTH, WIDTH).astype(np.float32), n_docs
 
 
 @functools.cache
@@ -222,7 +223,7 @@ def _compare(pairs: DataFrame, features: DataFrame, weights, threshold: float) -
     return members.groupBy("src", "salt").cogroup(leaders.groupBy("leader", "part")).applyInPandas(run, "src long, dst long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 14, rows: int = 4, damping: float = 0.25) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 10, rows: int = 3, damping: float = 0.25) -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size, kept``.
 
     ``class_id`` is the smallest id among documents that a chain of links connects; a link is an equal text, or weighted Jaccard
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
         rows_.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInPandas(pack, "doc_id long, shingles binary")
     )
 
-    links = parts = done = None
+    links = parts = None
     low, high = 0, 1
     open_ = buckets
     while True:
@@ -282,15 +283,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
         pairs = (
             lead.join(side, "bucket")
             .where((F.col("src") != F.col("doc_id")) & (F.coalesce("src_part", "src") != own_part))
-            .select(F.least("src", "doc_id").alias("x"), F.greatest("src", "doc_id").alias("y"), "src", F.col("doc_id").alias("dst"))
+            .select("src", F.col("doc_id").alias("dst"), F.least("src", "doc_id").alias("x"), F.greatest("src", "doc_id").alias("y"))
             .dropDuplicates(["x", "y"])
+            .select("src", "dst")
         )
-        if done is not None:
-            pairs = pairs.join(done, ["x", "y"], "left_anti")
-        pairs = durable(pairs)
-        fresh = durable(_compare(pairs.select("src", "dst"), features, weights, threshold).select("src", "dst"))
-        done = pairs.select("x", "y") if done is None else durable(done.union(pairs.select("x", "y")))
-        links = fresh if links is None else durable(links.union(fresh))
+        fresh = durable(_compare(durable(pairs), features, weights, threshold).select("src", "dst"))
+        links = fresh if links is None else links.union(fresh)
         if parts is None or not fresh.isEmpty():
             parts = connected_components(links)
         named = open_.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
@@ -301,7 +299,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
         open_ = durable(open_.join(still, "bucket", "left_semi"))
         if open_.isEmpty():
             break
-        low, high = high, high * 4
+        low, high = high, high * 8
 
     named = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
