@@ -52,26 +52,31 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
-        self.path, self.known = path, {"": b""}
+        self.known = {"": b""}
+        self.encode, self.tokenize = _tokenizer(path).encode, _tokenizer(path).model.tokenize
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part. A plain word skips the tokenizer's normalising and splitting, which would leave it as it is."""
+        got = self.known.get(part)
+        if got is None:
+            if part.isalpha() and part.islower() and (part.isascii() or unicodedata.is_normalized("NFC", part)):
+                spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = [t.id for t in self.tokenize(spelled)]
+            else:
+                ids = self.encode(part, add_special_tokens=False).ids
+            got = self.known[part] = array("I", ids).tobytes()
+        return got
 
     def _learn(self, words: set[str]) -> None:
-        """Ids of new words. Letters followed by marks are cut there first, as the tokenizer cuts them, so that fewer parts are new."""
-        known, cut = self.known, {}
+        """Letters followed by marks are cut there first, as the tokenizer cuts them, so that fewer parts are new."""
+        known, part = self.known, self._part
         for w in words:
             core = w.rstrip(MARKS)
-            if core.isalpha():
-                cut[w] = core.lower() if "\u03a3" not in core else core, w[len(core) :]  # a sigma's lower case depends on its place
-        fresh = {p for parts in cut.values() for p in parts}.union(w for w in words if w not in cut).difference(known)
-        rest = []
-        tokenize = _tokenizer(self.path).model.tokenize
-        for w in fresh:  # plain words skip the tokenizer's normalising and splitting, which leave them as they are
-            if w.isalpha() and w.islower() and unicodedata.is_normalized("NFC", w):
-                known[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            if core.isalpha() and "\u03a3" not in core:  # a sigma's lower case depends on its place
+                ids = part(core.lower())
+                known[w] = ids if len(core) == len(w) else ids + part(w[len(core) :])
             else:
-                rest.append(w)
-        coded = _tokenizer(self.path).encode_batch_fast(rest, add_special_tokens=False)
-        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, coded, strict=True))
-        known.update((w, known[c] + known[m]) for w, (c, m) in cut.items())
+                part(w)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -90,8 +95,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = WordIds(tokenizer)
         for b in batches:
-            for at in range(0, len(b), 256):
-                part, rows = b.iloc[at : at + 256], []
+            for at in range(0, len(b), 1000):
+                part, rows = b.iloc[at : at + 1000], []
                 for doc, cell, raw in zip(part["doc_id"], part["cell"], encode(part["text"].tolist()), strict=True):
                     raw += end
                     n = len(raw) // 4
