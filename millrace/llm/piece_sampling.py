@@ -25,7 +25,7 @@ SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Code points that are segmented at once.
-BATCH_CHARS = 2_500_000
+BATCH_CHARS = 3_000_000
 
 
 class PieceModel:
@@ -54,22 +54,23 @@ class PieceModel:
         logp -= np.log(np.exp(logp).sum())
         self.byte_logp = float(logp[-1])
         self.longest = max(len(self.pieces[i]) for i in ids)
-        by_length: dict[int, list[tuple[int, int, float]]] = {}
-        for i, lp in zip(ids, logp.tolist(), strict=True):
-            p = self.pieces[i]
-            by_length.setdefault(len(p), []).append((int(hash_text(p)), i, lp))
+        # By length: hashes of the beginnings of pieces, sorted, with the piece's id (-1 for a mere beginning) and log-probability.
+        whole = {self.pieces[i]: (i, lp) for i, lp in zip(ids, logp.tolist(), strict=True)}
         self.tables = {}
-        for n, own in by_length.items():
-            own.sort()
-            keys = np.array([x[0] for x in own], np.uint64)
+        for n in range(1, self.longest + 1):
+            heads = sorted((int(hash_text(p)), *whole.get(p, (-1, 0.0))) for p in {p[:n] for p in whole if len(p) >= n})
+            keys = np.array([x[0] for x in heads], np.uint64)
             if (keys[1:] == keys[:-1]).any():
-                raise ValueError("two pieces share a hash")
-            self.tables[n] = keys, np.array([x[1] for x in own]), np.array([x[2] for x in own])
+                raise ValueError("two beginnings of pieces share a hash")
+            self.tables[n] = keys, np.array([x[1] for x in heads]), np.array([x[2] for x in heads])
         self.spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
+    def spell(self, ids) -> bytes:
+        """Pieces and bytes in order, without the blank that encoding put in front."""
+        return b"".join(map(self.spelled.__getitem__, ids)).removeprefix(b" ")
+
     def decode(self, ids) -> str:
-        """The text of ids: pieces and bytes in order, without the blank that encoding put in front."""
-        return b"".join(map(self.spelled.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
+        return self.spell(ids).decode("utf-8", "replace")
 
 
 @functools.lru_cache(2)
@@ -112,11 +113,11 @@ class Lattices:
             if not len(at):
                 break
             h[at] = h[at] * _BASE + (code[at + size - 1] + np.uint64(1))
-            if size not in model.tables:
-                continue
             keys, ids, lps = model.tables[size]
             k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            hit = keys[k] == h[at]
+            begun = keys[k] == h[at]
+            at, k = at[begun], k[begun]
+            hit = ids[k] >= 0
             start.append(at[hit]), stop.append(at[hit] + size), piece.append(ids[k[hit]]), logp.append(lps[k[hit]])
             if size == 1:
                 single[at[hit]] = True
@@ -126,8 +127,13 @@ class Lattices:
         start, stop, piece, logp = map(np.concatenate, (start, stop, piece, logp))
 
         # Sums of all paths from a node to its chunk's end, from the last place of all chunks to the first.
+        order = np.argsort(start * (model.longest + 1) + (stop - start))
+        start, stop, piece, logp = start[order], stop[order], piece[order], logp[order]
+        self.stop, self.piece, self.logp = stop, piece, logp
+        self.begin = np.searchsorted(start, np.arange(n + 1))
         place = start - np.repeat(self.first, sizes + 1)[start]
-        order = np.lexsort((start, -place))
+        back = place.max(initial=0) - place
+        order = np.argsort(back.astype(np.uint16) if back.max(initial=0) < 1 << 16 else back, kind="stable")
         s, e, lp, p = start[order], stop[order], logp[order], place[order]
         self.mass = np.zeros(n)
         cut = np.flatnonzero(np.diff(p, prepend=p[0] + 1)) if len(p) else []
@@ -138,10 +144,7 @@ class Lattices:
             width = np.diff(np.append(node, b - a))
             self.mass[s[a:b][node]] = high + np.log(np.add.reduceat(np.exp(value - np.repeat(high, width)), node))
 
-        order = np.argsort(start, kind="stable")
-        self.stop, self.piece, self.logp = stop[order], piece[order], logp[order]
-        self.begin = np.searchsorted(start[order], np.arange(n + 1))
-        self.share = np.exp(np.minimum(self.logp + self.mass[self.stop] - self.mass[start[order]], 0.0))
+        self.share = np.exp(np.minimum(logp + self.mass[stop] - self.mass[start], 0.0))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -183,8 +186,11 @@ def _walk(lat: Lattices, node: np.ndarray, end: np.ndarray, key: np.ndarray) ->
     if not found:
         return (np.zeros(0, np.int64),) * 3
     walker, step_, edge = map(np.concatenate, zip(*found, strict=True))
-    order = np.lexsort((step_, walker))
-    return walker[order], step_[order], edge[order]
+    steps = np.bincount(walker, minlength=len(node))
+    at = (np.cumsum(steps) - steps)[walker] + step_
+    path = np.empty(len(edge), np.int64)
+    path[at] = edge
+    return np.repeat(np.arange(len(node)), steps), np.arange(len(edge)) - np.repeat(np.cumsum(steps) - steps, steps), path
 
 
 def sample_texts(model: PieceModel, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -282,7 +288,9 @@ def sample_texts(model: PieceModel, texts: list[str], keys: np.ndarray, k: int)
 
 def _ids(model: PieceModel, lat: Lattices, edges: np.ndarray) -> np.ndarray:
     ids = lat.piece[edges]
-    if len(ids) and ids.min() < 0:
+    bare = np.flatnonzero(ids < 0)
+    ids[bare] = np.where(ids[bare] >= -128, model.byte_ids[np.minimum(-1 - ids[bare], 127)], ids[bare])
+    if (ids[bare] < 0).any():
         spelled: list[int] = []
         for i in ids.tolist():
             if i < 0:
@@ -315,10 +323,10 @@ def sample_pieces(docs: DataFrame, model_file: str, k: int = 3, theta: float = 1
                     continue
                 texts, rows = part["text"].tolist(), []
                 for doc, text, own in zip(part["doc_id"], texts, sample_texts(model, texts, part["key"].to_numpy(np.int64).view(np.uint64), k), strict=True):
-                    want = text.replace(SPACE, " ")
+                    want = text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
                     for i, (ids, lp, g, inc) in enumerate(own):
                         listed = ids.tolist()
-                        rows.append((doc, i + 1, len(ids), lp, g, inc, zlib.crc32(ids.astype("<u4").tobytes()), model.decode(listed) == want, *([listed] if with_ids else [])))
+                        rows.append((doc, i + 1, len(ids), lp, g, inc, zlib.crc32(ids.astype("<u4").tobytes()), model.spell(listed) == want, *([listed] if with_ids else [])))
                 cols = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion_prob", "ids_crc32", "decodes", *(["ids"] if with_ids else [])]
                 yield pd.DataFrame(rows, columns=cols).astype({"doc_id": "Int64"})
 
