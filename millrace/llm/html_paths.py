@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
 from .url_rules import url_host
 
 _MARKUP = re.compile(
@@ -27,6 +28,9 @@ _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _TOKEN = re.compile(r"[a-z]+|\d+", re.I)
 _DIGITS = re.compile(r"\d+")
 
+#: Winning paths of so many hosts go to every task; more are joined by host and salt.
+BROADCAST_HOSTS, SALTS = 50_000, 64
+
 # Element names by their part in a page.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -207,4 +211,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             out = b[["page_id", "url"]].astype({"page_id": "Int64"})
             yield out.assign(text=texts, n_chars=[len(t) for t in texts])
 
-    return rows.join(host_paths(rows), "host", "left").mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    paths = durable(host_paths(rows))
+    if paths.count() <= BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(paths), "host", "left")
+    else:  # pages of one host may be many: each host's path is copied to every salt, and its pages are dealt among them
+        salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    return joined.mapInPandas(extract, "page_id long, url string, text string, n_chars long")
