@@ -154,7 +154,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     empty. Repeated rows are scanned alike. Other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
-    hits = text_units(rows.select("row_key", "text")).join(known_licenses(docs.sparkSession), "digest").distinct()
+    hits = text_units(rows.select("row_key", "text")).join(F.broadcast(known_licenses(docs.sparkSession)), "digest").distinct()  # a fixed list
     part = F.col("unit") != "text"
     found = hits.groupBy("row_key").agg(
         F.max(F.when(~part, F.col("license"))).alias("license"),
