@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def doubles(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
@@ -24,7 +26,7 @@ def mean_abs(x: Column) -> Column:
 
 def trits(x: Column, scale: Column) -> Column:
     """Half-even rounding of ``x / scale`` to -1, 0 or 1."""
-    return F.transform(x, lambda v: F.least(F.greatest(F.rint(v / scale), F.lit(-1.0)), F.lit(1.0)).cast("int"))
+    return let(scale, lambda s: F.transform(x, lambda v: F.least(F.greatest(F.rint(v / s), F.lit(-1.0)), F.lit(1.0)).cast("int")))
 
 
 def refit_scale(x: Column, q: Column) -> Column:
@@ -54,13 +56,15 @@ def lerp(x: Column, y: Column, alpha: float) -> Column:
 
 def hadamard(x: Column, n: int) -> Column:
     """The normalised Walsh-Hadamard transform of ``n`` values by log2(n) butterfly stages; it is its own inverse."""
-    out, half = x, 1
-    at = F.sequence(F.lit(0), F.lit(n - 1))
-    while half < n:
-        h, prev = half, out
-        out = F.transform(at, lambda i, h=h, prev=prev: F.when(i.bitwiseAND(F.lit(h)) == 0, F.get(prev, i) + F.get(prev, i + h)).otherwise(F.get(prev, i - h) - F.get(prev, i)))
-        half *= 2
-    return F.transform(out, lambda v: v / F.lit(float(n) ** 0.5))
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def stage(x: Column, half: int) -> Column:
+        if half == n:
+            return F.transform(x, lambda v: v / F.lit(float(n) ** 0.5))
+        sums = F.transform(places, lambda i: F.when(i.bitwiseAND(F.lit(half)) == 0, F.get(x, i) + F.get(x, i + half)).otherwise(F.get(x, i - half) - F.get(x, i)))
+        return let(sums, lambda y: stage(y, 2 * half))
+
+    return let(x, lambda y: stage(y, 1))
 
 
 def hadamard_at(x: Column, n: int, i: int) -> Column:
@@ -71,10 +75,15 @@ def hadamard_at(x: Column, n: int, i: int) -> Column:
 
 def pack_trits(q: Column, per_byte: int = 5) -> Column:
     """Five codes -1, 0, 1 to a byte, the first one lowest; a short last group is filled with code 0 (digit 1)."""
-    groups = F.sequence(F.lit(0), F.ceil(F.size(q) / per_byte).cast("int") - 1)
-    digit = lambda g, i: F.coalesce(F.get(q, g * per_byte + i), F.lit(0)) + 1
-    packed = F.transform(groups, lambda g: sum((digit(g, i) * 3**i for i in range(1, per_byte)), digit(g, 0)))
-    return F.when(F.size(q) > 0, packed).otherwise(F.array().cast("array<int>"))
+
+
+    def packed(q: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.ceil(F.size(q) / per_byte).cast("int") - 1)
+        digit = lambda g, i: F.coalesce(F.get(q, g * per_byte + i), F.lit(0)) + 1
+        full = F.transform(groups, lambda g: sum((digit(g, i) * 3**i for i in range(1, per_byte)), digit(g, 0)))
+        return F.when(F.size(q) > 0, full).otherwise(F.array().cast("array<int>"))
+
+    return let(q, packed)
 
 
 def unpack_trits(packed: Column, n: Column, per_byte: int = 5) -> Column:
@@ -84,9 +93,13 @@ def unpack_trits(packed: Column, n: Column, per_byte: int = 5) -> Column:
 
 def pack_pairs(codes: Column) -> Column:
     """Four 2-bit codes to a byte, the first one lowest."""
-    groups = F.sequence(F.lit(0), F.ceil(F.size(codes) / 4).cast("int") - 1)
-    at = lambda g, i: F.shiftleft(F.coalesce(F.get(codes, g * 4 + i), F.lit(0)), 2 * i)
-    return F.transform(groups, lambda g: at(g, 0).bitwiseOR(at(g, 1)).bitwiseOR(at(g, 2)).bitwiseOR(at(g, 3)))
+
+    def packed(codes: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.ceil(F.size(codes) / 4).cast("int") - 1)
+        at = lambda g, i: F.shiftleft(F.coalesce(F.get(codes, g * 4 + i), F.lit(0)), 2 * i)
+        return F.transform(groups, lambda g: at(g, 0).bitwiseOR(at(g, 1)).bitwiseOR(at(g, 2)).bitwiseOR(at(g, 3)))
+
+    return let(codes, packed)
 
 
 def unpack_pairs(packed: Column, n: Column) -> Column:
@@ -146,9 +159,8 @@ def thin(x: Column, gap: float) -> Column:
 
 
 def softmax_log(x: Column) -> Column:
-    high = F.array_max(x)
-    norm = F.log(total(F.transform(x, lambda v: F.exp(v - high)))) + high
-    return F.transform(x, lambda v: v - norm)
+    log_sum = lambda y, high: F.log(total(F.transform(y, lambda v: F.exp(v - high)))) + high
+    return let(x, lambda y: let(let(F.array_max(y), lambda high: log_sum(y, high)), lambda n: F.transform(y, lambda v: v - n)))
 
 
 def divergence(p_log: Column, q_log: Column) -> Column:
@@ -158,10 +170,14 @@ def divergence(p_log: Column, q_log: Column) -> Column:
 
 def coarse_divergence(p_log: Column, q_log: Column, k: int) -> Column:
     """KL over the k likeliest entries of p and one tail of all others; the tails are exact complements."""
-    pairs = F.slice(F.sort_array(F.zip_with(p_log, q_log, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), asc=False), 1, k)
-    head = total(F.transform(pairs, lambda x: F.exp(x["p"]) * (x["p"] - x["q"])))
-    tail = lambda name: F.greatest(F.lit(1.0) - total(F.transform(pairs, lambda x: F.exp(x[name]))), F.lit(1e-12))
-    return head + tail("p") * (F.log(tail("p")) - F.log(tail("q")))
+    top = F.slice(F.sort_array(F.zip_with(p_log, q_log, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), asc=False), 1, k)
+
+    def summed(pairs: Column) -> Column:
+        head = total(F.transform(pairs, lambda x: F.exp(x["p"]) * (x["p"] - x["q"])))
+        tail = lambda name: F.greatest(F.lit(1.0) - total(F.transform(pairs, lambda x: F.exp(x[name]))), F.lit(1e-12))
+        return head + tail("p") * (F.log(tail("p")) - F.log(tail("q")))
+
+    return let(top, summed)
 
 
 def surrogate(ratio: Column, advantage: Column, clip: float = 0.2) -> Column:

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm(text: Column) -> Column:
     """Words of letters, digits and underscores, case-folded, joined by one blank."""
     folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
@@ -19,15 +24,18 @@ def weak_norm(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words of the normal form; none for an empty text."""
-    n = norm(text)
-    return F.when(F.length(n) > 0, F.split(n, " ")).otherwise(F.array().cast("array<string>"))
+    return let(norm(text), lambda n: F.when(F.length(n) > 0, F.split(n, " ")).otherwise(F.array().cast("array<string>")))
 
 
 def windows(items: Column, size: int, stride: int = 1) -> Column:
     """Runs of ``size`` items joined by blanks, every ``stride``; none if there are fewer items."""
-    last = F.size(items) - F.lit(size - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(items, i, size), " "))
+
+    def runs(own: Column) -> Column:
+        last = F.size(own) - F.lit(size - 1)
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, size), " "))
+
+    return let(items, runs)
 
 
 def shingles(text: Column, size: int = 8) -> Column:
@@ -67,7 +75,7 @@ def finished(response: Column) -> Column:
 
 
 def _last(found: Column) -> Column:
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return let(found, lambda f: F.when(F.size(f) > 0, F.element_at(f, -1)))
 
 
 def last_number(text: Column, mark: str = "####") -> Column:
@@ -101,8 +109,7 @@ def canonical_json(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(t) > 0, F.size(F.split(t, " "))).otherwise(0)
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda t: F.when(F.length(t) > 0, F.size(F.split(t, " "))).otherwise(0))
 
 
 def scrub_paths(text: Column) -> Column:

@@ -19,7 +19,7 @@ def matched(scores: DataFrame, model: str, key: str, k: int) -> DataFrame:
 def contingency(pairs: DataFrame, a: Column, b: Column, by: Sequence[str] = ()) -> DataFrame:
     """Both, only a, only b, neither, n and the exact McNemar p-value, per group."""
     counts = pairs.groupBy(*by).agg(
-        F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("neither"), F.count("*").alias("n")
+        F.count_if(a & b).alias("in_both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("neither"), F.count("*").alias("n")
     )
     return counts.withColumn("p", S.mcnemar(F.col("only_a"), F.col("only_b")))
 
