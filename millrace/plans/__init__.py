@@ -1,6 +1,6 @@
 """Registered queries, each with the SQL it must agree with."""
 
-from . import corpus, evaluation, kernels, relational  # noqa: F401
+from . import corpus, evaluation, kernels, relational, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -117,8 +117,8 @@ def round_robin_interleave(spark, sf_dir):
     return turned.orderBy("turn", "source").limit(200).select("turn", "source", "doc_id")
 
 
-@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at, count(*) OVER (PARTITION BY source) AS size FROM documents)
-SELECT source, doc_id FROM r WHERE EXISTS (SELECT 1 FROM range(13) k(k) WHERE k * size // 13 = at)""")
+@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM documents)
+SELECT source, doc_id FROM r WHERE len(list_filter([0,1,2,3,4,5,6,7,8,9,10,11,12], lambda k: (k * size) // 13 = pos)) > 0""")
 def stratified_13(spark, sf_dir):
     return sampling.evenly_spaced(docs(spark, sf_dir).select("source", "doc_id"), "source", ["doc_id"], 13)
 

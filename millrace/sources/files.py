@@ -14,10 +14,11 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType,
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path), spark.createDataFrame([], "file string, record string")
     full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    raw = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
-    tagged = raw.select("*", F.col("_metadata.file_path").alias("_file"))
-    good = tagged.where(F.col(BAD).isNull()).select(*[f.name for f in schema.fields])
-    return good, tagged.where(F.col(BAD).isNotNull()).select(F.col("_file").alias("file"), F.col(BAD).alias("record"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    rows = lines.where(F.length(F.trim("value")) > 0).withColumn("row", parsed)
+    good = rows.where(F.col(f"row.{BAD}").isNull()).select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields])
+    return good, rows.where(F.col(f"row.{BAD}").isNotNull()).select("file", F.col("value").alias("record"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
