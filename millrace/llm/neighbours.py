@@ -165,12 +165,12 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, k: int, pool:
     asked = queries.select(F.col("node").alias("q")).join(codes.select(F.col("node").alias("q"), F.col("code").alias("q_code")), "q")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        """Codes join twice, and each pair is scored by itself."""
+        """Codes join twice, and each pair is scored by itself, without the coordinate that makes norms equal."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    s = np.einsum("ij,ij->i", _matrix(b.column(2), "i1").astype(np.float32), _matrix(b.column(3), "i1").astype(np.float32))
+                    s = np.einsum("ij,ij->i", _matrix(b.column(2), "i1")[:, :-1].astype(np.float32), _matrix(b.column(3), "i1")[:, :-1].astype(np.float32))
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["q", "node", "score"])
 
         return pairs.join(codes.select("node", "code"), "node").join(asked, "q").select("q", "node", "q_code", "code").mapInArrow(run, "q long, node long, score float")

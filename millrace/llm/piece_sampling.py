@@ -100,7 +100,7 @@ class Lattices:
 
     def __init__(self, model: PieceModel, texts: list[str]) -> None:
         sizes = np.array([len(t) for t in texts], np.int64)
-        self.first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
+        self.first = np.cumsum(sizes + 1) - (sizes + 1)
         self.last = self.first + sizes
         n = int((sizes + 1).sum())
         code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64) if texts else np.zeros(0, np.uint64)
@@ -137,7 +137,7 @@ class Lattices:
         s, e, lp, p = start[order], stop[order], logp[order], place[order]
         self.mass = np.zeros(n)
         cut = np.flatnonzero(np.diff(p, prepend=p[0] + 1)) if len(p) else []
-        for a, b in zip(cut, [*cut[1:], len(p)], strict=True):
+        for a, b in zip(cut, [*cut[1:], len(p)][: len(cut)], strict=True):
             value = lp[a:b] + self.mass[e[a:b]]
             node = np.flatnonzero(np.diff(s[a:b], prepend=-1))
             high = np.maximum.reduceat(value, node)
