@@ -2,7 +2,7 @@
 
 Shingles of five words are weighted by term frequency and a damped inverse document frequency. Document frequencies come from a
 count-min sketch of all documents, whose size doesn't depend on the corpus. ICWS samples are banded into buckets. Inside a bucket,
-leaders are compared with the other members by exact weighted Jaccard similarity, in rounds with eight times as many leaders each; a
+leaders are compared with the other members by exact weighted Jaccard similarity, in rounds with sixteen times as many leaders each; a
 bucket is settled once its members are in one component or every remaining pair has been compared. No bucket emits all its pairs
 unless its members stay unconnected, and no link between components is lost.
 """
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -287,19 +287,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
             .dropDuplicates(["x", "y"])
             .select("src", "dst")
         )
-        fresh = durable(_compare(durable(pairs), features, weights, threshold).select("src", "dst"))
+        seen = Observation()
+        compared = _compare(pairs, features, weights, threshold).select("src", "dst")
+        fresh = durable(compared.observe(seen, F.count(F.lit(1)).alias("n")))
         links = fresh if links is None else links.union(fresh)
-        if parts is None or not fresh.isEmpty():
+        if parts is None or seen.get["n"]:
             parts = connected_components(links)
         named = open_.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
         part = F.coalesce("component", "doc_id")
         mixed = named.groupBy("bucket").agg(F.min(part).alias("least"), F.max(part).alias("most"), F.max("size").alias("size"))
         # Every pair has met once all members have led.
         still = mixed.where((F.col("least") != F.col("most")) & (F.col("size") > high)).select("bucket")
-        open_ = durable(open_.join(still, "bucket", "left_semi"))
-        if open_.isEmpty():
+        seen = Observation()
+        open_ = durable(open_.join(still, "bucket", "left_semi").observe(seen, F.count(F.lit(1)).alias("n")))
+        if not seen.get["n"]:
             break
-        low, high = high, high * 8
+        low, high = high, high * 16
+    weights.destroy()
 
     named = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
