@@ -44,7 +44,8 @@ def exact_value(expression: str | None, names: dict[str, int] | None = None) ->
 
 
 @F.udf(StringType())
-def exact_fraction(expression: str | None) -> str | None:
+def exact_fraction(expression):
+    """The exact value of integer arithmetic as ``numerator/denominator``; null for anything else."""
     got = exact_value(expression)
     return None if got is None else f"{got.numerator}/{got.denominator}"
 
