@@ -30,6 +30,8 @@ DEPTH, WIDTH, BLOCK = 2, 1 << 19, 1 << 14
 SALT_ROWS = 128
 #: Code points whose shingles are sampled at once.
 BATCH_CHARS = 300_000
+#: Code points that are counted at once: adding to the sketch costs the same for few and many shingles.
+SKETCH_CHARS = 3_000_000
 #: Shingle hashes have 48 bits, so that a hash and its text's place in a batch sort as one number.
 HASH_BITS = np.uint64(48)
 
@@ -103,7 +105,7 @@ def document_frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
         sketch, n = np.zeros((DEPTH, WIDTH), np.int64), 0
         for b in batches:
             n += len(b)
-            for part in _batches(b):
+            for part in _batches(b, size=SKETCH_CHARS):
                 h, _, _ = _distinct(*shingle_hashes(part["text"].tolist(), size))
                 for i in range(DEPTH):
                     sketch[i] += np.bincount((_mix(h + np.uint64(i)) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
@@ -201,6 +203,7 @@ def _compare(pairs: DataFrame, features: DataFrame, weights, threshold: float) -
         .join(features.withColumnRenamed("doc_id", "dst"), "dst")
         .select("src", "salt", "dst", "shingles")
     )
+    features = features.select("doc_id", "shingles")
     own = features.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("own"))
     leaders = own.join(count.select(F.col("src").alias("leader"), F.col("salts").alias("parts")), "leader").select(
         "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own"
@@ -256,11 +259,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
             for part in _batches(b):
                 h, counts = shingle_hashes(part["text"].tolist(), shingle)
                 ends = np.cumsum(counts)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "shingles": [np.sort(h[e - n : e]).astype("<u8").tobytes() for e, n in zip(ends, counts, strict=True)]})
+                own, tf, n_own = _distinct(h, counts)
+                mass = np.bincount(np.repeat(np.arange(len(counts)), n_own), weights.value(own, tf), minlength=len(counts))
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "shingles": [np.sort(h[e - n : e]).astype("<u8").tobytes() for e, n in zip(ends, counts, strict=True)], "mass": mass})
 
     features = durable(
-        rows_.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInPandas(pack, "doc_id long, shingles binary")
+        rows_.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInPandas(pack, "doc_id long, shingles binary, mass double")
     )
+    buckets = durable(buckets.join(features.select("doc_id", "mass"), "doc_id"))
 
     links = parts = None
     low, high = 0, 1
@@ -269,10 +275,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
         # Leaders of this round: the members whose share of the draw range is below high / size, about ``high`` in each bucket;
         # the first round takes exactly the smallest draw.
         if low == 0:
-            lead = open_.groupBy("bucket").agg(F.min_by("doc_id", F.struct("draw", "doc_id")).alias("src"))
+            lead = open_.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "mass"), F.struct("draw", "doc_id")).alias("first")).select("bucket", F.col("first.doc_id").alias("src"), F.col("first.mass").alias("src_mass"))
         else:
             share = F.col("draw") / F.lit(float(2**40)) * F.col("size")
-            lead = open_.where((share < high) & (share >= (low if low > 1 else 0))).select("bucket", F.col("doc_id").alias("src"))
+            lead = open_.where((share < high) & (share >= (low if low > 1 else 0))).select("bucket", F.col("doc_id").alias("src"), F.col("mass").alias("src_mass"))
         side = open_
         if parts is not None:
             lead = lead.join(parts.select(F.col("node").alias("src"), F.col("component").alias("src_part")), "src", "left")
@@ -280,9 +286,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
         else:
             lead, side = lead.withColumn("src_part", F.lit(None).cast("long")), side.withColumn("component", F.lit(None).cast("long"))
         own_part = F.coalesce("component", "doc_id")
+        # No similarity exceeds the ratio of the two sums of weights.
+        near_size = F.least("mass", "src_mass") >= (threshold - 1e-6) * F.greatest("mass", "src_mass")
+        if low > 1:  # earlier leaders have met everybody
+            side = side.where(F.col("draw") / F.lit(float(2**40)) * F.col("size") >= low)
         pairs = (
             lead.join(side, "bucket")
-            .where((F.col("src") != F.col("doc_id")) & (F.coalesce("src_part", "src") != own_part))
+            .where((F.col("src") != F.col("doc_id")) & (F.coalesce("src_part", "src") != own_part) & near_size)
             .select("src", F.col("doc_id").alias("dst"), F.least("src", "doc_id").alias("x"), F.greatest("src", "doc_id").alias("y"))
             .dropDuplicates(["x", "y"])
             .select("src", "dst")
