@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import cells
 
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 NO_ID = np.iinfo(np.int64).min
 #: Lines of a shard; documents and bytes of a cell, on average.
 SHARD_LINES, CELL_DOCS, CELL_BYTES = 20_000, 500, 2_000_000
@@ -26,13 +25,15 @@ SHARD_LINES, CELL_DOCS, CELL_BYTES = 20_000, 500, 2_000_000
 GAMMA, MAX_LEVELS = 2.0, 40
 
 
-def line_key(line: str) -> str:
-    return line.strip(BLANK).translate(_LOWER)
+def long_keys(lines: list[str], min_chars: int) -> list[tuple[int, bytes]]:
+    """Places and keys of the lines whose keys have at least ``min_chars``; a key is UTF-8, whose ``lower`` changes A-Z only."""
+    found = [(i, x.strip(BLANK)) for i, x in enumerate(lines) if len(x) >= min_chars]
+    return [(i, k.encode().lower()) for i, k in found if len(k) >= min_chars]
 
 
-def line_hashes(keys: list[str]) -> np.ndarray:
+def line_hashes(keys: list[bytes]) -> np.ndarray:
     """128-bit hashes as an n x 2 array of signed words."""
-    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(k.encode()) for k in keys]), ">i8").astype(np.int64).reshape(-1, 2)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def _mix(high: np.ndarray, low: np.ndarray, seed: int) -> np.ndarray:
@@ -100,7 +101,7 @@ def line_counts(docs: DataFrame, min_chars: int, n_shards: int) -> DataFrame:
         for b in batches:
             ids, keys = [], []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                own = {k for k in map(line_key, text.split("\n")) if len(k) >= min_chars}
+                own = {k for _, k in long_keys(text.split("\n"), min_chars)}
                 keys.extend(own)
                 ids.extend([doc] * len(own))
             h = line_hashes(keys)
@@ -156,7 +157,7 @@ def drop_frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for cell, part in b.groupby("cell"):
-                keys = list({k for t in part["text"] for k in map(line_key, t.split("\n")) if len(k) >= min_chars})
+                keys = list({k for t in part["text"] for _, k in long_keys(t.split("\n"), min_chars)})
                 h = line_hashes(keys)
                 out = pd.DataFrame({"cell": cell, "shard": h[:, 0] % n_shards, "high": h[:, 0], "low": h[:, 1]})
                 yield out
@@ -183,7 +184,7 @@ def drop_frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
             lines = text.split("\n")
             kept = lines
             if owner_of:
-                long = [(i, k) for i, k in enumerate(map(line_key, lines)) if len(k) >= min_chars]
+                long = long_keys(lines, min_chars)
                 owners = [owner_of.get(h, doc) for h in map(tuple, line_hashes([k for _, k in long]).tolist())]
                 gone = {i for (i, _), owner in zip(long, owners, strict=True) if owner != doc}
                 kept = [x for i, x in enumerate(lines) if i not in gone]
