@@ -160,6 +160,31 @@ def test_quality_on_held_out_labels(spark, make_docs):
     assert Q.quality_filter(odd.withColumn("lang", F.lit(None).cast("string")), labels.limit(0)).count() >= len(ODD)
 
 
+def test_copies_move_no_threshold(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.where("lang = 'fr' AND length(text) > 0").collect()
+    trusted = {r.doc_id for r in labels.where("quality = 1").collect()}
+    texts = {r.text: r.doc_id for r in rows}
+    good = [t for t, i in texts.items() if i in trusted]
+    base = spark.createDataFrame([(i, t, "fr") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1) for i, t in enumerate(texts) if t in set(good)] + [(i, 1) for i in range(10_000, 14_000)], "doc_id long, quality int")
+    copies = spark.createDataFrame([(10_000 + i, good[0], "fr") for i in range(4 * len(texts))], base.schema)
+    keep = lambda d: {r.doc_id: r.keep for r in Q.quality_verdicts(d, marks).where("doc_id < 10000").collect()}
+    alone, crowded = keep(base), keep(base.union(copies))
+    assert crowded == alone and sum(alone.values()) > len(alone) / 2
+    sample = Q.training_sample(base.union(copies), marks, folds=1).collect()
+    assert len(sample) == len(good)
+
+
+def test_training_words_are_dealt_to_languages(spark):
+    rows = [(i, f"en {i} " + "word " * 20, "en") for i in range(500)] + [(1000 + i, f"fr {i} " + "mot " * 20, "fr") for i in range(20)] + [(2000, "long " * 5000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows], "doc_id long, quality int")
+    got = [r.text for r in Q.training_sample(docs, labels, folds=1, max_words=2000).collect()]
+    assert sum(t.startswith("fr") for t in got) == 20  # 460 words: the smaller language takes part whole
+    assert max(len(t.split()) for t in got) == 2000 // Q.LONGEST_SHARE and 1800 <= sum(len(t.split()) for t in got) < 2100
+
+
 PAGE = "<html><head><title>t</title><script>var a = '<p>no</p>'; if (1<2) x(\"y</b\")</script></head><body class='with-sidebar'><nav><a href=/>Menu</a></nav><div class=\"cookie-notice\">Accept</div>{}<aside>side</aside><footer>f</footer></body></html>"
 
 
