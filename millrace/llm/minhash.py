@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -227,28 +227,33 @@ def _compare(pairs: DataFrame, features: DataFrame, weights, threshold: float) -
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 10, rows: int = 3, damping: float = 0.25) -> DataFrame:
-    """One row per document: ``doc_id, class_id, class_size, kept``.
+    """One row per row: ``doc_id, class_id, class_size, kept``.
 
-    ``class_id`` is the smallest id among documents that a chain of links connects; a link is an equal text, or weighted Jaccard
+    ``class_id`` is the smallest id among rows that a chain of links connects; a link is an equal text, or weighted Jaccard
     similarity of at least ``threshold``. Words are runs of letters, digits and underscores in lower case. Texts of fewer than
     ``shingle`` words have one shingle of all their words. Texts without words, and null texts (as empty), are linked only to equal
-    texts. ``kept`` marks the smallest id. Null ids take part as the smallest possible number and come back null. Rows that share
-    an id are one document (compared by its smallest text), count in ``class_size`` each, and are all marked alike. Other columns are
-    ignored.
+    texts. ``kept`` marks the smallest id, and of rows that share it the smallest hash of the text. Null ids come before all others and
+    come back null. Rows that share an id but not a text are compared each by its own, so an id can be in several classes. Rows that
+    share both are marked alike. Other columns are ignored.
     """
+    return _classes(docs, threshold, shingle, bands, rows, damping).select("doc_id", "class_id", "class_size", "kept")
+
+
+def _row_key() -> Column:
+    """Texts are told apart by 64 bits; a null text is an empty one."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 10, rows: int = 3, damping: float = 0.25) -> DataFrame:
+    """``doc_id, row_key, class_id, class_size, kept`` of every row. Distinct texts are compared, whatever ids they have."""
     spark = docs.sparkSession
-    none = -(2**63)
-    rows_ = docs.select(F.coalesce("doc_id", F.lit(none)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows_ = docs.select(_row_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sketch, n_docs = document_frequencies(rows_, shingle)
     weights = spark.sparkContext.broadcast(Weights(sketch, n_docs, damping))
 
-    # Equal texts: one representative each from here on.
-    keyed = rows_.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.concat(F.lit("\x01"), "text")).alias("h2"), F.length("text").alias("n"))
-    first = keyed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    members = durable(keyed.join(first, ["h1", "h2", "n"]).select("doc_id", "rep"))
-    reps = members.select(F.col("rep").alias("doc_id")).distinct()
-
-    signed = durable(_signatures(rows_, weights, bands, rows, shingle).distinct().join(reps, "doc_id", "left_semi"))
+    # Equal texts are one node from here on: its key.
+    members = durable(docs.select("doc_id", _row_key().alias("row_key")))
+    signed = durable(_signatures(rows_, weights, bands, rows, shingle).distinct())
     sizes = signed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     # Members of a bucket get ranks without a sort of the bucket in one task: by a hash, in ranges that double in size.
     buckets = durable(signed.join(sizes, "bucket").withColumn("draw", F.pmod(F.xxhash64("bucket", "doc_id"), F.lit(2**40))))
@@ -315,20 +320,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
         low, high = high, high * 16
     weights.destroy()
 
-    named = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return named.join(sizes, "class_id").select(
-        F.nullif("doc_id", F.lit(none)).alias("doc_id"),
-        F.nullif("class_id", F.lit(none)).alias("class_id"),
-        "class_size",
-        (F.col("doc_id") == F.col("class_id")).alias("kept"),
-    )
+    named = members.join(parts.select(F.col("node").alias("row_key"), "component"), "row_key", "left").withColumn("class", F.coalesce("component", "row_key"))
+    classes = named.groupBy("class").agg(F.count("*").alias("class_size"), F.min(F.struct("doc_id", "row_key")).alias("first"))
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
+    return named.join(classes, "class").select("doc_id", "row_key", F.col("first.doc_id").alias("class_id"), "class_size", first.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, all columns kept."""
-    verdicts = durable(near_duplicates(docs, **options))
-    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    twice = verdicts.where("kept").groupBy("doc_id").count().where("count > 1")
-    return left if twice.isEmpty() else left.dropDuplicates(["doc_id"])
+    verdicts = durable(_classes(docs, **options))
+    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("row_key").alias("_gone_key")).distinct()
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (_row_key() == F.col("_gone_key")), "left_anti")
+    twice = verdicts.where("kept").groupBy("doc_id", "row_key").count().where("count > 1")
+    return left if twice.isEmpty() else left.withColumn("_row_key", _row_key()).dropDuplicates(["doc_id", "_row_key"]).drop("_row_key")

@@ -155,6 +155,16 @@ def test_near_duplicates(spark, make_docs):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(i for i, (_, _, kept) in want.items() if kept and i is not None)
 
 
+def test_near_duplicates_of_rows_without_an_id_of_their_own(make_docs):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randrange(400)}" for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, c), (7, b), (8, a), (8, d), (8, d), (9, c + " more"), (9, "of another kind")]
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.class_size, r.kept) for r in M.near_duplicates(make_docs(rows)).collect()))
+    assert got == sorted([(0, 0, 2, True)] * 3 + [(7, 0, 2, False), (8, 0, 2, False), (9, 0, 2, False)] + [(8, 8, 2, True)] * 2 + [(9, 9, 1, True)])
+    left = sorted(((r.doc_id or 0), r.text) for r in M.drop_near_duplicates(make_docs(rows)).collect())
+    assert left == sorted([(0, a), (0, b), (0, c), (8, d), (9, "of another kind")])
+
+
 def test_samples_agree_as_often_as_sets():
     rng = np.random.default_rng(5)
     h = np.sort(rng.integers(0, 2**48, 300).astype(np.uint64))
