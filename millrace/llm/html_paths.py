@@ -45,6 +45,8 @@ NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup paywall "
     "sidebar widget related recommended share sharing social nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar comment comments respond disqus".split()
 )
+#: An element that holds this share of a page's text isn't noise by its class or id.
+LAYOUT_SHARE = 0.9
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
@@ -58,25 +60,28 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # open block elements: name, container, noise
+        stack: list[tuple[str, int, bool, int, int]] = []  # open block elements: name, container, noise, and as below
         text: list[str] = []
         linked = links = 0
-        container, noise = -1, False
+        container, noise, named, body = -1, False, -1, -1
+        names: list[int] = []  # elements with a noisy class or id: the one around each
+        bodies: list[tuple[str, int, int]] = []  # articles and mains: name, the article or main around, the noisy name around
+        found: list[tuple[str, int, int, bool, int, int]] = []
 
         def flush() -> None:
             nonlocal linked
             if text:
                 joined = " ".join("".join(text).split())
                 if joined:
-                    self.blocks.append((joined, linked, container, noise))
+                    found.append((joined, linked, container, noise, named, body))
                 text.clear()
             linked = 0
 
         def back(to: int) -> None:
-            nonlocal container, noise
+            nonlocal container, noise, named, body
             flush()
             del stack[to:]
-            container, noise = stack[-1][1:] if stack else (-1, False)
+            container, noise, named, body = stack[-1][1:] if stack else (-1, False, -1, -1)
 
         at = 0
         while (m := _MARKUP.search(source, at)) is not None:
@@ -122,19 +127,55 @@ class Page:
             attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[3] or m[6] or "")}
             loud = noise or name in DROPPED or attributes.get("role", "").lower() in NOISE_ROLES
             if not loud and name == "header":
-                loud = not any(n in ("article", "main") for n, _, _ in stack)
+                loud = not any(n in ("article", "main") for n, *_ in stack)
             if not loud and attributes and name not in ("html", "body", "article", "main"):
-                loud = any(t in NOISE for a in ("class", "id") for t in map(str.lower, _TOKEN.findall(attributes.get(a, ""))))
+                if any(t in NOISE for a in ("class", "id") for t in map(str.lower, _TOKEN.findall(attributes.get(a, "")))):
+                    names.append(named)
+                    named = len(names) - 1
+            if not loud and name in ("article", "main"):
+                bodies.append((name, body, named))
+                body = len(bodies) - 1
             if name in CONTAINERS:
                 mark = " ".join(sorted(set(_DIGITS.sub("#", attributes.get("class", "")).split()))) or _DIGITS.sub("#", attributes.get("id", ""))
                 self.paths.append((self.paths[container] + "/" if container >= 0 else "") + name + ("." + mark if mark else ""))
                 self.parents.append(container)
                 container = len(self.paths) - 1
             noise = loud
-            stack.append((name, container, noise))
+            stack.append((name, container, noise, named, body))
         if at < len(source):
             text.append(entities.unescape(source[at:]))
         flush()
+        silent = self._silent(found, names, bodies)
+        self.blocks = [(t, n, c, loud or i >= 0 and silent[i]) for t, n, c, loud, i, _ in found]
+
+    @staticmethod
+    def _silent(blocks: list[tuple[str, int, int, bool, int, int]], names: list[int], bodies: list[tuple[str, int, int]]) -> list[bool]:
+        """Which elements with a noisy class or id are noise or inside it. Those around the longest main (or else article) aren't, nor, on a
+        page without either, those that hold nearly all text: such names describe the layout."""
+        inside, around = [0] * len(bodies), [0] * len(names)
+        whole = 0
+        for text, linked, _, loud, i, b in blocks:
+            own = 0 if loud else max(0, len(text) - 2 * linked)
+            whole += own
+            while b >= 0:
+                inside[b] += own
+                b = bodies[b][1]
+            while i >= 0:
+                around[i] += own
+                i = names[i]
+        layout = set()
+        filled = [b for b in range(len(bodies)) if inside[b]]
+        if filled:
+            i = bodies[max(filled, key=lambda b: (bodies[b][0] == "main", inside[b], -b))][2]
+            while i >= 0:
+                layout.add(i)
+                i = names[i]
+        else:
+            layout.update(i for i, n in enumerate(around) if n and n >= LAYOUT_SHARE * whole)
+        silent: list[bool] = []
+        for i, outer in enumerate(names):
+            silent.append(i not in layout or outer >= 0 and silent[outer])
+        return silent
 
     def scores(self) -> dict[str, float]:
         """Paths of containers by their text without links; half of it counts for the parent, a quarter for its parent."""

@@ -202,6 +202,19 @@ def test_pages(spark):
     assert got[14] == {"", "a < b <i> c"}
 
 
+def test_wrappers_named_after_the_layout(spark):
+    article = "<article><p>The article of this page.</p><div class=share>tweet</div></article><div class=sidebar><p>side</div><div class='comments'><article>I say</article></div>"
+    rows = [
+        (1, "http://a.org/1", f"<body><div class='layout with-sidebar'>{article}</div></body>"),
+        (2, "http://b.org/1", f"<div id='page' class='site no-comments'><div class=related-posts><main>{article}</main></div></div>"),
+        (3, "http://c.org/1", "<p>Site</p><div class='site no-comments'><div><p>A page without an article element, long enough.</p></div><div class=sidebar>s</div></div>"),
+        (4, "http://d.org/1", "<div><p>Some text of the page itself.</div><div class=comments><p>And some comments, a bit longer than that text is.</div>"),
+    ]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "The article of this page."
+    assert got[3] == "A page without an article element, long enough." and got[4] == "Some text of the page itself."
+
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
