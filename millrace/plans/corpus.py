@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats as S
 from ..functions import text as X
 from ..operators import admission, dedup, overlap, sampling
 from ..session import table
@@ -133,8 +132,6 @@ def nearest_length(spark, sf_dir):
 @query(PAIRS + f""", r AS (SELECT d.doc_id, CASE WHEN row_number() OVER (PARTITION BY {N} ORDER BY d.doc_id) > 1 THEN 'duplicate' WHEN d.doc_id IN (SELECT doc_id FROM pairs) THEN 'overlap' WHEN length(text) > 8000 THEN 'long' END AS reason FROM documents d)
 SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def reject_reason_histogram(spark, sf_dir):
-    from pyspark.sql import Window
-
     hit = _pairs(spark, sf_dir).select("doc_id", F.lit(True).alias("hit")).distinct()
     rank = F.row_number().over(Window.partitionBy(X.norm(F.col("text"))).orderBy("doc_id"))
     rows = docs(spark, sf_dir).withColumn("rank", rank).join(hit, "doc_id", "left")
@@ -178,10 +175,13 @@ def manifest_stats(spark, sf_dir):
 @query("""SELECT lang, avg(n_chars) AS mean, median(n_chars) AS median, max(n_chars) AS longest, list_sort(list(n_chars))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS p95,
 list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median, quantile_cont(n_chars, 0.95) AS p95_linear FROM documents GROUP BY 1""")
 def length_stats(spark, sf_dir):
-    values = F.collect_list("n_chars")
-    return docs(spark, sf_dir).groupBy("lang").agg(
-        F.avg("n_chars").alias("mean"), F.percentile("n_chars", 0.5).alias("median"), F.max("n_chars").alias("longest"), S.nearest_rank(values, 0.95).alias("p95"),
-        S.upper_median(values).alias("upper_median"), F.percentile("n_chars", 0.95).alias("p95_linear"),
+    by_length = Window.partitionBy("lang").orderBy("n_chars")
+    counts = docs(spark, sf_dir).groupBy("lang", "n_chars").agg(F.count("n_chars").alias("c"))
+    counts = counts.withColumn("upto", F.sum("c").over(by_length)).withColumn("n", F.sum("c").over(Window.partitionBy("lang")))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("n_chars")))
+    return counts.groupBy("lang").agg(
+        F.try_divide(F.sum(F.col("n_chars") * F.col("c")), F.sum("c")).alias("mean"), F.percentile("n_chars", 0.5, F.col("c")).alias("median"), F.max("n_chars").alias("longest"),
+        at(F.floor(0.95 * (F.col("n") - 1))).alias("p95"), at(F.expr("n div 2")).alias("upper_median"), F.percentile("n_chars", 0.95, F.col("c")).alias("p95_linear"),
     )
 
 

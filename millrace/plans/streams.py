@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published(df: DataFrame, mode: str) -> DataFrame:
-    """Drain into the driver's memory table: for small published summaries only."""
-    name = f"stream_{uuid.uuid4().hex}"
-    df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """Drain into Parquet in the folder that driver and executors share, and read it back; in complete mode the last batch is the result."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="millrace-stream-")
+    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    if mode != "complete":
+        jobs.drain(df, f"{folder}/checkpoint", f"{folder}/rows", mode)
+        return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+    written: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows-{number}")
+        written.append(f"{folder}/rows-{number}")
+
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(written[-1]) if written else spark.createDataFrame([], df.schema)
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -38,3 +38,17 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_results_of_streams_stay_out_of_the_driver(spark):
+    for name in ("stream_dedup", "stream_rate"):
+        plan = plan_of(plans.QUERIES[name](spark, SF))
+        assert "parquet" in plan and "LocalTableScan" not in plan and "MemoryPlan" not in plan
+
+
+def test_no_array_holds_a_whole_language(spark):
+    assert "collect_list" not in plan_of(plans.QUERIES["length_stats"](spark, SF))
