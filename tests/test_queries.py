@@ -52,3 +52,7 @@ def test_results_of_streams_stay_out_of_the_driver(spark):
 
 def test_no_array_holds_a_whole_language(spark):
     assert "collect_list" not in plan_of(plans.QUERIES["length_stats"](spark, SF))
+
+
+def test_no_window_without_a_key(spark):
+    assert "SinglePartition" not in plan_of(plans.QUERIES["trailing_600s_rate"](spark, SF))
