@@ -1,137 +1,40 @@
 """Near-duplicates by improved consistent weighted sampling (ICWS) over TF-IDF weighted word shingles.
 
-Shingles of five words are weighted by term frequency and a damped inverse document frequency. Document frequencies come from a
-count-min sketch of all documents, whose size doesn't depend on the corpus. ICWS samples are banded into buckets. Inside a bucket,
-leaders are compared with the other members by exact weighted Jaccard similarity, in rounds with sixteen times as many leaders each; a
-bucket is settled once its members are in one component or every remaining pair has been compared. No bucket emits all its pairs
-unless its members stay unconnected, and no link between components is lost.
+Shingles of five words are weighted by term frequency and a damped inverse document frequency, from exact frequencies over all
+documents. ICWS samples are banded into buckets. Every member of a bucket is first compared, by exact weighted Jaccard
+similarity, with the bucket's anchor. Buckets whose members aren't all in the anchor's component by then go on in rounds: members
+outside that component lead, ever more of them at a time, and meet all others. What is compared travels in groups of members with
+their leaders, never as pairs, and two components that a task has joined aren't compared again there. A bucket is settled once
+every member outside its anchor's component has led, so no link between components is lost.
 """
 
 from __future__ import annotations
 
 import functools
-import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, shared_folder
 from .components import connected_components
+from .shingles import document_frequencies, mix, pack48, unpack48, with_frequencies, written_blocks
 
-_WORD = re.compile(r"\w+")
 _A = np.uint64(0x9E3779B97F4A7C15)
-#: Count-min sketch: rows, counters in a row, counters that travel together.
-DEPTH, WIDTH, BLOCK = 2, 1 << 19, 1 << 14
-#: Members of one leader that a task compares at once.
-SALT_ROWS = 128
-#: Code points whose shingles are sampled at once.
-BATCH_CHARS = 300_000
-#: Code points that are counted at once: adding to the sketch costs the same for few and many shingles.
-SKETCH_CHARS = 3_000_000
-#: Shingle hashes have 48 bits, so that a hash and its text's place in a batch sort as one number.
-HASH_BITS = np.uint64(48)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all word shingles of all texts, and how many each text has. A text of fewer words has one of what it has."""
-    found = [_WORD.findall(t.lower()) for t in texts]
-    known = {w: xxhash.xxh64_intdigest(w) for w in set().union(*found)} if found else {}
-    out, counts = [], []
-    for own in found:
-        if not own:
-            counts.append(0)
-            continue
-        h = np.array([known[w] for w in own], np.uint64)
-        n = max(1, len(h) - size + 1)
-        x = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(min(size, len(h))):
-                x = (x ^ (x >> np.uint64(29))) * _A + h[i : i + n]
-        out.append(_mix(x) >> (np.uint64(64) - HASH_BITS))
-        counts.append(n)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(counts, np.int64)
-
-
-def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text in order: hashes, term frequencies, how many each text has."""
-    key = (np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << HASH_BITS) | hashes
-    key.sort()
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    tf = np.diff(np.append(at, len(key)))
-    key = key[at]
-    return key & ((np.uint64(1) << HASH_BITS) - np.uint64(1)), tf, np.bincount((key >> HASH_BITS).astype(np.int64), minlength=len(counts))
-
-
-def _batches(pdf: pd.DataFrame, column: str = "text", size: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
-    start = total = 0
-    for i, n in enumerate(pdf[column].str.len()):
-        total += n
-        if total >= size or i + 1 - start >= 1 << 15:
-            yield pdf.iloc[start : i + 1]
-            start, total = i + 1, 0
-    if start < len(pdf):
-        yield pdf.iloc[start:]
-
-
-class Weights:
-    """``tf * (1 + damping * ln(N / df) / ln(N))``, the document frequency read from the sketch."""
-
-    def __init__(self, sketch: np.ndarray, n_docs: int, damping: float) -> None:
-        self.sketch, self.n_docs, self.damping = sketch, n_docs, damping
-
-    def __call__(self, hashes: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        if self.n_docs < 2:
-            return tf.astype(np.float64)
-        df = np.minimum.reduce([row[(_mix(hashes + np.uint64(i)) & np.uint64(WIDTH - 1)).astype(np.int64)] for i, row in enumerate(self.sketch)])
-        idf = np.log(self.n_docs / np.clip(df, 1, self.n_docs)) / np.log(self.n_docs)
-        return tf * (1 + self.damping * idf)
-
-
-def document_frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """The summed count-min sketch of the documents' distinct shingles (``DEPTH * WIDTH`` counters), and the number of documents."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch, n = np.zeros((DEPTH, WIDTH), np.int64), 0
-        for b in batches:
-            n += len(b)
-            for part in _batches(b, size=SKETCH_CHARS):
-                h, _, _ = _distinct(*shingle_hashes(part["text"].tolist(), size))
-                for i in range(DEPTH):
-                    sketch[i] += np.bincount((_mix(h + np.uint64(i)) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
-        rows = []
-        for block, own in enumerate(sketch.reshape(-1, BLOCK)):
-            at = np.flatnonzero(own)
-            if len(at):
-                rows.append((block, at.astype("<u2").tobytes(), own[at].astype("<i8").tobytes()))
-        yield pd.DataFrame([*rows, (-1, b"", np.array([n], "<i8").tobytes())], columns=["block", "at", "n"])
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        block, total = int(part["block"].iloc[0]), np.zeros(BLOCK, np.int64)
-        if block < 0:
-            return pd.DataFrame([(block, np.array([sum(int(np.frombuffer(n, "<i8")[0]) for n in part["n"])], "<i8").tobytes())], columns=["block", "n"])
-        for at, n in zip(part["at"], part["n"], strict=True):
-            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
-        return pd.DataFrame([(block, total.astype("<i8").tobytes())], columns=["block", "n"])
-
-    sums = docs.select("text").mapInPandas(count, "block long, at binary, n binary").groupBy("block").applyInPandas(add, "block long, n binary")
-    sketch, n_docs = np.zeros((DEPTH * WIDTH // BLOCK, BLOCK), np.int64), 0
-    for block, n in sums.collect():  # DEPTH * WIDTH counters at most
-        if block < 0:
-            n_docs = int(np.frombuffer(n, "<i8")[0])
-        else:
-            sketch[block] = np.frombuffer(n, "<i8")
-    return sketch.reshape(DEPTH, WIDTH).astype(np.float32), n_docs
+#: Members that travel with their leaders (more if there are more leaders), rows that a task compares in one call.
+GROUP_ROWS, CALL_ROWS = 128, 512
+#: How many times more members may lead in each round.
+ROUND_GROWTH = 64
+#: Shingles that are sampled at once: what numpy works on stays in the processor's cache.
+SAMPLE_SHINGLES = 40_000
+
+
+def idf_weights(tf: np.ndarray, df: np.ndarray, n_docs: int, damping: float) -> np.ndarray:
+    """``tf * (1 + damping * ln(N / df) / ln(N))``."""
+    if n_docs < 2:
+        return tf.astype(np.float64)
+    return tf * (1 + damping * np.log(n_docs / np.clip(df, 1, n_docs)) / np.log(n_docs))
 
 
 @functools.cache
@@ -156,35 +59,53 @@ def icws(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, n_samples:
     owner = np.repeat(np.arange(len(counts)), counts)
     out = np.zeros((len(counts), n_samples), np.uint64)
     for k in range(n_samples):
-        x = _mix(hashes ^ np.uint64((k + 1) * int(_A) & (1 << 64) - 1))
+        x = mix(hashes ^ np.uint64((k + 1) * int(_A) & (1 << 64) - 1))
         r, lnc = r_table[(x & np.uint64(0xFFFF)).astype(np.int64)], lnc_table[((x >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)]
         beta = (x >> np.uint64(32)).astype(np.float32) * np.float32(2.0**-32)
         t = np.floor(log_w / r + beta)
         log_a = lnc - r * (t - beta + np.float32(1.0))
         low = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, first), counts))
         best = low[np.flatnonzero(np.diff(owner[low], prepend=-1))]
-        out[:, k] = _mix(hashes[best] + t[best].astype(np.int64).view(np.uint64) * _A)
+        out[:, k] = mix(hashes[best] + t[best].astype(np.int64).view(np.uint64) * _A)
     return out
 
 
-def _signatures(docs: DataFrame, weights, bands: int, rows: int, size: int) -> DataFrame:
-    """``(doc_id, band, bucket)``: texts without words have none."""
+def _signatures(blocks: DataFrame, answers: DataFrame, n_docs: int, damping: float, bands: int, rows: int) -> DataFrame:
+    """``(node, block, place, buckets)``: place in the block, one bucket for each band. Texts without words have no row."""
+
+    def use(block: int, nodes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, counts: np.ndarray, note: bytes | None) -> pd.DataFrame:
+        weights, own = idf_weights(counts[0], counts[1], n_docs, damping), np.flatnonzero(sizes)
+        ends = np.cumsum(sizes[own])
+        out, a = np.zeros((len(own), bands), np.uint64), 0
+        while a < len(own):
+            begin = ends[a] - sizes[own[a]]
+            b = max(a + 1, int(np.searchsorted(ends, begin + SAMPLE_SHINGLES, "right")))
+            sampled = icws(hashes[begin : ends[b - 1]], weights[begin : ends[b - 1]], sizes[own[a:b]], bands * rows)
+            for band in range(bands):
+                key = np.full(b - a, band, np.uint64)
+                for k in range(band * rows, (band + 1) * rows):
+                    key = mix(key * _A + sampled[:, k])
+                out[a:b, band] = key
+            a = b
+        return pd.DataFrame({"node": nodes[own], "block": block, "place": own, "buckets": list(out.view(np.int64))})
+
+    return with_frequencies(blocks, answers, use, "node long, block long, place long, buckets array<long>")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for part in _batches(b):
-                h, tf, counts = _distinct(*shingle_hashes(part["text"].tolist(), size))
-                if not len(h):
-                    continue
-                sampled = icws(h, weights.value(h, tf), counts, bands * rows)
-                ids = part["doc_id"].to_numpy()[counts > 0]
-                for band in range(bands):
-                    key = np.full(len(ids), band, np.uint64)
-                    for k in range(band * rows, (band + 1) * rows):
-                        key = _mix(key * _A + sampled[:, k])
-                    yield pd.DataFrame({"doc_id": ids, "bucket": key.view(np.int64)})
+def _features(blocks: DataFrame, answers: DataFrame, wanted: DataFrame, n_docs: int, damping: float) -> DataFrame:
+    """``(node, mass, shingles, weights)`` of the texts at ``wanted``'s ``(block, place)``."""
 
-    return docs.mapInPandas(run, "doc_id long, bucket long")
+    def use(block: int, nodes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, counts: np.ndarray, note: bytes | None) -> pd.DataFrame:
+        rows, ends = [], np.cumsum(sizes)
+        weights = idf_weights(counts[0], counts[1], n_docs, damping).astype(np.float32)
+        for i in sorted(map(int, note.split(b","))) if note else ():
+            own = slice(ends[i] - sizes[i], ends[i])
+            rows.append((nodes[i], float(weights[own].sum(dtype=np.float64)), pack48(hashes[own]), weights[own].tobytes()))
+        return pd.DataFrame(rows, columns=["node", "mass", "shingles", "weights"])
+
+    notes = wanted.groupBy("block").agg(F.array_join(F.collect_list(F.col("place").cast("string")), ",").cast("binary").alias("df"))
+    answers = answers.join(notes.select("block"), "block", "left_semi").unionByName(notes.withColumn("shard", F.lit(-1).cast("long")))
+    return with_frequencies(blocks, answers, use, "node long, mass double, shingles binary, weights binary")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -194,36 +115,62 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def _compare(pairs: DataFrame, features: DataFrame, weights, threshold: float) -> DataFrame:
-    """``(src, dst, similarity)`` of the pairs that reach the threshold. A leader's members are split into salted groups."""
-    count = pairs.groupBy("src").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
-    members = (
-        pairs.join(count, "src")
-        .withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
-        .join(features.withColumnRenamed("doc_id", "dst"), "dst")
-        .select("src", "salt", "dst", "shingles")
-    )
-    features = features.select("doc_id", "shingles")
-    own = features.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("own"))
-    leaders = own.join(count.select(F.col("src").alias("leader"), F.col("salts").alias("parts")), "leader").select(
-        "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own"
-    )
-
-    def weighed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        h, tf = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
-        return h, weights.value(h, tf)
-
-    def run(own: pd.DataFrame, leader: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(own) and len(leader):
-            lead, src = weighed(leader["own"].iloc[0]), int(leader["leader"].iloc[0])
-            for dst, raw in zip(own["dst"], own["shingles"], strict=True):
-                s = weighted_jaccard(lead, weighed(raw))
-                if s >= threshold:
-                    rows.append((src, dst, s))
-        return pd.DataFrame(rows, columns=["src", "dst", "similarity"])
-
-    return members.groupBy("src", "salt").cogroup(leaders.groupBy("leader", "part")).applyInPandas(run, "src long, dst long, similarity double")
+def _links(pdf: pd.DataFrame, threshold: float, by_bucket: bool) -> list[tuple[int, int]]:
+    """Links between components among leaders and members of one group."""
+    leads = pdf["leads"].to_numpy(bool)
+    members, leaders = pdf[~leads], pdf[leads]
+    if not len(members) or not len(leaders):
+        return []
+    parts, label = np.unique(np.concatenate((members["part"].to_numpy(np.int64), leaders["part"].to_numpy(np.int64))), return_inverse=True)
+    own, lead = label[: len(members)].copy(), label[len(members) :].copy()
+    name = dict(enumerate(parts.tolist()))
+    hashes = [unpack48(x) for x in members["shingles"]]
+    flat, weights = np.concatenate(hashes), np.frombuffer(b"".join(members["weights"]), np.float32).astype(np.float64)
+    sizes = np.array([len(x) for x in hashes])
+    begin = np.cumsum(sizes) - sizes
+    mass, nodes = members["mass"].to_numpy(), members["node"].to_numpy(np.int64)
+    keys = np.stack(members["buckets"].to_numpy()) if by_bucket else None
+    bucket = int(pdf["grp"].iloc[0])
+    found = []
+    for i, (node, full, raw, w) in enumerate(zip(leaders["node"], leaders["mass"], leaders["shingles"], leaders["weights"], strict=True)):
+        # No similarity exceeds the ratio of the two sums of weights.
+        want = (own != lead[i]) & (nodes != node) & (np.minimum(mass, full) >= (threshold - 1e-6) * np.maximum(mass, full))
+        if by_bucket and want.any():  # a pair is compared in the first bucket that it shares
+            same = keys == np.asarray(leaders["buckets"].iloc[i])
+            want &= np.where(same.any(axis=1), keys[np.arange(len(keys)), same.argmax(axis=1)] == bucket, False)
+        at = np.flatnonzero(want)
+        if not len(at):
+            continue
+        h, w = unpack48(raw), np.frombuffer(w, np.float32)
+        n = sizes[at]
+        pick = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place = np.minimum(np.searchsorted(h, flat[pick]), len(h) - 1)
+        both = np.where(h[place] == flat[pick], np.minimum(weights[pick], w[place]), 0.0)
+        both = np.add.reduceat(both, np.cumsum(n) - n)
+        for other in np.unique(own[at[both >= threshold * (mass[at] + full - both)]]):
+            found.append((name[int(lead[i])], name[int(other)]))
+            own[own == other], lead[lead == other] = lead[i], lead[i]
+    return found
+
+
+def _compare(side: DataFrame, features: DataFrame, threshold: float, by_bucket: bool, n_rows: int) -> DataFrame:
+    """``(src, dst)`` components with a link, from rows ``(grp, node, part, leads)``: a group's leaders meet all its members.
+
+    Members are split by a hash into groups of about ``GROUP_ROWS``, or as many as there are leaders; each gets all leaders.
+    """
+    sizes = side.groupBy("grp").agg(F.count("*").alias("n"), F.count_if("leads").alias("n_lead")).where("n_lead > 0")
+    width = F.greatest(F.lit(GROUP_ROWS), F.least("n_lead", F.lit(16 * GROUP_ROWS)))
+    sized = side.join(sizes, "grp").withColumn("salts", F.ceil(F.col("n") / width).cast("int"))
+    members = sized.select("grp", "node", "part", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(False).alias("leads"))
+    leaders = sized.where("leads").select("grp", "node", "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("leads"))
+    cells = max(1, -(-2 * n_rows // CALL_ROWS))
+    rows = members.unionByName(leaders).join(features if by_bucket else features.drop("buckets"), "node").withColumn("call", F.pmod(F.xxhash64("grp", "salt"), F.lit(cells)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [x for _, own in pdf.groupby(["grp", "salt"], sort=False) for x in _links(own, threshold, by_bucket)]
+        return pd.DataFrame(out, columns=["src", "dst"])
+
+    return rows.groupBy("call").applyInPandas(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 10, rows: int = 3, damping: float = 0.25) -> DataFrame:
@@ -244,92 +191,79 @@ def _row_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 10, rows: int = 3, damping: float = 0.25) -> DataFrame:
-    """``doc_id, row_key, class_id, class_size, kept`` of every row. Distinct texts are compared, whatever ids they have."""
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    seen = Observation()
+    df = durable(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return df, seen.get["n"]
+
+
+def _merged(state: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``(node, part)`` with parts named anew after links between them."""
+    named = connected_components(fresh).select(F.col("node").alias("part"), "component")
+    return durable(state.join(named, "part", "left").select("node", F.coalesce("component", "part").alias("part")))
+
+
+def _candidates(docs: DataFrame, shingle: int, bands: int, rows: int, damping: float) -> tuple[DataFrame, DataFrame, int]:
+    """Features of the distinct texts that share a bucket with another, the rows of those buckets, and how many rows these are."""
     spark = docs.sparkSession
-    rows_ = docs.select(_row_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sketch, n_docs = document_frequencies(rows_, shingle)
-    weights = spark.sparkContext.broadcast(Weights(sketch, n_docs, damping))
-
-    # Equal texts are one node from here on: its key.
-    members = durable(docs.select("doc_id", _row_key().alias("row_key")))
-    signed = durable(_signatures(rows_, weights, bands, rows, shingle).distinct())
-    sizes = signed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    # Members of a bucket get ranks without a sort of the bucket in one task: by a hash, in ranges that double in size.
-    buckets = durable(signed.join(sizes, "bucket").withColumn("draw", F.pmod(F.xxhash64("bucket", "doc_id"), F.lit(2**40))))
-    wanted = buckets.select("doc_id").distinct()
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for part in _batches(b):
-                h, counts = shingle_hashes(part["text"].tolist(), shingle)
-                ends = np.cumsum(counts)
-                own, tf, n_own = _distinct(h, counts)
-                mass = np.bincount(np.repeat(np.arange(len(counts)), n_own), weights.value(own, tf), minlength=len(counts))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "shingles": [np.sort(h[e - n : e]).astype("<u8").tobytes() for e, n in zip(ends, counts, strict=True)], "mass": mass})
-
-    features = durable(
-        rows_.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInPandas(pack, "doc_id long, shingles binary, mass double")
-    )
-    buckets = durable(buckets.join(features.select("doc_id", "mass"), "doc_id"))
-
-    links = parts = None
-    low, high = 0, 1
-    open_ = buckets
+    shared_folder(spark)
+    texts = docs.select(_row_key().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    n_docs, n_chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    table = written_blocks(spark, texts, shingle, n_chars)
+    try:
+        blocks = spark.table(table)
+        answers = durable(document_frequencies(blocks, n_chars))
+        signed = durable(_signatures(blocks, answers, n_docs, damping, bands, rows).dropDuplicates(["node"]))
+        # One hash draws the anchors of all buckets, so that a text's buckets mostly share theirs.
+        drawn = signed.select("node", F.explode("buckets").alias("bucket"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(2**40)).alias("draw"))
+        sizes = drawn.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("draw", "node")).alias("first")).where("size > 1")
+        buckets, n_rows = _counted(drawn.join(sizes.select("bucket", "size", F.col("first.node").alias("anchor")), "bucket"))
+        wanted = signed.join(buckets.select("node").distinct(), "node", "left_semi")
+        features = durable(_features(blocks, answers, wanted, n_docs, damping).join(wanted.select("node", "buckets"), "node"))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return features, buckets, n_rows
+
+
+def _components(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int, damping: float) -> DataFrame:
+    """``(node, part)`` of the distinct texts that share a bucket with another."""
+    features, buckets, n_rows = _candidates(docs, shingle, bands, rows, damping)
+    state = features.select("node", F.col("node").alias("part"))
+    met = buckets.where("node <> anchor").select(F.col("anchor").alias("grp"), "node").distinct()
+    led = met.select("grp").distinct()
+    side = met.select("grp", "node", F.col("node").alias("part"), F.lit(False).alias("leads")).union(led.select("grp", "grp", "grp", F.lit(True)))
+    fresh, n_links = _counted(_compare(side, features, threshold, False, n_rows).distinct())
+    if n_links:
+        state = _merged(state, fresh)
+    # A member's rank in its bucket, roughly, without a sort of the bucket.
+    open_, rank, low, high = buckets, F.col("draw") / F.lit(float(2**40)) * F.col("size"), 0, ROUND_GROWTH
     while True:
-        # Leaders of this round: the members whose share of the draw range is below high / size, about ``high`` in each bucket;
-        # the first round takes exactly the smallest draw.
-        if low == 0:
-            lead = open_.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "mass"), F.struct("draw", "doc_id")).alias("first")).select("bucket", F.col("first.doc_id").alias("src"), F.col("first.mass").alias("src_mass"))
-        else:
-            share = F.col("draw") / F.lit(float(2**40)) * F.col("size")
-            lead = open_.where((share < high) & (share >= (low if low > 1 else 0))).select("bucket", F.col("doc_id").alias("src"), F.col("mass").alias("src_mass"))
-        side = open_
-        if parts is not None:
-            lead = lead.join(parts.select(F.col("node").alias("src"), F.col("component").alias("src_part")), "src", "left")
-            side = open_.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        else:
-            lead, side = lead.withColumn("src_part", F.lit(None).cast("long")), side.withColumn("component", F.lit(None).cast("long"))
-        own_part = F.coalesce("component", "doc_id")
-        # No similarity exceeds the ratio of the two sums of weights.
-        near_size = F.least("mass", "src_mass") >= (threshold - 1e-6) * F.greatest("mass", "src_mass")
-        if low > 1:  # earlier leaders have met everybody
-            side = side.where(F.col("draw") / F.lit(float(2**40)) * F.col("size") >= low)
-        pairs = (
-            lead.join(side, "bucket")
-            .where((F.col("src") != F.col("doc_id")) & (F.coalesce("src_part", "src") != own_part) & near_size)
-            .select("src", F.col("doc_id").alias("dst"), F.least("src", "doc_id").alias("x"), F.greatest("src", "doc_id").alias("y"))
-            .dropDuplicates(["x", "y"])
-            .select("src", "dst")
-        )
-        seen = Observation()
-        compared = _compare(pairs, features, weights, threshold).select("src", "dst")
-        fresh = durable(compared.observe(seen, F.count(F.lit(1)).alias("n")))
-        links = fresh if links is None else links.union(fresh)
-        if parts is None or seen.get["n"]:
-            parts = connected_components(links)
-        named = open_.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        part = F.coalesce("component", "doc_id")
-        mixed = named.groupBy("bucket").agg(F.min(part).alias("least"), F.max(part).alias("most"), F.max("size").alias("size"))
-        # Every pair has met once all members have led.
-        still = mixed.where((F.col("least") != F.col("most")) & (F.col("size") > high)).select("bucket")
-        seen = Observation()
-        open_ = durable(open_.join(still, "bucket", "left_semi").observe(seen, F.count(F.lit(1)).alias("n")))
-        if not seen.get["n"]:
-            break
-        low, high = high, high * 16
-    weights.destroy()
-
-    named = members.join(parts.select(F.col("node").alias("row_key"), "component"), "row_key", "left").withColumn("class", F.coalesce("component", "row_key"))
+        of_anchor = state.select(F.col("node").alias("anchor"), F.col("part").alias("anchor_part"))
+        placed = open_.select("node", "bucket", "draw", "size", "anchor").join(state, "node").join(of_anchor, "anchor").withColumn("due", (F.col("part") != F.col("anchor_part")) & (rank >= low))
+        due = placed.where("due").select("bucket").distinct()
+        open_, n_rows = _counted(placed.join(due, "bucket", "left_semi"))
+        if not n_rows:
+            return state
+        side = open_.select(F.col("bucket").alias("grp"), "node", "part", (F.col("due") & (rank < high)).alias("leads"))
+        fresh, n_links = _counted(_compare(side, features, threshold, True, n_rows).distinct())
+        if n_links:
+            state = _merged(state, fresh)
+        low, high = high, high * ROUND_GROWTH
+
+
+def _classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 10, rows: int = 3, damping: float = 0.25) -> DataFrame:
+    """``doc_id, row_key, class_id, class_size, kept`` of every row. Distinct texts are compared, whatever ids they have."""
+    state = _components(docs, threshold, shingle, bands, rows, damping)
+    members = docs.select("doc_id", _row_key().alias("row_key"))
+    named = members.join(state.withColumnRenamed("node", "row_key"), "row_key", "left").withColumn("class", F.coalesce("part", "row_key"))
     classes = named.groupBy("class").agg(F.count("*").alias("class_size"), F.min(F.struct("doc_id", "row_key")).alias("first"))
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
     return named.join(classes, "class").select("doc_id", "row_key", F.col("first.doc_id").alias("class_id"), "class_size", first.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class of near-duplicates, all columns kept."""
-    verdicts = durable(_classes(docs, **options))
-    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("row_key").alias("_gone_key")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (_row_key() == F.col("_gone_key")), "left_anti")
-    twice = verdicts.where("kept").groupBy("doc_id", "row_key").count().where("count > 1")
-    return left if twice.isEmpty() else left.withColumn("_row_key", _row_key()).dropDuplicates(["doc_id", "_row_key"]).drop("_row_key")
+    """``docs`` with one row of each class of near-duplicates, all columns kept, whatever their names."""
+    kept = _classes(docs, **options).where("kept").select("doc_id", "row_key").distinct()
+    rows = docs.select("doc_id", _row_key().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["row_key"] == kept["row_key"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "row_key"]).select("row.*")

@@ -1,5 +1,6 @@
 """Exact dedup, line dedup and near-duplicates against brute force."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -9,6 +10,7 @@ import pytest
 from millrace.llm import exact_dedup as X
 from millrace.llm import line_dedup as L
 from millrace.llm import minhash as M
+from millrace.llm import shingles as S
 from millrace.llm.components import connected_components
 
 ODD = [(1, "a"), (5, "a"), (3, None), (4, ""), (None, "a"), (None, "z"), (7, "A"), (9, "x" * 100_000), (2, "a"), (2, "a")]
@@ -107,6 +109,19 @@ def near(text, rng, edits):
     return " ".join(words)
 
 
+def brute_classes(rows, threshold=0.8):
+    """Smallest id of each chain of links, over texts that have ids of their own."""
+    hashed = {i: np.unique(S.shingle_hashes([t])[0], return_counts=True) for i, t in rows}
+    df = collections.Counter(h for x in hashed.values() for h in x[0].tolist())
+    own = {i: (h, M.idf_weights(tf, np.array([df[x] for x in h.tolist()]), len(rows), 0.25)) for i, (h, tf) in hashed.items()}
+    name = {i: i for i in own}
+    for a, b in itertools.combinations(own, 2):
+        if name[a] != name[b] and M.weighted_jaccard(own[a], own[b]) >= threshold:
+            low, high = sorted((name[a], name[b]))
+            name = {i: low if x == high else x for i, x in name.items()}
+    return name
+
+
 def test_near_duplicates(spark, make_docs):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
@@ -120,16 +135,12 @@ def test_near_duplicates(spark, make_docs):
     docs = make_docs(rows)
     got = {r.doc_id: (r.class_id, r.class_size, r.kept) for r in M.near_duplicates(docs).collect()}
 
-    sketch, n = M.document_frequencies(docs.selectExpr("coalesce(text, '') AS text"), 5)
-    weigh = M.Weights(sketch, n, 0.25)
     texts = {}
     for i, t in rows:
         texts.setdefault(t or "", []).append(-(2**63) if i is None else i)
-    features = {}
-    for t in texts:
-        h, c = M.shingle_hashes([t])
-        h, tf = np.unique(h, return_counts=True)
-        features[t] = (h, weigh(h, tf))
+    hashed = {t: np.unique(S.shingle_hashes([t])[0], return_counts=True) for t in texts}
+    df = collections.Counter(h for t, ids in texts.items() for h in hashed[t][0].tolist() for _ in ids)
+    features = {t: (h, M.idf_weights(tf, np.array([df[x] for x in h.tolist()]), len(rows), 0.25)) for t, (h, tf) in hashed.items()}
     parent = {t: t for t in texts}
 
     def find(x):
@@ -165,6 +176,43 @@ def test_near_duplicates_of_rows_without_an_id_of_their_own(make_docs):
     assert left == sorted([(0, a), (0, b), (0, c), (8, d), (9, "of another kind")])
 
 
+def test_document_frequencies_are_exact(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(S, "SHARD_SHINGLES", 500)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(60))) for _ in range(150)] + ["", "a b c"] * 2 + ["x y z v w " * 400]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string").repartition(3)
+    df = collections.Counter(h for t in texts for h in np.unique(S.shingle_hashes([t])[0]).tolist())
+    table = S.written_blocks(spark, rows, 5, sum(map(len, texts)))
+    blocks = spark.table(table)
+    got = {}
+
+    def use(block, nodes, sizes, hashes, counts, note):
+        ends = np.cumsum(sizes)
+        return M.pd.DataFrame({"node": nodes, "h": [hashes[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)], "c": [counts[:, e - n : e].ravel().tolist() for e, n in zip(ends, sizes, strict=True)]})
+
+    for r in S.with_frequencies(blocks, S.document_frequencies(blocks, sum(map(len, texts))), use, "node long, h array<long>, c array<long>").collect():
+        got[r.node] = (r.h, r.c)
+    spark.sql(f"DROP TABLE {table}")
+    assert set(got) >= {i for i, t in enumerate(texts) if t}
+    for i, (h, c) in got.items():
+        own, tf = np.unique(S.shingle_hashes([texts[i]])[0], return_counts=True)
+        assert h == own.tolist() and c == tf.tolist() + [df[x] for x in h]
+
+
+@pytest.mark.parametrize("growth", [2, 64])
+def test_unlinked_members_of_a_large_bucket_meet(spark, make_docs, monkeypatch, growth):
+    """Copies of one text with many edits each: most share buckets, few are linked, and every link counts."""
+    monkeypatch.setattr(M, "GROUP_ROWS", 8)
+    monkeypatch.setattr(M, "ROUND_GROWTH", growth)
+    rng = random.Random(7)
+    base = " ".join(f"w{rng.randrange(400)}" for _ in range(120))
+    rows = [(i, near(base, rng, rng.choice([1, 2, 3, 4, 5, 6]))) for i in range(60)]
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(make_docs(rows), bands=30, rows=1).collect()}
+    assert got == brute_classes(rows)
+    assert len(set(got.values())) > 1
+
+
 def test_samples_agree_as_often_as_sets():
     rng = np.random.default_rng(5)
     h = np.sort(rng.integers(0, 2**48, 300).astype(np.uint64))
