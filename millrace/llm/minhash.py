@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import durable, shared_folder
+from .common import discard, durable, shared_folder
 from .components import connected_components
 from .shingles import document_frequencies, mix, pack48, unpack48, with_frequencies, written_blocks
 
@@ -220,6 +220,7 @@ def _candidates(docs: DataFrame, shingle: int, bands: int, rows: int, damping: f
         buckets, n_rows = _counted(drawn.join(sizes.select("bucket", "size", F.col("first.node").alias("anchor")), "bucket"))
         wanted = signed.join(buckets.select("node").distinct(), "node", "left_semi")
         features = durable(_features(blocks, answers, wanted, n_docs, damping).join(wanted.select("node", "buckets"), "node"))
+        discard(answers, signed)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     return features, buckets, n_rows
@@ -228,7 +229,7 @@ def _candidates(docs: DataFrame, shingle: int, bands: int, rows: int, damping: f
 def _components(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int, damping: float) -> DataFrame:
     """``(node, part)`` of the distinct texts that share a bucket with another."""
     features, buckets, n_rows = _candidates(docs, shingle, bands, rows, damping)
-    state = features.select("node", F.col("node").alias("part"))
+    state = durable(features.select("node", F.col("node").alias("part")))
     met = buckets.where("node <> anchor").select(F.col("anchor").alias("grp"), "node").distinct()
     led = met.select("grp").distinct()
     side = met.select("grp", "node", F.col("node").alias("part"), F.lit(False).alias("leads")).union(led.select("grp", "grp", "grp", F.lit(True)))
@@ -243,6 +244,7 @@ def _components(docs: DataFrame, threshold: float, shingle: int, bands: int, row
         due = placed.where("due").select("bucket").distinct()
         open_, n_rows = _counted(placed.join(due, "bucket", "left_semi"))
         if not n_rows:
+            discard(features, buckets, open_)
             return state
         side = open_.select(F.col("bucket").alias("grp"), "node", "part", (F.col("due") & (rank < high)).alias("leads"))
         fresh, n_links = _counted(_compare(side, features, threshold, True, n_rows).distinct())
