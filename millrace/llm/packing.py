@@ -13,7 +13,7 @@ import os
 import unicodedata
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -72,8 +72,10 @@ class WordIds:
         known, part = self.known, self._part
         for w in words:
             core = w.rstrip(MARKS)
-            if core.isalpha() and "\u03a3" not in core:  # a sigma's lower case depends on its place
-                ids = part(core.lower())
+            low = core.lower()
+            # A sigma's lower case depends on its place; a dotted capital I's ends in a mark, which the tokenizer joins to the next one.
+            if core.isalpha() and low.isalpha() and "\u03a3" not in core:
+                ids = part(low)
                 known[w] = ids if len(core) == len(w) else ids + part(w[len(core) :])
             else:
                 part(w)
@@ -112,18 +114,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int,
 
 
 def pack_patterns(histogram: dict[int, int], max_tokens: int) -> list[tuple[tuple[int, ...], int]]:
-    """Packing patterns ``(lengths, how many packs)``: lengths longest first, each into the fullest open packs that take it.
+    """Packing patterns ``(lengths, how many packs)``: lengths longest first, each into the shortest open pack.
 
-    The shortest remaining gap that still fits is used up before a wider one is opened; a partly used pattern splits into the
-    part that grows and the part that doesn't. The loop runs over distinct lengths and open gaps, never over pieces.
+    The shortest pack is the one with the most room; if even that can't take the length, a new one is opened. Packs that are
+    filled alike are counted, not listed: all packs of the shortest kind take as many pieces each as leave them the shortest, and a
+    kind splits where pieces run out. The loop runs over distinct lengths and kinds of packs, never over pieces.
     """
-    done: list[tuple[tuple[int, ...], int]] = []
     gaps: list[int] = []  # ascending
     open_packs: dict[int, Counter] = defaultdict(Counter)  # gap -> pattern -> packs
 
     def put(gap: int, pattern: tuple[int, ...], n: int) -> None:
-        if gap == 0:
-            done.append((pattern, n))
+        if not n:
             return
         if not open_packs[gap]:
             insort(gaps, gap)
@@ -132,33 +133,24 @@ def pack_patterns(histogram: dict[int, int], max_tokens: int) -> list[tuple[tupl
     for length in sorted(histogram, reverse=True):
         left, per_pack = histogram[length], max_tokens // length
         while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
+            if not gaps or gaps[-1] < length:
                 full, rest = divmod(left, per_pack)
-                if full:
-                    put(max_tokens - per_pack * length, (length,) * per_pack, full)
-                if rest:
-                    put(max_tokens - rest * length, (length,) * rest, 1)
+                put(max_tokens - per_pack * length, (length,) * per_pack, full)
+                put(max_tokens - rest * length, (length,) * rest, int(rest > 0))
                 break
-            gap = gaps[at]
-            pattern, n = next(iter(open_packs[gap].items()))
-            del open_packs[gap][pattern]
-            if not open_packs[gap]:
-                gaps.pop(at)
-            fit = min(gap // length, left)
-            if n * fit <= left:
-                put(gap - fit * length, pattern + (length,) * fit, n)
-                left -= n * fit
-            else:
-                full, rest = divmod(left, fit)
-                if full:
-                    put(gap - fit * length, pattern + (length,) * fit, full)
-                if rest:
-                    put(gap - rest * length, pattern + (length,) * rest, 1)
-                if n - full - bool(rest):
-                    put(gap, pattern, n - full - bool(rest))
-                left = 0
-    return done + [(pattern, n) for gap in gaps for pattern, n in open_packs[gap].items()]
+            gap = gaps.pop()
+            kinds = open_packs.pop(gap)
+            next_gap = gaps[-1] if gaps else 0
+            times = min(gap // length, (gap - next_gap) // length + 1)
+            n_packs = sum(kinds.values())
+            if times * n_packs > left:  # pieces run out among these packs: a piece each, as far as they go
+                times = max(1, left // n_packs)
+            for pattern, n in kinds.items():
+                fed = min(n, left // times)
+                put(gap - times * length, pattern + (length,) * times, fed)
+                put(gap, pattern, n - fed)
+                left -= fed * times
+    return [(pattern, n) for gap in gaps for pattern, n in open_packs[gap].items()]
 
 
 def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
