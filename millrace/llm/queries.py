@@ -39,7 +39,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_ngrams import quality_verdicts
 
-    return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("row_key")
+    return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
