@@ -13,17 +13,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 from .url_rules import url_host
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_OPAQUE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _TOKEN = re.compile(r"[a-z]+|\d+", re.I)
 _DIGITS = re.compile(r"\d+")
@@ -50,11 +49,60 @@ LAYOUT_SHARE = 0.9
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
+def path_key(above: int, step: str) -> int:
+    """A path is known by the hash of its last step and of the path above, so that deep nesting costs no longer names."""
+    return xxhash.xxh64_intdigest(step, above & (1 << 64) - 1) - (1 << 63)
+
+
+class Tags:
+    """Markup of a page, one piece at a time, in time linear in the page whatever its quotes and brackets."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.last = source.rfind(">")
+        self.dead: set[int] = set()  # quotes from which no end of a tag is reached
+
+    def _end(self, at: int) -> int:
+        """Of the ``>`` that ends a tag: the next one outside quotes, or the next one if there's none; -1 without any."""
+        if at > self.last:
+            return -1
+        seen, i = [], at
+        while (m := _STOP.search(self.source, i)) is not None:
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            i = self.source.find(m[0], m.end()) + 1
+            if not i:
+                break
+        self.dead.update(seen)
+        return self.source.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """``(start, end, name, closing, attributes)``; no name for comments and the like. ``send`` of a place goes on from there."""
+        source, at = self.source, 0
+        while (start := source.find("<", at)) >= 0:
+            tag = _TAG.match(source, start)
+            if tag:
+                end = self._end(tag.end())
+                if end < 0:
+                    return
+                jump = yield start, end + 1, tag[2].lower(), bool(tag[1]), source[tag.end() : end]
+                at = jump if jump is not None else end + 1
+            elif (start <= self.last or source.startswith(("<!--", "<![CDATA["), start)) and (m := _OPAQUE.match(source, start)):
+                yield start, m.end(), "", False, ""
+                at = m.end()
+            else:
+                at = start + 1
+
+
 class Page:
     """Blocks of a page in order. A block knows its text, the length of its links, its innermost container and if it's noise."""
 
     def __init__(self, source: str) -> None:
-        self.paths: list[str] = []  # of containers
+        self.keys: list[int] = []  # of containers' paths
+        self.wide: list[int] = []  # container in which a path that leads through an article (or else a main) element ends
         self.parents: list[int] = []
         self.blocks: list[tuple[str, int, int, bool]] = []
         self._read(source)
@@ -67,6 +115,8 @@ class Page:
         names: list[int] = []  # elements with a noisy class or id: the one around each
         bodies: list[tuple[str, int, int]] = []  # articles and mains: name, the article or main around, the noisy name around
         found: list[tuple[str, int, int, bool, int, int]] = []
+        open_: Counter = Counter()  # names on the stack
+        articles: list[tuple[int, int]] = []  # of each container: the outermost article and main around it
 
         def flush() -> None:
             nonlocal linked
@@ -80,28 +130,32 @@ class Page:
         def back(to: int) -> None:
             nonlocal container, noise, named, body
             flush()
+            open_.subtract(x[0] for x in stack[to:])
             del stack[to:]
             container, noise, named, body = stack[-1][1:] if stack else (-1, False, -1, -1)
 
-        at = 0
-        while (m := _MARKUP.search(source, at)) is not None:
-            if m.start() > at:
-                part = entities.unescape(source[at : m.start()])
+        at, tags = 0, iter(Tags(source))
+        jump = None
+        while True:
+            try:
+                start, end, name, closing, inner = tags.send(jump)
+            except StopIteration:
+                break
+            jump = None
+            if start > at:
+                part = entities.unescape(source[at:start])
                 text.append(part)
                 if links:
                     linked += len(part.strip())
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
-            closing = bool(m[1] or m[4])
+            at = end
             if not name:
                 continue
             if name in RAW and not closing:  # its content is no markup
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                over = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
+                at = jump = over.end() if over else len(source)
                 continue
-            if name in ("br", "hr", "img", "wbr"):
-                if name != "wbr":
-                    text.append(" ")
+            if name in ("br", "hr"):
+                text.append(" ")
                 continue
             if name == "a":
                 links = max(0, links + (-1 if closing else 1))
@@ -109,25 +163,24 @@ class Page:
             if name in VOID or name not in BLOCKS and name not in DROPPED:
                 continue
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        back(i)
-                        break
+                if open_[name] > 0:
+                    back(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
                 else:
                     flush()
                 links = 0
                 continue
             flush()
             links = 0
-            for i in range(len(stack) - 1, -1, -1):
+            ends = CLOSES_ITSELF.get(name, ())
+            for i in range(len(stack) - 1, -1, -1) if open_["p"] > 0 or any(open_[x] > 0 for x in ends) else ():
                 if stack[i][0] in SCOPES or stack[i][0] in CONTAINERS and name not in ("td", "th", "tr"):
                     break
-                if stack[i][0] in CLOSES_ITSELF.get(name, ()) or stack[i][0] == "p":
+                if stack[i][0] in ends or stack[i][0] == "p":
                     back(i)
-            attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[3] or m[6] or "")}
+            attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(inner)}
             loud = noise or name in DROPPED or attributes.get("role", "").lower() in NOISE_ROLES
             if not loud and name == "header":
-                loud = not any(n in ("article", "main") for n, *_ in stack)
+                loud = open_["article"] <= 0 and open_["main"] <= 0
             if not loud and attributes and name not in ("html", "body", "article", "main"):
                 if any(t in NOISE for a in ("class", "id") for t in map(str.lower, _TOKEN.findall(attributes.get(a, "")))):
                     names.append(named)
@@ -137,10 +190,15 @@ class Page:
                 body = len(bodies) - 1
             if name in CONTAINERS:
                 mark = " ".join(sorted(set(_DIGITS.sub("#", attributes.get("class", "")).split()))) or _DIGITS.sub("#", attributes.get("id", ""))
-                self.paths.append((self.paths[container] + "/" if container >= 0 else "") + name + ("." + mark if mark else ""))
+                around = articles[container] if container >= 0 else (-1, -1)
+                own = len(self.keys)
+                articles.append((own if around[0] < 0 and name == "article" else around[0], own if around[1] < 0 and name == "main" else around[1]))
+                self.keys.append(path_key(self.keys[container] if container >= 0 else 0, name + ("." + mark if mark else "")))
+                self.wide.append(next((i for i in articles[own] if i >= 0), own))
                 self.parents.append(container)
-                container = len(self.paths) - 1
+                container = own
             noise = loud
+            open_[name] += 1
             stack.append((name, container, noise, named, body))
         if at < len(source):
             text.append(entities.unescape(source[at:]))
@@ -157,12 +215,16 @@ class Page:
         for text, linked, _, loud, i, b in blocks:
             own = 0 if loud else max(0, len(text) - 2 * linked)
             whole += own
-            while b >= 0:
+            if b >= 0:
                 inside[b] += own
-                b = bodies[b][1]
-            while i >= 0:
+            if i >= 0:
                 around[i] += own
-                i = names[i]
+        for b in range(len(bodies) - 1, -1, -1):  # what is around comes before what is inside
+            if bodies[b][1] >= 0:
+                inside[bodies[b][1]] += inside[b]
+        for i in range(len(names) - 1, -1, -1):
+            if names[i] >= 0:
+                around[names[i]] += around[i]
         layout = set()
         filled = [b for b in range(len(bodies)) if inside[b]]
         if filled:
@@ -177,44 +239,38 @@ class Page:
             silent.append(i not in layout or outer >= 0 and silent[outer])
         return silent
 
-    def scores(self) -> dict[str, float]:
-        """Paths of containers by their text without links; half of it counts for the parent, a quarter for its parent."""
+    def scores(self) -> dict[tuple[int, int], float]:
+        """Containers' paths, and where these end if widened, by their text without links; half of it counts for the parent, a quarter
+        for its parent, and so on thrice.
+
+        A widened path ends at the article (or else main) element that it leads through: headings beside inner sections belong to it.
+        """
         found: Counter = Counter()
         for text, linked, container, noise in self.blocks:
             own, share = max(0, len(text) - 2 * linked), 1.0
             while not noise and own and container >= 0 and share >= 0.125:
-                found[self.paths[container]] += own * share
+                found[self.keys[container], self.keys[self.wide[container]]] += own * share
                 container, share = self.parents[container], share / 2
         return found
 
-    def text(self, path: str | None) -> str | None:
+    def text(self, path: int | None) -> str | None:
         """Blocks inside elements on ``path``; None if the page has no such element. Without a path: all blocks but noise."""
         if path is None:
             return " ".join(t for t, _, _, noise in self.blocks if not noise)
-        inside = [False] * len(self.paths)
-        for i, own in enumerate(self.paths):
+        inside = [False] * len(self.keys)
+        for i, own in enumerate(self.keys):
             inside[i] = own == path or self.parents[i] >= 0 and inside[self.parents[i]]
         if True not in inside:
             return None
         return " ".join(t for t, _, c, noise in self.blocks if not noise and c >= 0 and inside[c])
 
 
-def widen(path: str) -> str:
-    """A path that leads through an article (or else a main) element ends there: headings beside inner sections belong to it."""
-    steps = path.split("/")
-    for name in ("article", "main"):
-        for i, step in enumerate(steps):
-            if step.split(".")[0] == name:
-                return "/".join(steps[: i + 1])
-    return path
-
-
-def best_path(votes: dict[str, float]) -> str | None:
-    return widen(max(votes, key=lambda p: (votes[p], p))) if votes else None
+def best_path(scores: dict[tuple[int, int], float]) -> int | None:
+    return max(scores, key=lambda p: (scores[p], p))[1] if scores else None
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``(host, path)``: each page deals a thousand votes to its containers; the path with most votes wins, then the larger name."""
+    """``(host, path)``: each page deals a thousand votes to its containers; the widened path with most votes wins, then the larger key."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -222,11 +278,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
             for host, source in zip(b["host"], b["html"], strict=True):
                 scores = Page(source).scores()
                 whole = sum(scores.values())
-                for path, s in scores.items():
-                    votes[host, widen(path)] += round(1000 * s / whole)
+                for (_, path), s in scores.items():
+                    votes[host, path] += round(1000 * s / whole)
             yield pd.DataFrame([(h, p, n) for (h, p), n in votes.items()], columns=["host", "path", "votes"])
 
-    votes = pages.mapInPandas(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = pages.mapInPandas(vote, "host string, path long, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
 
@@ -245,14 +301,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = []
             for source, path in zip(b["html"], b["path"], strict=True):
                 page = Page(source)
-                text = page.text(path) if isinstance(path, str) else None
+                text = page.text(int(path)) if isinstance(path, str) else None
                 if not text:
                     text = page.text(best_path(page.scores()))
                 texts.append(text or "")
             out = b[["page_id", "url"]].astype({"page_id": "Int64"})
             yield out.assign(text=texts, n_chars=[len(t) for t in texts])
 
-    paths = durable(host_paths(rows))
+    paths = durable(host_paths(rows).withColumn("path", F.col("path").cast("string")))  # in pandas, numbers with nulls lose digits
     if paths.count() <= BROADCAST_HOSTS:
         joined = rows.join(F.broadcast(paths), "host", "left")
     else:  # pages of one host may be many: each host's path is copied to every salt, and its pages are dealt among them
