@@ -132,12 +132,13 @@ def build_shards(counts: DataFrame) -> DataFrame:
     return counts.groupBy("shard").applyInPandas(run, "shard long, bits binary, sizes binary, prints binary, counts binary, owners binary")
 
 
-def row_key(*columns: str) -> Column:
-    return F.xxhash64(F.lit("row"), *columns)
+def row_keys() -> list[Column]:
+    """128 bits of a row's id and text."""
+    return [F.xxhash64(F.lit("row"), "doc_id", "text").alias("row_key"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("row_key2")]
 
 
 def drop_frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """One row per input row: ``doc_id, row_key, n_lines, n_dropped, kept_text``; the key is a hash of id and text.
+    """One row per input row: ``doc_id, row_key, row_key2, n_lines, n_dropped, kept_text``; the keys are hashes of id and text.
 
     Lines end at ``\\n`` only; a null or empty text is one empty line. A line's key has ASCII white space stripped at both ends
     and A-Z in lower case. Keys of at least ``min_chars`` code points that ``min_docs`` or more documents hold lose all their
@@ -146,7 +147,7 @@ def drop_frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     document whose lines all go is empty. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row_key("doc_id", "text").alias("row_key"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_keys())
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     total, n_lines, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(breaks + 1), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_cells = max(cells(spark, total, CELL_DOCS), cells(spark, n_bytes, CELL_BYTES))
@@ -180,7 +181,7 @@ def drop_frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     def drop(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         owner_of = dict(zip(zip(found["high"].tolist(), found["low"].tolist(), strict=True), found["owner"].tolist(), strict=True))
         out = []
-        for doc, key, text in zip(part["doc_id"], part["row_key"], part["text"], strict=True):
+        for doc, key, key2, text in zip(part["doc_id"], part["row_key"], part["row_key2"], part["text"], strict=True):
             lines = text.split("\n")
             kept = lines
             if owner_of:
@@ -188,17 +189,19 @@ def drop_frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
                 owners = [owner_of.get(h, doc) for h in map(tuple, line_hashes([k for _, k in long]).tolist())]
                 gone = {i for (i, _), owner in zip(long, owners, strict=True) if owner != doc}
                 kept = [x for i, x in enumerate(lines) if i not in gone]
-            out.append((doc, key, len(lines), len(lines) - len(kept), "\n".join(kept)))
-        return pd.DataFrame(out, columns=["doc_id", "row_key", "n_lines", "n_dropped", "kept_text"])
+            out.append((doc, key, key2, len(lines), len(lines) - len(kept), "\n".join(kept)))
+        return pd.DataFrame(out, columns=["doc_id", "row_key", "row_key2", "n_lines", "n_dropped", "kept_text"])
 
-    dropped = celled.groupBy("cell").cogroup(hits.groupBy("cell")).applyInPandas(drop, "doc_id long, row_key long, n_lines long, n_dropped long, kept_text string")
+    dropped = celled.groupBy("cell").cogroup(hits.groupBy("cell")).applyInPandas(drop, "doc_id long, row_key long, row_key2 long, n_lines long, n_dropped long, kept_text string")
     return dropped.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))
 
 
 def without_frequent_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the texts that are left, all rows and columns kept; ``n_chars``, where it exists, follows the text."""
-    new = drop_frequent_lines(docs, **options).groupBy("row_key").agg(F.min("kept_text").alias("_kept_text"))
-    rest = docs.withColumn("_row_key", row_key("doc_id", "text")).drop("text")
-    joined = rest.join(new, rest["_row_key"] == new["row_key"])
-    size = {"n_chars": F.length("_kept_text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
-    return joined.withColumn("text", F.col("_kept_text")).withColumns(size).select(*docs.columns)
+    """``docs`` with the texts that are left, all rows and columns kept, whatever their names; ``n_chars``, where it exists, follows the text."""
+    new = drop_frequent_lines(docs, **options).groupBy("row_key", "row_key2").agg(F.min("kept_text").alias("kept"))
+    rest = docs.select(*row_keys(), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+    joined = rest.join(new, ["row_key", "row_key2"])
+    column = {c: F.col("rest").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        column["n_chars"] = F.length("kept").cast(dict(docs.dtypes)["n_chars"])
+    return joined.select(*[column[c].alias(c) for c in docs.columns])
