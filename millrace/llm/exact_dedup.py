@@ -56,9 +56,10 @@ def digest_groups(rows: DataFrame, largest: bool = True) -> DataFrame:
     lose against every other id.
     """
     spark = rows.sparkSession
-    total = rows.count()
+    # As many rounds as make one run of all tasks' runs, and cells of CELL_ROWS at most.
+    total, n_tasks = rows.count(), rows.rdd.getNumPartitions()
     rounds = 1
-    while FAN**rounds * CELL_ROWS < total and rounds < 20:
+    while (FAN**rounds < n_tasks or FAN**rounds * CELL_ROWS < total) and rounds < 20:
         rounds += 1
 
     def leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
