@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph, queries search it greedily.
 
-Equal vectors are one node. Vectors get one more coordinate that makes all norms equal, so that neighbours in the graph are neighbours by
-inner product as well as by angle; the graph works on 8-bit codes of them. A round joins every node's neighbours, forward and reverse, with
-their codes, compares them with each other where one of the two is new, and keeps each node's best. Queries then expand the best nodes of
-their pool again and again; the pool's original vectors give the result in double precision.
+Equal vectors are one node. The graph joins neighbours by angle and works on 8-bit codes, each scaled by its own vector, so that no large
+vector makes the codes of others coarse. A round joins every node's neighbours, forward and reverse, with their codes, compares them
+with each other where one of the two is new, and keeps each node's best. Queries start from their own node and from the nodes of largest
+norm, which are near by inner product from far away, and expand the best nodes of their pool by inner product until all are expanded;
+the pool's original vectors give the result in double precision.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ EDGE = "u long, w long, score float, fresh boolean"
 
 
 def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(vec_id, raw, norm)``: little-endian doubles of the vectors that take part; the most common length wins."""
+    """``(vec_id, raw, norm)``: little-endian doubles of the vectors that take part, shorter ones filled up with zeros."""
     v = F.col(vector_col).cast("array<double>")
     fine = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull()
@@ -32,15 +33,20 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    dim = fine.groupBy(F.size("v").alias("dim")).count().agg(F.max_by("dim", F.struct("count", "dim"))).first()[0]
+    dim = fine.agg(F.max(F.size("v"))).first()[0] or 0
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.stack(b["v"].to_numpy()).astype("<f8") + 0.0  # no negative zero
-                yield pd.DataFrame({"vec_id": b["vec_id"], "raw": [r.tobytes() for r in x], "norm": np.sqrt((x**2).sum(axis=1))})
+                sizes = b["v"].str.len().to_numpy()
+                x = np.zeros((len(b), dim), "<f8")
+                x[np.arange(dim) < sizes[:, None]] = np.concatenate(b["v"].to_numpy()) + 0.0  # no negative zero
+                with np.errstate(over="ignore"):
+                    yield pd.DataFrame({"vec_id": b["vec_id"], "raw": [r.tobytes() for r in x], "norm": np.sqrt((x**2).sum(axis=1))})
 
-    return fine.where(F.size("v") == (dim or 0)).mapInPandas(pack, "vec_id long, raw binary, norm double")
+    packed = fine.mapInPandas(pack, "vec_id long, raw binary, norm double")
+    # Of several vectors of one id the smallest by its bytes stays.
+    return packed.groupBy("vec_id").agg(F.min(F.struct("raw", "norm")).alias("one")).select("vec_id", "one.*")
 
 
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
@@ -50,25 +56,43 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], kind, offset=int(offsets[0]), count=(int(offsets[-1]) - int(offsets[0])) // np.dtype(kind).itemsize).reshape(len(column), -1)
 
 
-def _codes(nodes: DataFrame, largest: float, seed: int, trees: int, bits: int) -> DataFrame:
-    """``(node, code, leaves)``: 8-bit codes of the vectors with equal norms, and a cell of each random partition."""
+def _codes(nodes: DataFrame, seed: int, trees: int, bits: int) -> DataFrame:
+    """``(node, code, leaves)``: the code of each vector, and its cell of each random partition by angle.
+
+    A code holds a byte for each component, relative to the vector's largest, then two 32-bit numbers: what makes the bytes a unit
+    vector, and the logarithm of the norm.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes = None
         for b in batches:
             if not len(b):
                 continue
-            x = np.frombuffer(b"".join(b["raw"]), "<f8").reshape(len(b), -1) / largest
-            x = np.column_stack((x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1)))))
+            x = np.frombuffer(b"".join(b["raw"]), "<f8").reshape(len(b), -1)
+            largest = np.abs(x).max(axis=1)
+            whole = np.rint(x / largest[:, None] * 127)
+            size = np.sqrt((whole**2).sum(axis=1))
+            log_norm = np.log(largest) + 0.5 * np.log(((x / largest[:, None]) ** 2).sum(axis=1))
             if planes is None:
                 planes = np.random.default_rng(seed).normal(size=(trees, x.shape[1], max(1, bits)))
-            code = np.rint(x * 127).astype(np.int8)
-            leaves = [((x @ planes[t] > 0) @ (1 << np.arange(max(1, bits)))).tolist() for t in range(trees)]
+            tail = np.stack((1 / size, log_norm), axis=1).astype("<f4")
+            code = np.concatenate((whole.astype(np.int8).view(np.uint8), tail.view(np.uint8).reshape(len(b), 8)), axis=1)
+            leaves = [((whole @ planes[t] > 0) @ (1 << np.arange(max(1, bits)))).tolist() for t in range(trees)]
             yield pd.DataFrame({"node": b["node"], "code": [c.tobytes() for c in code], "leaves": list(zip(*leaves, strict=True))})
 
     return nodes.mapInPandas(run, "node long, code binary, leaves array<long>")
 
 
+def _units(codes: np.ndarray) -> np.ndarray:
+    """Unit vectors of codes, the rows of a matrix of bytes."""
+    tail = np.ascontiguousarray(codes[:, -8:]).view("<f4")
+    return codes[:, :-8].view(np.int8).astype(np.float32) * tail[:, :1]
+
+
+def _log_norms(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(codes[:, -4:]).view("<f4")[:, 0]
+
+
 def _best(candidates: DataFrame, k: int) -> DataFrame:
     """The k best distinct edges of each node; an edge that was there before isn't fresh."""
     once = candidates.groupBy("u", "w").agg(F.max("score").alias("score"), F.bool_and("fresh").alias("fresh"))
@@ -84,7 +108,7 @@ def _start(codes: DataFrame, k: int) -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         ids = part["node"].to_numpy()
-        x = np.frombuffer(b"".join(part["code"]), np.int8).reshape(len(ids), -1).astype(np.float32)
+        x = _units(np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(ids), -1))
         s = x @ x.T
         np.fill_diagonal(s, -np.inf)
         n = min(k, len(ids) - 1)
@@ -96,10 +120,10 @@ def _start(codes: DataFrame, k: int) -> DataFrame:
     return blocks.select("tree", "leaf", "part", "node", "code").groupBy("tree", "leaf", "part").applyInPandas(run, EDGE)
 
 
-def _around(graph: DataFrame, k: int, turn: int | None) -> DataFrame:
-    """``(v, member, fresh)``: forward neighbours and a sample of ``k`` reverse ones (all distinct pairs if ``turn`` is None)."""
+def _around(graph: DataFrame, k: int, turn: int) -> DataFrame:
+    """``(v, member, fresh)``: forward neighbours and ``k`` reverse ones at most, drawn anew each turn."""
     back = graph.select(F.col("w").alias("v"), F.col("u").alias("member"), "fresh")
-    draw = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("member", "v", F.lit(turn or 0)), "member"))
+    draw = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("member", "v", F.lit(turn)), "member"))
     back = back.withColumn("draw", draw).where(F.col("draw") <= k).drop("draw")
     return graph.select(F.col("u").alias("v"), F.col("w").alias("member"), "fresh").unionByName(back).groupBy("v", "member").agg(F.bool_or("fresh").alias("fresh"))
 
@@ -118,7 +142,7 @@ def _descend(graph: DataFrame, codes: DataFrame, k: int, emit: int, turn: int) -
             ends = met.offsets.to_numpy()
             rows = met.values
             ids, fresh, floor = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            code = _matrix(rows.field(3), "i1").astype(np.float32)
+            code = _units(_matrix(rows.field(3), "u1"))
             u, w, score = [], [], []
             for a, z in zip(ends[:-1], ends[1:], strict=True):
                 new = fresh[a:z]
@@ -156,27 +180,32 @@ def nn_descent(codes: DataFrame, k: int, rounds: int, emit: int, stop_share: flo
     return graph
 
 
-def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, k: int, pool: int, expand: int, rounds: int) -> DataFrame:
-    """``(q, node)``: the pools of a greedy search from each query's own node, ``expand`` open nodes a round.
+def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, seeds: list[int], k: int, pool: int, expand: int, rounds: int) -> DataFrame:
+    """``(q, node)``: the pools of a greedy search from each query's own node and the ``seeds``, ``expand`` open nodes a round.
 
-    ``queries`` are nodes. A pool row is ``(node, score, open)``; nodes that were dropped may come back, but only with the same score.
+    ``queries`` and ``seeds`` are nodes. A pool row is ``(node, score, open)``; nodes that were dropped may come back, but only with the
+    same score. Ends when no node of a pool is open, or after ``rounds`` rounds, whatever is open then.
     """
-    near = durable(_around(graph, k, None).select("v", F.col("member").alias("node")))
+    near = durable(_around(graph, k, 0).select("v", F.col("member").alias("node")))
     asked = queries.select(F.col("node").alias("q")).join(codes.select(F.col("node").alias("q"), F.col("code").alias("q_code")), "q")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        """Codes join twice, and each pair is scored by itself, without the coordinate that makes norms equal."""
+        """Codes join twice, and each pair is scored by itself: the larger the inner product, the larger the score."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    s = np.einsum("ij,ij->i", _matrix(b.column(2), "i1")[:, :-1].astype(np.float32), _matrix(b.column(3), "i1")[:, :-1].astype(np.float32))
+                    own, other = _matrix(b.column(2), "u1"), _matrix(b.column(3), "u1")
+                    cos = np.einsum("ij,ij->i", _units(own), _units(other)).astype(np.float64)
+                    # Of norms only their order matters, and their product with the cosine may not overflow.
+                    s = np.sign(cos) * np.exp(np.clip((np.log(np.maximum(np.abs(cos), 1e-12)) + _log_norms(other)) / 16, -80, 80))
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["q", "node", "score"])
 
-        return pairs.join(codes.select("node", "code"), "node").join(asked, "q").select("q", "node", "q_code", "code").mapInArrow(run, "q long, node long, score float")
+        return pairs.join(codes.select("node", "code"), "node").join(asked, "q").select("q", "node", "q_code", "code").mapInArrow(run, "q long, node long, score double")
 
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    first = queries.select(F.col("node").alias("q")).join(near.withColumnRenamed("v", "q"), "q")
+    own = queries.select(F.col("node").alias("q"))
+    first = own.join(near.withColumnRenamed("v", "q"), "q").select("q", "node").union(own.withColumn("node", F.explode(F.array(*[F.lit(x) for x in seeds]).cast("array<long>"))).where("q <> node")).distinct()
     pools = durable(scored(first).withColumn("open", F.lit(True)))
     for _ in range(rounds):
         best_open = Window.partitionBy("q", "open").orderBy(F.desc("score"), "node")
@@ -194,30 +223,31 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, k: int, pool:
 
 def nearest(
     table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20,
-    neighbours: int = 32, rounds: int = 6, emit: int = 6, trees: int = 3, pool: int = 240, expand: int = 40, hops: int = 7, seed: int = 0,
+    neighbours: int = 32, rounds: int = 6, emit: int = 6, trees: int = 3, pool: int = 240, expand: int = 40, hops: int = 40, seeds: int = 32, seed: int = 0,
 ) -> DataFrame:
     """Each query's ``top`` rows of largest inner product, itself excluded: ``query_id, rank, vec_id, score``.
 
     ``is_query`` is a condition on ``vec_id``; every other row is a candidate, and queries are candidates of each other. Scores are
-    inner products of the original vectors in double precision; equal scores rank by the smaller id. Vectors that are null or zero,
-    hold null or non-finite components, or differ in length from most take no part, nor do rows without an id. Equal vectors share a
-    node, whose smallest ids are listed, as many as a result can hold. Rows that repeat an id count once. With at most ``top``
-    candidates all are returned; an empty table gives no rows. Other columns are ignored.
+    inner products of the original vectors in double precision; equal scores rank by the smaller id. Vectors that are null or zero or
+    hold null or non-finite components take no part, nor do rows without an id; shorter vectors count as filled up with zeros. Equal
+    vectors share a node, whose smallest ids are listed, as many as a result can hold. Of rows that repeat an id the one with the
+    smallest bytes counts. With at most ``top`` candidates all are returned; an empty table gives no rows. Other columns are ignored.
     """
-    valid = durable(usable_vectors(table, id_col, vector_col).dropDuplicates(["vec_id"]))
+    valid = durable(usable_vectors(table, id_col, vector_col))
     rank = F.row_number().over(Window.partitionBy("raw").orderBy("vec_id"))
     first = valid.groupBy("raw").agg(F.min("vec_id").alias("node"), F.max("norm").alias("norm"))
     first = durable(first)
     few = valid.select("vec_id", "raw").withColumn("n", rank).where(F.col("n") <= top + 1)
     members = durable(few.join(first, "raw").select("node", "vec_id"))
-    n, largest = first.agg(F.count("*"), F.max("norm")).first()
+    n = first.count()
     bits = max(0, int(np.ceil(np.log2(max(1, n) / BLOCK_NODES))))
-    codes = durable(_codes(first.select("node", "raw"), (largest or 1.0) * (1 + 1e-12), seed, trees, bits))
+    codes = durable(_codes(first.select("node", "raw"), seed, trees, bits))
     graph = nn_descent(codes, neighbours, rounds, emit, 0.02)
 
     asked = valid.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("raw").alias("q_raw"))
     at = durable(asked.join(first.select(F.col("raw").alias("q_raw"), F.col("node").alias("q")), "q_raw"))
-    found = search(graph, codes, at.select(F.col("q").alias("node")).distinct(), neighbours, max(pool, top), expand, hops)
+    longest = [r["node"] for r in first.orderBy(F.desc("norm"), "node").select("node").limit(seeds).collect()]  # so many ids at most
+    found = search(graph, codes, at.select(F.col("q").alias("node")).distinct(), longest, neighbours, max(pool, top), expand, hops)
     found = found.union(at.select("q", F.col("q").alias("node")).distinct())
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
