@@ -4,7 +4,9 @@ import collections
 import itertools
 import math
 import random
+import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -107,6 +109,41 @@ def test_packing(make_docs):
     assert K.pack_documents(make_docs([]), file).collect() == []
 
 
+def test_word_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    file = tokenizer_file("word_bpe_49k.json")
+    tok, words, rng = Tokenizer.from_file(file), K.WordIds(file), random.Random(12)
+    signs = "aZé\u0130\u0131\u03a3\u03c3\u03c2ßŉǅﬁⅧ²٣漢ก\u0301\u0307\u0327.,'!?_-\"s10 \t\n\u00a0\u200b😀ʼ’Àa\u030a"
+    texts = ["a\u0130!", "\u0130?", "\u0130_", *("".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(20_000))]
+    for text, ids in zip(texts, words(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def shortest_pack_first(histogram, size):
+    """Piece by piece: longest first, into the pack with the most room."""
+    packs = []
+    for x in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+        at = max(range(len(packs)), key=packs.__getitem__, default=None)
+        if at is None or packs[at] < x:
+            packs.append(size - x)
+        else:
+            packs[at] -= x
+    return collections.Counter(packs)
+
+
+def test_patterns_are_those_of_shortest_pack_first():
+    rng = random.Random(3)
+    cases = [{6: 1, 5: 1, 2: 1}, {8: 3}, {1: 50}, {3: 7, 2: 9, 1: 30}] + [{rng.randrange(1, 65): rng.randrange(1, 40) for _ in range(rng.randrange(1, 40))} for _ in range(60)]
+    for histogram in cases:
+        size = 8 if max(histogram) <= 8 else 64
+        got = collections.Counter()
+        for pattern, n in K.pack_patterns(histogram, size):
+            got[size - sum(pattern)] += n
+        assert got == shortest_pack_first(histogram, size)
+    assert sorted(K.pack_patterns(cases[0], 8)) == [((5, 2), 1), ((6,), 1)]
+
+
 def test_patterns_hold_every_piece_and_fill_up():
     rng = random.Random(2)
     for _ in range(20):
@@ -122,29 +159,104 @@ def test_patterns_hold_every_piece_and_fill_up():
     assert sum(n for _, n in K.pack_patterns(big, 256)) * 256 < 1.02 * sum(k * v for k, v in big.items())
 
 
+FOLDER = Path("/usr/share/common-licenses")
+LONG = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+def licence_of(text):
+    """Brute force: canonical words of a text against those of every known short text, anywhere between line ends."""
+    lines = [x.split() for x in map(C.canonical_line, (text or "").split("\n")) if x]
+    whole = sum(lines, [])
+    known = {name: C.canonical(t).split() for name, t in C.TEXTS.items()}
+    titled = whole[len(lines[0]) :] if len(lines) > 1 and " ".join(lines[0]) in C._titles() else whole
+    runs = [sum(lines[i:j], []) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)]
+    return next((n for n, w in known.items() if w == titled), None), ",".join(sorted({n for n, w in known.items() for r in runs if r == w and len(r) < len(whole)}))
+
+
 def test_licences(make_docs):
-    mit = "MIT\nCopyright (c) 2020 Me\n".replace("MIT\n", "") + C.TEXTS["MIT"].upper().replace("SUBLICENSE", "sub-licence".replace("-", ""))
-    rows = [(1, mit), (2, "Text.\nLicenced under the Apache licence, version 2.0!\nmore"), (3, "x\n\n" + C.TEXTS["ISC"] + "\n\ny"), (4, None), (5, ""), (6, "nothing"), (7, "Released under the MIT License."), (2, "other"), (8, "MIT License\nMIT License"), (8, "MIT License\nMIT License")]
+    mit = "Copyright (c) 2020 Me\n" + C.TEXTS["MIT"].upper().replace("SUBLICENSE", "sublicence")
+    spread = "MIT License\n\nCopyright (c) 2020 Me\n\n" + C.TEXTS["MIT"].replace("\n", "\n\n")
+    wrapped = "\n".join(textwrap.wrap(C.TEXTS["ISC"].split("\n")[0], 72)) + "\n\n" + "\n".join(textwrap.wrap(C.TEXTS["ISC"].split("\n")[1], 72))
+    rows = [
+        (1, mit), (2, "Text.\nLicenced under the Apache licence, version 2.0!\nmore"), (3, "x\n\n" + C.TEXTS["ISC"] + "\n\ny"), (4, None), (5, ""), (6, "nothing"), (7, "Released under the MIT License."), (2, "other"),
+        (8, "MIT License\nMIT License"), (8, "MIT License\nMIT License"), (9, spread), (10, wrapped), (11, "about us\n\n" + spread + "\n\nthe end"), (None, C.TEXTS["Zlib"]), (12, "a " * 200_000 + "\n" + wrapped), (13, C.TEXTS["MIT"] + " and more"),
+        *((100 + i, t) for i, t in enumerate(C.TEXTS.values())),
+    ]
     got = collections.defaultdict(list)
-    for r in C.license_scan(make_docs(rows)).collect():
-        got[r.doc_id].append((r.license, r.notices, r.n_notices))
-    assert got[1] == [("MIT", "MIT", 1)]
-    assert sorted(got[2]) == [(None, "", 0), (None, "Apache-2.0", 1)] or sorted(got[2], key=str) == sorted([(None, "", 0), (None, "Apache-2.0", 1)], key=str)
-    assert got[3][0][:2] == (None, "ISC")
-    assert got[4] == got[5] == got[6] == [(None, "", 0)]
-    assert got[7] == [("MIT", "MIT", 1)]
-    assert got[8] == [(None, "MIT", 2)] * 2
+    for r in C.license_scan(make_docs(rows).repartition(3)).collect():
+        got[r.doc_id].append((r.license, r.contains, r.notices, r.n_notices))
+    assert sum(map(len, got.values())) == len(rows)
+    for i, t in rows:
+        assert licence_of(t) in [x[:2] for x in got[i]], i
+    assert got[1] == [("MIT", "", "", 0)] and got[9][0][:2] == ("MIT", "MIT") and got[10][0][0] == "ISC" and got[11][0][:2] == (None, "MIT")
+    assert sorted(x[2:] for x in got[2]) == [("", 0), ("Apache-2.0", 1)] and got[4] == got[5] == got[6] == [(None, "", "", 0)]
+    assert got[7] == [(None, "", "MIT", 1)] and got[8] == [(None, "", "MIT", 2)] * 2
+    assert [got[100 + i][0][0] for i in range(len(C.TEXTS))] == list(C.TEXTS)
     assert C.license_scan(make_docs([])).collect() == []
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = ["a b a c", "a b a b d", "c a b", "e f g h a b"]
-    model = Q.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+@pytest.mark.skipif(not FOLDER.is_dir(), reason="no licence texts on this machine")
+def test_long_licences(make_docs):
+    texts = {name: (FOLDER / file).read_text("utf-8", "replace") for file, name in LONG.items()}
+    rows = [(i, t.upper()) for i, t in enumerate(texts.values())] + [(100 + i, "Some project.\n\n" + t + "\nThe end.") for i, t in enumerate(texts.values())]
+    got = {r.doc_id: (r.license, r.contains) for r in C.license_scan(make_docs(rows)).collect()}
+    for i, name in enumerate(texts):
+        assert got[i][0] == name and got[100 + i][0] is None and name in got[100 + i][1].split(",")
+
+
+def kneser_ney(texts):
+    """Interpolated modified Kneser-Ney of trigrams in dictionaries: a function of (a, b, w)."""
+    seqs = [[Q.START, Q.START, *t.split(), Q.END] for t in texts]
+    tri = collections.Counter(x for s in seqs for x in zip(s, s[1:], s[2:]))
+    bi = collections.Counter(x[1:] for x in tri)
+    uni = collections.Counter(x[1] for x in bi)
+
+    def cuts(counts):
+        n1, n2, n3, n4 = (sum(c == i for c in counts.values()) for i in (1, 2, 3, 4))
+        if not n1:
+            return [0.5, 0.5, 0.5]
+        y = n1 / (n1 + 2 * n2)
+        raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        return [min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True)]
+
+    d3, d2, d1 = cuts(tri), cuts(bi), cuts(uni)
+    cut = lambda c, d: d[min(c, 3) - 1] if c else 0.0
+    total = sum(uni.values())
+    unseen = sum(cut(c, d1) for c in uni.values()) / total / (len(uni) + 1)
+
+    def back(counts, context, w, d, lower):
+        own = {x: c for x, c in counts.items() if x[:-1] == context}
+        if not own:
+            return lower
+        t = sum(own.values())
+        c = own.get((*context, w), 0)
+        return (c - cut(c, d)) / t + sum(cut(x, d) for x in own.values()) / t * lower
+
+    def p(a, b, w):
+        low = max(uni.get(w, 0) - cut(uni.get(w, 0), d1), 0) / total + unseen
+        return back(tri, (a, b), w, d3, back(bi, (b,), w, d2, low))
+
+    return p
+
+
+def test_kneser_ney_against_dictionaries(spark, monkeypatch):
+    texts = ["a b a c", "a b a b d", "c a b", "e f g h a b", "a b a c a b a b"]
+    p = kneser_ney(texts)
     vocabulary = sorted({w for t in texts for w in t.split()}) + [Q.END, "never seen"]
-    h = lambda w: np.array([Q.word_hash(w)], np.uint64)
     for a, b in [(Q.START, Q.START), ("a", "b"), ("zz", "b"), ("zz", "yy"), ("f", "g")]:
-        assert sum(float(model.probability(h(a), h(b), h(w))[0]) for w in vocabulary) == pytest.approx(1, abs=1e-5)
-    assert model.probability(h("a"), h("b"), h("a"))[0] > model.probability(h("a"), h("b"), h("g"))[0]
+        assert sum(p(a, b, w) for w in vocabulary) == pytest.approx(1)
+    deltas, unseen = Q.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = [*texts, "", "zz yy b a", "a a a a", "b", "c a b a c " * 50, "q " * 3000, "a b a c"]
+    rows = spark.createDataFrame([(i, i % 7, t) for i, t in enumerate(asked)], "key long, key2 long, text string")
+    want = {}
+    for i, t in enumerate(asked):
+        s = [Q.START, Q.START, *t.split(), Q.END]
+        want[i] = (len(s) - 2, -sum(math.log(p(*x)) for x in zip(s, s[1:], s[2:])) / (len(s) - 2))
+    for groups in (10**9, 100):
+        monkeypatch.setattr(Q, "GROUP_CHARS", groups)
+        got = {r.key: (r.n_words, r.nll) for r in Q.score_texts(rows.union(rows).repartition(3), deltas, unseen).collect()}
+        assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in want.items()}
+        assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in want)
 
 
 def test_quality_on_held_out_labels(spark, make_docs):
@@ -240,7 +352,7 @@ def test_neighbours(spark):
     x = rng.normal(size=(600, 16)).astype(np.float32)
     x[300:330] = x[5]  # a group of copies larger than a result
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    bad = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] + [1.0] * 15), (1003, [None] + [1.0] * 15), (1004, [float("inf")] * 16), (1005, [1.0] * 3), (None, [1.0] * 16), (20, x[20].tolist())]
+    bad = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] + [1.0] * 15), (1003, [None] + [1.0] * 15), (1004, [float("inf")] * 16), (None, [1.0] * 16), (20, x[20].tolist())]
     table = spark.createDataFrame([(i, v, 0) for i, v in rows + bad], "vec_id long, embedding array<float>, q int")
     got = collections.defaultdict(list)
     for r in N.nearest(table, F.col("vec_id") % 20 == 0, neighbours=16, pool=60).orderBy("query_id", "rank").collect():
@@ -255,11 +367,27 @@ def test_neighbours(spark):
         assert len(own) == 20 and all(abs(s[v] - score) < 1e-9 for v, score in own)
         assert own == sorted(own, key=lambda r: (-r[1], r[0]))
     assert hit / (20 * len(got)) > 0.95
+    mixed = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [2.0]), (2, [2.0]), (3, [0.5, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in N.nearest(mixed, F.col("vec_id") == 1).collect()] == [(3, 2.5), (2, 2.0)]
     few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 4)], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in N.nearest(few, F.col("vec_id") == 2).collect()] == [(2, 1, 3), (2, 2, 1)]
     assert N.nearest(few.limit(0), F.col("vec_id") == 2).collect() == []
 
 
+def test_recall_with_unequal_norms_and_an_outlier(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 24)) * np.exp(rng.normal(size=(3000, 1)) * 0.7)
+    x[77] *= 1000
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in N.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    scores = x[::20] @ x.T
+    scores[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert sum(len(found[20 * i] & set(b.tolist())) for i, b in enumerate(best)) / best.size >= 0.9
+
+
 def test_registered_queries_have_their_columns(spark):
     from millrace.llm.queries import QUERIES
 
