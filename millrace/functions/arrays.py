@@ -183,3 +183,91 @@ def coarse_divergence(p_log: Column, q_log: Column, k: int) -> Column:
 def surrogate(ratio: Column, advantage: Column, clip: float = 0.2) -> Column:
     """The clipped importance-ratio objective."""
     return F.least(ratio * advantage, F.least(F.greatest(ratio, F.lit(1 - clip)), F.lit(1 + clip)) * advantage)
+
+
+def shifted_pairs(x: Column, y: Column) -> Column:
+    """``(x[i + 1], y[i])``: labels against the positions that predict them."""
+    n = F.greatest(F.least(F.size(x), F.size(y)) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(x, 2, n).alias("label"), F.slice(y, 1, n).alias("source"))
+
+
+def strictly_sorted(x: Column) -> Column:
+    """Distinct and ascending."""
+    return F.forall(F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: a < b), lambda ok: F.coalesce(ok, F.lit(False)))
+
+
+def mass_error(p: Column, tail: Column) -> Column:
+    """How far listed probabilities and the tail are from one."""
+    return F.abs(total(p) + tail - 1)
+
+
+def remainder_histogram(x: Column, modulus: int) -> Column:
+    """How many values have the remainder 0, 1, ..., each at its place."""
+    return F.transform(F.sequence(F.lit(0), F.lit(modulus - 1)), lambda r: F.size(F.filter(x, lambda v: F.pmod(v, F.lit(modulus)) == r)))
+
+
+def summaries(groups: Column, values: Column, keys: list[str]) -> Column:
+    """A map of each key to the sum of its values; null where the key is absent."""
+    pairs = F.arrays_zip(groups.alias("k"), values.alias("v"))
+    own = lambda key: F.filter(pairs, lambda p: p["k"] == key)
+    value = lambda key: F.when(F.size(own(key)) > 0, total(F.transform(own(key), lambda p: p["v"])))
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[value(k) for k in keys]))
+
+
+def swap_heads(x: Column, a: int, b: int, size: int) -> Column:
+    """An array of ``a * b`` heads of ``size`` values, reordered from (a, b) to (b, a)."""
+    order = [(i * b + j) * size + k for j in range(b) for i in range(a) for k in range(size)]
+    return F.transform(F.array(*[F.lit(i) for i in order]), lambda i: F.get(x, i))
+
+
+def delimiter_once_before(x: Column, delimiter: Column, other: Column) -> Column:
+    """The delimiter occurs once, before the first ``other`` (which must occur)."""
+    once = F.size(F.filter(x, lambda v: v == delimiter)) == 1
+    return once & (F.array_position(x, other) > F.array_position(x, delimiter))
+
+
+def span_mask(tokens: Column, spans: Column) -> Column:
+    """For each ``(start, stop)`` token 2 inside a span, 1 if it overlaps one, else 0; ends are exclusive."""
+    inside = lambda t: F.exists(spans, lambda s: (s["start"] <= t["start"]) & (t["stop"] <= s["stop"]))
+    overlap = lambda t: F.exists(spans, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))
+    return F.transform(tokens, lambda t: F.when(inside(t), 2).when(overlap(t), 1).otherwise(0))
+
+
+def earlier_not_larger(x: Column) -> Column:
+    """At each place how many earlier values aren't larger."""
+    return F.transform(x, lambda v, i: F.size(F.filter(F.slice(x, F.lit(1), i), lambda e: e <= v)))
+
+
+def next_larger(x: Column) -> Column:
+    """At each place the next value that is larger; null if none."""
+    return F.transform(x, lambda v, i: F.get(F.filter(F.slice(x, i + 2, F.size(x)), lambda e: e > v), F.lit(0)))
+
+
+def block_reversed(x: Column, size: int) -> Column:
+    """Blocks of ``size`` in order, each reversed."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(size))
+    return F.flatten(F.transform(starts, lambda i: F.reverse(F.slice(x, i, size))))
+
+
+def cross_entropy(logits: Column, label: Column) -> Column:
+    """Negative log-probability of a place, from 0."""
+    return let(logits, lambda x: -F.get(softmax_log(x), label.cast("int")))
+
+
+def top_margin(x: Column) -> Column:
+    """How far the largest value is above the second."""
+    return let(F.sort_array(x, asc=False), lambda s: F.get(s, F.lit(0)) - F.get(s, F.lit(1)))
+
+
+def argmax(x: Column) -> Column:
+    """The first place of the largest value, from 0."""
+    return F.array_position(x, F.array_max(x)).cast("int") - 1
+
+
+def ternary_bits(n: Column, group: int, scale_bits: int, per_byte: int = 5) -> Column:
+    """Bits per parameter of packed ternary codes with a scale for each group."""
+    return F.try_divide(F.ceil(n / per_byte) * 8 + F.ceil(n / group) * scale_bits, n)
+
+
+def gained(scale: Column, gain: Column) -> Column:
+    return scale * F.exp(gain)

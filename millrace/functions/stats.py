@@ -17,17 +17,22 @@ def wilson(correct: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
 
 
-def log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+def mcnemar(b: Column, c: Column) -> Column:
+    """Exact two-sided p-value of the discordant counts; 1 without any.
 
+    Terms of the binomial tail follow from each other by a factor, so the sum takes one pass, in logarithms.
+    """
+    n, k = (b + c).cast("long"), F.least(b, c).cast("long")
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), (-n * F.log(F.lit(2.0))).alias("sum"))
 
-def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided p-value of the discordant counts; 1 without any."""
-    n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    logs = F.transform(F.sequence(F.lit(0), k), lambda i: log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.log(F.lit(2.0)))
-    high = F.array_max(logs)
-    tail = F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(x - high))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(high) * tail))
+    def step(a: Column, i: Column) -> Column:
+        term = a["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        high, low = F.greatest(term, a["sum"]), F.least(term, a["sum"])
+        return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("sum"))
+
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
+    tail = F.aggregate(terms, start, step, lambda a: a["sum"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(tail)))
 
 
 def nearest_rank(values: Column, q: float) -> Column:

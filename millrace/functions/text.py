@@ -6,14 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def free_name(df, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# Lower-case letters that case folding spells otherwise, as Unicode gives them.
+FOLDS = {"ß": "ss", "ŉ": "ʼn", "ǰ": "ǰ", "ΐ": "ΐ", "ΰ": "ΰ", "և": "եւ", "ẖ": "ẖ", "ẗ": "ẗ", "ẘ": "ẘ", "ẙ": "ẙ", "ẚ": "aʾ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+SAME = {"ς": "σ", "ſ": "s", "ẛ": "ṡ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "µ": "μ"}
+
+
+def fold(text: Column) -> Column:
+    """Lower case, with letters that stand for others, or for several, spelled out."""
+    folded = F.translate(F.lower(text), "".join(SAME), "".join(SAME.values()))
+    for letter, spelled in FOLDS.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(spelled))
+    return folded
+
+
 def norm(text: Column) -> Column:
     """Words of letters, digits and underscores, case-folded, joined by one blank."""
-    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    folded = fold(text)
     return F.array_join(F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
 
 
@@ -38,6 +59,17 @@ def windows(items: Column, size: int, stride: int = 1) -> Column:
     return let(items, runs)
 
 
+def window_hashes(items: Column, size: int) -> Column:
+    """64-bit hashes of runs of ``size`` items; none if there are fewer items."""
+
+    def runs(own: Column) -> Column:
+        last = F.size(own) - F.lit(size - 1)
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(own, i, size)))
+
+    return let(items, runs)
+
+
 def shingles(text: Column, size: int = 8) -> Column:
     """Distinct word n-grams of the normal form."""
     return F.array_distinct(windows(words(text), size))
@@ -117,9 +149,46 @@ def scrub_paths(text: Column) -> Column:
     return F.regexp_replace(text, r"(?:/[A-Za-z0-9_.-]+)+/([A-Za-z0-9_.-]+)", "LOCAL/$1")
 
 
+def boxed(text: Column) -> Column:
+    """The contents of every ``\\boxed{...}`` with balanced braces, in order."""
+
+    def body(rest: Column) -> Column:
+        """What stands before the brace that closes an open one."""
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+        step = lambda a, c: F.when(a["depth"] == 0, a).otherwise(F.struct((a["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("depth"), (a["n"] + 1).alias("n")))
+        end = F.aggregate(F.split(rest, ""), start, step)
+        return let(end, lambda e: F.when(e["depth"] == 0, F.substr(rest, F.lit(1), e["n"] - 1)))
+
+    parts = F.split(text, r"\\boxed\{")
+    return F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), body), lambda b: b.isNotNull())
+
+
 def boxed_integer(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"\\boxed\{\s*(-?[0-9]+)\s*\}"), F.lit(1))
-    return F.when(F.size(found) == 1, F.element_at(found, 1).try_cast("long"))
+    """The integer of the only box; null if there are more or it holds anything else."""
+    return let(boxed(text), lambda b: F.when(F.size(b) == 1, F.regexp_extract(F.get(b, F.lit(0)), r"^\s*(-?[0-9]+)\s*$", 1).try_cast("long")))
+
+
+def remap(value: Column, names: dict[str, str]) -> Column:
+    """Names by a small table; others stay."""
+    out = value
+    for old, new in names.items():
+        out = F.when(value == old, F.lit(new)).otherwise(out)
+    return out
+
+
+def first_match(text: Column, patterns: dict[str, str], otherwise: str) -> Column:
+    """The name of the first pattern that the text matches."""
+    return F.coalesce(*[F.when(text.rlike(p), F.lit(name)) for name, p in patterns.items()], F.lit(otherwise))
+
+
+def key_values(**values: Column) -> Column:
+    """``name=value`` pairs joined by semicolons."""
+    return F.concat_ws(";", *[F.concat(F.lit(f"{name}="), F.coalesce(v.cast("string"), F.lit(""))) for name, v in values.items()])
+
+
+def occurrences(text: Column, word: str) -> Column:
+    """How often a word stands in the text, as a whole word in any case."""
+    return F.size(F.filter(words(text), lambda w: w == F.lit(word.lower())))
 
 
 def fill(template: str, **values: Column) -> Column:

@@ -3,51 +3,106 @@
 from __future__ import annotations
 
 import ast
+import math
 import operator
 from collections.abc import Callable
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from . import text as X
 
+# How long and deep an expression may be, and how large a number or exponent.
+MAX_CHARS, MAX_DEPTH, MAX_BITS, MAX_EXPONENT = 500, 20, 1024, 64
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow}
+_CALLS = {"abs": 1, "factorial": 1, "gcd": 2, "lcm": 2, "comb": 2}
+
+
+def _small(x: Fraction) -> Fraction:
+    if max(x.numerator.bit_length(), x.denominator.bit_length()) > MAX_BITS:
+        raise ValueError("too large")
+    return x
+
+
+def _call(name: str, args: list[Fraction]) -> Fraction:
+    if name == "abs":
+        return abs(args[0])
+    if any(x.denominator != 1 for x in args):
+        raise ValueError("integers only")
+    whole = [int(x) for x in args]
+    if name in ("factorial", "comb") and not 0 <= whole[0] <= 170:
+        raise ValueError("too large")
+    return Fraction(getattr(math, name)(*whole))
 
 
 def exact_value(expression: str | None, names: dict[str, int] | None = None) -> Fraction | None:
-    """The exact value of integer arithmetic: at most 500 characters and 20 levels, small exponents; None for anything else."""
-    if expression is None or len(expression) > 500:
+    """The exact value of arithmetic on integers and decimals, with ``abs, factorial, gcd, lcm, comb``; None for anything else.
+
+    Length, depth, exponents and the size of every intermediate result are bounded, so that no answer can hold up a task.
+    """
+    expression = None if expression is None else expression.strip()
+    if expression is None or len(expression) > MAX_CHARS:
         return None
 
+    def power(a: Fraction, b: Fraction) -> Fraction:
+        if b.denominator != 1 or abs(b) > MAX_EXPONENT or max(a.numerator.bit_length(), a.denominator.bit_length()) * abs(int(b)) > MAX_BITS + MAX_EXPONENT:
+            raise ValueError("too large")
+        return a ** int(b)
+
     def value(node: ast.AST, depth: int) -> Fraction:
-        if depth > 20:
-            raise ValueError
-        if isinstance(node, ast.Constant) and type(node.value) is int:
-            return Fraction(node.value)
+        if depth > MAX_DEPTH:
+            raise ValueError("too deep")
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            return _small(Fraction(ast.get_source_segment(expression, node).replace("_", "") if type(node.value) is float else node.value))
         if isinstance(node, ast.Name) and names and node.id in names:
-            return Fraction(names[node.id])
+            return _small(Fraction(names[node.id]))
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.UAdd | ast.USub):
             return value(node.operand, depth + 1) * (1 if isinstance(node.op, ast.UAdd) else -1)
         if isinstance(node, ast.BinOp) and type(node.op) in _OPS:
             a, b = value(node.left, depth + 1), value(node.right, depth + 1)
-            if isinstance(node.op, ast.Pow) and (b.denominator != 1 or not 0 <= b <= 64):
-                raise ValueError
-            return Fraction(_OPS[type(node.op)](a, b))
-        raise ValueError
+            return _small(power(a, b) if isinstance(node.op, ast.Pow) else Fraction(_OPS[type(node.op)](a, b)))
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and _CALLS.get(node.func.id) == len(node.args) and not node.keywords:
+            return _small(_call(node.func.id, [value(x, depth + 1) for x in node.args]))
+        raise ValueError("not arithmetic")
 
     try:
         return value(ast.parse(expression, mode="eval").body, 0)
-    except (ValueError, SyntaxError, ZeroDivisionError, RecursionError, MemoryError, TypeError):
+    except (ValueError, SyntaxError, ZeroDivisionError, RecursionError, MemoryError, TypeError, OverflowError):
         return None
 
 
-@F.udf(StringType())
-def exact_fraction(expression):
-    """The exact value of integer arithmetic as ``numerator/denominator``; null for anything else."""
-    got = exact_value(expression)
-    return None if got is None else f"{got.numerator}/{got.denominator}"
+@F.pandas_udf(StringType())
+def exact_fraction(expressions: pd.Series) -> pd.Series:
+    """The exact value of arithmetic as ``numerator/denominator``; null for anything else."""
+    found = (exact_value(e) for e in expressions)
+    return pd.Series([None if x is None else f"{x.numerator}/{x.denominator}" for x in found], dtype=object)
+
+
+@F.pandas_udf(StructType([StructField("correct", BooleanType()), StructField("message", StringType())]))
+def scored(answers: pd.Series, golds: pd.Series) -> pd.DataFrame:
+    """Answers against exact values; what can't be evaluated isn't correct, and the message says why."""
+    rows = []
+    for answer, gold in zip(answers, golds, strict=True):
+        want, got = exact_value(gold), exact_value(answer)
+        rows.append((want is not None and got == want, "no gold value" if want is None else "not evaluable" if got is None else None))
+    return pd.DataFrame(rows, columns=["correct", "message"])
+
+
+def identity_holds(left: Column, right: Column, names: list[str], tries: list[tuple[int, ...]]) -> Column:
+    """Whether two expressions agree for every try of their names: the first that doesn't is a counter-example."""
+
+    @F.pandas_udf(BooleanType())
+    def check(a: pd.Series, b: pd.Series) -> pd.Series:
+        def same(x: str, y: str) -> bool:
+            values = [(exact_value(x, own), exact_value(y, own)) for own in (dict(zip(names, t, strict=True)) for t in tries)]
+            return all(v is not None and v == w for v, w in values)
+
+        return pd.Series([same(x, y) for x, y in zip(a, b, strict=True)])
+
+    return check(left, right)
 
 
 def fraction_parts(text: Column) -> tuple[Column, Column]:

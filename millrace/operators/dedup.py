@@ -13,7 +13,8 @@ from ..functions import text as X
 def first_wins(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
     """The first row of each key in ``order``."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    name = X.free_name(df, "rank")
+    return df.withColumn(name, rank).where(F.col(name) == 1).drop(name)
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:

@@ -29,9 +29,10 @@ def wide(scores: DataFrame, key: str, model: str, value: str, models: Sequence[s
     return scores.groupBy(key).pivot(model, list(models)).agg(F.first(value))
 
 
-def eligible(candidates: DataFrame, guards: Sequence[str], baseline: dict[str, float], slack: float = 1.01) -> DataFrame:
-    """Candidates whose guard metrics stay within ``slack`` of the baseline."""
+def eligible(candidates: DataFrame, guards: Sequence[str], baseline: DataFrame, slack: float = 1.01) -> DataFrame:
+    """Candidates whose guard metrics stay within ``slack`` of the baseline, a row of the same metrics."""
+    limits = baseline.select(*[(slack * F.col(g)).alias(f"limit_{g}") for g in guards])
     ok = F.lit(True)
     for g in guards:
-        ok = ok & (F.col(g) <= slack * baseline[g])
-    return candidates.where(ok)
+        ok = ok & (F.col(g) <= F.col(f"limit_{g}"))
+    return candidates.join(F.broadcast(limits), ok, "left_semi")  # one row

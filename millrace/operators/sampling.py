@@ -10,52 +10,103 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+#: Values of an ordering key that share a cell, when ranks are taken in two levels.
+CELL = 4096
+
+
+def ranked(df: DataFrame, group: str | None, order: str, cell: int = CELL) -> DataFrame:
+    """Adds ``rank``, from 1, and ``size`` of the group, by a whole-numbered ``order`` that doesn't repeat inside the group.
+
+    Ranks are taken inside cells of the order, and the cells before are added up, so that no group is sorted in one task.
+    """
+    by = [group] if group else []
+    celled = df.withColumn("rank_cell", F.floor(F.col(order) / cell))
+    counts = celled.groupBy(*by, "rank_cell").agg(F.count("*").alias("rank_n"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("rank_n").over(whole.orderBy("rank_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.select(*[F.col(b).alias(f"rank_{b}") for b in by], F.col("rank_cell").alias("rank_at"), before.alias("rank_before"), F.sum("rank_n").over(whole).alias("size"))
+    same = F.col("rank_cell") == F.col("rank_at")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"rank_{b}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "rank_cell").orderBy(order))
+    out = celled.withColumn("rank", inside).join(sums, same).withColumn("rank", F.col("rank") + F.col("rank_before"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "rank", "size")
+
+
+def equally_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
+    """Up to ``n`` rows at ranks spaced evenly from the first to the last."""
+    at, size = F.col("rank") - 1, F.col("size")
+    k = F.ceil(at * (n - 1) / F.greatest(size - 1, F.lit(1)))
+    taken = (F.floor(k * (size - 1) / (n - 1)) == at) & (k <= n - 1)
+    return ranked(df, None, order).where(taken).drop("rank", "size")
+
+
+def strided(df: DataFrame, order: str, n: int) -> DataFrame:
+    """Every ``max(1, size div n)``-th row, ``n`` at most."""
+    at, stride = F.col("rank") - 1, F.greatest(F.lit(1), F.floor(F.col("size") / n))
+    return ranked(df, None, order).where((at % stride == 0) & (F.floor(at / stride) < n)).drop("rank", "size")
+
+
 def quota(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: Column | int) -> DataFrame:
     """The first ``n`` rows of each group."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    name = X.free_name(df, "rank")
+    return df.withColumn(name, rank).where(F.col(name) <= n).drop(name)
 
 
 def quota_shortfall(df: DataFrame, quotas: DataFrame, group: Sequence[str]) -> DataFrame:
     """``(group, quota, have, missing)`` of groups below their quota; groups without rows have none."""
+    return quota_balance(df, quotas, group).where("missing > 0")
+
+
+def quota_balance(df: DataFrame, quotas: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``(group, quota, have, missing)`` of all groups: a surplus is a negative ``missing``, and unplanned groups have the quota 0."""
     have = df.groupBy(*group).agg(F.count("*").alias("have"))
-    out = quotas.join(have, list(group), "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    return out.withColumn("missing", F.col("quota") - F.col("have")).where("missing > 0")
+    out = quotas.join(have, list(group), "full_outer").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("quota", "have")})
+    return out.withColumn("missing", F.col("quota") - F.col("have"))
 
 
-def round_robin(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """Adds ``turn``: rows sorted by (turn, group) go round the groups."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def round_robin(df: DataFrame, group: str, order: str) -> DataFrame:
+    """Adds ``turn``: rows sorted by (turn, group) go round the groups. ``order`` is a whole number that doesn't repeat in a group."""
+    return ranked(df, group, order).drop("size").withColumnRenamed("rank", "turn")
 
 
-def evenly_spaced(df: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
+def evenly_spaced(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """Up to ``n`` rows of each group at places ``floor(k * size / n)``."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    size = F.count(F.lit(1)).over(Window.partitionBy(group))
-    ranked = df.withColumn("_at", rank).withColumn("_size", size)
+    at, size = F.col("rank") - 1, F.col("size")
     # place k is at floor(k*size/n): the row is taken if some k falls on it
-    k = F.ceil(F.col("_at") * n / F.col("_size"))
-    taken = (k < n) & (F.floor(k * F.col("_size") / n) == F.col("_at"))
-    return ranked.where(taken).drop("_at", "_size")
+    k = F.ceil(at * n / size)
+    return ranked(df, group, order).where((k < n) & (F.floor(k * size / n) == at)).drop("rank", "size")
 
 
 def hash_sample(df: DataFrame, key: Column, n: int, salt: str = "") -> DataFrame:
-    return df.withColumn("_order", X.hash_order(key, salt)).orderBy("_order").limit(n).drop("_order")
+    name = X.free_name(df, "order")
+    return df.withColumn(name, X.hash_order(key, salt)).orderBy(name).limit(n).drop(name)
+
 
+def nearest_by(df: DataFrame, targets: Sequence[float], value: str, target: str, id_col: str, n: int, used: DataFrame | None = None) -> DataFrame:
+    """The ``n`` rows nearest to each of a few targets, ties to the smaller id, without those whose ids are ``used`` already.
 
-def nearest_by(df: DataFrame, targets: DataFrame, value: str, target: str, id_col: str, n: int) -> DataFrame:
-    """The ``n`` rows nearest to each target (few targets), ties to the smaller id."""
+    Adds ``target`` and ``rank``. Each task keeps ``n`` rows of a target before they are shuffled.
+    """
+    left = df if used is None else df.join(used.select(id_col), id_col, "left_anti")
     away = F.abs(F.col(value) - F.col(target))
     rank = F.row_number().over(Window.partitionBy(target).orderBy(away, id_col))
-    return df.join(F.broadcast(targets), F.lit(True)).withColumn("rank", rank).where(F.col("rank") <= n)
+    return left.withColumn(target, F.explode(F.array(*[F.lit(t) for t in targets]))).withColumn("rank", rank).where(F.col("rank") <= n)
+
 
+def language_slots(df: DataFrame, group: str, order: str, slots: Sequence[str], fallback: str | None = None) -> DataFrame:
+    """Adds ``slot``: a repeating plan of groups. ``order`` is a whole number that doesn't repeat in a group.
 
-def language_slots(df: DataFrame, group: str, order: Sequence[str], slots: Sequence[str]) -> DataFrame:
-    """Adds ``slot``: a repeating plan of groups; a group with fewer rows than its slots ends early."""
+    A group without rows of its own gives its places to ``fallback``, if there is one; a group with fewer rows than places ends early.
+    """
+    present = df.select(group).distinct().where(F.col(group).isin(*dict.fromkeys(slots)))
+    if fallback is not None:
+        have = {r[0] for r in present.collect()}  # as many as the plan names, at most
+        slots = [s if s in have else fallback for s in slots]
     plan = {g: [i for i, s in enumerate(slots) if s == g] for g in dict.fromkeys(slots)}
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    at = F.lit(None).cast("long")
+    at, slot = F.col("rank") - 1, F.lit(None).cast("long")
     for g, places in plan.items():
-        own = F.floor(F.col("_at") / len(places)) * len(slots) + F.element_at(F.array(*[F.lit(p) for p in places]), (F.col("_at") % len(places) + 1).cast("int"))
-        at = F.when(F.col(group) == g, own).otherwise(at)
-    return df.withColumn("_at", rank).withColumn("slot", at).where(F.col("slot").isNotNull()).drop("_at")
+        own = F.floor(at / len(places)) * len(slots) + F.element_at(F.array(*[F.lit(p) for p in places]), (at % len(places) + 1).cast("int"))
+        slot = F.when(F.col(group) == g, own).otherwise(slot)
+    return ranked(df, group, order).withColumn("slot", slot).where(F.col("slot").isNotNull()).drop("rank", "size")

@@ -10,7 +10,10 @@ from ..operators import admission, dedup, overlap, sampling
 from ..session import table
 from .registry import query
 
-NORM = r"array_to_string(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+'), ' ')"
+_FOLDED = "translate(lower({})" + f", '{''.join(X.SAME)}', '{''.join(X.SAME.values())}')"
+for _letter, _spelled in X.FOLDS.items():
+    _FOLDED = f"replace({_FOLDED}, '{_letter}', '{_spelled}')"
+NORM = "array_to_string(regexp_extract_all(" + _FOLDED + r", '[\p{{L}}\p{{N}}_]+'), ' ')"
 N = NORM.format("text")
 WORDS = f"CASE WHEN {N} = '' THEN [] ELSE string_split({N}, ' ') END"
 GRAMS = """SELECT DISTINCT {id}, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT {id}, w, unnest(generate_series(1, len(w) - 7)) AS i FROM (SELECT {id}, {words} AS w FROM {table}) WHERE len(w) >= 8)"""
@@ -43,17 +46,19 @@ def decontam_clean_docs(spark, sf_dir):
 
 
 @query(f"""WITH d AS ({DG}), k AS (SELECT DISTINCT gram FROM ({IG})), n AS (SELECT doc_id, count(*) n FROM d GROUP BY 1)
-SELECT doc_id, n, hits FROM (SELECT doc_id, count(*) hits FROM d WHERE gram IN (SELECT gram FROM k) GROUP BY 1) JOIN n USING (doc_id) WHERE hits >= greatest(3, 0.5 * n)""")
+SELECT doc_id, n, hits FROM (SELECT doc_id, count(*) hits FROM d WHERE gram IN (SELECT gram FROM k) GROUP BY 1) JOIN n USING (doc_id) WHERE hits >= greatest(3, 0.02 * n)""")
 def decontam_global_grams(spark, sf_dir):
-    return overlap.global_overlap(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id")
+    return overlap.global_overlap(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", min_share=0.02)
 
 
-@query(f"""WITH p AS (SELECT DISTINCT {N} AS f FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents))
-SELECT DISTINCT item_id FROM (SELECT item_id, {N} AS f FROM benchmark UNION ALL SELECT item_id, {N} FROM (SELECT item_id, 'Question: ' || text AS text FROM benchmark)) WHERE f <> '' AND f IN (SELECT f FROM p)""")
+@query(f"""SELECT DISTINCT doc_id FROM (SELECT doc_id, {N} AS f FROM (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) UNION ALL SELECT doc_id, {N} FROM (SELECT doc_id, 'Question: ' || text AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)))
+WHERE f <> '' AND f IN (SELECT {N} FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)))""")
 def exposure_exact(spark, sf_dir):
-    lines = docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line"))
+    all_docs = docs(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels")
+    lines = all_docs.join(labels, "doc_id", "left_anti").select(F.explode(F.split("text", "\n")).alias("line"))
     t = F.col("text")
-    return overlap.exposed(table(spark, sf_dir, "benchmark"), "item_id", [t, F.concat(F.lit("Question: "), t)], lines, F.col("line"))
+    return overlap.exposed(all_docs.join(labels, "doc_id", "left_semi"), "doc_id", [F.element_at(F.split(t, "\n"), 1), F.concat(F.lit("Question: "), t)], lines, F.col("line"))
 
 
 @query(f"SELECT doc_id, sha256({N}) AS norm_sha256, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS weak_sha256 FROM documents")
@@ -72,10 +77,11 @@ def dup_groups(spark, sf_dir):
     return dedup.duplicate_groups(docs(spark, sf_dir), F.sha2(X.norm(F.col("text")), 256), "doc_id")
 
 
-@query("SELECT doc_id, CAST(len(list_distinct(string_split(text, ' '))) AS INTEGER) AS n_distinct, string_split(text, ' ')[1] AS first_word FROM documents")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents), f AS (SELECT doc_id, word, min(pos) AS pos FROM w GROUP BY 1, 2)
+SELECT doc_id, count(*)::INTEGER AS n_distinct, sha256(string_agg(word, ' ' ORDER BY pos)) AS in_order FROM f GROUP BY 1""")
 def ordered_distinct(spark, sf_dir):
     own = F.array_distinct(F.split("text", " "))
-    return docs(spark, sf_dir).select("doc_id", F.size(own).alias("n_distinct"), F.element_at(own, 1).alias("first_word"))
+    return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.size(own).alias("n_distinct"), F.sha2(F.array_join(own, " "), 256).alias("in_order"))
 
 
 @query(f"SELECT doc_id, count(*) AS n FROM ({DG}) GROUP BY 1")
@@ -95,7 +101,7 @@ def hash_order_sample(spark, sf_dir):
 
 @query("SELECT source, CASE WHEN (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 10 = 9 THEN 'validation' ELSE 'train' END AS split, doc_id FROM documents")
 def stride_split(spark, sf_dir):
-    turned = sampling.round_robin(docs(spark, sf_dir).select("source", "doc_id"), "source", ["doc_id"])
+    turned = sampling.round_robin(docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id")
     return turned.select("source", F.when((F.col("turn") - 1) % 10 == 9, "validation").otherwise("train").alias("split"), "doc_id")
 
 
@@ -110,23 +116,23 @@ def quota_shortfall(spark, sf_dir):
     return sampling.quota_shortfall(docs(spark, sf_dir), quotas, ["lang"])
 
 
-@query("SELECT turn, source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, source LIMIT 200")
+@query("SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, source, doc_id FROM documents")
 def round_robin_interleave(spark, sf_dir):
-    turned = sampling.round_robin(docs(spark, sf_dir).select("source", "doc_id"), "source", ["doc_id"])
-    return turned.orderBy("turn", "source").limit(200).select("turn", "source", "doc_id")
+    turned = sampling.round_robin(docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id")
+    return turned.select("turn", "source", "doc_id")
 
 
 @query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM documents)
 SELECT source, doc_id FROM r WHERE len(list_filter([0,1,2,3,4,5,6,7,8,9,10,11,12], lambda k: (k * size) // 13 = pos)) > 0""")
 def stratified_13(spark, sf_dir):
-    return sampling.evenly_spaced(docs(spark, sf_dir).select("source", "doc_id"), "source", ["doc_id"], 13)
+    return sampling.evenly_spaced(docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id", 13)
 
 
 @query("SELECT target, rank, doc_id, n_chars FROM (SELECT t.target, doc_id, n_chars, row_number() OVER (PARTITION BY t.target ORDER BY abs(n_chars - t.target), doc_id) AS rank FROM documents, (VALUES (500::BIGINT), (2000), (8000)) t(target)) WHERE rank <= 2")
 def nearest_length(spark, sf_dir):
-    targets = spark.createDataFrame([(500,), (2000,), (8000,)], "target long")
+    targets = [500, 2000, 8000]
     out = sampling.nearest_by(docs(spark, sf_dir).select("doc_id", "n_chars"), targets, "n_chars", "target", "doc_id", 2)
-    return out.select("target", F.col("rank").cast("long").alias("rank"), "doc_id", "n_chars")
+    return out.select(F.col("target").cast("long").alias("target"), F.col("rank").cast("long").alias("rank"), "doc_id", "n_chars")
 
 
 @query(PAIRS + f""", r AS (SELECT d.doc_id, CASE WHEN row_number() OVER (PARTITION BY {N} ORDER BY d.doc_id) > 1 THEN 'duplicate' WHEN d.doc_id IN (SELECT doc_id FROM pairs) THEN 'overlap' WHEN length(text) > 8000 THEN 'long' END AS reason FROM documents d)
@@ -202,10 +208,10 @@ def conjunction_filter(spark, sf_dir):
     return docs(spark, sf_dir).where(keep).select("doc_id")
 
 
-@query("SELECT doc_id, CAST(len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS INTEGER) AS n_words, length(text) - length(replace(text, 'the', 'th')) AS n_the FROM documents")
+@query("SELECT doc_id, CAST(len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS INTEGER) AS n_words, " + f"len(list_filter({WORDS}, lambda w: w = 'the')) AS n_the FROM documents")
 def word_counts(spark, sf_dir):
     t = F.col("text")
-    return docs(spark, sf_dir).select("doc_id", X.word_count(t).alias("n_words"), (F.length(t) - F.length(F.replace(t, F.lit("the"), F.lit("th")))).cast("long").alias("n_the"))
+    return docs(spark, sf_dir).select("doc_id", X.word_count(t).alias("n_words"), X.occurrences(t, "the").cast("long").alias("n_the"))
 
 
 @query("SELECT rule, failed FROM (SELECT 'short' AS rule, count(*) FILTER (NOT n_chars <= 20000) AS failed FROM documents UNION ALL SELECT 'english', count(*) FILTER (NOT lang = 'en') FROM documents UNION ALL SELECT 'counted', count(*) FILTER (NOT n_chars = length(text)) FROM documents) WHERE failed > 0")

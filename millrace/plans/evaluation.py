@@ -76,9 +76,9 @@ def wilson_by_lang(spark, sf_dir):
 
 @query("SELECT doc_id, round((quality - avg(quality) OVER w) / (stddev_pop(quality) OVER w + 1e-6), 6) AS advantage FROM labels JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY source)")
 def grouped_advantage(spark, sf_dir):
-    w = Window.partitionBy("source")
-    q = F.col("quality")
-    return labelled(spark, sf_dir).select("doc_id", F.round((q - F.avg(q).over(w)) / (F.stddev_pop(q).over(w) + 1e-6), 6).alias("advantage"))
+    rows = labelled(spark, sf_dir)
+    moments = rows.groupBy("source").agg(F.avg("quality").alias("mean"), F.stddev_pop("quality").alias("spread"))
+    return rows.join(moments, "source").select("doc_id", F.round((F.col("quality") - F.col("mean")) / (F.col("spread") + 1e-6), 6).alias("advantage"))
 
 
 @query("SELECT source, lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2 HAVING max(quality) = min(quality)")
@@ -113,9 +113,8 @@ def running_best_patience(spark, sf_dir):
 @query("SELECT p_brand FROM part GROUP BY 1 HAVING avg(p_retailprice) <= 1.01 * (SELECT avg(p_retailprice) FROM part) AND avg(p_size) <= 1.01 * (SELECT avg(p_size) FROM part)")
 def selection_gate(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    base = part.agg(F.avg("p_retailprice").alias("price"), F.avg("p_size").alias("size")).first().asDict()
-    by = part.groupBy("p_brand").agg(F.avg("p_retailprice").alias("price"), F.avg("p_size").alias("size"))
-    return pairing.eligible(by, ["price", "size"], base).select("p_brand")
+    means = [F.avg("p_retailprice").alias("price"), F.avg("p_size").alias("size")]
+    return pairing.eligible(part.groupBy("p_brand").agg(*means), ["price", "size"], part.agg(*means)).select("p_brand")
 
 
 CASES = [

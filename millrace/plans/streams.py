@@ -52,7 +52,7 @@ def stream_dedup(spark, sf_dir):
     return published(once.select("user_id", "event_type"), "append")
 
 
-@query("SELECT strftime(window_end, '%Y-%m-%d %H:%M') AS window_end, n FROM (SELECT time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes' AS window_end, count(*) AS n FROM events GROUP BY 1)")
+@query("SELECT strftime(window_end, '%Y-%m-%d %H:%M') AS window_end, n, round(n / 600.0, 9) AS per_second FROM (SELECT time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes' AS window_end, count(*) AS n FROM events GROUP BY 1)")
 def stream_rate(spark, sf_dir):
     rate = jobs.sliding_rate(events(spark, sf_dir), "ts", "10 minutes", "10 minutes")
-    return published(rate, "complete").select(F.date_format("at", "yyyy-MM-dd HH:mm").alias("window_end"), "n")
+    return published(rate, "complete").select(F.date_format("at", "yyyy-MM-dd HH:mm").alias("window_end"), "n", F.round("per_second", 9).alias("per_second"))

@@ -4,11 +4,14 @@ import itertools
 import math
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from millrace.functions import arrays as A
+from millrace.functions import numbers as M
 from millrace.functions import stats as S
 from millrace.functions import text as X
 from millrace.functions import validators as V
+from millrace.operators.kernels import compensated
 from pyspark.sql import functions as F
 
 
@@ -81,6 +84,7 @@ def test_masks(spark):
 
 
 def test_text(spark):
+    assert [one(spark, X.norm(F.col("t")), t=t) for t in ("ﬁnal ΟΔΟΣ ŉ", "ﬄ")] == ["final οδοσ ʼn".replace("ʼ", "ʼ"), "ffl"]
     cases = ["Straße  UND_x 12!", "", "a", None]
     rows = spark.createDataFrame([(c,) for c in cases], "t string").select(X.norm(F.col("t")).alias("n"), F.size(X.shingles(F.col("t"), 2)).alias("s"), X.word_count(F.col("t")).alias("w")).collect()
     assert [r.n for r in rows] == ["strasse und_x 12", "", "a", None]
@@ -89,7 +93,10 @@ def test_text(spark):
     t = lambda f, v: one(spark, f(F.col("t")), t=v)
     assert t(X.final_text, "<think>x</think> a </think> b <|end|>") == "b"
     assert t(X.last_fence, "```py\na\n```\n```\nb\n```") == "b\n"
-    assert t(X.boxed_integer, r"so \boxed{ -5 }") == -5
+    assert t(X.boxed_integer, r"so \boxed{ -5 }") == -5 and t(X.boxed_integer, r"\boxed{1} \boxed{2}") is None and t(X.boxed_integer, r"\boxed{\frac{1}{2}}") is None
+    assert t(X.boxed, r"\boxed{\frac{1}{2}} and \boxed{x} or \boxed{open") == [r"\frac{1}{2}", "x"]
+    assert t(lambda c: X.occurrences(c, "the"), "The other; the, there") == 2
+    assert t(X.has_control, "a <|end|>") is True and t(X.has_control, "a < b |>") is False
     assert t(X.scrub_paths, "at /home/me/x.txt now") == "at LOCAL/x.txt now"
     assert t(X.canonical_json, '{"b":1, "a":[1, 2]}') == '{"a":[1,2],"b":1}'
     assert one(spark, X.duration(F.lit(3700.0))) == "1 h 01 min"
@@ -97,10 +104,63 @@ def test_text(spark):
 
 def test_exact_arithmetic():
     assert V.exact_value("1/3 + 2*(4-1)**2") == Fraction(55, 3)
-    assert [V.exact_value(x) for x in ("1/0", "__import__('os')", "2**999", "x+1", "1" * 501, None)] == [None] * 6
+    assert [V.exact_value(x) for x in ("1/0", "__import__('os')", "2**999", "x+1", "1" * 501, None, "factorial(171)", "gcd(1)", "abs(1, 2)", "lcm(1/2, 3)", "9" * 400)] == [None] * 11
+    hostile = ("(((2**64)**64)**64)**64", "((((9**64)**64)**64)**64)**8", "2**64" + "*2**64" * 40)
+    assert [V.exact_value(x) for x in hostile] == [None] * 3
+    assert V.exact_value("2**-2 + 0.75") == 1 and V.exact_value(" gcd(12, 18) * comb(5, 2) - factorial(4) ") == 36 and V.exact_value("abs(-7) % 4") == 3
+    assert V.exact_value("-7 // 2") == -4 and V.exact_value("1.1 * 3") == Fraction(33, 10)
     assert V.exact_value("a*a - b", {"a": 5, "b": 3}) == 22
 
 
+def test_exact_arithmetic_in_batches(spark):
+    rows = spark.createDataFrame([("1/3 + 1/6", "0.5"), ("oops", "1"), ("2", None), ("3", "2")], "a string, g string")
+    got = rows.select(V.exact_fraction(F.col("a")).alias("f"), V.scored(F.col("a"), F.col("g")).alias("s")).collect()
+    assert [r.f for r in got] == ["1/2", None, "2/1", "3/1"]
+    assert [tuple(r.s) for r in got] == [(True, None), (False, "not evaluable"), (False, "no gold value"), (False, None)]
+    pairs = spark.createDataFrame([("(a+b)**2", "a*a + 2*a*b + b*b"), ("a*b", "a+b"), ("a/b", "a/b")], "x string, y string")
+    check = V.identity_holds(F.col("x"), F.col("y"), ["a", "b"], [(1, 2), (2, 2), (-3, 0)])
+    assert [r[0] for r in pairs.select(check).collect()] == [True, False, False]
+
+
+def test_number_theory(spark):
+    cases = [(12, 18), (-12, 18), (0, 5), (7, 0), (2**62, 6), (1, 1)]
+    rows = spark.createDataFrame(cases, "a long, b long").select(M.gcd(F.col("a"), F.col("b")).alias("g"), M.floor_mod(F.col("a"), F.col("b")).alias("m"), M.floor_div(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.g for r in rows] == [math.gcd(a, b) for a, b in cases]
+    assert [(r.m, r.d) for r in rows] == [(a % b, a // b) if b else (None, None) for a, b in cases]
+    assert one(spark, M.lcm(F.col("a"), F.col("b")), a=12, b=18) == 36
+    for n, k in [(5, 2), (60, 30), (4, 0), (4, 5), (10, 9)]:
+        assert one(spark, M.choose(F.col("n"), F.col("k")), n=n, k=k) == math.comb(n, k)
+    assert one(spark, M.modular_power(F.col("b"), F.col("e"), F.col("m")), b=7, e=12345678901, m=1000003) == pow(7, 12345678901, 1000003)
+    assert one(spark, M.progress_line(F.col("d"), F.col("n"), M.remaining_seconds(F.col("d"), F.col("n"), F.lit(30.0))), d=3, n=12) == "3/12 eta 90 s"
+
+
+def test_array_checks(spark):
+    x = [3, 1, 2, 2, 5, 4]
+    assert one(spark, A.earlier_not_larger(F.col("x")), x=x) == [sum(e <= v for e in x[:i]) for i, v in enumerate(x)]
+    assert one(spark, A.next_larger(F.col("x")), x=x) == [5, 2, 5, 5, None, None]
+    assert one(spark, A.block_reversed(F.col("x"), 4), x=x) == [2, 2, 1, 3, 4, 5]
+    assert one(spark, A.remainder_histogram(F.col("x"), 3), x=x) == [1, 2, 3]
+    assert [one(spark, A.strictly_sorted(F.col("x")), x=v) for v in ([1, 2, 9], [1, 1], [4])] == [True, False, True]
+    assert one(spark, A.swap_heads(F.col("x"), 2, 3, 1), x=[0, 1, 2, 3, 4, 5]) == [0, 3, 1, 4, 2, 5]
+    assert [one(spark, A.delimiter_once_before(F.col("x"), F.lit(9), F.lit(7)), x=v) for v in ([1, 9, 7], [9, 9, 7], [7, 9], [9, 1])] == [True, False, False, False]
+    assert one(spark, A.lerp(F.col("x"), F.col("y"), 0.25), x=[0.0, 4.0], y=[4.0, 0.0]) == [1.0, 3.0]
+    assert one(spark, A.ternary_bits(F.lit(1000), 128, 16), x=1) == pytest.approx((200 * 8 + 8 * 16) / 1000)
+
+
+def test_compensated_codes_lose_less(spark):
+    rng = np.random.default_rng(4)
+    mix = rng.normal(size=(12, 12))
+    inputs = rng.normal(size=(400, 12)) @ mix
+    rows = [(0, i, rng.normal(size=12).tolist()) for i in range(30)]
+    weights = spark.createDataFrame(rows, "layer int, row int, w array<double>")
+    moments = spark.createDataFrame([(0, (inputs.T @ inputs / 400).ravel().tolist())], "layer int, h array<double>")
+    got = {r.row: (np.array(r.q), np.array(r.w)) for r in compensated(weights, moments, "layer", "row", "w", "h").collect()}
+    error = lambda q, w: float(((inputs @ (w - q)) ** 2).sum())
+    plain = sum(error(np.rint(np.clip(w / np.abs(w).mean(), -1, 1)) * np.abs(w).mean(), w) for _, w in got.values())
+    assert len(got) == 30 and sum(error(q, w) for q, w in got.values()) < 0.8 * plain
+    assert all(len(set(np.round(np.abs(q[q != 0]), 9))) <= 1 for q, _ in got.values())
+
+
 def test_constraints(spark):
     rows = [("min_words", "a b c", "3"), ("max_words", "a b c", "2"), ("word_once", "Tea, then tea", "tea"), ("word_banned", "no milk", "tea"), ("paragraphs", "a\n\nb", "2"), ("lines_start", "- a\n- b", "- "), ("ends", "yes. ", "."), ("odd", "x", "x")]
     df = spark.createDataFrame(rows, "k string, a string, x string")
