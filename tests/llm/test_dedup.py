@@ -110,13 +110,14 @@ def near(text, rng, edits):
 
 
 def brute_classes(rows, threshold=0.8):
-    """Smallest id of each chain of links, over texts that have ids of their own."""
-    hashed = {i: np.unique(S.shingle_hashes([t])[0], return_counts=True) for i, t in rows}
+    """Smallest id of each chain of links, over rows that have ids of their own."""
+    texts = {i: t or "" for i, t in rows}
+    hashed = {i: np.unique(S.shingle_hashes([t])[0], return_counts=True) for i, t in texts.items()}
     df = collections.Counter(h for x in hashed.values() for h in x[0].tolist())
     own = {i: (h, M.idf_weights(tf, np.array([df[x] for x in h.tolist()]), len(rows), 0.25)) for i, (h, tf) in hashed.items()}
     name = {i: i for i in own}
     for a, b in itertools.combinations(own, 2):
-        if name[a] != name[b] and M.weighted_jaccard(own[a], own[b]) >= threshold:
+        if name[a] != name[b] and (texts[a] == texts[b] or len(own[a][0]) and len(own[b][0]) and M.weighted_jaccard(own[a], own[b]) >= threshold):
             low, high = sorted((name[a], name[b]))
             name = {i: low if x == high else x for i, x in name.items()}
     return name
