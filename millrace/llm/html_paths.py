@@ -172,11 +172,14 @@ class Page:
             flush()
             links = 0
             ends = CLOSES_ITSELF.get(name, ())
-            for i in range(len(stack) - 1, -1, -1) if open_["p"] > 0 or any(open_[x] > 0 for x in ends) else ():
+            closers = {"p", *ends}
+            i = len(stack) - 1
+            while i >= 0 and any(open_[x] > 0 for x in closers):
                 if stack[i][0] in SCOPES or stack[i][0] in CONTAINERS and name not in ("td", "th", "tr"):
                     break
-                if stack[i][0] in ends or stack[i][0] == "p":
+                if stack[i][0] in closers:
                     back(i)
+                i -= 1
             attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(inner)}
             loud = noise or name in DROPPED or attributes.get("role", "").lower() in NOISE_ROLES
             if not loud and name == "header":
