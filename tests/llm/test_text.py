@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import textwrap
+import time
 import zlib
 from pathlib import Path
 
@@ -319,6 +320,26 @@ def test_pages(spark):
     assert got[14] == {"", "a < b <i> c"}
 
 
+def test_pages_that_would_take_long():
+    """Deep nesting, tags and quotes that never end: time and memory grow with the page, not with its square."""
+    deep = "<div class=a>" * 40_000 + "<p>the text</p>"
+    began = time.process_time()
+    for source in (deep, "<a " * 100_000 + "x", '<a ">" ' * 60_000, "<a '\"" * 60_000 + ">", "<div>" * 20_000 + "</p>" * 20_000, "<blockquote>" * 20_000 + "<li>a" * 20_000, "<article>" * 20_000 + "<header>h</header>" * 2000, "<!" * 100_000, "&amp" * 100_000):
+        page = H.Page(source)
+        page.text(H.best_path(page.scores()))
+    assert time.process_time() - began < 20
+    page = H.Page(deep)
+    assert page.text(H.best_path(page.scores())) == "the text"
+    assert H.Page("a<img src=x>b <b>c</b>d").text(None) == "ab cd"
+
+
+def test_page_rows(spark):
+    rows = [(None, "http://a.org/1", "<p>null id</p>"), (None, None, None), (7, "http://a.org/2", "<p>" + "long text " * 100_000)]
+    got = {(r.page_id, r.url): r.n_chars for r in H.extract_pages(spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, path string, host string")).collect()}
+    assert got == {(None, "http://a.org/1"): 7, (None, None): 0, (7, "http://a.org/2"): 999_999}
+    assert H.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 def test_wrappers_named_after_the_layout(spark):
     article = "<article><p>The article of this page.</p><div class=share>tweet</div></article><div class=sidebar><p>side</div><div class='comments'><article>I say</article></div>"
     rows = [
@@ -341,6 +362,7 @@ def test_urls(spark):
         (1, "http://x.example.org/es/a", None), (2, "HTTP://EXAMPLE.ORG/en/12?q#f", ""), (3, "http://a.com/de/x", link.format("http://z.net/1")), (4, "https://z.net/1#top", None),
         (5, "http://y.net/p", link.format("//z.net/1")), (6, "http://w.net/a/b", "<meta http-equiv=refresh content='0; url=/c'>"), (7, "http://w.net/c", None), (8, None, None), (9, "no scheme", None),
         (10, "http://q.net/", link.format("http://a.com/fr/x")), (11, "http://q.net/2", link.format("http://q.net/") + "<meta http-equiv='refresh' content='5;URL=http://a.com/de/y'>"), (12, "http://org", None), (13, "http://notexample.org/es/", None), (1, "http://x.example.org/es/a", None),
+        (14, "http://r.net/a/b/c", link.format("../../d?x=1")), (15, "http://r.net/d?x=1", link.format("http://s.net/no") + link.format("http://a.com/de/second")), (None, "http://u.net/", "x" * 500_000 + link.format("http://a.com/de/long")), (16, "http://v.net/" + "p" * 100_000, None),
     ]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.url_verdicts(spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, html string, host string"), RULES).collect()}
     assert got[1] == ("x.example.org", "/es/a", "example.org/es/", "block") and got[2] == ("example.org", "/en/12", "example.org/en/1", "block")
@@ -349,6 +371,7 @@ def test_urls(spark):
     assert got[6][3] == got[7][3] == "allow" and got[8] == ("", "", None, "allow") == got[9]
     assert got[10][3] == "allow" and got[11][3] == "allow"  # an explicit allow among the aliases wins
     assert got[12] == ("org", "", None, "allow") and got[13][2] == "org/"
+    assert got[14][3] == got[15][3] == got[None][3] == "block" and got[16][3] == "allow" and len(got[16][1]) == 100_001
     assert U.url_verdicts(spark.createDataFrame([], "page_id long, url string, html string"), RULES).collect() == []
 
 
