@@ -12,6 +12,8 @@ change a result.
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +28,8 @@ _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Code points that are segmented at once.
 BATCH_CHARS = 3_000_000
+#: Chunks that are sampled at once.
+GROUP_CHUNKS = 120_000
 
 
 class PieceModel:
@@ -100,8 +104,8 @@ class Lattices:
 
     def __init__(self, model: PieceModel, texts: list[str]) -> None:
         sizes = np.array([len(t) for t in texts], np.int64)
-        self.first = np.cumsum(sizes + 1) - (sizes + 1)
-        self.last = self.first + sizes
+        self.first = (np.cumsum(sizes + 1) - (sizes + 1)).astype(np.int32)
+        self.last = (self.first + sizes).astype(np.int32)
         n = int((sizes + 1).sum())
         code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64) if texts else np.zeros(0, np.uint64)
         room = np.repeat(self.last, sizes + 1) - np.arange(n)
@@ -127,10 +131,10 @@ class Lattices:
         start, stop, piece, logp = map(np.concatenate, (start, stop, piece, logp))
 
         # Sums of all paths from a node to its chunk's end, from the last place of all chunks to the first.
-        order = np.argsort(start * (model.longest + 1) + (stop - start))
+        order = np.argsort(start * (model.longest + 1) - (stop - start))  # long steps first: they are likely
         start, stop, piece, logp = start[order], stop[order], piece[order], logp[order]
-        self.stop, self.piece, self.logp = stop, piece, logp
-        self.begin = np.searchsorted(start, np.arange(n + 1))
+        self.stop, self.piece, self.logp = stop.astype(np.int32), piece.astype(np.int32), logp
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(start, minlength=n)))).astype(np.int32)
         place = start - np.repeat(self.first, sizes + 1)[start]
         back = place.max(initial=0) - place
         order = np.argsort(back.astype(np.uint16) if back.max(initial=0) < 1 << 16 else back, kind="stable")
@@ -144,7 +148,15 @@ class Lattices:
             width = np.diff(np.append(node, b - a))
             self.mass[s[a:b][node]] = high + np.log(np.add.reduceat(np.exp(value - np.repeat(high, width)), node))
 
-        self.share = np.exp(np.minimum(logp + self.mass[stop] - self.mass[start], 0.0))
+        # What a step adds to a path's log-probability, and what its alternatives together leave.
+        self.start, self.log_share = start.astype(np.int32), np.minimum(logp + self.mass[stop] - self.mass[start], 0.0)
+        self.share = np.exp(self.log_share)
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.log1p(-np.minimum(self.share, 1.0))
+        # Share of the steps from a node up to this one; the last one's is above every random number.
+        sums = np.cumsum(self.share)
+        self.upto = sums - np.concatenate(([0.0], sums))[self.begin[start]]
+        self.upto[self.begin[1:][np.diff(self.begin) > 0] - 1] = 2.0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -160,10 +172,20 @@ def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
         return ((_mix(key + np.uint64(salt) * _BASE) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def _below(limit: np.ndarray, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The perturbed maximum of sets with log-probability ``mass``, given that it is below ``limit``."""
-    with np.errstate(divide="ignore", over="ignore"):
-        return mass - np.logaddexp(mass - limit, np.log(-np.log(u)))
+def _uniform_one(key: int, salt: int) -> float:
+    """``_uniform`` of one key."""
+    mask = (1 << 64) - 1
+    x = (key + salt * int(_BASE)) & mask
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / 2.0**53
+
+
+def _below_one(limit: float, mass: float, u: float) -> float:
+    """The perturbed maximum of a set with log-probability ``mass``, given that it is below ``limit``."""
+    a, b = mass - limit, math.log(-math.log(u))
+    high = max(a, b)
+    return mass - high - math.log1p(math.exp(min(a, b) - high))
 
 
 def _walk(lat: Lattices, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,11 +195,9 @@ def _walk(lat: Lattices, node: np.ndarray, end: np.ndarray, key: np.ndarray) ->
     node = node.copy()
     while len(left):
         u = _uniform(key[left], 2 * step + 1)
-        e, sum_, open_ = lat.begin[node[left]].copy(), np.zeros(len(left)), np.arange(len(left))
-        stop = lat.begin[node[left] + 1] - 1
+        e, open_ = lat.begin[node[left]], np.arange(len(left))
         while len(open_):
-            sum_[open_] += lat.share[e[open_]]
-            open_ = open_[(sum_[open_] < u[open_]) & (e[open_] < stop[open_])]
+            open_ = open_[lat.upto[e[open_]] < u[open_]]
             e[open_] += 1
         found.append((who[left], np.full(len(left), step), e))
         node[left] = lat.stop[e]
@@ -196,88 +216,101 @@ def _walk(lat: Lattices, node: np.ndarray, end: np.ndarray, key: np.ndarray) ->
 def sample_texts(model: PieceModel, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` distinct segmentations ``(ids, log_prob, perturbed, inclusion)``, largest perturbed first."""
     split = [chunks(t) for t in texts]
-    types: dict[str, int] = {}
-    number = types.setdefault
-    flat = np.array([number(c, len(types)) for s in split for c in s], np.int64)
-    lat = Lattices(model, list(types))
+    types = list(dict.fromkeys(itertools.chain.from_iterable(split)))
+    number = dict(zip(types, range(len(types)), strict=True))
+    flat = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64)
+    lat = Lattices(model, types)
     n_chunks = np.array([len(s) for s in split], np.int64)
-    base = np.concatenate(([0], np.cumsum(n_chunks)))
-    n = len(texts)
-    keys = keys.astype(np.uint64)
+    ends = np.cumsum(n_chunks)
+    out, a = [], 0
+    while a < len(texts):  # so many chunks at once that what is sampled stays in the processor's cache
+        begin = int(ends[a] - n_chunks[a])
+        b = max(a + 1, int(np.searchsorted(ends, begin + GROUP_CHUNKS, "right")))
+        out.extend(_sample(model, lat, flat[begin : ends[b - 1]], n_chunks[a:b], keys[a:b].astype(np.uint64), k))
+        a = b
+    return out
 
-    def chunk_keys(text: np.ndarray, chunk: np.ndarray, turn: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return _mix(_mix(keys[text] + np.uint64(turn + 1) * _BASE) + chunk.astype(np.uint64))
+
+def _sample(model: PieceModel, lat: Lattices, flat: np.ndarray, n_chunks: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """``sample_texts`` of texts whose chunks have the numbers ``flat`` in ``lat``."""
+    n, base = len(n_chunks), np.concatenate(([0], np.cumsum(n_chunks)))
+    of_text, of_place = np.repeat(np.arange(n), n_chunks), np.arange(len(flat)) - np.repeat(base[:-1], n_chunks)
+    first_node, last_node = lat.first[flat], lat.last[flat]
 
     # A node left to expand: (perturbed maximum, log mass, sample, step, edges ruled out). A sample: its steps' edges and chunks.
     frontier: list[list[tuple[float, float, int, int, tuple[int, ...]]]] = [[] for _ in range(n)]
     samples: list[list[tuple[np.ndarray, np.ndarray, float, float]]] = [[] for _ in range(n)]
+    share, begin, start_of, stop_of = lat.share, lat.begin, lat.start, lat.stop
 
     for turn in range(k):
+        with np.errstate(over="ignore"):
+            chunk_key = _mix(_mix(keys + np.uint64(turn + 1) * _BASE)[of_text] + of_place.astype(np.uint64))
         # What to expand in each text: at first everything, later the best node.
-        jobs = []
+        jobs, heads = [], []
+        fresh = np.zeros(len(flat), bool)  # chunks that are walked from their beginning
+        nodes, chunks_ = [], []  # steps after which the rest of a chunk is walked
         for t in range(n):
             if turn == 0:
-                g = float(-np.log(-np.log(_uniform(keys[t : t + 1], 0)[0])))
-                jobs.append((t, g, 0.0, None, 0, ()))
+                g = -math.log(-math.log(_uniform_one(int(keys[t]), 0)))
+                jobs.append((t, g))
+                heads.append(None)
+                fresh[base[t] : base[t + 1]] = True
             elif frontier[t]:
                 best = max(range(len(frontier[t])), key=lambda i: frontier[t][i][0])
-                g, mass, parent, step, out = frontier[t].pop(best)
-                jobs.append((t, g, mass, parent, step, out))
-        if not jobs:
-            break
-        heads, nodes, ends, texts_, chunk_ = [], [], [], [], []
-        for t, g, mass, parent, step, out in jobs:
-            if parent is None:
-                heads.append((np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0, None))
-                first = 0
-            else:
+                g, _, parent, step, out = frontier[t].pop(best)
                 edges, of_chunk, _, _ = samples[t][parent]
-                e0 = int(edges[step])
-                node = int(np.searchsorted(lat.begin, e0, "right")) - 1
-                row = np.arange(lat.begin[node], lat.begin[node + 1])
-                row = row[~np.isin(row, out)]
-                p = lat.share[row]
-                u = float(_uniform(chunk_keys(np.array([t]), np.array([int(of_chunk[step])]), turn), 4 * len(out) + 2)[0])
-                pick = int(row[min(int(np.searchsorted(np.cumsum(p), u * p.sum())), len(row) - 1)])
-                before = float(np.log(lat.share[edges[:step]]).sum())
-                heads.append((np.append(edges[:step], pick), of_chunk[: step + 1], before, (row, pick, out)))
-                # the rest of this chunk, then all later chunks
+                node = int(start_of[edges[step]])
+                row = [e for e in range(int(begin[node]), int(begin[node + 1])) if e not in out]
                 c = int(of_chunk[step])
-                nodes.append(np.array([lat.stop[pick]])), ends.append(np.array([lat.last[flat[base[t] + c]]]))
-                texts_.append(np.array([t])), chunk_.append(np.array([c]))
-                first = c + 1
-            own = flat[base[t] + first : base[t + 1]]
-            nodes.append(lat.first[own]), ends.append(lat.last[own])
-            texts_.append(np.full(len(own), t)), chunk_.append(np.arange(first, n_chunks[t]))
-        node, end, text, chunk = map(np.concatenate, (nodes, ends, texts_, chunk_))
-        key = chunk_keys(text, chunk, turn)
-        walker, step_, edge = _walk(lat, node, end, key)
-        text, chunk, key = text[walker], chunk[walker], key[walker]
-        u = _uniform(key, 0x40000000) if not len(step_) else _uniform(_mix(key + step_.astype(np.uint64)), 0x40000000)
-        span = np.searchsorted(text, np.arange(n + 1))
-        log_q = np.log(lat.share[edge])
-        with np.errstate(divide="ignore"):
-            log_rest = np.log1p(-np.minimum(lat.share[edge], 1.0))
-        for (t, g, mass, parent, _, _), (edges, of_chunk, before, at) in zip(jobs, heads, strict=True):
+                key = int(chunk_key[base[t] + c])
+                weights = share[row].tolist()
+                left, pick = _uniform_one(key, 4 * len(out) + 2) * sum(weights), row[-1]
+                for e, w in zip(row, weights, strict=True):
+                    left -= w
+                    if left <= 0:
+                        pick = e
+                        break
+                before = float(lat.log_share[edges[:step]].sum())
+                rest = sum(w for e, w in zip(row, weights, strict=True) if e != pick)
+                jobs.append((t, g))
+                heads.append((np.append(edges[:step], pick), of_chunk[: step + 1], before + float(lat.log_share[pick]), (before, rest, pick, out, key)))
+                nodes.append(stop_of[pick])
+                chunks_.append(base[t] + c)
+                fresh[base[t] + c + 1 : base[t + 1]] = True
+        if not jobs:
+            break
+        # Rests of chunks and whole chunks, in the order of the chunks.
+        whole = np.flatnonzero(fresh)
+        place = np.concatenate((np.array(chunks_, np.int64), whole))
+        node = np.concatenate((np.array(nodes, np.int32), first_node[whole]))
+        order = np.argsort(place, kind="stable") if chunks_ else np.arange(len(place))
+        place, node = place[order], node[order]
+        key = chunk_key[place]
+        walker, step_, edge = _walk(lat, node, last_node[place], key)
+        text, chunk, key = of_text[place][walker], of_place[place][walker], key[walker]
+        with np.errstate(over="ignore"):
+            u = _uniform(_mix(key + step_.astype(np.uint64)), 0x40000000)
+        span = np.searchsorted(text, np.arange(n + 1)).tolist()
+        log_q, log_rest = lat.log_share[edge], lat.log_rest[edge]
+        log_u = np.log(-np.log(u))
+        for (t, g), head in zip(jobs, heads, strict=True):
             a, b = span[t], span[t + 1]
-            if at is not None:
-                row, pick, out = at
-                before += float(np.log(lat.share[pick]))
-                rest = [int(x) for x in row if x != pick]
-                if rest:
-                    m = before - float(np.log(lat.share[pick])) + float(np.log(lat.share[rest].sum()))
-                    u0 = _uniform(chunk_keys(np.array([t]), of_chunk[-1:], turn), 4 * len(out) + 4)
-                    frontier[t].append((float(_below(np.array([g]), np.array([m]), u0)[0]), m, len(samples[t]), len(edges) - 1, (*out, pick)))
+            edges, of_chunk, before = (edge[:0], chunk[:0], 0.0) if head is None else head[:3]
+            if head is not None:
+                above, rest, pick, out, own_key = head[3]
+                if rest > 0:
+                    m = above + math.log(rest)
+                    frontier[t].append((_below_one(g, m, _uniform_one(own_key, 4 * len(out) + 4)), m, len(samples[t]), len(edges) - 1, (*out, pick)))
             phi = before + np.cumsum(log_q[a:b])
-            left = before + np.concatenate(([0.0], np.cumsum(log_q[a:b])[:-1])) + log_rest[a:b] if b > a else np.zeros(0)
-            value = _below(np.full(b - a, g), left, u[a:b])
-            want = k - turn
-            top = np.argpartition(-value, want - 1)[:want] if len(value) > want else np.arange(len(value))
-            whole = np.concatenate((edges, edge[a:b]))
-            for i in top[np.isfinite(value[top])].tolist():
-                frontier[t].append((float(value[i]), float(left[i]), len(samples[t]), len(edges) + i, (int(edge[a + i]),)))
-            samples[t].append((whole, np.concatenate((of_chunk, chunk[a:b])), float(phi[-1]) if b > a else before, g))
+            if b > a:
+                left = log_rest[a:b] + before
+                left[1:] += phi[:-1] - before
+                value = left - np.logaddexp(left - g, log_u[a:b])
+                want = k - turn
+                top = np.argpartition(-value, want - 1)[:want] if len(value) > want else np.arange(len(value))
+                for i in top[np.isfinite(value[top])].tolist():
+                    frontier[t].append((float(value[i]), float(left[i]), len(samples[t]), len(edges) + i, (int(edge[a + i]),)))
+            samples[t].append((np.concatenate((edges, edge[a:b])), np.concatenate((of_chunk, chunk[a:b])), float(phi[-1]) if b > a else before, g))
 
     out = []
     for t in range(n):
