@@ -67,6 +67,11 @@ def hadamard(x: Column, n: int) -> Column:
     return let(x, lambda y: stage(y, 1))
 
 
+def signed(x: Column, signs: Column) -> Column:
+    """Values by a vector of signs, as before a transform that spreads outliers."""
+    return F.zip_with(x, signs, lambda v, s: v * s)
+
+
 def hadamard_at(x: Column, n: int, i: int) -> Column:
     """One coordinate of the transform."""
     signs = F.array(*[F.lit(1.0 if bin(i & j).count("1") % 2 == 0 else -1.0) for j in range(n)])

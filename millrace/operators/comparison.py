@@ -66,6 +66,15 @@ def prefix_of(log: DataFrame, plan: DataFrame, group: str, place: str, value: st
     return joined.groupBy(group).agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col(value) == F.col("planned"), F.lit(False))).alias("is_prefix"))
 
 
+def resumable(saved: DataFrame, current: DataFrame, key: str, config: str, steps: str) -> DataFrame:
+    """``(key, same_values, same_order, resumable)``: whether maps of settings agree on every name, and lists of steps in their order."""
+    both = saved.select(key, F.col(config).alias("saved_config"), F.col(steps).alias("saved_steps")).join(current.select(key, config, steps), key)
+    names = F.array_union(F.map_keys("saved_config"), F.map_keys(config))
+    values = F.forall(names, lambda n: F.try_element_at(F.col("saved_config"), n).eqNullSafe(F.try_element_at(F.col(config), n)))
+    order = F.col("saved_steps").eqNullSafe(F.col(steps))
+    return both.select(key, values.alias("same_values"), order.alias("same_order"), (values & order).alias("resumable"))
+
+
 def revalidated(stored: DataFrame, accepted: str, verdict: Column) -> DataFrame:
     """Stored decisions with a corrected rule: the old one is kept as ``<accepted>_before``."""
     return stored.withColumn(f"{accepted}_before", F.col(accepted)).withColumn(accepted, F.coalesce(verdict, F.lit(False)))

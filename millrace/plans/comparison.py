@@ -375,3 +375,16 @@ def grounded_quotes(spark, sf_dir):
     answer = F.when(F.col("turn") % 2 == 0, F.substring("text", 9, 12)).otherwise(F.concat(F.upper("role"), "text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", V.grounded(F.substring(answer, 1, 8), F.substring("text", 5, 40), F.col("text")).alias("grounded"))
 
+
+@query("SELECT event_id, props = '{\"k\": ' || CAST(json_extract_string(props, '$.k') AS BIGINT) || '}' AS same FROM events")
+def regenerated_rows(spark, sf_dir):
+    # The stored text is built again from its parameter and compared.
+    return table(spark, sf_dir, "events").select("event_id", (F.col("props") == X.fill('{"k": {k}}', k=F.get_json_object("props", "$.k"))).alias("same"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY 1)
+SELECT a.conv_id, len(a.roles) = len(b.roles) AS same_values, a.roles = b.roles AS same_order, len(a.roles) = len(b.roles) AND a.roles = b.roles AS resumable FROM c a JOIN c b ON a.conv_id + 1 = b.conv_id""")
+def resume_gate(spark, sf_dir):
+    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    own = own.select("conv_id", F.create_map(F.lit("turns"), F.size("t").cast("string")).alias("config"), F.transform("t", lambda x: x["role"]).alias("steps"))
+    return C.resumable(own, own.withColumn("conv_id", F.col("conv_id") - 1), "conv_id", "config", "steps")

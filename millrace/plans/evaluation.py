@@ -117,16 +117,19 @@ def selection_gate(spark, sf_dir):
     return pairing.eligible(part.groupBy("p_brand").agg(*means), ["price", "size"], part.agg(*means)).select("p_brand")
 
 
-CASES = [
-    (1, "json", '```json\n{"b": 1, "a": [1, 2]}\n```', '{"a":[1,2],"b":1}'), (2, "json", '{"a": true}', '{"a": 1}'), (3, "fraction", "2/4", "1/2"), (4, "fraction", "1/0", "1/2"),
-    (5, "number", "so #### 1,234.50", "1234.5"), (6, "integer", "ANSWER: -7", "-7"), (7, "letter", "ANSWER: A\nANSWER: C", "2"), (8, "literal", "  Straße!", "strasse"), (9, "number", "", "1"), (10, "odd", "x", "x"),
-]
+KINDS = ("integer", "fraction", "json", "number", "letter")
 
 
-@query("SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, TRUE), (4, FALSE), (5, TRUE), (6, TRUE), (7, TRUE), (8, TRUE), (9, FALSE), (10, FALSE)) t(id, correct)")
+@query("SELECT event_id, user_id % 2 = 0 AS correct FROM events")
 def validator_registry(spark, sf_dir):
-    cases = spark.createDataFrame(CASES, "id int, kind string, answer string, gold string")
-    return cases.select("id", V.validate(F.col("kind"), F.col("answer"), F.col("gold")).alias("correct"))
+    # Answers of five kinds made from the events; the gold answer of every second user is another one.
+    k, off = F.get_json_object("props", "$.k").cast("long"), F.col("user_id") % 2
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    answers = [text("ANSWER: ", k), text(k, "/7"), text("```json\n", F.col("props"), "\n```"), text("x #### ", k, ".50"), text("ANSWER: B\nANSWER: ", F.char(k % 26 + 65))]
+    golds = [text(k + off), text(2 * k + off, "/14"), text('{"k": ', k + off, "}"), text(k + off, ".5"), text((k + off) % 26)]
+    pick = lambda x: F.element_at(F.array(*x), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", pick([F.lit(x) for x in KINDS]).alias("kind"), pick(answers).alias("answer"), pick(golds).alias("gold"))
+    return rows.select("event_id", V.validate(F.col("kind"), F.col("answer"), F.col("gold")).alias("correct"))
 
 
 @query(r"SELECT page_id, CASE WHEN len(n) > 0 THEN n[len(n)] END AS last_integer FROM (SELECT page_id, regexp_extract_all(url, '/([0-9]+)', 1) AS n FROM pages)")
@@ -134,10 +137,15 @@ def extract_numeric_final(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X._last(F.regexp_extract_all("url", F.lit(r"/([0-9]+)"), F.lit(1))).alias("last_integer"))
 
 
-@query("SELECT conv_id, turn, 'done: ' || text AS final, TRUE AS finished FROM conversations")
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'done: ' || trim(text) WHEN 1 THEN '<think> ' || trim(text) WHEN 2 THEN 'a <|im_end|> ' || trim(text) ELSE trim(text) END AS final, turn % 4 <> 1 AS finished FROM conversations")
 def final_text_split(spark, sf_dir):
-    response = F.concat(F.lit("<think>a</think>b</think> done: "), F.col("text"), F.lit(" <|im_end|><|eot|>\n"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(""), X.final_text(response)).alias("final"), X.finished(response).alias("finished"))
+    t = F.trim("text")
+    around = lambda before, after: F.concat(F.lit(before), t, F.lit(after))
+    response = (
+        F.when(F.col("turn") % 4 == 0, around("<think>a</think>b</think> done: ", " <|im_end|><|eot|>\n")).when(F.col("turn") % 4 == 1, around("<think> ", "  <|eot|>"))
+        .when(F.col("turn") % 4 == 2, around("</think>a <|im_end|> ", " ")).otherwise(around("<|start|></think>", "<|eot|> <|eot|>"))
+    )
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.final_text(response).alias("final"), X.finished(response).alias("finished"))
 
 
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS users, bool_and(role IS DISTINCT FROM prev) AS alternates FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) GROUP BY 1")

@@ -52,10 +52,19 @@ def iterative_scale(spark, sf_dir):
     return df.select("vec_id", F.round("s", 9).alias("scale"))
 
 
-@query(f"""WITH e AS (SELECT vec_id, {X} AS x FROM embeddings) SELECT vec_id, """ + ", ".join(f"round(list_sum(list_transform(generate_series(0, 63), lambda j: x[j + 1] * (CASE WHEN bit_count({i} & j) % 2 = 0 THEN 1 ELSE -1 END))) / 8, 9) AS y{i}" for i in (0, 7, 63)) + " FROM e")
+@query(f"""WITH e AS (SELECT vec_id, {X} AS x FROM embeddings) SELECT vec_id, """ + ", ".join(f"round(list_sum(list_transform(generate_series(0, 63), lambda j: x[j + 1] * (CASE WHEN bit_count({i} & j) % 2 = 0 THEN 1 ELSE -1 END))) / 8, 9) AS y{i}" for i in (0, 7, 63)) + ", round(list_sum(list_transform(generate_series(0, 63), lambda i: (i + 1) * list_sum(list_transform(generate_series(0, 63), lambda j: x[j + 1] * (CASE WHEN bit_count(i & j) % 2 = 0 THEN 1 ELSE -1 END))))) / 8, 6) AS weighted FROM e")
 def hadamard64(spark, sf_dir):
     y = vectors(spark, sf_dir).select("vec_id", A.hadamard(F.col("x"), 64).alias("y"))
-    return y.select("vec_id", *[F.round(F.col("y")[i], 9).alias(f"y{i}") for i in (0, 7, 63)])
+    whole = A.total(F.transform("y", lambda v, i: v * (i + 1)))
+    return y.select("vec_id", *[F.round(F.col("y")[i], 9).alias(f"y{i}") for i in (0, 7, 63)], F.round(whole, 6).alias("weighted"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, {X} AS x FROM embeddings), g AS (SELECT vec_id, list_transform(generate_series(1, 64), lambda j: CASE WHEN (j * j + vec_id) % 3 = 0 THEN -x[j] ELSE x[j] END) AS x FROM e)
+SELECT vec_id, round(list_sum(list_transform(generate_series(0, 63), lambda i: (i + 1) * list_sum(list_transform(generate_series(0, 63), lambda j: x[j + 1] * (CASE WHEN bit_count(i & j) % 2 = 0 THEN 1 ELSE -1 END))))) / 8, 6) AS weighted FROM g""")
+def signed_hadamard64(spark, sf_dir):
+    signs = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda j: F.when((j * j + F.col("vec_id")) % 3 == 0, -1.0).otherwise(1.0))
+    y = vectors(spark, sf_dir).select("vec_id", A.hadamard(A.signed(F.col("x"), signs), 64).alias("y"))
+    return y.select("vec_id", F.round(A.total(F.transform("y", lambda v, i: v * (i + 1))), 6).alias("weighted"))
 
 
 @query("SELECT vec_id, TRUE AS same FROM embeddings")
@@ -83,10 +92,13 @@ def relative_mse(spark, sf_dir):
     return coded(spark, sf_dir).select("vec_id", F.round(A.relative_error(F.col("x"), back), 9).alias("error"))
 
 
-@query(CODED + f", d AS (SELECT vec_id, q, {Q.format(s='s * 1.25')} AS r FROM c) SELECT vec_id, len(list_filter(list_zip(q, r), lambda z: z[1] <> z[2])) / len(q) AS flipped FROM d")
+@query(CODED + f", d AS (SELECT vec_id, q, {Q.format(s='s * 1.25')} AS r FROM c) SELECT vec_id, len(list_filter(list_zip(q, r), lambda z: z[1] <> z[2])) / len(q) AS flipped, len(list_filter(generate_series(1, 64, 4), lambda i: q[i] <> r[i])) / 16 AS flipped_sampled, len(list_filter(list_zip(q, r), lambda z: z[1] <> z[2])) / len(q) > 0.1 AS many FROM d")
 def flip_fraction_two_scales(spark, sf_dir):
     d = coded(spark, sf_dir).withColumn("r", A.trits(F.col("x"), F.col("s") * 1.25))
-    return d.select("vec_id", (A.differences(F.col("q"), F.col("r")) / F.size("q")).alias("flipped"))
+    share = lambda q, r: A.differences(q, r) / F.size(q)
+    fourth = lambda c: F.transform(F.sequence(F.lit(0), F.lit(63), F.lit(4)), lambda i: F.get(c, i))
+    flipped = share(F.col("q"), F.col("r"))
+    return d.select("vec_id", flipped.alias("flipped"), share(fourth(F.col("q")), fourth(F.col("r"))).alias("flipped_sampled"), (flipped > 0.1).alias("many"))
 
 
 PL = "WITH e AS (SELECT vec_id, {x} AS x FROM embeddings), p AS (SELECT vec_id, list_transform(x, lambda v: v - ln(list_sum(list_transform(x, lambda u: exp(u))))) AS p, list_transform(list_reverse(x), lambda v: v - ln(list_sum(list_transform(x, lambda u: exp(u))))) AS q FROM e) ".format(x=X)
@@ -105,11 +117,11 @@ def topk_tail_kl(spark, sf_dir):
     return both.select("vec_id", F.round(A.coarse_divergence(F.col("p"), F.col("q"), 8), 9).alias("kl"))
 
 
-@query("WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(v * 10) AS INTEGER)) AS ids FROM embeddings) SELECT vec_id, 54 AS supervised, 11::BIGINT AS first_at, array_to_string(ids[11:14], ',') AS labels FROM c")
+@query("WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(v * 10) AS INTEGER)) AS ids FROM embeddings) SELECT vec_id, 54 AS supervised, 11::BIGINT AS first_at, array_to_string(list_concat(list_transform(generate_series(1, 10), lambda i: -100), ids[11:64]), ',') AS labels FROM c")
 def label_masks(spark, sf_dir):
     ids = F.transform("embedding", lambda v: F.floor(v.cast("double") * 10).cast("int"))
     m = table(spark, sf_dir, "embeddings").select("vec_id", A.mask_labels(ids, F.lit(10)).alias("m"))
-    return m.select("vec_id", A.supervised(F.col("m")).alias("supervised"), A.first_supervised(F.col("m")).alias("first_at"), F.array_join(F.slice("m", 11, 4), ",").alias("labels"))
+    return m.select("vec_id", A.supervised(F.col("m")).alias("supervised"), A.first_supervised(F.col("m")).alias("first_at"), F.array_join("m", ",").alias("labels"))
 
 
 @query(f"WITH e AS (SELECT vec_id, {X} AS x FROM embeddings) SELECT vec_id, coalesce(list_position(list_transform(list_zip(x, list_reverse(x)), lambda z: (z[1] > 0) <> (z[2] > 0)), TRUE), 0)::BIGINT AS first_at, len(list_filter(list_zip(x, list_reverse(x)), lambda z: (z[1] > 0) <> (z[2] > 0)))::INTEGER AS n FROM e")
