@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -32,8 +32,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = lower.join(roots.hint("merge"), "component", "left").select(
             "node", F.least("component", F.coalesce("root", "component")).alias("component"), "was"
         )
-        seen = Observation()
+        seen, last = Observation(), labels
         labels = durable(step.observe(seen, F.count_if(F.col("component") != F.col("was")).alias("moved"))).select("node", "component")
+        discard(last)
         if not seen.get["moved"]:
+            discard(both)
             return labels
     raise RuntimeError(f"components still move after {max_rounds} rounds")

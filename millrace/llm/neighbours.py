@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 #: Nodes of a start block, on average; they are compared with each other.
 BLOCK_NODES = 200
@@ -173,8 +173,9 @@ def nn_descent(codes: DataFrame, k: int, rounds: int, emit: int, stop_share: flo
     """``(u, w, score, fresh)``: the neighbour graph; ends early when a round replaces fewer than ``stop_share`` of the edges."""
     graph = durable(_best(_start(codes, k), k))
     for turn in range(rounds):
-        seen = Observation()
+        seen, last = Observation(), graph
         graph = durable(_descend(graph, codes, k, emit, turn).observe(seen, F.count_if("fresh").alias("fresh"), F.count(F.lit(1)).alias("all")))
+        discard(last)
         if seen.get["fresh"] <= stop_share * max(1, seen.get["all"]):
             break
     return graph
@@ -213,9 +214,10 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, seeds: list[i
         reached = marked.where("turn").select("q", F.col("node").alias("v")).join(near, "v").where(F.col("node") != F.col("q")).select("q", "node").distinct()
         fresh = scored(reached.join(pools.select("q", "node"), ["q", "node"], "left_anti")).withColumn("open", F.lit(True))
         merged = marked.select("q", "node", "score", (F.col("open") & ~F.col("turn")).alias("open")).unionByName(fresh)
-        seen = Observation()
+        seen, last = Observation(), pools
         kept = merged.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= pool).drop("rank")
         pools = durable(kept.observe(seen, F.count_if("open").alias("open")))
+        discard(last)
         if not seen.get["open"]:
             break
     return pools.select("q", "node")
