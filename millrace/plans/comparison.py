@@ -236,7 +236,7 @@ def shifted_labels(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.round(A.total(F.transform(pairs, lambda p: p["label"] * p["source"])), 9).alias("lagged"))
 
 
-@query("SELECT conv_id, len(list_distinct(t)) = len(t) AND t = list_sort(t) AS sorted_ids, len(list_filter(w, lambda x: x = 'the')) = 1 AND list_position(w, 'the') < list_position(w, 'and') AS once_before FROM (SELECT conv_id, list(turn ORDER BY turn) AS t, string_split(lower(string_agg(text, ' ' ORDER BY turn)), ' ') AS w FROM conversations GROUP BY 1)")
+@query("SELECT conv_id, len(list_distinct(t)) = len(t) AND t = list_sort(t) AS sorted_ids, len(list_filter(w, lambda x: x = 'the')) = 1 AND coalesce(list_position(w, 'the') < list_position(w, 'and'), FALSE) AS once_before FROM (SELECT conv_id, list(turn ORDER BY turn) AS t, string_split(lower(string_agg(text, ' ' ORDER BY turn)), ' ') AS w FROM conversations GROUP BY 1)")
 def sorted_ids_and_delimiters(spark, sf_dir):
     own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     words = F.split(F.lower(F.array_join(F.transform("t", lambda x: x["text"]), " ")), " ")
