@@ -20,7 +20,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published(df: DataFrame, mode: str) -> DataFrame:
     """Drain into Parquet in the folder that driver and executors share, and read it back; in complete mode the last batch is the result."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="millrace-stream-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if base is None:  # a local session gets a folder of its own
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="millrace-stream-")
     folder = f"{base}/stream-{uuid.uuid4().hex}"
     if mode != "complete":
         jobs.drain(df, f"{folder}/checkpoint", f"{folder}/rows", mode)
