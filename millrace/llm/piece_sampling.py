@@ -69,6 +69,20 @@ class PieceModel:
             self.tables[n] = keys, np.array([x[1] for x in heads]), np.array([x[2] for x in heads])
         self.spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
+        sizes = np.array([len(x) for x in self.spelled])
+        self.spelled_at, self.spelled_size, self.letters = np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(self.spelled), np.uint8)
+
+    def spell_all(self, samples: list[np.ndarray]) -> list[bytes]:
+        """``spell`` of many lists of ids at once."""
+        if not samples:
+            return []
+        ids = np.concatenate(samples)
+        size = self.spelled_size[ids]
+        ends = np.cumsum(size)
+        raw = self.letters[np.repeat(self.spelled_at[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cut = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(x) for x in samples])))].tolist()
+        return [raw[a:b].removeprefix(b" ") for a, b in itertools.pairwise(cut)]
+
     def spell(self, ids) -> bytes:
         """Pieces and bytes in order, without the blank that encoding put in front."""
         return b"".join(map(self.spelled.__getitem__, ids)).removeprefix(b" ")
@@ -93,9 +107,8 @@ def chunks(text: str) -> list[str]:
     """Parts of a text that begin with its blanks; together they spell the text with a blank in front."""
     if not text:
         return []
-    words = text.split(" ")
-    if "" not in words:
-        return [SPACE + w for w in words] if SPACE not in text else _RUNS.findall(SPACE + text.replace(" ", SPACE))
+    if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+        return f"{SPACE}{text.replace(' ', ' ' + SPACE)}".split(" ")
     return _RUNS.findall(SPACE + text.replace(" ", SPACE))
 
 
@@ -355,11 +368,12 @@ def sample_pieces(docs: DataFrame, model_file: str, k: int = 3, theta: float = 1
                 if not len(part):
                     continue
                 texts, rows = part["text"].tolist(), []
-                for doc, text, own in zip(part["doc_id"], texts, sample_texts(model, texts, part["key"].to_numpy(np.int64).view(np.uint64), k), strict=True):
+                found = sample_texts(model, texts, part["key"].to_numpy(np.int64).view(np.uint64), k)
+                spelled = iter(model.spell_all([ids for own in found for ids, *_ in own]))
+                for doc, text, own in zip(part["doc_id"], texts, found, strict=True):
                     want = text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
                     for i, (ids, lp, g, inc) in enumerate(own):
-                        listed = ids.tolist()
-                        rows.append((doc, i + 1, len(ids), lp, g, inc, zlib.crc32(ids.astype("<u4").tobytes()), model.spell(listed) == want, *([listed] if with_ids else [])))
+                        rows.append((doc, i + 1, len(ids), lp, g, inc, zlib.crc32(ids.astype("<u4").tobytes()), next(spelled) == want, *([ids.tolist()] if with_ids else [])))
                 cols = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion_prob", "ids_crc32", "decodes", *(["ids"] if with_ids else [])]
                 yield pd.DataFrame(rows, columns=cols).astype({"doc_id": "Int64"})
 
