@@ -26,7 +26,7 @@ from .common import cells, durable
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, {ids}cell long"
 #: Words whose ids a worker keeps; the store is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Marks that no letter joins in the tokenizer's own splitting; apostrophes may begin a contraction and aren't among them.
 MARKS = ".,;:!?%$#&*|()[]{}<>/+=-_\"~@^"
 
