@@ -362,7 +362,7 @@ def text_kinds(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(kind.alias("kind"), "lang").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, CASE kind WHEN 0 THEN n_words >= 150 WHEN 1 THEN n_words <= 150 WHEN 2 THEN n_paragraphs = 1 WHEN 3 THEN starts_with(text, 'Th') ELSE ends_with(rtrim(text, ' '), '.') END AS met FROM (SELECT doc_id, text, doc_id % 5 AS kind,
+@query(r"""SELECT doc_id, CASE kind WHEN 0 THEN n_words >= 150 WHEN 1 THEN n_words <= 150 WHEN 2 THEN n_paragraphs = 1 WHEN 3 THEN starts_with(text, 'Th') ELSE ends_with(rtrim(text, ' '), '.') END AS met FROM (SELECT doc_id, text, doc_id % 5 AS kind,
 len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS n_words, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p, ' ') <> '')) AS n_paragraphs FROM documents)""")
 def text_constraints(spark, sf_dir):
     kinds = [("min_words", "150"), ("max_words", "150"), ("paragraphs", "1"), ("starts", "Th"), ("ends", ".")]
