@@ -121,6 +121,18 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 """
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_repair import damaged, repair_digests
+
+    return repair_digests(damaged(read(spark, sf_dir, "conversations")))
+
+
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert_shards import hilbert_shards
+
+    return hilbert_shards(read(spark, sf_dir, "documents"), n_shards=40, dims=("lang", "source"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical_search import search
 
@@ -161,6 +173,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_line_dedup": op10_line_dedup,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_hilbert_shards": op12_hilbert_shards,
     "op13_lexical_search": op13_lexical_search,
 }
 #: op8: SQL for tables without redirect or canonical edges among their pages, as the test tables are.
