@@ -8,13 +8,13 @@ of one part, so that no cell, however many rows share it, is sorted in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import discard, durable
 
 #: Bits of each dimension, curve indexes of a section, and rows that a part of a cell should hold.
 BITS, SECTION, PART_ROWS = 6, 512, 10_000
@@ -64,33 +64,54 @@ def step_of(at: Column, first: Sequence[int], number: Sequence[int]) -> Column:
     return F.element_at(longs(number), F.size(F.filter(longs(first), lambda x: x <= at)))
 
 
-def hilbert_index(df: DataFrame, axes: Sequence[str], bits: int, name: str) -> DataFrame:
-    """Adds the place on a Hilbert curve of the point in ``axes``, whole numbers of ``bits`` bits, which are used up.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def hilbert_index(axes: Sequence[Column], bits: int) -> Column:
+    """The place on a Hilbert curve of a point whose coordinates are whole numbers of ``bits`` bits.
 
     The public algorithm by J. Skilling, "Programming the Hilbert curve" (2004): undo the rotations from the highest bit down, then
     take the Gray code and interleave its bits.
     """
-    head, *rest = axes
-    x = {a: F.col(a) for a in axes}
-    for k in range(bits - 1, 0, -1):
-        below = (1 << k) - 1
-        df = df.withColumn(head, F.when(x[head].bitwiseAND(1 << k) != 0, x[head].bitwiseXOR(below)).otherwise(x[head]))
-        for a in rest:
-            is_set = x[a].bitwiseAND(1 << k) != 0
-            swapped = x[head].bitwiseXOR(x[a]).bitwiseAND(below)
-            df = df.withColumns({head: F.when(is_set, x[head].bitwiseXOR(below)).otherwise(x[head].bitwiseXOR(swapped)), a: F.when(is_set, x[a]).otherwise(x[a].bitwiseXOR(swapped))})
-    for before, a in zip(axes, rest, strict=False):
-        df = df.withColumn(a, x[a].bitwiseXOR(x[before]))
-    turn = F.lit(0).cast("long")
-    for k in range(bits - 1, 0, -1):
-        turn = turn.bitwiseXOR(F.when(x[axes[-1]].bitwiseAND(1 << k) != 0, (1 << k) - 1).otherwise(0))
-    df = df.withColumn(name, turn)
-    code = F.lit(0).cast("long")
-    for k in range(bits - 1, -1, -1):
-        for i, a in enumerate(axes):
-            bit = F.shiftright(x[a].bitwiseXOR(F.col(name)), k).bitwiseAND(1)
-            code = code + F.shiftleft(bit, k * len(axes) + len(axes) - 1 - i)
-    return df.withColumn(name, code).drop(*axes)
+    names = [f"x{i}" for i in range(len(axes))]
+    packed = lambda values: F.struct(*[v.cast("long").alias(n) for n, v in zip(names, values, strict=True)])
+    is_set = lambda x, k: x.bitwiseAND(k) != 0
+
+    def unrotated(point: Column, bit: Column) -> Column:
+        below = bit - 1
+        head, *rest = [point[n] for n in names]
+        head = F.when(is_set(head, bit), head.bitwiseXOR(below)).otherwise(head)
+        out = []
+        for x in rest:
+            swap = head.bitwiseXOR(x).bitwiseAND(below)
+            out.append(F.when(is_set(x, bit), x).otherwise(x.bitwiseXOR(swap)))
+            head = F.when(is_set(x, bit), head.bitwiseXOR(below)).otherwise(head.bitwiseXOR(swap))
+        return packed([head, *out])
+
+    def gray(point: Column) -> Column:
+        own = [point[names[0]]]
+        for n in names[1:]:
+            own.append(point[n].bitwiseXOR(own[-1]))
+        return packed(own)
+
+    def interleaved(point: Column) -> Column:
+        turn = F.lit(0).cast("long")
+        for k in range(1, bits):
+            turn = turn.bitwiseXOR(F.when(is_set(point[names[-1]], F.lit(1 << k)), (1 << k) - 1).otherwise(0))
+
+        def code(turn: Column) -> Column:
+            out = F.lit(0).cast("long")
+            for k in range(bits):
+                for i, n in enumerate(names):
+                    out = out + F.shiftleft(F.shiftright(point[n].bitwiseXOR(turn), k).bitwiseAND(1), (k + 1) * len(names) - 1 - i)
+            return out
+
+        return bound(turn, code)
+
+    highest_first = F.array(*[F.lit(1 << k).cast("long") for k in range(bits - 1, 0, -1)])
+    return bound(F.aggregate(highest_first, packed(axes), unrotated, gray), interleaved)
 
 
 def curve_rows(docs: DataFrame, dims: Sequence[str]) -> tuple[DataFrame, int]:
@@ -98,9 +119,8 @@ def curve_rows(docs: DataFrame, dims: Sequence[str]) -> tuple[DataFrame, int]:
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     own = [F.col(f"`{d}`").cast("string" if isinstance(kinds[d], T.StringType) else "double").alias(f"dim{i}") for i, d in enumerate(dims)]
-    short = docs.select(*row_keys(dims), "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *own)
-    keys = short.columns
-    rows = durable(short.groupBy(*keys).agg(F.count("*").alias("copies")))
+    read = docs.select(*row_keys(dims), "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *own)
+    short = rows = durable(read.groupBy(*read.columns).agg(F.count("*").alias("copies")))
     names = [f"dim{i}" for i in range(len(dims))]
     strings = [n for n, d in zip(names, dims, strict=True) if isinstance(kinds[d], T.StringType)]
     ends = rows.agg(F.sum("copies").alias("total"), *[f(n).alias(f"{n}_{f.__name__}") for n in strings for f in (F.min, F.max)]).first()
@@ -116,7 +136,9 @@ def curve_rows(docs: DataFrame, dims: Sequence[str]) -> tuple[DataFrame, int]:
     for i, a in enumerate(axes):
         first, number = steps(counts[i], max(total, 1))
         rows = rows.withColumn(a, step_of(F.col(a), first, number) if first else F.lit(0).cast("long"))
-    return hilbert_index(rows, axes, BITS, "curve"), total
+    curve = durable(rows.withColumn("curve", hilbert_index([F.col(a) for a in axes], BITS)).drop(*axes))
+    discard(short)
+    return curve, total
 
 
 def before(*by: str, order: str) -> Column:
