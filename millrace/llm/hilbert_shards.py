@@ -147,16 +147,16 @@ def before(*by: str, order: str) -> Column:
     return F.coalesce(F.sum("n").over(w), F.lit(0))
 
 
-def ranked_rows(rows: DataFrame) -> DataFrame:
+def ranked_rows(rows: DataFrame, n_axes: int) -> DataFrame:
     """Adds ``first``, the rank of a row's first copy from 0, by curve, then by row key."""
     cells = rows.groupBy("curve").agg(F.sum("copies").alias("n")).withColumn("section", F.floor(F.col("curve") / SECTION))
     sections = cells.groupBy("section").agg(F.sum("n").alias("n"))  # 512 for three dimensions
     sections = sections.select("section", before(order="section").alias("section_before"))
-    # cells are 2 ** (6 * dimensions) at most, 262,144 for three, whatever the number of rows
     cells = cells.withColumn("cell_before", before("section", order="curve")).join(F.broadcast(sections), "section")
     cells = cells.select("curve", (F.col("section_before") + F.col("cell_before")).alias("cell_first"), F.ceil(F.col("n") / PART_ROWS).alias("n_parts"))
     part = F.shiftright(F.shiftrightunsigned("row_key", 33) * F.col("n_parts"), 31)
-    parted = rows.join(cells, "curve").withColumn("part", part)
+    # three dimensions have 262,144 cells, whatever the number of rows; more may have too many to broadcast
+    parted = rows.join(F.broadcast(cells) if n_axes <= 3 else cells, "curve").withColumn("part", part)
     parts = parted.groupBy("curve", "part").agg(F.sum("copies").alias("n")).withColumn("part_before", before("curve", order="part"))
     inside = Window.partitionBy("curve", "part").orderBy("row_key", "row_key2").rowsBetween(Window.unboundedPreceding, -1)
     placed = parted.join(parts.select("curve", "part", "part_before"), ["curve", "part"])
@@ -166,7 +166,7 @@ def ranked_rows(rows: DataFrame) -> DataFrame:
 def copies_placed(docs: DataFrame, n_shards: int, dims: Sequence[str]) -> tuple[DataFrame, str, str]:
     """Ranked rows, and SQL for the shard of a ``rank`` and the rank where a ``shard`` begins."""
     rows, total = curve_rows(docs, dims)
-    return ranked_rows(rows), f"CAST(rank * {n_shards} DIV {max(total, 1)} AS int)", f"(shard * {total}L + {n_shards - 1}) DIV {n_shards}"
+    return ranked_rows(rows, len(dims) + 1), f"CAST(rank * {n_shards} DIV {max(total, 1)} AS int)", f"(shard * {total}L + {n_shards - 1}) DIV {n_shards}"
 
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 40, dims: Sequence[str] = ("lang", "source")) -> DataFrame:
