@@ -18,35 +18,36 @@ from pyspark.sql import functions as F
 
 #: Runs merged at once, and entries that a final cell should hold at most.
 FAN, CELL_ROWS = 8, 100_000
-NO_ID = np.iinfo(np.int64).min
-RUN = "grp long, digits long, digest binary, check binary, best binary, count binary"
+RUN = "grp long, digits long, digest binary, check binary, best binary, ids binary, count binary"
 
 
-def _merge(digest: np.ndarray, check: np.ndarray, best: np.ndarray, count: np.ndarray, largest: bool) -> tuple[np.ndarray, ...]:
-    """Entries, in any order, to one sorted run with an entry per digest; ``digest`` is n x 4 big-endian words."""
+def _merge(digest: np.ndarray, check: np.ndarray, best: np.ndarray, ids: np.ndarray, count: np.ndarray, largest: bool) -> tuple[np.ndarray, ...]:
+    """Entries, in any order, to one sorted run with an entry per digest; ``digest`` is n x 4 big-endian words, ``ids`` counts rows that have an id."""
     order = np.lexsort((check, digest[:, 3], digest[:, 2], digest[:, 1], digest[:, 0]))
-    digest, check, best, count = digest[order], check[order], best[order], count[order]
+    digest, check, best, ids, count = digest[order], check[order], best[order], ids[order], count[order]
     new = np.ones(len(digest), bool)
     new[1:] = (digest[1:] != digest[:-1]).any(axis=1) | (check[1:] != check[:-1])
     at = np.flatnonzero(new)
     pick = np.maximum if largest else np.minimum
-    return digest[at], check[at], pick.reduceat(best, at) if len(at) else best, np.add.reduceat(count, at) if len(at) else count
+    if not len(at):
+        return digest, check, best, ids, count
+    return digest[at], check[at], pick.reduceat(best, at), np.add.reduceat(ids, at), np.add.reduceat(count, at)
 
 
 def _pieces(run: tuple[np.ndarray, ...], grp: int, digits: int, level: int) -> pd.DataFrame:
     """The run cut at digit ``level`` of its digests; a run is sorted, so its pieces are too."""
-    digest, check, best, count = run
+    digest, check, best, ids, count = run
     digit = (digest[:, 0] >> np.uint64(61 - 3 * level)) & np.uint64(FAN - 1)
     rows = []
     for d in np.unique(digit):
         m = digit == d
-        rows.append((grp // FAN, digits * FAN + int(d), digest[m].astype(">u8").tobytes(), check[m].tobytes(), best[m].tobytes(), count[m].tobytes()))
-    return pd.DataFrame(rows, columns=["grp", "digits", "digest", "check", "best", "count"])
+        rows.append((grp // FAN, digits * FAN + int(d), digest[m].astype(">u8").tobytes(), check[m].tobytes(), best[m].tobytes(), ids[m].tobytes(), count[m].tobytes()))
+    return pd.DataFrame(rows, columns=["grp", "digits", "digest", "check", "best", "ids", "count"])
 
 
 def _unpack(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
     words = lambda name, kind: np.frombuffer(b"".join(part[name]), kind)
-    return words("digest", ">u8").astype(np.uint64).reshape(-1, 4), words("check", "i8"), words("best", "i8"), words("count", "i8")
+    return words("digest", ">u8").astype(np.uint64).reshape(-1, 4), words("check", "i8"), words("best", "i8"), words("ids", "i8"), words("count", "i8")
 
 
 def digest_groups(rows: DataFrame, largest: bool = True) -> DataFrame:
@@ -67,9 +68,8 @@ def digest_groups(rows: DataFrame, largest: bool = True) -> DataFrame:
         for b in batches:
             if len(b):
                 digest = np.frombuffer(b"".join(b["digest"]), ">u8").astype(np.uint64).reshape(-1, 4)
-                best = b["id"].fillna(NO_ID).to_numpy(np.int64)
-                best = best if largest else np.where(best == NO_ID, np.iinfo(np.int64).max, best)
-                yield _pieces(_merge(digest, b["check"].to_numpy(np.int64), best, np.ones(len(b), np.int64), largest), grp, 0, 0)
+                run = digest, b["check"].to_numpy(np.int64), b["id"].to_numpy(np.int64), b["has_id"].to_numpy(np.int64), np.ones(len(b), np.int64)
+                yield _pieces(_merge(*run, largest), grp, 0, 0)
 
     def level(k: int):
         def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -77,18 +77,20 @@ def digest_groups(rows: DataFrame, largest: bool = True) -> DataFrame:
             grp, digits = int(part["grp"].iloc[0]), int(part["digits"].iloc[0])
             if k < rounds:
                 return _pieces(merged, grp, digits, k)
-            digest, check, best, count = merged
+            digest, check, best, ids, count = merged
             whole = digest.astype(">u8").tobytes()
-            keep = pd.Series(best, dtype="Int64").mask((best == NO_ID) | (best == np.iinfo(np.int64).max))
-            return pd.DataFrame({"digest": [whole[i : i + 32] for i in range(0, len(whole), 32)], "check": check, "keep_id": keep, "group_size": count})
+            return pd.DataFrame({"digest": [whole[i : i + 32] for i in range(0, len(whole), 32)], "check": check, "best": best, "ids": ids, "group_size": count})
 
         return run
 
-    runs = rows.select("id", "digest", "check").mapInPandas(leaf, RUN)
+    # no nulls reach pandas, where numbers beside them lose digits: a row without an id has the one that loses against all others
+    worst = np.iinfo(np.int64).min if largest else np.iinfo(np.int64).max
+    entries = rows.select(F.coalesce("id", F.lit(int(worst))).alias("id"), F.col("id").isNotNull().cast("long").alias("has_id"), "digest", "check")
+    runs = entries.mapInPandas(leaf, RUN)
     for k in range(1, rounds + 1):
-        out = RUN if k < rounds else "digest binary, check long, keep_id long, group_size long"
+        out = RUN if k < rounds else "digest binary, check long, best long, ids long, group_size long"
         runs = runs.groupBy("grp", "digits").applyInPandas(level(k), out)
-    return runs
+    return runs.select("digest", "check", F.when(F.col("ids") > 0, F.col("best")).alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:

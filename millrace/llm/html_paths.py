@@ -308,8 +308,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 if not text:
                     text = page.text(best_path(page.scores()))
                 texts.append(text or "")
-            out = b[["page_id", "url"]].astype({"page_id": "Int64"})
-            yield out.assign(text=texts, n_chars=[len(t) for t in texts])
+            yield b[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
 
     paths = durable(host_paths(rows).withColumn("path", F.col("path").cast("string")))  # in pandas, numbers with nulls lose digits
     if paths.count() <= BROADCAST_HOSTS:
@@ -317,4 +316,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     else:  # pages of one host may be many: each host's path is copied to every salt, and its pages are dealt among them
         salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    return joined.mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    # page ids too pass through pandas as strings
+    out = joined.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(extract, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))

@@ -147,13 +147,13 @@ def drop_frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     document whose lines all go is empty. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_keys())
+    rows = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"), *row_keys())
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     total, n_lines, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(breaks + 1), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_cells = max(cells(spark, total, CELL_DOCS), cells(spark, n_bytes, CELL_BYTES))
     n_shards = cells(spark, n_lines, SHARD_LINES)
     shards = build_shards(line_counts(rows, min_chars, n_shards))
-    celled = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(n_cells)))
+    celled = rows.withColumn("cell", F.pmod("row_key", F.lit(n_cells)))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -181,7 +181,7 @@ def drop_frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     def drop(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         owner_of = dict(zip(zip(found["high"].tolist(), found["low"].tolist(), strict=True), found["owner"].tolist(), strict=True))
         out = []
-        for doc, key, key2, text in zip(part["doc_id"], part["row_key"], part["row_key2"], part["text"], strict=True):
+        for doc, no_id, key, key2, text in zip(part["doc_id"], part["no_id"], part["row_key"], part["row_key2"], part["text"], strict=True):
             lines = text.split("\n")
             kept = lines
             if owner_of:
@@ -189,11 +189,11 @@ def drop_frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
                 owners = [owner_of.get(h, doc) for h in map(tuple, line_hashes([k for _, k in long]).tolist())]
                 gone = {i for (i, _), owner in zip(long, owners, strict=True) if owner != doc}
                 kept = [x for i, x in enumerate(lines) if i not in gone]
-            out.append((doc, key, key2, len(lines), len(lines) - len(kept), "\n".join(kept)))
-        return pd.DataFrame(out, columns=["doc_id", "row_key", "row_key2", "n_lines", "n_dropped", "kept_text"])
+            out.append((doc, no_id, key, key2, len(lines), len(lines) - len(kept), "\n".join(kept)))
+        return pd.DataFrame(out, columns=["doc_id", "no_id", "row_key", "row_key2", "n_lines", "n_dropped", "kept_text"])
 
-    dropped = celled.groupBy("cell").cogroup(hits.groupBy("cell")).applyInPandas(drop, "doc_id long, row_key long, row_key2 long, n_lines long, n_dropped long, kept_text string")
-    return dropped.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))
+    dropped = celled.groupBy("cell").cogroup(hits.groupBy("cell")).applyInPandas(drop, "doc_id long, no_id boolean, row_key long, row_key2 long, n_lines long, n_dropped long, kept_text string")
+    return dropped.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def without_frequent_lines(docs: DataFrame, **options) -> DataFrame:

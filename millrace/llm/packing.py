@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cells, durable
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, {ids}cell long"
+PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, {ids}cell long"
 #: Words whose ids a worker keeps; the store is emptied when full.
 CACHE_WORDS = 800_000
 #: Marks that no letter joins in the tokenizer's own splitting; apostrophes may begin a contraction and aren't among them.
@@ -105,12 +105,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int,
                     for start in range(0, n, max_tokens):
                         ids = raw[4 * start : 4 * (start + max_tokens)]
                         rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), n, *([ids] if with_ids else []), cell))
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []), "cell"])
-                yield out.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []), "cell"])
 
     cell = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_cells)).alias("cell")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", cell)
-    return texts.mapInPandas(run, PIECE.format(ids="ids binary, " if with_ids else ""))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(F.col("doc_id").cast("string").alias("doc_id"), "text", cell)
+    return long_ids(texts.mapInPandas(run, PIECE.format(ids="ids binary, " if with_ids else "")))
+
+
+def long_ids(rows: DataFrame) -> DataFrame:
+    """Ids pass through pandas as strings: numbers beside nulls lose digits there."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_patterns(histogram: dict[int, int], max_tokens: int) -> list[tuple[tuple[int, ...], int]]:
@@ -205,4 +209,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, end_
             yield b[names].assign(sequence_id=sequence, offset=offset)
 
     schema = PIECE.format(ids="ids binary, " if with_ids else "").replace("cell long", "sequence_id long, offset long")
-    return ranked.mapInPandas(place, schema)
+    return long_ids(ranked.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(place, schema))

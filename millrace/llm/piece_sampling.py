@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -356,7 +357,7 @@ def sample_pieces(docs: DataFrame, model_file: str, k: int = 3, theta: float = 1
     of them, each with inclusion 1. The row key is the id together with the text: rows that share both are sampled alike. The block
     character U+2581 in a text stands for a blank, as in the model, and so decodes to one. Other columns are ignored.
     """
-    names = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion_prob double, ids_crc32 long, decodes boolean" + ", ids array<int>" * with_ids
+    names = "doc_id string, sample int, n_pieces long, log_prob double, perturbed double, inclusion_prob double, ids_crc32 long, decodes boolean" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = piece_model(model_file, theta)
@@ -375,21 +376,23 @@ def sample_pieces(docs: DataFrame, model_file: str, k: int = 3, theta: float = 1
                     for i, (ids, lp, g, inc) in enumerate(own):
                         rows.append((doc, i + 1, len(ids), lp, g, inc, zlib.crc32(ids.astype("<u4").tobytes()), next(spelled) == want, *([ids.tolist()] if with_ids else [])))
                 cols = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion_prob", "ids_crc32", "decodes", *(["ids"] if with_ids else [])]
-                yield pd.DataFrame(rows, columns=cols).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=cols)
 
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(F.lit(seed), "doc_id", text).alias("key"))
-    return rows.mapInPandas(run, names)
+    # ids pass through pandas as strings: numbers beside nulls lose digits there
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(seed), "doc_id", text).alias("key"))
+    return rows.mapInPandas(run, names).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decode_pieces(rows: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """Add the text of an array of ids; null stays null, an empty array is the empty text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file, 1.0)
-        for b in batches:
-            yield b.assign(**{out_col: [None if ids is None else model.decode(ids) for ids in b[ids_col]]})
+        for b in batches:  # Arrow columns, as they are: in pandas, numbers beside nulls would lose digits
+            texts = [None if ids is None else model.decode(np.array(ids, np.int64)) for ids in b.column(ids_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
     kept = [f for f in rows.schema.fields if f.name != out_col]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{out_col}` string"])
-    return rows.select(*[f"`{f.name}`" for f in kept]).mapInPandas(run, schema)
+    return rows.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
