@@ -1,16 +1,54 @@
-"""Number theory, floor rules and progress arithmetic as Column expressions."""
+"""Number theory, floor rules and progress arithmetic: Arrow batches where Spark has no function, else Column expressions."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _longs(*arrays: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where any value is null, and the values with nulls as 1."""
+    null = np.zeros(len(arrays[0]), bool)
+    for a in arrays:
+        null |= np.asarray(a.is_null())
+    return null, [np.asarray(a.cast(pa.int64()).fill_null(1)) for a in arrays]
+
+
+@F.arrow_udf(T.LongType())
+def _gcd(a: pa.Array, b: pa.Array) -> pa.Array:
+    null, (x, y) = _longs(a, b)
+    return pa.array(np.gcd(x, y), mask=null)
+
+
+@F.arrow_udf(T.LongType())
+def _modular_power(base: pa.Array, exponent: pa.Array, modulus: pa.Array) -> pa.Array:
+    null, (b, e, m) = _longs(base, exponent, modulus)
+    null |= (m <= 0) | (m >= 2**31) | (e < 0)
+    m = np.where(null, 1, m)
+    out, square, e = np.ones_like(m) % m, b % m, np.where(null, 0, e)
+    while e.any():
+        out = np.where(e & 1, out * square % m, out)
+        square, e = square * square % m, e >> 1
+    return pa.array(out, mask=null)
+
+
+@F.arrow_udf(T.LongType())
+def _choose(n: pa.Array, k: pa.Array) -> pa.Array:
+    null, (x, y) = _longs(n, k)
+    pairs, at = np.unique(np.stack([x, y]), axis=1, return_inverse=True)
+    each = [math.comb(i, j) if 0 <= j <= i and min(j, i - j) <= 10_000 else 0 if i >= 0 and not 0 <= j <= i else None for i, j in pairs.T.tolist()]
+    each = [c if c is not None and c < 2**63 else None for c in each]
+    return pa.array([None if bad else each[i] for i, bad in zip(at.ravel().tolist(), null.tolist(), strict=True)], pa.int64())
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two longs by Euclid's steps, of which 64-bit numbers need 92 at most."""
-    start = F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b"))
-    step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(F.coalesce(F.try_mod(s["a"], s["b"]), F.lit(0))).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
+    """Greatest common divisor of two longs above -2**63, never negative."""
+    return _gcd(a.cast("long"), b.cast("long"))
 
 
 def lcm(a: Column, b: Column) -> Column:
@@ -19,21 +57,13 @@ def lcm(a: Column, b: Column) -> Column:
 
 
 def modular_power(base: Column, exponent: Column, modulus: Column) -> Column:
-    """``base ** exponent % modulus`` by squaring, for moduli below 2**31 and exponents below 2**62."""
-    start = F.struct(F.pmod(F.lit(1).cast("long"), modulus).alias("r"), F.pmod(base.cast("long"), modulus).alias("b"), exponent.cast("long").alias("e"))
-
-    def step(s: Column, _: Column) -> Column:
-        r = F.when(s["e"].bitwiseAND(F.lit(1).cast("long")) == 1, F.pmod(s["r"] * s["b"], modulus)).otherwise(s["r"])
-        return F.struct(r.alias("r"), F.pmod(s["b"] * s["b"], modulus).alias("b"), F.shiftright(s["e"], 1).alias("e"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(62)), start, step, lambda s: s["r"])
+    """``base ** exponent % modulus`` by squaring, for moduli from 1 to below 2**31 and exponents from 0; null for others."""
+    return _modular_power(base.cast("long"), exponent.cast("long"), modulus.cast("long"))
 
 
 def choose(n: Column, k: Column) -> Column:
-    """Binomial coefficient as a long; 0 outside 0..n. Exact while intermediate products fit (n up to 60)."""
-    least = F.least(k, n - k).cast("int")
-    product = F.aggregate(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), F.lit(1).cast("decimal(38,0)"), lambda a, i: F.when(i <= least, (a * (n - least + i) / i).cast("decimal(38,0)")).otherwise(a))
-    return F.when((k < 0) | (k > n), F.lit(0).cast("long")).otherwise(product.cast("long"))
+    """Binomial coefficient as a long, exact; 0 for ``k`` outside 0..n, null for a negative ``n`` and where a long is too small for it."""
+    return _choose(n.cast("long"), k.cast("long"))
 
 
 def floor_mod(a: Column, b: Column) -> Column:

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
 def first_wins(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """The first row of each key in ``order``."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    name = X.free_name(df, "rank")
-    return df.withColumn(name, rank).where(F.col(name) == 1).drop(name)
+    """The first row of each key in ``order``. Keys travel as digests, and each task sends one row of a key; a null key is a key."""
+    digest = F.coalesce(F.sha2(key.cast("string"), 256), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(digest.alias("key")).agg(F.min_by(row, F.struct(*order)).alias("row")).select("row.*")
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
