@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells
+from .common import cells, durable
 
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 NO_ID = np.iinfo(np.int64).min
@@ -152,7 +152,8 @@ def drop_frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     total, n_lines, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(breaks + 1), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_cells = max(cells(spark, total, CELL_DOCS), cells(spark, n_bytes, CELL_BYTES))
     n_shards = cells(spark, n_lines, SHARD_LINES)
-    shards = build_shards(line_counts(rows, min_chars, n_shards))
+    # written before they are probed: else a task that builds and probes a shard keeps two Python workers
+    shards = durable(build_shards(line_counts(rows, min_chars, n_shards)))
     celled = rows.withColumn("cell", F.pmod("row_key", F.lit(n_cells)))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
