@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common import discard, durable
 
 #: Bits of each dimension, curve indexes of a section, and rows that a part of a cell should hold.
-BITS, SECTION, PART_ROWS = 6, 512, 10_000
+BITS, SECTION, PART_ROWS = 6, 512, 1_000
 
 
 def number_bin(x: Column) -> Column:
