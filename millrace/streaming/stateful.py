@@ -54,17 +54,18 @@ class Admission(StatefulProcessor):
         counts = {k: list(self.counts.getValue((k,))) if self.counts.containsKey((k,)) else [0, 0, 0, 0] for k, _ in self.quota}
         out = []
         part = _sorted(rows, ["time", "id"])
-        for name, id_, verdict, time in zip(part["key"], part["id"].tolist(), part["verdict"], part["time"], strict=True) if len(part) else ():
-            if name not in counts:
-                continue  # a key without a quota has none
-            own = counts[name]
-            if verdict is None or verdict != verdict:
-                self.queue.updateValue((name, own[3]), (int(id_),))
-                own[3] += 1
-            elif own[1]:
-                own[1] -= 1
-                own[0] += bool(verdict)
-                pending -= 1
+        for time, event in part.groupby("time", sort=True) if len(part) else ():
+            for name, id_, verdict in zip(event["key"], event["id"].tolist(), event["verdict"], strict=True):
+                if name not in counts:
+                    continue  # a key without a quota has none
+                own = counts[name]
+                if verdict is None or verdict != verdict:
+                    self.queue.updateValue((name, own[3]), (int(id_),))
+                    own[3] += 1
+                elif own[1]:
+                    own[1] -= 1
+                    own[0] += bool(verdict)
+                    pending -= 1
             while pending < self.slots:
                 pick = next((i % len(self.quota) for i in range(turn, turn + len(self.quota)) if self._open(counts, i % len(self.quota))), None)
                 if pick is None:
@@ -93,10 +94,10 @@ class Admission(StatefulProcessor):
 
 
 def admit_in_turn(df: DataFrame, pool: str, key: str, id_col: str, verdict: str, time: str, keys: dict[str, int], slots: int) -> DataFrame:
-    """``(pool, place, key, id, time)``: the requests of each pool in the order they are admitted, at the time of the row that let them in.
+    """``(pool, place, key, id, time)``: the requests of each pool in the order they are admitted, at the time of the rows that let them in.
 
     ``verdict`` is null for a request and a boolean for the end of one. Keys outside ``keys`` are never admitted. Rows of one time are
-    taken by id.
+    one event: requests join their queues by id and verdicts free places, then places are filled.
     """
     use_rocksdb(df.sparkSession)
     rows = df.select(F.col(pool).cast("string").alias("pool"), F.col(key).cast("string").alias("key"), F.col(id_col).cast("long").alias("id"), F.col(verdict).cast("boolean").alias("verdict"), F.col(time).alias("time"))
