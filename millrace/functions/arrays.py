@@ -132,6 +132,30 @@ def first_supervised(labels: Column, ignore: int = -100) -> Column:
     return F.array_position(F.transform(labels, lambda v: v != ignore), True)
 
 
+def supervised_to_the_end(labels: Column, ignore: int = -100) -> Column:
+    """Whether the places that count are one run that reaches the end; false if none counts."""
+    return (supervised(labels, ignore) > 0) & (first_supervised(labels, ignore) + supervised(labels, ignore) - 1 == F.size(labels))
+
+
+def sampled_places(key: Column, size: Column, n: int) -> Column:
+    """``n`` places of an array, from 0, drawn with replacement by hashes of key and number: the same for every run and candidate."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: (F.conv(F.substring(F.sha2(F.concat_ws(":", key.cast("string"), j.cast("string")), 256), 1, 8), 16, 10).cast("long") % size).cast("int"))
+
+
+def movement(base: Column, value: Column, base_scale: Column, scale: Column, places: Column) -> Column:
+    """What happened at sampled places between two rows of weights with their scales: a struct of ``n``, ``flips`` (codes that differ),
+    ``near`` (values within 0.01 of the threshold of a code), ``moved`` and ``moved2`` (sums of differences over scale, and of squares)."""
+    pick = lambda x, s: F.transform(places, lambda i: F.get(x, i) / s)
+    pairs = F.zip_with(pick(base, base_scale), pick(value, scale), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    code = lambda v: F.greatest(F.least(F.rint(v), F.lit(1.0)), F.lit(-1.0))
+    count = lambda keep: F.size(F.filter(pairs, keep))
+    summed = lambda f: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + f(p["b"] - p["a"]))
+    return F.struct(
+        F.size(places).alias("n"), count(lambda p: code(p["a"]) != code(p["b"])).alias("flips"), count(lambda p: F.abs(F.abs(p["b"]) - 0.5) < 0.01).alias("near"),
+        summed(F.abs).alias("moved"), summed(lambda d: d * d).alias("moved2"),
+    )
+
+
 def is_partition(masks: Column, wanted: Column) -> Column:
     """Every wanted place has exactly one mask set, every other none; ``masks`` is an array of 0/1 arrays."""
     sums = F.aggregate(masks, F.transform(wanted, lambda _: F.lit(0)), lambda a, m: F.zip_with(a, m, lambda x, y: x + y))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,6 +142,21 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+def json_numbers(text: Column) -> Column:
+    """A JSON array of numbers as doubles; null for any other text."""
+    return F.from_json(text, "array<double>")
+
+
+def json_where(text: Column, keep: Callable[[Column], Column]) -> Column:
+    """The numbers of a JSON array that ``keep`` holds for, in their order, as JSON."""
+    return F.to_json(F.filter(json_numbers(text), keep))
+
+
+def json_summary(text: Column) -> Column:
+    """``{"count": n, "sum": s}`` of a JSON array of numbers, as JSON."""
+    return let(json_numbers(text), lambda x: F.when(x.isNotNull(), F.to_json(F.struct(F.size(x).alias("count"), F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("sum")))))
+
+
 def word_count(text: Column) -> Column:
     return let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda t: F.when(F.length(t) > 0, F.size(F.split(t, " "))).otherwise(0))
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ast
+import json
 import math
 import operator
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from fractions import Fraction
 
 import pandas as pd
@@ -15,70 +17,93 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from . import text as X
 
-# How long and deep an expression may be, and how large a number or exponent.
-MAX_CHARS, MAX_DEPTH, MAX_BITS, MAX_EXPONENT = 500, 20, 1024, 64
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow}
-_CALLS = {"abs": 1, "factorial": 1, "gcd": 2, "lcm": 2, "comb": 2}
 
 
-def _small(x: Fraction) -> Fraction:
-    if max(x.numerator.bit_length(), x.denominator.bit_length()) > MAX_BITS:
-        raise ValueError("too large")
-    return x
+@dataclass(frozen=True)
+class Bounds:
+    """What an expression may cost. Operands of an operator are numbers of ``digits`` characters at most, a fraction's bar included."""
+
+    chars: int
+    depth: int
+    nodes: int
+    digits: int
+    exponent: int
+    whole: int  # the largest argument of a function of whole numbers
+    factorial: int
+    calls: tuple[str, ...]
+    results: bool = False  # whether results, too, have at most that many digits
+
+
+# The bounds of answers that are scored, and those, tighter, of claims that a reviewer's counter-example refutes.
+ANSWER = Bounds(chars=500, depth=20, nodes=500, digits=3000, exponent=100, whole=10_000, factorial=200, calls=("abs", "factorial", "gcd", "lcm", "comb"))
+WITNESS = Bounds(chars=500, depth=500, nodes=120, digits=310, exponent=8, whole=10**12, factorial=0, calls=("abs", "gcd"), results=True)
+_PLACES = {"abs": 1, "factorial": 1, "comb": 2}
+#: Digits that a value may be spelled with; Python refuses more.
+SPELLED_BITS = 14_000
 
 
-def _call(name: str, args: list[Fraction]) -> Fraction:
+def _call(name: str, args: list[Fraction], bounds: Bounds) -> Fraction:
+    if name not in bounds.calls or len(args) != _PLACES.get(name, len(args)) or not args:
+        raise ValueError("not a function")
     if name == "abs":
         return abs(args[0])
-    if any(x.denominator != 1 for x in args):
-        raise ValueError("integers only")
-    whole = [int(x) for x in args]
-    if name in ("factorial", "comb") and not 0 <= whole[0] <= 170:
+    if any(x.denominator != 1 or abs(x) > bounds.whole for x in args):
+        raise ValueError("small whole numbers only")
+    if name == "factorial" and args[0] > bounds.factorial:
         raise ValueError("too large")
-    return Fraction(getattr(math, name)(*whole))
+    return Fraction(getattr(math, name)(*(int(x) for x in args)))
 
 
-def exact_value(expression: str | None, names: dict[str, int] | None = None) -> Fraction | None:
-    """The exact value of arithmetic on integers and decimals, with ``abs, factorial, gcd, lcm, comb``; None for anything else.
+def exact_value(expression: str | None, names: Mapping[str, int] | None = None, bounds: Bounds = ANSWER) -> Fraction | None:
+    """The exact value of arithmetic on integers and decimals, with some functions of whole numbers; None for anything else.
 
-    Length, depth, exponents and the size of every intermediate result are bounded, so that no answer can hold up a task.
+    Length, depth, exponents and the size of operands are bounded, so that no answer can hold up a task.
     """
     expression = None if expression is None else expression.strip()
-    if expression is None or len(expression) > MAX_CHARS:
+    if expression is None or len(expression) > bounds.chars:
         return None
 
-    def power(a: Fraction, b: Fraction) -> Fraction:
-        if b.denominator != 1 or abs(b) > MAX_EXPONENT or max(a.numerator.bit_length(), a.denominator.bit_length()) * abs(int(b)) > MAX_BITS + MAX_EXPONENT:
+    def operand(x: Fraction) -> Fraction:
+        bits = x.numerator.bit_length() + x.denominator.bit_length()
+        if bits > 3.33 * bounds.digits + 8 or len(str(x)) > bounds.digits:
             raise ValueError("too large")
-        return a ** int(b)
+        return x
 
     def value(node: ast.AST, depth: int) -> Fraction:
-        if depth > MAX_DEPTH:
+        if depth > bounds.depth:
             raise ValueError("too deep")
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            return _small(Fraction(ast.get_source_segment(expression, node).replace("_", "") if type(node.value) is float else node.value))
+            return Fraction(ast.get_source_segment(expression, node).replace("_", "") if type(node.value) is float else node.value)
         if isinstance(node, ast.Name) and names and node.id in names:
-            return _small(Fraction(names[node.id]))
+            return Fraction(names[node.id])
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.UAdd | ast.USub):
             return value(node.operand, depth + 1) * (1 if isinstance(node.op, ast.UAdd) else -1)
         if isinstance(node, ast.BinOp) and type(node.op) in _OPS:
-            a, b = value(node.left, depth + 1), value(node.right, depth + 1)
-            return _small(power(a, b) if isinstance(node.op, ast.Pow) else Fraction(_OPS[type(node.op)](a, b)))
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and _CALLS.get(node.func.id) == len(node.args) and not node.keywords:
-            return _small(_call(node.func.id, [value(x, depth + 1) for x in node.args]))
+            a, b = operand(value(node.left, depth + 1)), operand(value(node.right, depth + 1))
+            if isinstance(node.op, ast.Pow) and (b.denominator != 1 or abs(b) > bounds.exponent):
+                raise ValueError("not a small whole exponent")
+            result = a ** int(b) if isinstance(node.op, ast.Pow) else Fraction(_OPS[type(node.op)](a, b))
+            return operand(result) if bounds.results else result
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords:
+            return _call(node.func.id, [value(x, depth + 1) for x in node.args], bounds)
         raise ValueError("not arithmetic")
 
     try:
-        return value(ast.parse(expression, mode="eval").body, 0)
+        tree = ast.parse(expression, mode="eval")
+        return value(tree.body, 0) if sum(1 for _ in ast.walk(tree)) <= bounds.nodes else None
     except (ValueError, SyntaxError, ZeroDivisionError, RecursionError, MemoryError, TypeError, OverflowError):
         return None
 
 
+def _spelled(x: Fraction | None) -> str | None:
+    return None if x is None or max(x.numerator.bit_length(), x.denominator.bit_length()) > SPELLED_BITS else f"{x.numerator}/{x.denominator}"
+
+
 @F.pandas_udf(StringType())
 def exact_fraction(expressions: pd.Series) -> pd.Series:
-    """The exact value of arithmetic as ``numerator/denominator``; null for anything else."""
-    found = (exact_value(e) for e in expressions)
-    return pd.Series([None if x is None else f"{x.numerator}/{x.denominator}" for x in found], dtype=object)
+    """The exact value of arithmetic as ``numerator/denominator``; null for anything else, and for more than about 4,200 digits."""
+    return pd.Series([_spelled(exact_value(e)) for e in expressions], dtype=object)
 
 
 @F.pandas_udf(StructType([StructField("correct", BooleanType()), StructField("message", StringType())]))
@@ -105,6 +130,30 @@ def identity_holds(left: Column, right: Column, names: list[str], tries: list[tu
     return check(left, right)
 
 
+_REFUTED = StructType([StructField("refuted", BooleanType()), StructField("left", StringType()), StructField("right", StringType()), StructField("problem", StringType())])
+
+
+@F.pandas_udf(_REFUTED)
+def refuted(lefts: pd.Series, rights: pd.Series, assignments: pd.Series) -> pd.DataFrame:
+    """Whether an assignment (a JSON object of whole numbers, eight at most) shows that two expressions aren't equal, with both values.
+
+    ``problem`` says why nothing was shown: a bad assignment, an expression out of bounds, or values that are equal.
+    """
+    rows = []
+    for left, right, text in zip(lefts, rights, assignments, strict=True):
+        try:
+            names = json.loads(text) if text is not None else None
+        except ValueError:
+            names = None
+        if not isinstance(names, dict) or len(names) > 8 or any(type(v) is not int or abs(v) > WITNESS.whole for v in names.values()):
+            rows.append((False, None, None, "bad assignment"))
+            continue
+        a, b = exact_value(left, names, WITNESS), exact_value(right, names, WITNESS)
+        problem = "not evaluable" if a is None or b is None else "equal" if a == b else None
+        rows.append((problem is None, _spelled(a), _spelled(b), problem))
+    return pd.DataFrame(rows, columns=["refuted", "left", "right", "problem"])
+
+
 def fraction_parts(text: Column) -> tuple[Column, Column]:
     """Numerator and denominator of ``a/b`` or ``a``; null otherwise or for b = 0."""
     num = F.regexp_extract(text, r"^\s*(-?[0-9]+)\s*(?:/\s*[0-9]+)?\s*$", 1).try_cast("decimal(38,0)")

@@ -1,6 +1,6 @@
 """Registered queries, each with the SQL it must agree with."""
 
-from . import comparison, corpus, evaluation, kernels, ordered, relational, streams  # noqa: F401
+from . import checks, comparison, corpus, evaluation, kernels, ordered, relational, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

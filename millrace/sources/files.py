@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import file_system
+
 BAD = "_corrupt_record"
 
 
@@ -142,8 +144,50 @@ def write_once(df: DataFrame, path: str, partition_by: str | None = None) -> Non
 
 
 def write_replacing(df: DataFrame, path: str) -> None:
-    """Parquet that takes an old table's place once it is all written."""
-    df.write.mode("overwrite").parquet(path)
+    """Parquet that takes an old table's place once it is all written: ``df`` may read the table it replaces.
+
+    The new table is written beside the old one, and two renames swap them. A job that dies leaves the old table, or, between the renames,
+    both under other names, from which ``recover`` puts back a whole one.
+    """
+    spark = df.sparkSession
+    recover(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs, at = file_system(spark, path)
+    old, new = (at.suffix(s) for s in (".old", ".new"))
+    if fs.exists(at):
+        _rename(fs, at, old)
+    _rename(fs, new, at)
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or undo a ``write_replacing`` that was cut off: a table that isn't there is the new one, which was whole by then."""
+    fs, at = file_system(spark, path)
+    old, new = (at.suffix(s) for s in (".old", ".new"))
+    if not fs.exists(at) and fs.exists(old):
+        _rename(fs, new if fs.exists(new) else old, at)
+    for left in (old, new):
+        if fs.exists(left):
+            fs.delete(left, True)
+
+
+def _rename(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"{a.toString()} can't be renamed to {b.toString()}")
+
+
+def truncate_log(spark: SparkSession, path: str, step: str, last: int, archive: str) -> dict[str, int]:
+    """Go back to ``last`` in a log of steps: later rows move to ``archive``, which must be new, and the log keeps the rest.
+
+    The archive is whole before the log is replaced, so a job that dies loses nothing. Rows without a step are superseded too. Returns the
+    step restored, the last one logged before, and how many rows each side has.
+    """
+    log = spark.read.parquet(path)
+    keep = F.coalesce(F.col(step) <= last, F.lit(False))
+    ends = log.agg(F.max(step).alias("last"), F.count_if(keep).alias("kept"), F.count_if(~keep).alias("superseded")).first()
+    log.where(~keep).write.mode("errorifexists").parquet(archive)
+    write_replacing(log.where(keep), path)
+    return {"restored_step": last, "last_logged_step": ends["last"], "kept": ends["kept"], "superseded": ends["superseded"]}
 
 
 def write_quarantine(bad: DataFrame, path: str) -> None:

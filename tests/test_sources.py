@@ -186,3 +186,31 @@ def test_stream_restart_goes_on(spark, tmp_path):
     write(1, [(2, "b")])
     run()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_a_replaced_table_is_whole_at_every_step(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.write_replacing(spark.range(5), path)
+    files.write_replacing(spark.read.parquet(path).where("id > 1"), path)  # reads what it replaces
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3, 4]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t"]
+    # cut off before the swap: the old table; between the renames: the new one
+    spark.range(9).write.parquet(path + ".new")
+    files.recover(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    spark.range(9).write.parquet(path + ".new")
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    files.recover(spark, path)
+    assert spark.read.parquet(path).count() == 9 and not (tmp_path / "t.old").exists()
+
+
+def test_superseded_steps_are_archived(spark, tmp_path):
+    path, archive = str(tmp_path / "log"), str(tmp_path / "archive")
+    rows = [(i, i * i) for i in range(10)] + [(None, 0)]
+    spark.createDataFrame(rows, "step long, loss long").write.parquet(path)
+    assert files.truncate_log(spark, path, "step", 6, archive) == {"restored_step": 6, "last_logged_step": 9, "kept": 7, "superseded": 4}
+    assert sorted(r.step for r in spark.read.parquet(path).collect()) == list(range(7))
+    assert spark.read.parquet(archive).count() == 4
+    with pytest.raises(Exception, match="(?i)exists"):
+        files.truncate_log(spark, path, "step", 3, archive)
+    assert spark.read.parquet(path).count() == 7
