@@ -8,13 +8,14 @@ of one part, so that no cell, however many rows share it, is sorted in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, durable
+from .page_links import bound
 
 #: Bits of each dimension, curve indexes of a section, and rows that a part of a cell should hold.
 BITS, SECTION, PART_ROWS = 6, 512, 1_000
@@ -64,11 +65,6 @@ def step_of(at: Column, first: Sequence[int], number: Sequence[int]) -> Column:
     return F.element_at(longs(number), F.size(F.filter(longs(first), lambda x: x <= at)))
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def hilbert_index(axes: Sequence[Column], bits: int) -> Column:
     """The place on a Hilbert curve of a point whose coordinates are whole numbers of ``bits`` bits.
 

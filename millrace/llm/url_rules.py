@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
+from .page_links import absolute, alias_targets
 
 #: The rule list is a literal in the plan, so its size is checked.
 MAX_RULES = 20_000
@@ -69,36 +70,16 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["action"].alias("action")))
 
 
-def _resolved(path: Column) -> Column:
-    """A path without ``.`` and ``..``."""
-    up = lambda a: F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)
-    step = lambda a, s: F.when(s == "..", up(a)).when(s == ".", a).otherwise(F.concat(a, F.array(s)))
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
-
-
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)`` URL keys from all canonical links and meta refreshes in ``html``, and from a ``redirect_url`` column if any."""
-    html = F.col("html")
-    link = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
-    meta = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""), F.lit(1))
-    hinted = html.isNotNull() & html.rlike(r"(?i)canonical|http-equiv")
-    targets = F.coalesce(F.when(hinted, F.concat(link, meta)), F.array().cast("array<string>"))
+    """``(src, dst)`` URL keys from all canonical links and meta refreshes in ``html``, and from a ``redirect_url`` column if any.
+
+    Only markup counts: what comments, scripts, styles, templates and texts hold is no link. A ``<base>`` and character references are heeded.
+    """
+    targets = alias_targets(F.col("html"), F.col("url"))
     if "redirect_url" in pages.columns:
-        targets = F.concat(targets, F.array(F.col("redirect_url").cast("string")))
-    host, path = url_host(F.col("url")), url_path(F.col("url"))
-    found = pages.where(F.length(host) > 0).select(
-        url_key(F.col("url")).alias("src"), host.alias("host"), path.alias("path"), F.explode(targets).alias("to")
-    )
-    to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    folder = F.regexp_extract(F.concat(F.col("path"), F.lit("")), r"^(.*/)", 1)
-    whole = (
-        F.when(F.locate("://", to) > 0, to)
-        .when(F.startswith(to, F.lit("//")), F.concat(F.lit("http:"), to))
-        .when(F.startswith(to, F.lit("/")), F.concat(F.lit("http://"), F.col("host"), to))
-        .otherwise(F.concat(F.lit("http://"), F.col("host"), F.when(F.length(folder) > 0, folder).otherwise("/"), to))
-    )
-    whole = F.when(F.locate("/.", whole) > 0, F.concat(F.regexp_extract(whole, r"^([^/]*//[^/?#]*)", 1), _resolved(F.regexp_extract(whole, r"^[^/]*//[^/?#]*([^?#]*)", 1)), F.regexp_extract(whole, r"^[^?#]*(.*)$", 1))).otherwise(whole)
-    return found.where(F.length(to) > 0).select("src", url_key(whole).alias("dst")).where("src <> dst").distinct()
+        targets = F.concat(targets, F.array(absolute(F.col("redirect_url").cast("string"), F.col("url"))))
+    found = pages.where(F.length(url_host(F.col("url"))) > 0).select(url_key(F.col("url")).alias("src"), F.explode(targets).alias("to"))
+    return found.select("src", url_key(F.col("to")).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow") -> DataFrame:
@@ -137,7 +118,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], defaul
         pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")),
         F.col("host"),
         F.col("path"),
-    ).withColumn("_key", url_key(F.col("url")))
+    ).withColumn("_key", F.coalesce(url_key(F.col("url")), F.concat(F.lit(" "), F.xxhash64("page_id", "url").cast("string"))))  # pages without a host share no key
     return own.join(inherited, "_key", "left").select(
         "page_id",
         "host",
