@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import admission, dedup, overlap, sampling
+from ..operators import admission, dedup, overlap, sampling, similarity
 from ..session import table
 from .registry import query
 
@@ -40,6 +40,12 @@ def decontam_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("share", F.round("share", 9))
 
 
+@query(PAIRS + "SELECT doc_id, item_id, hits, share FROM pairs")
+def similar_pairs_by_prefix(spark, sf_dir):
+    out = similarity.similar_pairs(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return out.withColumn("share", F.round("share", 9))
+
+
 @query(PAIRS + "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pairs)")
 def decontam_clean_docs(spark, sf_dir):
     return overlap.clean(docs(spark, sf_dir), _pairs(spark, sf_dir), "doc_id").select("doc_id", "lang", "n_chars")
