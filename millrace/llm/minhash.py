@@ -222,6 +222,7 @@ def _candidates(docs: DataFrame, shingle: int, bands: int, rows: int, damping: f
         features = durable(_features(blocks, answers, wanted, n_docs, damping).join(wanted.select("node", "buckets"), "node"))
         discard(answers, signed)
     finally:
+        discard(spark.table(table))
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     return features, buckets, n_rows
 

@@ -222,3 +222,17 @@ def test_samples_agree_as_often_as_sets():
     wb[:100] = wa[100:] * rng.choice([1.0, 1.0, 1.5], 100)
     s = M.icws(np.concatenate((a, b)), np.concatenate((wa, wb)), np.array([200, 200]), 4000)
     assert abs((s[0] == s[1]).mean() - M.weighted_jaccard((a, wa), (b, wb))) < 0.03
+
+
+def test_blocks_of_shingles_leave_nothing_behind(spark, make_docs):
+    import glob
+    from pathlib import Path
+
+    from millrace.llm.common import shared_folder
+
+    folder = shared_folder(spark)
+    before = set(glob.glob(f"{folder}/shingle_blocks_*"))
+    M.near_duplicates(make_docs([(i, f"one two three four five six {i % 3}") for i in range(9)])).collect()
+    assert set(glob.glob(f"{folder}/shingle_blocks_*")) == before and not [t for t in spark.catalog.listTables() if t.name.startswith("shingle_blocks")]
+    warehouse = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))
+    assert not list(warehouse.glob("shingle_blocks*"))
