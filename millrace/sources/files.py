@@ -57,7 +57,7 @@ def literal_list(texts: pd.Series) -> pd.Series:
 
     def parsed(text: str | None) -> list[str] | None:
         try:
-            got = ast.literal_eval(text) if text is not None and len(text) <= 1_000_000 else None
+            got = ast.literal_eval(text) if text is not None else None
         except (ValueError, SyntaxError, MemoryError, RecursionError):
             return None
         return got if isinstance(got, list) and all(isinstance(x, str) for x in got) else None

@@ -44,11 +44,12 @@ def score(df: DataFrame, correct: Column, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(correct).alias("correct"))
 
 
-def in_order(df: DataFrame, key: str, seq: str, value: str, most_waiting: int = 10_000) -> DataFrame:
+def in_order(df: DataFrame, key: str, seq: str, value: str, most_waiting: int | None = None) -> DataFrame:
     """Rows of each key released in the order of ``seq`` (1, 2, ...); later ones wait for the gaps before them.
 
-    The state of a key is its next number and the rows that wait, ``most_waiting`` at most: if more wait, the smallest waiting number
-    is next, and what is missing before it is given up. A number that was released before, or given up, is dropped.
+    The state of a key is its next number and the rows that wait. With ``most_waiting``, if more wait, the smallest waiting number is next,
+    and what is missing before it is given up; ``stateful.release_in_order`` gives gaps up by time instead. A number that was released
+    before, or given up, is dropped.
     """
     out = T.StructType([T.StructField(key, T.LongType()), T.StructField(seq, T.LongType()), T.StructField(value, T.StringType())])
     state = T.StructType([T.StructField("next", T.LongType()), T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.StringType()))])
@@ -61,7 +62,7 @@ def in_order(df: DataFrame, key: str, seq: str, value: str, most_waiting: int =
                 if s >= at:
                     waiting.setdefault(int(s), v)
         ready = []
-        while at in waiting or len(waiting) > most_waiting:
+        while at in waiting or (most_waiting is not None and len(waiting) > most_waiting):
             at = at if at in waiting else min(waiting)
             ready.append((k[0], at, waiting.pop(at)))
             at += 1
