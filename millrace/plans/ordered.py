@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import digests, graphs, order_counts, sampling, scans, sketches
+from ..operators import digests, graphs, order_counts, sampling, scans, sketches, sums
 from ..session import table
 from .registry import query
 
@@ -146,3 +146,17 @@ def sketches_by_week(spark, sf_dir):
     close = F.abs(F.col("about") - F.col("users")) <= sketches.distinct_error() * F.col("users") + 1
     # where many values equal the median, its share may be larger than a half
     return weeks.join(exact, "week").select(F.date_format("week", "yyyy-MM-dd").alias("week"), "n", "users", close.alias("users_close"), (F.abs(F.col("share") - 0.5) <= sketches.rank_error() + 1 / F.col("n")).alias("median_close"))
+
+
+_COUNTS = "WITH n AS (SELECT l_partkey, CAST(l_quantity AS BIGINT) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2)"
+
+
+@query(_COUNTS + " SELECT x.l_partkey, x.v AS a, y.v AS b FROM n x JOIN n y ON x.l_partkey = y.l_partkey AND x.v + y.v = 60 AND (x.v < y.v OR (x.v = y.v AND x.n > 1))")
+def quantity_pairs(spark, sf_dir):
+    return sums.pairs_with_sum(table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity"), ["l_partkey"], "l_quantity", 60)
+
+
+@query(_COUNTS + """ SELECT x.l_partkey, x.v AS a, y.v AS b, z.v AS c FROM n x JOIN n y ON x.l_partkey = y.l_partkey AND x.v <= y.v JOIN n z ON z.l_partkey = x.l_partkey AND z.v = 75 - x.v - y.v AND y.v <= z.v
+WHERE x.n >= 1 + (x.v = y.v)::INTEGER + (x.v = z.v)::INTEGER AND (y.v <> z.v OR y.n >= 2)""")
+def quantity_triples(spark, sf_dir):
+    return sums.triples_with_sum(table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity"), ["l_partkey"], "l_quantity", 75)

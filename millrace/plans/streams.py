@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from ..sources import tail
 from ..storage import new_path
-from ..streaming import jobs, stateful
+from ..streaming import breaker, jobs, stateful
 from .registry import query
 
 
@@ -155,3 +155,24 @@ def evaluator_answers(spark, sf_dir):
     rows = tail.answer_records(tail.read_tail(spark, folder, pattern="*.txt")).where("kind = 'ce'")
     by = docs.join(rows, docs["doc_id"] == rows["id"]).groupBy("lang")
     return by.agg(F.count("*").alias("answers"), F.sum("n_tokens").alias("tokens"), F.round(F.sum("nll") / F.sum("n_tokens"), 9).alias("loss"))
+
+
+#: Twelve batches by time; a batch fails if a fifth of its events are errors, and two in a row open the breaker.
+_BREAKER = """WITH t AS (SELECT event_type, epoch_us(ts) / 1e6 AS at_s FROM events), e AS (SELECT min(at_s) AS low, max(at_s) AS high FROM t),
+b AS (SELECT CAST(least(floor((at_s - low) * 12 / (high - low)), 11) AS BIGINT) AS batch, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS bad FROM t, e GROUP BY 1),
+r AS (SELECT batch, n, bad, sum((bad >= 0.2 * n)::INTEGER) OVER (ORDER BY batch ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS run FROM b)
+SELECT min(batch) AS opened FROM r WHERE run = 2 HAVING min(batch) IS NOT NULL"""
+
+
+@query(_BREAKER)
+def stream_breaker(spark, sf_dir):
+    rows = in_batches(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "ts", 12, "1 day")
+    watch = breaker.Breaker(spark, 2, 0.2)
+    spark.streams.addListener(watch)
+    try:
+        folder = new_path(spark, "guarded")
+        guarded = breaker.watched(rows, F.col("event_type") == "error")
+        breaker.run_guarded(guarded.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(), watch)
+    finally:
+        spark.streams.removeListener(watch)
+    return spark.createDataFrame([(watch.opened,)] if watch.opened is not None else [], "opened long")

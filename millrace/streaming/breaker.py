@@ -7,8 +7,11 @@ import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..operators import scans
+
 METRICS = "breaker"
 
 
@@ -48,7 +51,8 @@ class Breaker(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self.done.set()
+        if str(event.runId) == self.run_id:
+            self.done.set()
 
 
 def run_guarded(query: StreamingQuery, breaker: Breaker) -> bool:
@@ -61,18 +65,20 @@ def run_guarded(query: StreamingQuery, breaker: Breaker) -> bool:
         if breaker.opened is not None:
             query.stop()
             return True
+    breaker.done.wait(30)  # the last batches' events may come after the end
     return breaker.opened is not None
 
 
 def failing_runs(batches: DataFrame, number: str, rows: str, failures: str, limit: int, share: float = 1.0) -> DataFrame:
     """The same decision over a table of batches: the ``number`` of the batch at which the breaker opens, or no row.
 
-    Batches without rows don't count. Runs of failures end at a success, so a batch is the last of a run of ``limit`` if none of the
-    ``limit`` batches up to it succeeded.
+    Batches without rows don't count. A run of failures grows with each failing batch and ends at a success.
     """
-    from pyspark.sql import Window
+    bad = batches.where(F.col(rows) > 0).withColumn("bad", F.col(failures) >= share * F.col(rows))
+
+    def step(run: int, row: tuple) -> tuple[int, int]:
+        run = run + 1 if row[0] else 0
+        return run, run
 
-    w = Window.orderBy(number).rowsBetween(1 - limit, 0)
-    bad = (F.col(failures) >= share * F.col(rows)).cast("int")
-    run = batches.where(F.col(rows) > 0).withColumn("bad_run", F.sum(bad).over(w))
-    return run.where(F.col("bad_run") == limit).agg(F.min(number).alias("opened")).where("opened IS NOT NULL")
+    runs = scans.fold(bad, [], [number], ["bad"], 0, step, "run", T.IntegerType())
+    return runs.where(F.col("run") == limit).agg(F.min(number).alias("opened")).where("opened IS NOT NULL")

@@ -91,3 +91,21 @@ def test_pairs_of_one_key_alone(spark, values):
     df = frame(spark, [("a", i, v) for i, v in enumerate(values)])
     assert {r.i: r.next for r in O.next_greater(df, ["k"], "i", "v", n_cells=8).collect()} == {i: next((w for w in values[i + 1 :] if w > v), None) for i, v in enumerate(values)}
     assert O.inversions(df, [], "i", "v", 8).collect()[0].inversions == sum(a > b for i, b in enumerate(values) for a in values[:i])
+
+
+@pytest.mark.parametrize("anchors", [2, 256])
+def test_sums(spark, monkeypatch, anchors):
+    import itertools
+
+    from millrace.operators import sums
+
+    monkeypatch.setattr(sums, "ANCHORS", anchors)
+    rng = random.Random(8)
+    data = [(k, rng.randrange(-12, 13)) for k in ("a", "b", "c") for _ in range({"a": 60, "b": 9, "c": 2}[k])] + [("d", 0)] * 3 + [("e", None), ("e", 0)]
+    df = spark.createDataFrame(data, "k string, v long")
+    own = {k: [v for x, v in data if x == k and v is not None] for k in "abcde"}
+    for size, f in ((2, sums.pairs_with_sum), (3, sums.triples_with_sum)):
+        want = {(k, *t) for k, vs in own.items() for t in itertools.combinations(sorted(vs), size) if sum(t) == 0}
+        got = [tuple(r) for r in f(df, ["k"], "v", 0).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
+    assert sums.triples_with_sum(df.limit(0), ["k"], "v", 0).collect() == []
