@@ -62,7 +62,7 @@ def earlier_not_greater(df: DataFrame, by: Sequence[str], order: str, value: str
     keyed = df.withColumn(key, scans.key_text(by))
     placed, p = scans.in_cells(keyed, [key], [order], n_cells)
     rows, v = scans.in_cells(placed, [key], [value], n_cells)
-    extra = [X.free_name(rows, c) for c in ("inside", "across")]
+    extra = [X.free_name(rows, c) for c in ("inside", "across", "smaller")]
 
     def counted(cell: str, place: str, out: str):
         def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -86,10 +86,10 @@ def earlier_not_greater(df: DataFrame, by: Sequence[str], order: str, value: str
         table = np.zeros((len(ps) + 1, len(vs) + 1), np.int64)
         table[at_p + 1, at_v + 1] = part["n"].to_numpy()
         sums = table.cumsum(0).cumsum(1)
-        return part[[key, p, v]].assign(smaller=sums[at_p, at_v])
+        return part[[key, p, v]].assign(**{extra[2]: sums[at_p, at_v]})
 
-    smaller = counts.join(wide, key, "left_semi").groupBy(key).applyInPandas(before, T.StructType([f for f in counts.schema.fields if f.name != "n"] + [T.StructField("smaller", T.LongType())]))
-    total = F.col(extra[0]) + F.col(extra[1]) + F.coalesce("smaller", F.lit(0))
+    smaller = counts.join(wide, key, "left_semi").groupBy(key).applyInPandas(before, T.StructType([f for f in counts.schema.fields if f.name != "n"] + [T.StructField(extra[2], T.LongType())]))
+    total = F.col(extra[0]) + F.col(extra[1]) + F.coalesce(F.col(extra[2]), F.lit(0))
     return both.join(smaller, [key, p, v], "left").select(*[f"`{c}`" for c in df.columns], total.alias(name))
 
 

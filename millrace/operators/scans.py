@@ -53,9 +53,11 @@ def _edges(rows: DataFrame, cell: str, by: Sequence[str], order: Sequence[str],
     ``begin(cell, key, carry)`` is the state before a key's first row in a cell.
     """
 
+    place, key_name = X.free_name(rows, "scan_cell"), X.free_name(rows, "scan_key")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, first, key, state, one = [], None, None, None, None, True
-        for c, k, *row in _values(batches, ["_cell", "_key", *values]):
+        for c, k, *row in _values(batches, [place, key_name, *values]):
             if c != at:
                 if at is not None:
                     out.append((at, first, key, one, repr(state)))
@@ -70,7 +72,7 @@ def _edges(rows: DataFrame, cell: str, by: Sequence[str], order: Sequence[str],
         kinds = [pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=names)
 
-    keyed = streamed(rows, cell, by, order).select(F.col(cell).alias("_cell"), key_text(by).alias("_key"), *values)
+    keyed = streamed(rows, cell, by, order).select(F.col(cell).alias(place), key_text(by).alias(key_name), *[f"`{v}`" for v in values])
     return {r.cell: (r.first_key, r.last_key, r.one_key, _read(r.state)) for r in keyed.mapInArrow(run, EDGE).collect()}
 
 
@@ -87,7 +89,8 @@ def key_text(by: Sequence[str]) -> Column:
 
 def _final(rows: DataFrame, cell: str, by: Sequence[str], order: Sequence[str], values: Sequence[str], name: str, kind: T.DataType, begin: Callable[[int, str, dict], Any], step: Step, carry: dict[int, tuple[str, Any]]) -> DataFrame:
     kept = [c for c in rows.columns if c != cell]
-    ordered = streamed(rows, cell, by, order).select(*[f"`{c}`" for c in kept], F.col(cell).alias("_cell"), key_text(by).alias("_key"))
+    place, key_name = X.free_name(rows, "scan_cell"), X.free_name(rows, "scan_key")
+    ordered = streamed(rows, cell, by, order).select(*[f"`{c}`" for c in kept], F.col(cell).alias(place), key_text(by).alias(key_name))
     schema = T.StructType([*[f for f in rows.schema.fields if f.name != cell], T.StructField(name, kind)])
     target = to_arrow_schema(schema)
 
@@ -95,7 +98,7 @@ def _final(rows: DataFrame, cell: str, by: Sequence[str], order: Sequence[str],
         at = key = state = None
         for b in batches:
             out = []
-            for c, k, *row in _values([b], ["_cell", "_key", *values]):
+            for c, k, *row in _values([b], [place, key_name, *values]):
                 if c != at or k != key:
                     at, key, state = c, k, begin(c, k, carry)
                 state, result = step(state, tuple(row))

@@ -66,6 +66,14 @@ def test_thinning_that_never_forgets(spark):
     assert [r.i for r in S.thinned(df, ["k"], ["i"], "v", 10, n_cells=6).where("kept").collect()] == [0]
 
 
+def test_columns_of_the_input_may_have_any_name(spark, rows):
+    names = "cell first state scan_cell scan_key map pair_key next_key next_row inside across smaller earlier found record target above at v2 n".split()
+    df = frame(spark, rows).select("k", "i", "v", *[F.col("i").alias(c) for c in names])
+    for out in (S.thinned(df, ["k"], ["i"], "v", 30, n_cells=5), S.congruential(df, ["k"], ["i"], 5, F.col("v"), 17, 101, n_cells=5), O.earlier_not_greater(df, ["k"], "i", "v", "was", 5), O.next_greater(df, ["k"], "i", "v", n_cells=5)):
+        assert out.columns[:-1] == df.columns and out.count() == len(rows)
+        assert out.where(" OR ".join(f"{c} <> i" for c in names)).count() == 0
+
+
 def test_carried(spark):
     data = [("a", i, i if i % 9 == 4 else None) for i in range(60)] + [("b", 0, None)]
     got = {(r.k, r.i): r.last for r in S.carried(frame(spark, data), ["k"], ["i"], "v", "last", S.T.LongType(), n_cells=9).collect()}
