@@ -160,7 +160,7 @@ class Tally:
         self.later = initial
 
     def counts(self) -> tuple[int, ...]:
-        gaps = 0 if self.low is None else self.high - self.low + 1 - self.turns
+        gaps = 0 if self.low is None else min(self.high - self.low + 1 - self.turns, 2**63 - 1)
         return gaps, self.faults["b"], self.faults["d"], self.faults["t"], self.illegal
 
 
@@ -364,7 +364,7 @@ def repair_digests(rows: DataFrame) -> DataFrame:
     earlier), truncated (its last character that isn't white space is none of ``.!?``). Keeping costs 0, another role 2, deletion 3
     (blank and duplicate rows must go), inserting an empty turn 2, and an undeleted truncated row 1 more; the role initials that are left
     match ``(s?(ua)+)?``. Of the cheapest audits (letters K, R, D, I in order) the ASCII-least is taken. ``gaps`` counts turns missing
-    between the least and the greatest, without nulls.
+    between the least and the greatest, without nulls, 2^63 - 1 at most.
 
     A null ``conv_id`` is a conversation like any other. Null roles and texts are one space. A conversation without live rows has zeros, an
     empty audit and the hash of the empty string. Repeated rows are duplicates. Other columns are ignored. No rows give an empty result.

@@ -61,7 +61,7 @@ def brute(rows, damage=True):
         n = lambda f, judged=judged: sum(x[2] == f for x in judged)
         illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(judged, judged[1:], strict=False))
         cost, audit, text = cheapest(judged)
-        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        gaps = min(max(turns) - min(turns) + 1 - len(turns), 2**63 - 1) if turns else 0
         out.append((conv, gaps, n("blank"), n("duplicate"), n("truncated"), illegal, cost, audit, hashlib.sha256(text.encode()).hexdigest()))
     return sorted(out, key=str)
 
@@ -75,7 +75,7 @@ def test_op11_on_the_table(spark):
 
 ODD = [
     (None, 1, "user", "Hello."), (None, None, "assistant", "Yes"), (1, None, None, None), (1, None, "user", "A."), (1, None, "user", "A."), (2, 2**62, "assistant", "x."),
-    (2, -5, "system", "s."), (2, 0, "", "no role."), (2, 1, "Übung", "other."), (3, 7, "user", " \t\n"), (4, 1, "tool", "é" * 5000 + "!  "), (4, 2, "user", "a "), (-(2**63), 3, "a", "k."),
+    (2, -5, "system", "s."), (2, 0, "", "no role."), (2, 1, "Übung", "other."), (3, 7, "user", " \t\n"), (4, 1, "tool", "é" * 5000 + "!  "), (4, 2, "user", "a "), (-(2**63), 3, "a", "k."), (5, -(2**63), "user", "low."), (5, 2**63 - 1, "assistant", "high."),
 ]
 
 
