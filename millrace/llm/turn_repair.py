@@ -292,10 +292,11 @@ class Repair:
 def _edited(rows: DataFrame) -> DataFrame:
     """Pieces and rows of each conversation in order, a piece before its rows."""
     cut = audited(with_costs(durable(pieces(rows))))
-    parts = cut.select("conv_id", "turn", "role", "h1", "h2", F.lit(0).alias("kind"), F.lit("").alias("text"), F.when(F.col("first"), F.array("cost", *COUNTS)).alias("counts"), "audits", "ends")
+    parts = cut.select("conv_id", "turn", "role", "h1", "h2", F.lit(0).alias("kind"), "piece", F.lit("").alias("text"), F.when(F.col("first"), F.array("cost", *COUNTS)).alias("counts"), "audits", "ends")
     none = [F.lit(None).cast(dict(parts.dtypes)[c]).alias(c) for c in ("counts", "audits", "ends")]
-    texts = rows.where("live").select("conv_id", "turn", "role", *_place(), F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("kind"), "text", *none)
-    order = ["conv_id", F.asc_nulls_first("turn"), "role", "h1", "h2", "kind"]
+    texts = rows.where("live").select("conv_id", "turn", "role", *_place(), F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("kind"), F.lit(0).cast("long").alias("piece"), "text", *none)
+    # pieces that begin with equal rows stand in their own order
+    order = ["conv_id", F.asc_nulls_first("turn"), "role", "h1", "h2", "kind", F.desc("piece")]
     return parts.unionAll(texts).repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "kind", "role", "text", "counts", "audits", "ends")
 
 

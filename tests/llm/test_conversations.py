@@ -109,6 +109,13 @@ def test_a_node_is_computed_once(monkeypatch):
     assert len(calls) == len({w[i:] for w in words for i in range(len(w))})
 
 
+def test_pieces_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK", 2)
+    rows = [(1, 1, "user", "A.")] * 25 + [(1, 2, "assistant", "B.")] * 13 + [(2, None, "user", " ")] * 9
+    table = spark.createDataFrame([(*r, "", "", "", "", "") for r in rows], SCHEMA).repartition(3)
+    assert sorted(map(tuple, R.repair_digests(R.as_rows(table)).collect()), key=str) == brute(rows, damage=False)
+
+
 def test_one_conversation_with_most_rows(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"Text {t}." if t % 7 else "cut") for t in range(3000)] + [(c, 0, "user", "Hi.") for c in range(2, 200)]
     table = spark.createDataFrame([(*r, "", "", "", "", "") for r in rows], SCHEMA).repartition(8)
