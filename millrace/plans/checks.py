@@ -8,6 +8,7 @@ from ..functions import arrays as A
 from ..functions import text as X
 from ..functions import validators as V
 from ..session import table
+from ..storage import spread
 from .kernels import vectors
 from .registry import query
 
@@ -45,11 +46,12 @@ def exact_partitions(spark, sf_dir):
 
 @query("""SELECT o_orderkey, o_orderkey % 4 = 0 AS correct, CASE o_orderkey % 4 WHEN 2 THEN 'not evaluable' WHEN 3 THEN 'no gold value' END AS message FROM orders""")
 def bounded_scores(spark, sf_dir):
+    # gcd takes whole numbers up to 10,000; a key's remainder has the key's common divisors with 6
     k, c = (F.col(n).cast("string") for n in ("o_orderkey", "o_custkey"))
     kind = F.col("o_orderkey") % 4
-    answer = F.when(kind == 2, F.concat(k, F.lit(" ** ("), c, F.lit(" + 101)"))).otherwise(F.concat(F.lit("("), k, F.lit(" + 1/3) * "), c, F.lit(" - gcd("), k, F.lit(", 6)")))
-    gold = F.concat(F.lit("abs(-"), k, F.lit(") * "), c, F.lit(" + "), c, F.lit("/3 - gcd(6, "), k, F.lit(")"), F.when(kind == 1, " + 1").otherwise(""))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", V.scored(answer, F.when(kind == 3, "?").otherwise(gold)).alias("s"))
+    answer = F.when(kind == 2, F.concat(k, F.lit(" ** ("), c, F.lit(" + 101)"))).otherwise(F.concat(F.lit("("), k, F.lit(" + 1/3) * "), c, F.lit(" - gcd("), k, F.lit(" % 6, 6)")))
+    gold = F.concat(F.lit("abs(-"), k, F.lit(") * "), c, F.lit(" + "), c, F.lit("/3 - gcd(6, "), k, F.lit(" % 6)"), F.when(kind == 1, " + 1").otherwise(""))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", V.scored(answer, F.when(kind == 3, "?").otherwise(gold)).alias("s"))
     return o.select("o_orderkey", "s.correct", "s.message")
 
 

@@ -32,6 +32,11 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str, rows: int = 20_000) -> DataFrame:
+    """``df`` dealt by ``key`` to tasks of about so many rows, for work that costs much a row: a small file may be a single task's."""
+    return df.repartition(max(2, -(-df.count() // rows)), key)
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system and path, for what DataFrames can't do: renaming and deleting."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

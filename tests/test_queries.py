@@ -68,3 +68,9 @@ def test_a_window_without_a_key_is_found(spark):
     rows = spark.read.parquet(f"{SF}/orders.parquet")
     assert gathered(plan_of(rows.withColumn("n", F.row_number().over(Window.orderBy("o_orderkey"))))) != []
     assert gathered(plan_of(rows.agg(F.max("o_orderkey")))) == []
+
+
+def test_scores_of_large_keys(spark, duck, tmp_path):
+    spark.range(9_990, 10_030).selectExpr("id AS o_orderkey", "id % 7 + 1 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: (r.correct, r.message) for r in plans.QUERIES["bounded_scores"](spark, str(tmp_path)).collect()}
+    assert got == {k: (k % 4 == 0, {2: "not evaluable", 3: "no gold value"}.get(k % 4)) for k in range(9_990, 10_030)}
