@@ -9,6 +9,7 @@ import operator
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,6 +56,16 @@ def _call(name: str, args: list[Fraction], bounds: Bounds) -> Fraction:
     return Fraction(getattr(math, name)(*(int(x) for x in args)))
 
 
+@lru_cache(64)
+def _parsed(expression: str, nodes: int) -> ast.expr | None:
+    """The tree of an expression, None for one of more than ``nodes`` nodes; rows often share theirs.
+
+    Arithmetic has a root and two nodes a character at most (a name and an operator have two), so that short texts needn't be counted.
+    """
+    tree = ast.parse(expression, mode="eval")
+    return tree.body if 2 * len(expression) < nodes or sum(1 for _ in ast.walk(tree)) <= nodes else None
+
+
 def exact_value(expression: str | None, names: Mapping[str, int] | None = None, bounds: Bounds = ANSWER) -> Fraction | None:
     """The exact value of arithmetic on integers and decimals, with some functions of whole numbers; None for anything else.
 
@@ -66,7 +77,8 @@ def exact_value(expression: str | None, names: Mapping[str, int] | None = None,
 
     def operand(x: Fraction) -> Fraction:
         bits = x.numerator.bit_length() + x.denominator.bit_length()
-        if bits > 3.33 * bounds.digits + 8 or len(str(x)) > bounds.digits:
+        # a number of so many bits is spelled with bits * 0.302 + 4 characters at most, sign and bar included
+        if bits > 3.33 * bounds.digits + 8 or (bits * 0.302 + 4 > bounds.digits and len(str(x)) > bounds.digits):
             raise ValueError("too large")
         return x
 
@@ -90,8 +102,8 @@ def exact_value(expression: str | None, names: Mapping[str, int] | None = None,
         raise ValueError("not arithmetic")
 
     try:
-        tree = ast.parse(expression, mode="eval")
-        return value(tree.body, 0) if sum(1 for _ in ast.walk(tree)) <= bounds.nodes else None
+        tree = _parsed(expression, bounds.nodes)
+        return None if tree is None else value(tree, 0)
     except (ValueError, SyntaxError, ZeroDivisionError, RecursionError, MemoryError, TypeError, OverflowError):
         return None
 

@@ -58,7 +58,7 @@ def bounded_scores(spark, sf_dir):
 @query("""SELECT p_partkey, p_size > 2 AS refuted, CASE WHEN p_size > 2 THEN CAST(p_size * p_size AS VARCHAR) || '/1' END AS found, CASE WHEN p_size <= 2 THEN 'equal' END AS problem FROM part WHERE p_size > 0""")
 def counter_examples(spark, sf_dir):
     # a claimed identity that holds for 1 and 2 alone
-    p = table(spark, sf_dir, "part").where("p_size > 0")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").where("p_size > 0")
     r = V.refuted(F.lit("a * a"), F.lit("3 * a - 2"), F.format_string('{"a": %d}', "p_size"))
     return p.select("p_partkey", r.alias("r")).select("p_partkey", "r.refuted", F.when(F.col("r.refuted"), F.col("r.left")).alias("found"), "r.problem")
 

@@ -182,6 +182,15 @@ def test_counter_examples(spark):
     assert (got[0].left, got[0].right, got[0].refuted) == ("9/1", "6/1", True)
 
 
+def test_rows_share_a_parsed_expression():
+    V._parsed.cache_clear()
+    assert [V.exact_value("a * a", {"a": i}, V.WITNESS) for i in range(50)] == [i * i for i in range(50)]
+    assert V._parsed.cache_info().misses == 1
+    assert V.exact_value("+".join(["1"] * 60), None, V.WITNESS) is None and V.exact_value("+".join(["1"] * 30), None, V.WITNESS) == 30
+    nines = "9" * 300
+    assert V.exact_value(nines, None, V.WITNESS) == int(nines) and V.exact_value(f"{nines} * {nines}", None, V.WITNESS) is None
+
+
 def test_labels_to_the_end(spark):
     cases = [([-100, 5, 6], True), ([5], True), ([-100, 5, -100], False), ([5, -100, 6], False), ([-100], False), ([], False)]
     rows = spark.createDataFrame([(x,) for x, _ in cases], "x array<int>").select(A.supervised_to_the_end(F.col("x")).alias("ok"))

@@ -74,3 +74,9 @@ def test_scores_of_large_keys(spark, duck, tmp_path):
     spark.range(9_990, 10_030).selectExpr("id AS o_orderkey", "id % 7 + 1 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
     got = {r.o_orderkey: (r.correct, r.message) for r in plans.QUERIES["bounded_scores"](spark, str(tmp_path)).collect()}
     assert got == {k: (k % 4 == 0, {2: "not evaluable", 3: "no gold value"}.get(k % 4)) for k in range(9_990, 10_030)}
+
+
+def test_a_small_file_is_more_than_one_task(spark, tmp_path):
+    spark.range(60_000).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = plans.QUERIES["counter_examples"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 3 and out.where("refuted").count() == 57_600
