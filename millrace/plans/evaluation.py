@@ -63,7 +63,7 @@ def paired_contingency(spark, sf_dir):
 @query(PAIRED + "SELECT c.lang, round(ln(CASE WHEN only_a + only_b = 0 THEN 1 ELSE least(1, p) END), 5) AS log_p FROM c JOIN t USING (lang)")
 def mcnemar_flags(spark, sf_dir):
     pairs = pairing.contingency(labelled(spark, sf_dir), F.col("quality") == 1, F.col("toxic") == 1, ["lang"])
-    return pairs.select("lang", F.round(F.log("p"), 5).alias("log_p"))
+    return pairs.select("lang", F.round(S.log_p(F.col("p")), 5).alias("log_p"))
 
 
 @query("""SELECT lang, round(greatest(0, (p + zz / (2 * n) - z * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)), 9) AS low, round(least(1, (p + zz / (2 * n) + z * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)), 9) AS high

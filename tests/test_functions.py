@@ -34,6 +34,12 @@ def test_mcnemar(spark):
     assert [r.p for r in rows] == pytest.approx([exact(17, 175), 1.0, exact(5, 5), exact(1, 9)], rel=1e-9)
 
 
+def test_mcnemar_below_what_doubles_hold(spark):
+    rows = spark.createDataFrame([(1000, 20_000), (300, 1700), (60, 1000)], "b long, c long").select(S.log_p(S.mcnemar(F.col("b"), F.col("c"))).alias("p")).collect()
+    whole = lambda b, c: math.log(2 * sum(math.comb(b + c, i) for i in range(min(b, c) + 1))) - (b + c) * math.log(2)
+    assert rows[0].p == -math.inf and [r.p for r in rows[1:]] == pytest.approx([whole(300, 1700), whole(60, 1000)], rel=1e-9)
+
+
 def test_nearest_rank_isnt_interpolated(spark):
     row = spark.range(20).agg(S.nearest_rank(F.collect_list("id"), 0.95).alias("a"), S.upper_median(F.collect_list("id")).alias("b"), F.percentile("id", 0.95).alias("c")).first()
     assert row == (18, 10, pytest.approx(18.05))
