@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..sources import tail
-from ..storage import new_path
+from ..storage import durable, new_path
 from ..streaming import breaker, jobs, stateful
 from .registry import query
 
@@ -41,7 +41,7 @@ def in_batches(rows: DataFrame, time: str, n: int, delay: str) -> DataFrame:
     ends = rows.agg(F.min(at.cast("double")).alias("low"), F.max(at.cast("double")).alias("high")).first()
     low, high = ends["low"] or 0.0, ends["high"] or 0.0
     part = F.least(F.floor((at.cast("double") - low) * n / max(high - low, 1e-9)), F.lit(n - 1))
-    cut = rows.withColumn("_part", part)
+    cut = durable(rows.withColumn("_part", part))
     for k in range(n):  # each is a file that arrives after the one before; the reader takes them by their times
         cut.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
     return jobs.with_event_time(jobs.follow(spark, folder, rows.schema, files_per_trigger=1), time, delay)
@@ -95,7 +95,7 @@ SELECT user_id, seq, event_id FROM held WHERE NOT waits"""
 def stream_release_in_order(spark, sf_dir):
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = in_batches(table(spark, sf_dir, "events").withColumn("seq", seq).where("event_id % 23 <> 5").select("user_id", "seq", "event_id", "ts"), "ts", 6, "10 minutes")
-    out = published(stateful.release_in_order(rows, "user_id", "seq", "event_id", "ts", 2 * 86400), "append")
+    out = published(stateful.release_in_order(rows, "user_id", "seq", "event_id", "ts", 2 * 86400, 600), "append")
     return out.select(F.col("key").alias("user_id"), "seq", F.col("value").cast("long").alias("event_id"))
 
 
