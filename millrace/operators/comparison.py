@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import durable
 
 
 def differing_fields(a: str, b: str, fields: Sequence[str]) -> Column:
@@ -86,6 +87,38 @@ def strict_and_normalised(df: DataFrame, answer: Column, gold: Column, by: Seque
     return df.groupBy(*by).agg(F.count("*").alias("n"), same(lambda c: c).alias("strict"), same(X.weak_norm).alias("weak"), same(X.norm).alias("normalised"))
 
 
+def median_by(df: DataFrame, by: str, value: str, n_cells: int = 4096) -> DataFrame:
+    """``(by, median)``: the exact median of a number, null for a group without any; no task holds a group's values.
+
+    A group's range is cut into cells of equal width. Counts tell the cells of the middle one or two values, and only their distinct
+    values are ranked; a cell with many is cut again.
+    """
+    group, v = X.free_name(df, "group"), X.free_name(df, "value")
+    counts = durable(df.select(F.col(by).alias(group), F.col(value).cast("double").alias(v)).groupBy(group, v).agg(F.count(v).alias("c")))
+    all_of = counts.groupBy(group).agg(F.sum("c").alias("n"))
+    mine = F.col(group).eqNullSafe(F.col("of"))
+    # of each wanted rank (from 0), what is left to search and how many values lie below it
+    ranks = F.explode(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))).alias("rank")
+    wanted = all_of.where("n > 0").select(F.col(group).alias("of"), ranks).distinct()
+    left = counts.where(F.col("c") > 0).join(F.broadcast(wanted), mine).select(group, v, "c", "rank").withColumn("below", F.lit(0).cast("long"))
+    while True:
+        span = left.groupBy(group, "rank").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count("*").alias("values"))
+        if span.where((F.col("values") > n_cells) & (F.col("low") < F.col("high"))).isEmpty():
+            break
+        ends = F.broadcast(span.select(F.col(group).alias("of"), F.col("rank").alias("of_rank"), "low", "high"))
+        cell = F.when(F.col("low") < F.col("high"), F.least(F.floor((F.col(v) / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * n_cells), F.lit(n_cells - 1))).otherwise(F.lit(0).cast("long"))
+        cells = left.join(ends, mine & (F.col("rank") == F.col("of_rank"))).select(group, v, "c", "rank", "below", cell.alias("cell"))
+        per = cells.groupBy(group, "rank", "below", "cell").agg(F.sum("c").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy(group, "rank").orderBy("cell"))
+        hit = per.withColumn("upto", F.col("below") + upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
+        hit = hit.select(F.col(group).alias("of"), F.col("rank").alias("of_rank"), F.col("cell").alias("of_cell"), (F.col("upto") - F.col("c")).alias("under"))
+        left = durable(cells.join(F.broadcast(hit), mine & (F.col("rank") == F.col("of_rank")) & (F.col("cell") == F.col("of_cell"))).select(group, v, "c", "rank", F.col("under").alias("below")))
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy(group, "rank").orderBy(v))
+    middle = left.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
+    found = middle.groupBy(group).agg(F.avg(v).alias("median")).withColumnRenamed(group, "of")
+    return all_of.join(found, mine, "left").select(F.col(group).alias(by), "median")
+
+
 def recoverable(rejected: DataFrame, commits: DataFrame, tasks: DataFrame, raw: DataFrame, key: str, response: str, fields: Sequence[str]) -> DataFrame:
     """Rejected rows without a commit whose raw response is one JSON object with exactly the fields wanted (``parsed``), with their tasks."""
     parsed = F.from_json(X.unwrap_json(F.col(response)), "map<string,string>")

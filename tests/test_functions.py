@@ -207,3 +207,24 @@ def test_json_inside_text(spark):
     t = lambda f, x: one(spark, f(F.col("x")), x=x)
     assert t(lambda c: X.json_where(c, lambda v: v > 0), "[3, -1, 2.5]") == "[3.0,2.5]"
     assert t(X.json_summary, "[1, 2.5]") == '{"count":2,"sum":3.5}' and t(X.json_summary, "[]") == '{"count":0,"sum":0.0}' and t(X.json_summary, "no") is None
+
+
+@pytest.mark.parametrize("n_cells", [8, 4096])
+def test_medians_hold_no_group(spark, n_cells):
+    import random
+    import statistics
+
+    from millrace.operators import comparison as C
+
+    rng = random.Random(3)
+    data = [("a", rng.choice((rng.random(), 1e3 * rng.random(), -5.0))) for _ in range(300)] + [("b", 2.0)] * 7 + [("b", 3.0)] * 7 + [("c", None), (None, 4.0), ("d", -1e308), ("d", 1e308), ("d", 7.0)]
+    got = {r.k: r.median for r in C.median_by(spark.createDataFrame(data, "k string, v double"), "k", "v", n_cells).collect()}
+    own = lambda k: [v for x, v in data if x == k and v is not None]
+    assert got == {k: statistics.median(own(k)) if own(k) else None for k in ("a", "b", "c", "d", None)}
+
+
+def test_exact_medians_of_a_query_are_not_collected(spark):
+    from millrace import plans
+
+    plan = plans.QUERIES["approximate_aggregates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert " percentile(" not in plan and "Expand" not in plan
