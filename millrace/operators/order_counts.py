@@ -20,6 +20,13 @@ from . import scans
 
 #: Cells of either kind at most; the table of counts of one key has the square of that many entries.
 MOST_CELLS = 1024
+#: Rows of a cell, as far as the number of cells goes: a task holds one or a few.
+CELL_ROWS = 50_000
+
+
+def _cells(df: DataFrame, n_cells: int | None) -> int:
+    """As many cells as the rows want, and no fewer than shuffles have partitions."""
+    return n_cells or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // CELL_ROWS))
 
 
 def earlier_counts(key: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -56,8 +63,7 @@ def earlier_not_greater(df: DataFrame, by: Sequence[str], order: str, value: str
 
     ``order`` is a number that doesn't repeat inside a key. A task holds one cell, a share of 1 / ``n_cells`` of all rows.
     """
-    spark = df.sparkSession
-    n_cells = min(MOST_CELLS, n_cells or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_cells = min(MOST_CELLS, _cells(df, n_cells))
     key = X.free_name(df, "pair_key")
     keyed = df.withColumn(key, scans.key_text(by))
     placed, p = scans.in_cells(keyed, [key], [order], n_cells)
@@ -103,14 +109,15 @@ def inversions(df: DataFrame, by: Sequence[str], order: str, value: str, n_cells
 def next_greater(df: DataFrame, by: Sequence[str], order: str, value: str, name: str = "next", n_cells: int | None = None) -> DataFrame:
     """Adds the value of the next row of the key that is greater, null if there is none; ``df`` may have no null order or value.
 
-    Inside a cell a stack finds it. Rows that find none look for the first later cell of their key whose greatest value is greater, from
+    Inside a cell a stack finds it; only numbers go there, and rows get their answers by a join. Rows that find none look for the first later cell of their key whose greatest value is greater, from
     one such value a cell; there the answer is the least of the cell's running maxima above their own value, which rows and maxima
     find by one ordered scan.
     """
     key = X.free_name(df, "next_key")
     row = X.free_name(df, "next_row")
+    n_cells = _cells(df, n_cells)
     keyed = df.withColumn(key, scans.key_text(by)).withColumn(row, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    rows, cell = scans.in_cells(keyed.select(key, F.col(order).alias("at"), F.col(value).cast("double").alias("v"), F.col(value).alias("value"), row), [key], ["at"], n_cells)
+    rows, cell = scans.in_cells(keyed.select(key, F.col(order).alias("at"), F.col(value).cast("double").alias("v"), row), [key], ["at"], n_cells)
     kind = dict(df.dtypes)[value]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -131,8 +138,9 @@ def next_greater(df: DataFrame, by: Sequence[str], order: str, value: str, name:
         nexts = pd.Series(np.where(found >= 0, v[found], np.nan)).where(found >= 0)
         return part.assign(found=found >= 0, next=nexts, record=record)
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("found", T.BooleanType()), T.StructField("next", T.DoubleType()), T.StructField("record", T.BooleanType())])
-    own = durable(rows.groupBy(cell).applyInPandas(run, schema))
+    numbers = rows.select(key, "at", "v", cell)
+    schema = T.StructType([*numbers.schema.fields, T.StructField("found", T.BooleanType()), T.StructField("next", T.DoubleType()), T.StructField("record", T.BooleanType())])
+    own = durable(numbers.groupBy(cell).applyInPandas(run, schema))
     # the greatest value of each key that goes on in another cell: one or two a cell
     tops = own.groupBy(key, cell).agg(F.max("v").alias("top"))
     many = tops.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(cell).alias("cell"), "top"))).alias("tops")).where(F.size("tops") > 1)
@@ -143,6 +151,8 @@ def next_greater(df: DataFrame, by: Sequence[str], order: str, value: str, name:
     # a row asks for values strictly above its own: at equal values rows come before maxima
     both = answers.unionAll(asked).withColumn("side", 1 - F.col("side"))
     seen = scans.carried(both, [key, "target"], ["down", "side", "at", "own_cell"], "max", "above", T.DoubleType(), n_cells)
-    late = seen.where("own_cell >= 0").select(F.col(key).alias("_k"), F.col("at").alias("_at"), "above")
-    out = own.join(late, (F.col(key) == F.col("_k")) & (F.col("at") == F.col("_at")), "left")
-    return out.select(f"{row}.*", F.coalesce("next", "above").cast(kind).alias(name))
+    late = seen.where("own_cell >= 0").select(key, "at", F.col("above").alias("next"))
+    # an order doesn't repeat inside a key: each row has one answer at most
+    told = own.where("found").select(key, "at", "next").unionAll(late).select(F.col(key).alias("_k"), F.col("at").alias("_at"), "next")
+    out = rows.select(key, "at", row).join(told, (F.col(key) == F.col("_k")) & (F.col("at") == F.col("_at")), "left")
+    return out.select(f"{row}.*", F.col("next").cast(kind).alias(name))

@@ -93,6 +93,16 @@ def test_pairs_in_order(spark, rows, n_cells):
     assert got.columns == ["k", "i", "v", "next"] and {r.i: r.next for r in got.collect()} == after
 
 
+def test_cells_grow_in_number_and_not_in_size(spark, rows, monkeypatch):
+    monkeypatch.setattr(O, "CELL_ROWS", 20)
+    used = []
+    cut = S.in_cells
+    monkeypatch.setattr(S, "in_cells", lambda df, by, order, n_cells=None: used.append(n_cells) or cut(df, by, order, n_cells))
+    O.next_greater(frame(spark, rows), ["k"], "i", "v")
+    O.earlier_not_greater(frame(spark, rows), ["k"], "i", "v")
+    assert len(used) == 4 and min(used) == 25
+
+
 @pytest.mark.parametrize("values", [range(200), range(200, 0, -1), [5] * 200, [*range(100, 0, -1), 1000, *range(99)]])
 def test_pairs_of_one_key_alone(spark, values):
     values = list(values)
