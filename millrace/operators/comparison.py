@@ -83,8 +83,19 @@ def revalidated(stored: DataFrame, accepted: str, verdict: Column) -> DataFrame:
 
 def strict_and_normalised(df: DataFrame, answer: Column, gold: Column, by: Sequence[str]) -> DataFrame:
     """Correct answers as they are, by collapsed white space and case, and by words alone."""
-    same = lambda f: F.count_if(F.coalesce(f(answer) == f(gold), F.lit(False)))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), same(lambda c: c).alias("strict"), same(X.weak_norm).alias("weak"), same(X.norm).alias("normalised"))
+    return agreement(df.select(*[F.col(f"`{c}`") for c in by], forms(answer).alias("_answer"), forms(gold).alias("_gold")), by, "_answer", "_gold")
+
+
+def forms(text: Column) -> Column:
+    """SHA-256 digests of a text as it is, by collapsed white space and case, and by words alone: 32 bytes each, whatever its length."""
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    return F.struct(digest(text).alias("strict"), digest(X.weak_norm(text)).alias("weak"), digest(X.norm(text)).alias("normalised"))
+
+
+def agreement(df: DataFrame, by: Sequence[str], answer: str, gold: str) -> DataFrame:
+    """Counts of equal ``forms`` in two columns; nulls are equal to nothing."""
+    same = lambda k: F.count_if(F.coalesce(F.col(f"{answer}.{k}") == F.col(f"{gold}.{k}"), F.lit(False))).alias(k)
+    return df.groupBy(*by).agg(F.count("*").alias("n"), same("strict"), same("weak"), same("normalised"))
 
 
 def median_by(df: DataFrame, by: str, value: str, n_cells: int = 4096) -> DataFrame:

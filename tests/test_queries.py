@@ -80,3 +80,11 @@ def test_a_small_file_is_more_than_one_task(spark, tmp_path):
     spark.range(60_000).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     out = plans.QUERIES["counter_examples"](spark, str(tmp_path))
     assert out.rdd.getNumPartitions() == 3 and out.where("refuted").count() == 57_600
+
+
+def test_texts_are_normalised_once(spark, tmp_path):
+    rows = [(1, "en", "A  b!"), (2, "en", "a b!"), (3, "de", "a b"), (4, "de", "A  b!"), (5, "en", None), (6, "en", "")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = plans.QUERIES["strict_and_normalised"](spark, str(tmp_path))
+    assert {r.lang: (r.n, r.strict, r.weak, r.normalised) for r in df.collect()} == {"en": (4, 2, 3, 3), "de": (2, 1, 1, 2)}
+    assert "regexp_extract_all" not in plan_of(df)
