@@ -45,7 +45,9 @@ def similar_pairs(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str,
     larger_item = of_items.withColumnRenamed("n", "m").join(small_docs, "h").where("n < m").select("doc", "item")
     pairs = durable(larger_doc.unionAll(larger_item).distinct())
     spelled = lambda df, id_col, name: df.select(F.col(id_col).alias(name), F.array_distinct(X.shingles(F.col("text"), size)).alias(f"{name}_grams"))
-    both = pairs.join(spelled(docs, doc_id, "doc"), "doc").join(spelled(items, item_id, "item"), "item")
+    # only texts of candidates are spelled out
+    named = lambda df, id_col, name: df.join(pairs.select(F.col(name).alias(id_col)).distinct(), id_col, "left_semi")
+    both = pairs.join(spelled(named(docs, doc_id, "doc"), doc_id, "doc"), "doc").join(spelled(named(items, item_id, "item"), item_id, "item"), "item")
     hits = F.size(F.array_intersect("doc_grams", "item_grams"))
     share = F.col("hits") / F.greatest(F.lit(1), F.least(F.size("doc_grams"), F.size("item_grams")))
     found = both.withColumn("hits", hits.cast("long")).withColumn("share", share).where((F.col("hits") >= min_hits) & (F.col("share") >= min_share))
