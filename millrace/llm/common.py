@@ -25,22 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cut the lineage with a table in the shared folder.
 
     A table rather than ``checkpoint()``, which hands on the estimated size of what it stands for: in loops of joins these estimates are
     products of products, and the driver drowns in their digits.
     """
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``durable`` that nothing will read again."""
     for df in tables:
-        for file in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:  # a union has several
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -1,10 +1,9 @@
-"""Document quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
+"""Document quality by perplexity under interpolated modified Kneser-Ney trigram models of trusted text.
 
-Counts, continuation counts and interpolated probabilities are Spark aggregations and joins on the n-grams. The logarithm of an
-interpolated probability is a sum over the n-grams that the model knows: ``log P(w | a b)`` starts at the unseen word's, and each
-known word, bigram, trigram and context adds a difference of its own. So a document's perplexity is a join of its n-gram counts
-with the table of differences and a sum. The table is sharded by n-gram; blocks of documents send each shard the n-grams they hold,
-once each with the documents they occur in, and get back partial sums per document. Thresholds come from quantiles over all
+Every trusted text trains: texts are cut into two halves by hash, each half trains a model, and a document is judged by the model of
+the other half, so that no perplexity is that of a memorised text. Counts and continuation counts are Spark aggregations on n-grams;
+a model is a table of counts sharded by n-gram. Blocks of documents ask the shards for the counts of the n-grams they hold, once each,
+and turn the answers into probabilities. Nothing of a model is broadcast or held whole. Thresholds come from quantiles over all
 distinct texts of a language.
 """
 
@@ -20,11 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
-from .shingles import batches_of, mix, pack_counts, pack_sorted, unpack_counts, unpack_sorted
+from .common import discard, durable
+from .shingles import batches_of, mix, pack_sorted, unpack_sorted
 
-#: The training sample: one in so many trusted rows, and at most so many documents and words of them in hash order. The other
-#: folds stay unseen, so that most documents' perplexity isn't that of memorised text.
+#: A sample for small models, which no query uses: one in so many trusted rows, and at most so many documents and words of them.
 TRAIN_FOLDS, TRAIN_DOCS, TRAIN_WORDS = 5, 10_000, 250_000
 #: No text gives more than one in so many of the training words.
 LONGEST_SHARE = 50
@@ -35,8 +33,13 @@ START, END = " ^", " $"
 CACHE_WORDS = 300_000
 #: Standard deviation of one word's negative log-probability, for the interval of a document's mean.
 WORD_SD = 3.0
-#: Shards of the table of differences (a power of two); code points of the documents whose requests to one shard meet in one task.
-SHARDS, GROUP_CHARS = 8, 75_000_000
+#: Shards of the counts at least, code points of the documents that make one more, and of those that ask together.
+SHARDS, SHARD_CHARS, GROUP_CHARS = 8, 20_000_000, 3_000_000
+#: Parts of the documents that are scored one after the other, rows that are packed at once.
+PARTS, PACK_ROWS = 4, 500_000
+#: What a model tells of an n-gram: its count; as a context the sum of its counts, and how many of them are 1, 2 and more.
+CONTEXT = ["t", "n1", "n2", "n3"]
+TOLD = ["c", *CONTEXT]
 KEY_BITS = 48
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -46,7 +49,8 @@ def words(text: str) -> list[str]:
 
 
 def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word, 7)
+    """48 bits."""
+    return xxhash.xxh64_intdigest(word, 7) >> 16
 
 
 def _key(*parts: np.ndarray) -> np.ndarray:
@@ -56,7 +60,7 @@ def _key(*parts: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, folds: int = TRAIN_FOLDS, max_docs: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS) -> DataFrame:
-    """Distinct texts of a fold of the rows with label quality 1, at most ``max_docs`` and about ``max_words`` words.
+    """Distinct texts of a fold of the rows with label quality 1, at most ``max_docs`` and about ``max_words`` words. No query uses it.
 
     Copies are one text of one fold. Languages take turns: texts are drawn in hash order inside each, and the language with the fewest words
     so far goes next. A text longer than ``max_words // LONGEST_SHARE`` words trains with that many from its beginning.
@@ -85,21 +89,52 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = TRAIN_FOLDS
     return found.select(F.array_join(F.slice(F.split("text", r"\s+"), 1, longest), " ").alias("text"))
 
 
+def _word_hashes(texts: list[str], hashes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, each with two starts and an end, and how many each text has."""
+    split = [[START, START, *words(t), END] for t in texts]
+    if len(hashes) > CACHE_WORDS:
+        hashes.clear()
+    for w in set().union(*split).difference(hashes):
+        hashes[w] = word_hash(w)
+    return np.fromiter((hashes[w] for s in split for w in s), np.uint64), np.array([len(s) for s in split])
+
+
+def _predicted(sizes: np.ndarray) -> np.ndarray:
+    """Places of the words that are predicted: all but the two starts of each text."""
+    first, ok = np.cumsum(sizes) - sizes, np.ones(int(sizes.sum()), bool)
+    ok[first] = ok[first + 1] = False
+    return np.flatnonzero(ok)
+
+
 def trigram_counts(texts: DataFrame) -> DataFrame:
-    """``(a, b, w, c)`` over whole texts with two starts and an end."""
+    """``a, b, w`` (hashes of words), ``c`` and, of the context ``a b``, ``t, n1, n2, n3``; ``first`` marks one row of each context.
+
+    Texts are whole, with two starts and an end.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for text in b["text"]:
-                w = [START, START, *words(text), END]
-                yield pd.DataFrame({"a": w[:-2], "b": w[1:-1], "w": w[2:]})
+        hashes: dict[str, int] = {}
+        for batch in batches:
+            for own in batches_of(batch):
+                h, sizes = _word_hashes(own["text"].tolist(), hashes)
+                at = _predicted(sizes)
+                a, b, w = h[at - 2], h[at - 1], h[at]
+                _, one, c = np.unique(mix(_key(a, b, w)), return_index=True, return_counts=True)
+                yield pd.DataFrame({"a": a[one].astype(np.int64), "b": b[one].astype(np.int64), "w": w[one].astype(np.int64), "c": c})
+
+    rows = texts.select("text").mapInPandas(run, "a long, b long, w long, c long").repartition("a", "b")
+    own = Window.partitionBy("a", "b")
+    counts = rows.groupBy("a", "b", "w").agg(F.sum("c").alias("c"))
+    return counts.select("a", "b", "w", "c", *[x.over(own).alias(n) for n, x in _context("c").items()], (F.min("w").over(own) == F.col("w")).alias("first"))
 
-    return texts.mapInPandas(run, "a string, b string, w string").groupBy("a", "b", "w").agg(F.count("*").alias("c"))
 
+def _context(c: str) -> dict[str, Column]:
+    """What a context is known by: its sum of counts, and how many of them are 1, 2 and more."""
+    return {"t": F.sum(c), **{n: F.sum(F.when(x, 1).otherwise(0)) for n, x in (("n1", F.col(c) == 1), ("n2", F.col(c) == 2), ("n3", F.col(c) > 2))}}
 
-def _discounts(counts: DataFrame) -> list[float]:
+
+def _discounts(n: dict[int, int]) -> list[float]:
     """D1, D2, D3+ of modified Kneser-Ney from the counts of counts."""
-    n = {r["c"]: r["n"] for r in counts.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
     n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
     if not n1:
         return [0.5, 0.5, 0.5]
@@ -108,158 +143,150 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True)]
 
 
-def _discount(c: Column, d: list[float]) -> Column:
-    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+def gram_keys(*parts: np.ndarray) -> np.ndarray:
+    """48-bit keys of n-grams; n-grams of different length have different ones."""
+    return mix(_key(np.full(len(parts[0]), len(parts), np.uint64), *parts)) >> np.uint64(64 - KEY_BITS)
 
 
-def _apart(tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
-    """``(key, delta)`` with the keys of the n-grams in the given columns; equal n-grams add up."""
-    rows = reduce(DataFrame.union, [df.select(F.array(*cols).alias("words"), "delta") for df, cols in tables])
+def _table(df: DataFrame) -> DataFrame:
+    """``durable``, packed closer; the shuffle files that led to it are removed at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return durable(df, "zstd")
+    finally:
+        conf.set(name, before)
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            grams = [np.array([[word_hash(w)] for w in words], np.uint64) for words in b["words"]]
-            yield pd.DataFrame({"key": [int(gram_keys(*g)[0]) for g in grams], "delta": b["delta"].to_numpy()})
 
-    return rows.mapInPandas(hashed, "key long, delta double").groupBy("key").agg(F.sum("delta").alias("delta"))
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of keys."""
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def gram_keys(*parts: np.ndarray) -> np.ndarray:
-    """48-bit keys of n-grams; n-grams of different length have different ones."""
-    return mix(_key(np.full(len(parts[0]), len(parts), np.uint64), *parts)) >> np.uint64(64 - KEY_BITS)
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    shard = _shard_of(keys, shards)
+    cut = np.flatnonzero(np.diff(shard, prepend=-1))
+    for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=False):
+        yield int(shard[a]), slice(a, e)
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, float]:
-    """Modified Kneser-Ney with interpolation: trigram counts, then continuation counts for the lower orders.
+def _packed(grams: DataFrame, shards: int, *orders: tuple[list[str], list[str]], where: str | None = None) -> DataFrame:
+    """``shard, keys, told``: per shard the sorted keys of n-grams and what is told of them, the columns of ``TOLD`` (0 for those not named).
 
-    Returns ``(key, delta)``, what each known n-gram adds to a log-probability, and the log-probability of an unseen word.
+    Each of ``orders`` names the columns of an n-gram's words and those told of it; the last is for the rows that ``where`` marks alone.
     """
-    abw = durable(trigram_counts(texts))
-    bw = durable(abw.groupBy("b", "w").agg(F.count("*").alias("c")))
-    w = durable(bw.groupBy("w").agg(F.count("*").alias("c")))
-    d3, d2, d1 = _discounts(abw), _discounts(bw), _discounts(w)
-    total, freed, size = w.agg(F.coalesce(F.sum("c"), F.lit(1)), F.coalesce(F.sum(_discount(F.col("c"), d1)), F.lit(1.0)), F.count("*")).first()
-    unseen = freed / total / (size + 1)
-    p1 = w.select("w", (F.greatest(F.col("c") - _discount(F.col("c"), d1), F.lit(0.0)) / total + unseen).alias("low"))
-
-    def order(counts: DataFrame, context: list[str], d: list[float], lower: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Known n-grams with their probability and what it adds to the way over the context; contexts with what they add."""
-        own = _discount(F.col("c"), d)
-        left = counts.groupBy(*context).agg(F.sum("c").alias("t"), F.sum(own).alias("g"))
-        back = F.col("g") / F.col("t")
-        p = (F.col("c") - own) / F.col("t") + back * F.col("low")
-        known = counts.join(left, context).join(lower, on).withColumn("p", p).withColumn("delta", F.log("p") - F.log(back * F.col("low")))
-        return known.drop("c", "t", "g", "low"), left.select(*context, F.log(back).alias("delta"))
-
-    p2, g2 = order(bw, ["b"], d2, p1, ["w"])
-    p2 = durable(p2)
-    p3, g3 = order(abw, ["a", "b"], d3, p2.select("b", "w", F.col("p").alias("low")), ["b", "w"])
-    word = p1.select("w", (F.log("low") - F.log(F.lit(unseen))).alias("delta"))
-    tables = [(word, ["w"]), (g2, ["b"]), (p2, ["b", "w"]), (g3, ["a", "b"]), (p3, ["a", "b", "w"])]
-    return durable(_apart(tables)), float(np.log(unseen))
-
-
-def _sieve(deltas: DataFrame) -> np.ndarray:
-    """A Bloom filter of the known keys, two bits each; 16 to 32 bits a key, and the keys are bounded by the training words."""
-    size = 1 << max(16, (16 * deltas.count()).bit_length())
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(size, bool)
-        for at in _bits(pdf["key"].to_numpy(np.int64).view(np.uint64), size):
-            bits[at] = True
-        return pd.DataFrame({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    parts = deltas.select("key", F.pmod("key", F.lit(SHARDS)).alias("part")).groupBy("part").applyInPandas(fill, "bits binary").collect()
-    return reduce(np.bitwise_or, [np.frombuffer(r["bits"], np.uint8) for r in parts], np.zeros(size // 8, np.uint8))
-
-
-def _bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(size - 1)
-    return (keys & mask).astype(np.int64), ((keys >> np.uint64(KEY_BITS // 2)) * _A >> np.uint64(20) & mask).astype(np.int64)
-
-
-def _occurrences(texts: list[str], hashes: dict[str, int], sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``key << 16 | text`` of the n-grams that pass the sieve, in order, how often each occurs, and the predicted words of each text."""
-    split = [[START, START, *words(t), END] for t in texts]
-    if len(hashes) > CACHE_WORDS:
-        hashes.clear()
-    for w in set().union(*split).difference(hashes):
-        hashes[w] = word_hash(w)
-    h = np.fromiter((hashes[w] for s in split for w in s), np.uint64)
-    sizes = np.array([len(s) for s in split])
-    text = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
-    first = np.cumsum(sizes) - sizes
-    found = []
-    for n in (1, 2, 3):
-        ok = np.ones(len(h) - n + 1, bool)
-        if n == 1:
-            ok[first] = False  # of the two starts, one is a context of single words
-        for back in range(n - 1):
-            ok[first[1:] - 1 - back] = False
-        at = np.flatnonzero(ok)
-        keys = gram_keys(*(h[at + i] for i in range(n)))
-        one, two = _bits(keys, len(sieve) * 8)
-        passed = (sieve[one >> 3] >> (one & 7).astype(np.uint8)) & (sieve[two >> 3] >> (two & 7).astype(np.uint8)) & 1 == 1
-        found.append(keys[passed] << np.uint64(16) | text[at[passed]])
-    pair = np.concatenate(found)
-    pair.sort()
-    begin = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
-    return pair[begin], np.diff(np.append(begin, len(pair))), sizes - 2
-
-
-def score_texts(texts: DataFrame, deltas: DataFrame, unseen: float) -> DataFrame:
-    """``(key, key2, n_words, nll)`` of distinct texts from rows ``(key, key2, text)``; copies of a text are averaged."""
-    spark = texts.sparkSession
-    sieve = spark.sparkContext.broadcast(_sieve(deltas))
-    groups = max(1, -(-int(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // GROUP_CHARS))
-    shift = np.uint64(16 + KEY_BITS - (SHARDS - 1).bit_length())
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes: dict[str, int] = {}
+    names = sorted({c for words_, told in orders for c in (*words_, *told)} | ({where} if where else set()))
+
+    def pack(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows, keys, told = pd.concat(held), [], []
+        for i, (words_, cols) in enumerate(orders):
+            own = rows[rows[where]] if where and i == len(orders) - 1 else rows
+            keys.append(gram_keys(*(own[c].to_numpy(np.int64).view(np.uint64) for c in words_)))
+            told.append(np.stack([own[c].to_numpy(np.int64) if c in cols else np.zeros(len(own), np.int64) for c in TOLD]))
+        key, told = np.concatenate(keys), np.concatenate(told, axis=1)
+        at = np.argsort(key)
+        key, told = key[at], told[:, at]
+        out = [(s, pack_sorted(key[own]), zlib.compress(told[:, own].astype("<i8").tobytes(), 1)) for s, own in _by_shard(key, shards)]
+        return pd.DataFrame(out, columns=["shard", "keys", "told"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for b in batches:
-            for part in batches_of(b):
-                pair, times, n_words = _occurrences(part["text"].tolist(), hashes, sieve.value)
-                ids = part[["key", "key2"]].to_numpy(np.int64).astype("<i8").tobytes()
-                group, rows = xxhash.xxh64_intdigest(ids) % groups, []
-                ends = np.searchsorted(pair >> shift, np.arange(SHARDS, dtype=np.uint64), "right")
-                for shard, (a, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-                    keys = pair[a:e] >> np.uint64(16)
-                    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-                    owner = (pair[a:e] & np.uint64(0xFFFF)).astype(np.int64)
-                    gap = np.diff(owner, prepend=0)
-                    gap[new] = owner[new]  # texts of a key ascend
-                    told = (pack_sorted(keys[new]), pack_counts(np.diff(np.append(new, len(keys)))), zlib.compress(gap.astype("<u2").tobytes(), 1), pack_counts(times[a:e]))
-                    rows.append((shard, group, ids, n_words.astype("<u4").tobytes() if shard == 0 else b"", *told))
-                yield pd.DataFrame(rows, columns=["shard", "grp", "ids", "n_words", "keys", "n_texts", "gaps", "times"])
-
-    def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        at = np.argsort(known["key"].to_numpy())
-        keys, delta = known["key"].to_numpy(np.int64)[at].view(np.uint64), known["delta"].to_numpy(np.float64)[at]
-        out = [np.zeros((0, 4))]
-        ids = [np.zeros((0, 2), np.int64)]
-        for r in asked.itertuples():
-            own, want, n = np.frombuffer(r.ids, "<i8").reshape(-1, 2), unpack_sorted(r.keys), unpack_counts(r.n_texts)
-            gaps = np.frombuffer(zlib.decompress(r.gaps), "<u2").astype(np.int64)
-            total = np.zeros(len(own))
-            if len(want) and len(keys):
-                place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                value = np.where(keys[place] == want, delta[place], 0.0)
-                begin = np.cumsum(n) - n
-                run = np.cumsum(gaps)
-                owner = run - np.repeat(run[begin] - gaps[begin], n)
-                total = np.bincount(owner, np.repeat(value, n) * unpack_counts(r.times), minlength=len(own))
-            told = np.frombuffer(r.n_words, "<u4") if r.n_words else np.zeros(len(own))
-            ids.append(own)
-            out.append(np.stack((total, told, np.full(len(own), float(r.shard == 0)), np.zeros(len(own))), axis=1))
-        ids, out = np.concatenate(ids), np.concatenate(out)
-        return pd.DataFrame({"key": ids[:, 0], "key2": ids[:, 1], "total": out[:, 0], "n_words": out[:, 1].astype(np.int64), "copies": out[:, 2].astype(np.int64)})
-
-    request = "shard long, grp long, ids binary, n_words binary, keys binary, n_texts binary, gaps binary, times binary"
-    asked = texts.select("key", "key2", "text").mapInPandas(ask, request)
-    shards = deltas.select("key", "delta", F.shiftright("key", KEY_BITS - (SHARDS - 1).bit_length()).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("grp"))
-    partial = asked.groupBy("shard", "grp").cogroup(shards.groupBy("shard", "grp")).applyInPandas(answer, "key long, key2 long, total double, n_words long, copies long")
-    sums = partial.groupBy("key", "key2").agg(F.sum("total").alias("total"), F.sum("n_words").alias("n"), F.sum("copies").alias("copies"))
-    return sums.select("key", "key2", (F.col("n") / F.col("copies")).cast("long").alias("n_words"), (-F.col("total") / F.col("n") - F.lit(unseen)).alias("nll"))
+            held.append(b)
+            n += len(b)
+            if n >= PACK_ROWS:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    return grams.select(*names).mapInPandas(run, "shard long, keys binary, told binary")
+
+
+def train(texts: DataFrame, shards: int = SHARDS) -> tuple[tuple[DataFrame, int], tuple[list[list[float]], float, float]]:
+    """Counts of modified Kneser-Ney with interpolation: of trigrams, then continuation counts for the lower orders.
+
+    Returns the packed counts with the number of their shards, and the discounts of the three orders with the sum of the words' counts and
+    the probability of an unseen word.
+    """
+    abw = _table(trigram_counts(texts))
+    bw = _table(abw.groupBy("b", "w").agg(F.count("*").alias("c")))
+    w = _table(bw.groupBy("w").agg(F.count("*").alias("c")))
+    d3, d2, d1 = (_discounts({r["c"]: r["n"] for r in x.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}) for x in (abw, bw, w))
+    own = F.when(F.col("c") == 1, d1[0]).when(F.col("c") == 2, d1[1]).otherwise(d1[2])
+    total, freed, size = w.agg(F.coalesce(F.sum("c"), F.lit(1)), F.coalesce(F.sum(own), F.lit(1.0)), F.count("*")).first()
+    context = bw.groupBy("b").agg(*[x.alias(n) for n, x in _context("c").items()])
+    trigrams = _packed(abw, shards, (["a", "b", "w"], ["c"]), (["a", "b"], CONTEXT), where="first")
+    lower = [_packed(bw, shards, (["b", "w"], ["c"])), _packed(context, shards, (["b"], CONTEXT)), _packed(w, shards, (["w"], ["c"]))]
+    counts = _table(reduce(DataFrame.union, lower, trigrams))
+    discard(abw, bw, w)
+    return (counts, shards), ([d1, d2, d3], float(total), freed / total / (size + 1))
+
+
+def _grams_of(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Keys of all n-grams in a row, where those of order 1, 2 and 3 begin at each place, and the number of words of each text."""
+    h, sizes = _word_hashes(texts, {})
+    return np.concatenate([gram_keys(*(h[i : len(h) - n + 1 + i] for i in range(n))) for n in (1, 2, 3)]), _predicted(sizes), sizes
+
+
+def score_texts(texts: DataFrame, counts: tuple[DataFrame, int], discounts: tuple[list[list[float]], float, float]) -> DataFrame:
+    """``(key, key2, n_words, nll)`` of distinct texts from rows ``(key, key2, text)``.
+
+    Blocks of texts ask every shard for the n-grams they hold, once each, and get the counts back in the order of their question.
+    """
+    known, shards = counts
+    (d1, d2, d3), total, unseen = discounts
+    texts = _table(texts.groupBy("key", "key2").agg(F.first("text").alias("text")))
+    blocks = max(1, -(-int(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // GROUP_CHARS))
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key", "key2"), F.lit(blocks)))
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.unique(_grams_of(pdf["text"].tolist())[0])
+        return pd.DataFrame([(s, pdf["block"].iloc[0], pack_sorted(keys[own])) for s, own in _by_shard(keys, shards)], columns=["shard", "block", "keys"])
+
+    def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for x in own["keys"])])
+        told = np.concatenate([np.zeros((len(TOLD), 0), np.int64), *(np.frombuffer(zlib.decompress(x), "<i8").reshape(len(TOLD), -1) for x in own["told"])], axis=1)
+        at = np.argsort(keys, kind="stable")
+        keys, told = keys[at], told[:, at]
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        if len(keys):
+            keys, told = keys[begin], np.add.reduceat(told, begin, axis=1)
+        out = []
+        for block, raw in zip(asked["block"], asked["keys"], strict=True):
+            want = unpack_sorted(raw)
+            place = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
+            held = keys[place] == want if len(keys) else np.zeros(len(want), bool)
+            out.append((block, asked["shard"].iloc[0], len(want), np.packbits(held).tobytes(), zlib.compress(told[:, place[held]].astype("<i8").tobytes(), 1)))
+        return pd.DataFrame(out, columns=["block", "shard", "n", "held", "told"])
+
+    def back(c: np.ndarray, context: np.ndarray, d: list[float], low: np.ndarray) -> np.ndarray:
+        t, freed = context[0], (context[1:] * np.array(d)[:, None]).sum(axis=0)
+        return np.where(t > 0, (c - np.array([0.0, *d])[np.minimum(c, 3)] + freed * low) / np.maximum(t, 1), low)
+
+    def score(own: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        keys, at, sizes = _grams_of(own["text"].tolist())
+        _, place = np.unique(keys, return_inverse=True)
+        parts = []
+        for r in said.sort_values("shard").itertuples():
+            part = np.zeros((len(TOLD), r.n), np.int64)
+            part[:, np.unpackbits(np.frombuffer(r.held, np.uint8), count=r.n).astype(bool)] = np.frombuffer(zlib.decompress(r.told), "<i8").reshape(len(TOLD), -1)
+            parts.append(part)
+        told, n = np.concatenate(parts, axis=1), int(sizes.sum())
+        one, two, three = place[:n], place[n : 2 * n - 1], place[2 * n - 1 :]
+        c = told[0, one[at]]
+        p = np.maximum(c - np.array([0.0, *d1])[np.minimum(c, 3)], 0) / total + unseen
+        p = back(told[0, two[at - 1]], told[1:, one[at - 1]], d2, p)
+        p = back(told[0, three[at - 2]], told[1:, two[at - 2]], d3, p)
+        begin = np.cumsum(sizes - 2) - (sizes - 2)
+        return pd.DataFrame({"key": own["key"], "key2": own["key2"], "n_words": sizes - 2, "nll": -np.add.reduceat(np.log(p), begin) / (sizes - 2)})
+
+    asked = dealt.groupBy("block").applyInPandas(ask, "shard long, block long, keys binary")
+    answers = _table(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(answer, "block long, shard long, n long, held binary, told binary"))
+    scores = _table(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "key long, key2 long, n_words long, nll double"))
+    discard(texts, answers)
+    return scores
 
 
 def _text_keys() -> list[Column]:
@@ -268,10 +295,33 @@ def _text_keys() -> list[Column]:
     return [F.xxhash64(text).alias("key"), F.xxhash64(F.lit("second"), text).alias("key2")]
 
 
-def score_documents(docs: DataFrame, deltas: DataFrame, unseen: float) -> DataFrame:
-    """``doc_id, lang, key, key2, n_words, nll`` of every row's whole text."""
-    scores = durable(score_texts(docs.select(*_text_keys(), F.coalesce("text", F.lit("")).alias("text")), deltas, unseen))
-    return docs.select("doc_id", "lang", *_text_keys()).join(scores, ["key", "key2"])
+def _part() -> Column:
+    """The part of a row with ``key, key2``, from 0 to ``PARTS - 1``: copies share one. Even parts are one half, odd ones the other."""
+    return F.pmod(F.xxhash64(F.lit("part"), "key", "key2"), F.lit(PARTS))
+
+
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``half, text``: the distinct texts of all rows with label quality 1, whole."""
+    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    rows = docs.where(F.length("text") > 0).join(trusted, "doc_id", "left_semi").select(*_text_keys(), "text")
+    return rows.groupBy("key", "key2").agg(F.first("text").alias("text")).select((_part() % 2).alias("half"), "text")
+
+
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, lang, key, key2, n_words, nll`` of every row's whole text, by the model of the trusted texts of the other half.
+
+    Both models together are trained on every trusted text, and none judges a text that it knows by heart.
+    """
+    trusted = _table(trusted_texts(docs, labels))
+    chars = int(docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])
+    rows = docs.select(*_text_keys(), F.coalesce("text", F.lit("")).alias("text")).withColumn("part", _part())
+    scores = []
+    for half in (0, 1):
+        counts, discounts = train(trusted.where(F.col("half") != half), max(SHARDS, -(-chars // SHARD_CHARS)))
+        scores += [score_texts(rows.where(F.col("part") == part), counts, discounts) for part in range(half, PARTS, 2)]
+        discard(counts[0])
+    discard(trusted)
+    return docs.select("doc_id", "lang", *_text_keys()).join(reduce(DataFrame.union, scores), ["key", "key2"])
 
 
 def judge(scored: DataFrame, fence: float = 3.0, sigmas: float = 2.0, accuracy: int = 10_000) -> DataFrame:
@@ -292,8 +342,7 @@ def judge(scored: DataFrame, fence: float = 3.0, sigmas: float = 2.0, accuracy:
 
 def _verdicts(docs: DataFrame, labels: DataFrame, fence: float, sigmas: float) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang")
-    deltas, unseen = train(training_sample(docs, labels.select("doc_id", "quality")))
-    return judge(score_documents(docs, deltas, unseen), fence, sigmas)
+    return judge(score_documents(docs, labels.select("doc_id", "quality")), fence, sigmas)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, fence: float = 3.0, sigmas: float = 2.0) -> DataFrame:
