@@ -11,6 +11,7 @@ change a result.
 
 from __future__ import annotations
 
+import collections
 import functools
 import itertools
 import math
@@ -63,16 +64,27 @@ class PieceModel:
         whole = {self.pieces[i]: (i, lp) for i, lp in zip(ids, logp.tolist(), strict=True)}
         self.tables = {}
         for n in range(1, self.longest + 1):
-            heads = sorted((int(hash_text(p)), *whole.get(p, (-1, 0.0))) for p in {p[:n] for p in whole if len(p) >= n})
+            heads = sorted((int(spread(hash_text(p))), *whole.get(p, (-1, 0.0))) for p in {p[:n] for p in whole if len(p) >= n})
             keys = np.array([x[0] for x in heads], np.uint64)
             if (keys[1:] == keys[:-1]).any():
                 raise ValueError("two beginnings of pieces share a hash")
-            self.tables[n] = keys, np.array([x[1] for x in heads]), np.array([x[2] for x in heads])
+            first = np.searchsorted(keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.int32)
+            self.tables[n] = keys, np.array([x[1] for x in heads]), np.array([x[2] for x in heads]), np.minimum(first, len(keys) - 1)
         self.spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
         sizes = np.array([len(x) for x in self.spelled])
         self.spelled_at, self.spelled_size, self.letters = np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(self.spelled), np.uint8)
 
+    def find(self, size: int, h: np.ndarray) -> np.ndarray:
+        """Places in the table of beginnings of ``size`` of the first hash that isn't smaller, or the last place."""
+        keys, first = self.tables[size][0], self.tables[size][3]
+        k = first[(h >> np.uint64(48)).astype(np.int64)]  # hashes are spread evenly: it's there or a few places on
+        open_ = np.flatnonzero((keys[k] < h) & (k < len(keys) - 1))
+        while len(open_):
+            k[open_] += 1
+            open_ = open_[(keys[k[open_]] < h[open_]) & (k[open_] < len(keys) - 1)]
+        return k
+
     def spell_all(self, samples: list[np.ndarray]) -> list[bytes]:
         """``spell`` of many lists of ids at once."""
         if not samples:
@@ -104,6 +116,12 @@ def hash_text(text: str) -> np.uint64:
     return h[0]
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Hashes whose upper bits differ, too."""
+    with np.errstate(over="ignore"):
+        return h * np.uint64(0xD6E8FEB86659FD93)
+
+
 def chunks(text: str) -> list[str]:
     """Parts of a text that begin with its blanks; together they spell the text with a blank in front."""
     if not text:
@@ -123,7 +141,7 @@ class Lattices:
         n = int((sizes + 1).sum())
         code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64) if texts else np.zeros(0, np.uint64)
         room = np.repeat(self.last, sizes + 1) - np.arange(n)
-        start, stop, piece, logp = [], [], [], []
+        found = []
         at, h = np.flatnonzero(room > 0), np.zeros(n, np.uint64)
         single = np.zeros(n, bool)
         for size in range(1, model.longest + 1):
@@ -131,46 +149,57 @@ class Lattices:
             if not len(at):
                 break
             h[at] = h[at] * _BASE + (code[at + size - 1] + np.uint64(1))
-            keys, ids, lps = model.tables[size]
-            k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            begun = keys[k] == h[at]
+            keys, ids, lps = model.tables[size][:3]
+            own = spread(h[at])
+            k = model.find(size, own)
+            begun = keys[k] == own
             at, k = at[begun], k[begun]
-            hit = ids[k] >= 0
-            start.append(at[hit]), stop.append(at[hit] + size), piece.append(ids[k[hit]]), logp.append(lps[k[hit]])
+            id_ = ids[k]
+            hit = id_ >= 0
+            found.append((at[hit], size, id_[hit], lps[k[hit]]))
             if size == 1:
-                single[at[hit]] = True
+                single[found[0][0]] = True
         bare = np.flatnonzero((room > 0) & ~single)
         n_bytes = 1 + (code[bare] >= 0x80) + (code[bare] >= 0x800).astype(int) + (code[bare] >= 0x10000)
-        start.append(bare), stop.append(bare + 1), piece.append(-1 - code[bare].astype(np.int64)), logp.append(n_bytes * model.byte_logp)
-        start, stop, piece, logp = map(np.concatenate, (start, stop, piece, logp))
+        found.insert(0, (bare, 1, -1 - code[bare].astype(np.int64), n_bytes * model.byte_logp))
+
+        # Edges by node, long steps first: they are likely.
+        edges = np.zeros(n, np.int64)
+        for node, *_ in found:
+            edges[node] += 1
+        ends = np.cumsum(edges)
+        self.begin = np.concatenate(([0], ends)).astype(np.int32)
+        self.stop, self.piece, logp = np.empty(ends[-1] if n else 0, np.int32), np.empty(ends[-1] if n else 0, np.int32), np.empty(ends[-1] if n else 0)
+        free = ends - edges
+        for node, size, id_, lp in reversed(found):
+            at = free[node]
+            self.stop[at], self.piece[at], logp[at] = node + size, id_, lp
+            free[node] = at + 1
+        start, stop = np.repeat(np.arange(n), edges), self.stop
+        self.logp = logp
 
         # Sums of all paths from a node to its chunk's end, from the last place of all chunks to the first.
-        order = np.argsort(start * (model.longest + 1) - (stop - start))  # long steps first: they are likely
-        start, stop, piece, logp = start[order], stop[order], piece[order], logp[order]
-        self.stop, self.piece, self.logp = stop.astype(np.int32), piece.astype(np.int32), logp
-        self.begin = np.concatenate(([0], np.cumsum(np.bincount(start, minlength=n)))).astype(np.int32)
-        place = start - np.repeat(self.first, sizes + 1)[start]
-        back = place.max(initial=0) - place
+        back = np.arange(n) - np.repeat(self.first, sizes + 1)
+        back = np.repeat(back.max(initial=0) - back, edges)
         order = np.argsort(back.astype(np.uint16) if back.max(initial=0) < 1 << 16 else back, kind="stable")
-        s, e, lp, p = start[order], stop[order], logp[order], place[order]
+        s, e, lp = start[order], stop[order], logp[order]
         self.mass = np.zeros(n)
-        cut = np.flatnonzero(np.diff(p, prepend=p[0] + 1)) if len(p) else []
-        for a, b in zip(cut, [*cut[1:], len(p)][: len(cut)], strict=True):
+        at_place = np.bincount(back)
+        cut = np.cumsum(at_place[at_place > 0]).tolist()
+        for a, b in itertools.pairwise([0, *cut]):
             value = lp[a:b] + self.mass[e[a:b]]
             node = np.flatnonzero(np.diff(s[a:b], prepend=-1))
             high = np.maximum.reduceat(value, node)
             width = np.diff(np.append(node, b - a))
             self.mass[s[a:b][node]] = high + np.log(np.add.reduceat(np.exp(value - np.repeat(high, width)), node))
 
-        # What a step adds to a path's log-probability, and what its alternatives together leave.
-        self.start, self.log_share = start.astype(np.int32), np.minimum(logp + self.mass[stop] - self.mass[start], 0.0)
+        # What a step adds to a path's log-probability.
+        self.start, self.log_share = start.astype(np.int32), np.minimum(logp + self.mass[stop] - np.repeat(self.mass, edges), 0.0)
         self.share = np.exp(self.log_share)
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.log1p(-np.minimum(self.share, 1.0))
         # Share of the steps from a node up to this one; the last one's is above every random number.
         sums = np.cumsum(self.share)
-        self.upto = sums - np.concatenate(([0.0], sums))[self.begin[start]]
-        self.upto[self.begin[1:][np.diff(self.begin) > 0] - 1] = 2.0
+        self.upto = sums - np.repeat(np.concatenate(([0.0], sums))[self.begin[:-1]], edges)
+        self.upto[self.begin[1:][edges > 0] - 1] = 2.0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -230,9 +259,9 @@ def _walk(lat: Lattices, node: np.ndarray, end: np.ndarray, key: np.ndarray) ->
 def sample_texts(model: PieceModel, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` distinct segmentations ``(ids, log_prob, perturbed, inclusion)``, largest perturbed first."""
     split = [chunks(t) for t in texts]
-    types = list(dict.fromkeys(itertools.chain.from_iterable(split)))
-    number = dict(zip(types, range(len(types)), strict=True))
+    number: collections.defaultdict[str, int] = collections.defaultdict(itertools.count().__next__)
     flat = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64)
+    types = list(number)
     lat = Lattices(model, types)
     n_chunks = np.array([len(s) for s in split], np.int64)
     ends = np.cumsum(n_chunks)
@@ -305,7 +334,9 @@ def _sample(model: PieceModel, lat: Lattices, flat: np.ndarray, n_chunks: np.nda
         with np.errstate(over="ignore"):
             u = _uniform(_mix(key + step_.astype(np.uint64)), 0x40000000)
         span = np.searchsorted(text, np.arange(n + 1)).tolist()
-        log_q, log_rest = lat.log_share[edge], lat.log_rest[edge]
+        log_q = lat.log_share[edge]
+        with np.errstate(divide="ignore"):
+            log_rest = np.log1p(-np.minimum(share[edge], 1.0))  # what a step's alternatives together leave
         log_u = np.log(-np.log(u))
         for (t, g), head in zip(jobs, heads, strict=True):
             a, b = span[t], span[t + 1]
@@ -319,11 +350,12 @@ def _sample(model: PieceModel, lat: Lattices, flat: np.ndarray, n_chunks: np.nda
             if b > a:
                 left = log_rest[a:b] + before
                 left[1:] += phi[:-1] - before
-                value = left - np.logaddexp(left - g, log_u[a:b])
-                want = k - turn
-                top = np.argpartition(-value, want - 1)[:want] if len(value) > want else np.arange(len(value))
-                for i in top[np.isfinite(value[top])].tolist():
-                    frontier[t].append((float(value[i]), float(left[i]), len(samples[t]), len(edges) + i, (int(edge[a + i]),)))
+                late, want = log_u[a:b] - left, k - turn  # the perturbed maximum falls as this grows
+                top = np.argpartition(late, want - 1)[:want] if len(late) > want else np.arange(len(late))
+                top = top[np.isfinite(left[top])]
+                value = left[top] - np.logaddexp(left[top] - g, log_u[a:b][top])
+                for i, x in zip(top.tolist(), value.tolist(), strict=True):
+                    frontier[t].append((x, float(left[i]), len(samples[t]), len(edges) + i, (int(edge[a + i]),)))
             samples[t].append((np.concatenate((edges, edge[a:b])), np.concatenate((of_chunk, chunk[a:b])), float(phi[-1]) if b > a else before, g))
 
     out = []
@@ -336,6 +368,8 @@ def _sample(model: PieceModel, lat: Lattices, flat: np.ndarray, n_chunks: np.nda
 def _ids(model: PieceModel, lat: Lattices, edges: np.ndarray) -> np.ndarray:
     ids = lat.piece[edges]
     bare = np.flatnonzero(ids < 0)
+    if not len(bare):
+        return ids
     ids[bare] = np.where(ids[bare] >= -128, model.byte_ids[np.minimum(-1 - ids[bare], 127)], ids[bare])
     if (ids[bare] < 0).any():
         spelled: list[int] = []
