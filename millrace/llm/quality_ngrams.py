@@ -224,9 +224,13 @@ def train(texts: DataFrame, shards: int = SHARDS) -> tuple[tuple[DataFrame, int]
     return (counts, shards), ([d1, d2, d3], float(total), freed / total / (size + 1))
 
 
-def _grams_of(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Keys of all n-grams in a row, where those of order 1, 2 and 3 begin at each place, and the number of words of each text."""
-    h, sizes = _word_hashes(texts, {})
+def _grams_of(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all n-grams in a row, the places of predicted words, and the number of words of each text.
+
+    N-grams that reach from one text into the next are among them, and a shuffle hands on rows in any order: texts stand by their keys, so
+    that question and answer speak of the same n-grams.
+    """
+    h, sizes = _word_hashes(own["text"].tolist(), {})
     return np.concatenate([gram_keys(*(h[i : len(h) - n + 1 + i] for i in range(n))) for n in (1, 2, 3)]), _predicted(sizes), sizes
 
 
@@ -242,7 +246,7 @@ def score_texts(texts: DataFrame, counts: tuple[DataFrame, int], discounts: tupl
     dealt = texts.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key", "key2"), F.lit(blocks)))
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(_grams_of(pdf["text"].tolist())[0])
+        keys = np.unique(_grams_of(pdf.sort_values(["key", "key2"]))[0])
         return pd.DataFrame([(s, pdf["block"].iloc[0], pack_sorted(keys[own])) for s, own in _by_shard(keys, shards)], columns=["shard", "block", "keys"])
 
     def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -266,7 +270,8 @@ def score_texts(texts: DataFrame, counts: tuple[DataFrame, int], discounts: tupl
         return np.where(t > 0, (c - np.array([0.0, *d])[np.minimum(c, 3)] + freed * low) / np.maximum(t, 1), low)
 
     def score(own: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        keys, at, sizes = _grams_of(own["text"].tolist())
+        own = own.sort_values(["key", "key2"])
+        keys, at, sizes = _grams_of(own)
         _, place = np.unique(keys, return_inverse=True)
         parts = []
         for r in said.sort_values("shard").itertuples():

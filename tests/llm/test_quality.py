@@ -8,6 +8,7 @@ pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
 from millrace.llm import quality_ngrams as Q  # noqa: E402
+from pyspark.sql import GroupedData  # noqa: E402
 from test_dedup import brute_classes, brute_lines  # noqa: E402
 from test_pipeline import check_packing  # noqa: E402
 from test_text import kneser_ney  # noqa: E402
@@ -56,3 +57,15 @@ def test_pipeline_with_models_of_all_trusted_texts(spark):
     lines = {i: t for i, _, _, t in brute_lines([(r.doc_id, r.text) for r in good], 40, 5)}
     name = brute_classes(list(lines.items()))
     check_packing(corpus_pipeline.run(spark, SF).collect(), {i: lines[i] for i in lines if name[i] == i})
+
+
+def test_blocks_get_their_answers_in_any_order_of_rows(spark, monkeypatch):
+    texts = [f"{'abcdefgh'[i % 8]} b c {i % 7} last{i}" for i in range(60)]
+    rows = spark.createDataFrame([(i, i // 3, t) for i, t in enumerate(texts)], "key long, key2 long, text string")
+    model = Q.train(spark.createDataFrame([(t,) for t in texts[::2]], "text string"))
+    p = kneser_ney(texts[::2])
+    seqs = [[Q.START, Q.START, *t.split(), Q.END] for t in texts]
+    want = {i: -sum(math.log(p(*x)) for x in zip(s, s[1:], s[2:])) / (len(s) - 2) for i, s in enumerate(seqs)}
+    one = GroupedData.applyInPandas  # a shuffle may hand on the rows of a block in one order when it asks and in another when it is scored
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: one(self, lambda pdf: f(pdf[::-1]), schema))
+    assert {r.key: r.nll for r in Q.score_texts(rows, *model).collect()} == pytest.approx(want, abs=1e-9)
