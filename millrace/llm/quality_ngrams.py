@@ -1,26 +1,29 @@
 """Document quality by perplexity under interpolated modified Kneser-Ney trigram models of trusted text.
 
 Every trusted text trains: texts are cut into two halves by hash, each half trains a model, and a document is judged by the model of
-the other half, so that no perplexity is that of a memorised text. Counts and continuation counts are Spark aggregations on n-grams;
-a model is a table of counts sharded by n-gram. Blocks of documents ask the shards for the counts of the n-grams they hold, once each,
-and turn the answers into probabilities. Nothing of a model is broadcast or held whole. Thresholds come from quantiles over all
-distinct texts of a language.
+the other half, so that no perplexity is that of a memorised text. Distinct texts lie in blocks, as hashes of their words and the places
+of these in the texts. Blocks send the shards the distinct trigrams they hold with their counts; a shard adds them up and sends what counts for the lower order on. A model is a table of counts sharded by context: all
+n-grams that begin alike lie in one shard. Blocks of documents ask the shards for the terms of the n-grams they hold, once each, and
+turn the answers into probabilities. Nothing of a model is broadcast or held whole. Thresholds come from quantiles over all distinct
+texts of a language.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import collections
+import itertools
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, durable
-from .shingles import batches_of, mix, pack_sorted, unpack_sorted
+from .shingles import batches_of, mix, pack48, pack_counts, pack_sorted, unpack48, unpack_counts, unpack_sorted
 
 #: A sample for small models, which no query uses: one in so many trusted rows, and at most so many documents and words of them.
 TRAIN_FOLDS, TRAIN_DOCS, TRAIN_WORDS = 5, 10_000, 250_000
@@ -30,17 +33,19 @@ LONGEST_SHARE = 50
 LEAST_SPREAD = 0.01
 #: Sentence ends; white space can't occur in a word, so these can't either.
 START, END = " ^", " $"
-CACHE_WORDS = 300_000
 #: Standard deviation of one word's negative log-probability, for the interval of a document's mean.
 WORD_SD = 3.0
 #: Shards of the counts at least, code points of the documents that make one more, and of those that ask together.
 SHARDS, SHARD_CHARS, GROUP_CHARS = 8, 20_000_000, 3_000_000
-#: Parts of the documents that are scored one after the other, rows that are packed at once.
-PARTS, PACK_ROWS = 4, 500_000
-#: What a model tells of an n-gram: its count; as a context the sum of its counts, and how many of them are 1, 2 and more.
-CONTEXT = ["t", "n1", "n2", "n3"]
-TOLD = ["c", *CONTEXT]
+#: Parts of the documents, which make two halves; parts of the shards and of a half's blocks that come one after the other, to save disk.
+PARTS, COUNT_TURNS, SCORE_TURNS = 4, 2, 6
+#: Kinds of keys: n-grams of 1, 2 and 3 words that end in a predicted one, and contexts of 1 and 2 words.
+UNI, BI, TRI, ONE, TWO = 1, 2, 3, 4, 5
 KEY_BITS = 48
+#: Distinct texts, some of them trusted: their keys, how many words each has, the hashes of all words, and each word's place among these.
+BLOCK = "block long, keys binary, trusted binary, sizes binary, hashes binary, ids binary"
+#: What a shard holds of an order, or (``own`` is false) sends on to the shards of the next lower one.
+LEVEL = "shard long, own boolean, keys binary, c binary, contexts binary, sizes binary, n1 long, n2 long, n3 long, n4 long, total long, types long"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -89,14 +94,45 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = TRAIN_FOLDS
     return found.select(F.array_join(F.slice(F.split("text", r"\s+"), 1, longest), " ").alias("text"))
 
 
-def _word_hashes(texts: list[str], hashes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, each with two starts and an end, and how many each text has."""
+def _word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in a list of hashes for the words of all texts, each with two starts and an end; the list; how many each text has."""
     split = [[START, START, *words(t), END] for t in texts]
-    if len(hashes) > CACHE_WORDS:
-        hashes.clear()
-    for w in set().union(*split).difference(hashes):
-        hashes[w] = word_hash(w)
-    return np.fromiter((hashes[w] for s in split for w in s), np.uint64), np.array([len(s) for s in split])
+    number: collections.defaultdict[str, int] = collections.defaultdict(itertools.count().__next__)
+    ids = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64)
+    return ids, np.fromiter(map(word_hash, number), np.uint64), np.array([len(s) for s in split])
+
+
+def text_blocks(rows: DataFrame, trusted: DataFrame | None, blocks: int) -> DataFrame:
+    """``BLOCK`` rows of the distinct texts of rows ``(key, key2, text)``. Those with the keys of ``trusted`` are marked, or else all."""
+    block = F.pmod(F.xxhash64(F.lit("block"), "key", "key2"), F.lit(blocks)).alias("block")
+    one = rows.select(block, "key", "key2", "text").repartition("block").groupBy("block", "key", "key2").agg(F.first("text").alias("text"))
+
+    def pack(own: pd.DataFrame, good: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame(columns=[x.split()[0] for x in BLOCK.split(", ")])
+        ids, h, sizes = _word_ids(own["text"].tolist())
+        known = None if good is None else set(zip(good["key"].tolist(), good["key2"].tolist(), strict=True))
+        marks = [known is None or x in known for x in zip(own["key"].tolist(), own["key2"].tolist(), strict=True)]
+        keys = own[["key", "key2"]].to_numpy("<i8").tobytes()
+        planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # the upper ones are nearly empty
+        raw = keys, np.packbits(marks).tobytes(), sizes.astype("<u4").tobytes(), pack48(h), pa.compress(planes, "zstd", asbytes=True)
+        return pd.DataFrame([(own["block"].iloc[0], *raw)], columns=[x.split()[0] for x in BLOCK.split(", ")])
+
+    if trusted is None:
+        return _table(one.groupBy("block").applyInPandas(lambda own: pack(own), BLOCK))
+    marked = trusted.select(block, "key", "key2").distinct()
+    return _table(one.groupBy("block").cogroup(marked.groupBy("block")).applyInPandas(pack, BLOCK))
+
+
+def _unpacked(row: pd.Series, only_trusted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_word_ids`` gives of the texts of a ``BLOCK`` row."""
+    h, sizes = unpack48(row["hashes"]), np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+    planes = np.frombuffer(pa.decompress(row["ids"], 4 * int(sizes.sum()), "zstd"), np.uint8)
+    ids = planes.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    if only_trusted:
+        marks = np.unpackbits(np.frombuffer(row["trusted"], np.uint8), count=len(sizes)).astype(bool)
+        ids, sizes = ids[np.repeat(marks, sizes)], sizes[marks]
+    return ids, h, sizes
 
 
 def _predicted(sizes: np.ndarray) -> np.ndarray:
@@ -106,31 +142,21 @@ def _predicted(sizes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def trigram_counts(texts: DataFrame) -> DataFrame:
-    """``a, b, w`` (hashes of words), ``c`` and, of the context ``a b``, ``t, n1, n2, n3``; ``first`` marks one row of each context.
-
-    Texts are whole, with two starts and an end.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes: dict[str, int] = {}
-        for batch in batches:
-            for own in batches_of(batch):
-                h, sizes = _word_hashes(own["text"].tolist(), hashes)
-                at = _predicted(sizes)
-                a, b, w = h[at - 2], h[at - 1], h[at]
-                _, one, c = np.unique(mix(_key(a, b, w)), return_index=True, return_counts=True)
-                yield pd.DataFrame({"a": a[one].astype(np.int64), "b": b[one].astype(np.int64), "w": w[one].astype(np.int64), "c": c})
-
-    rows = texts.select("text").mapInPandas(run, "a long, b long, w long, c long").repartition("a", "b")
-    own = Window.partitionBy("a", "b")
-    counts = rows.groupBy("a", "b", "w").agg(F.sum("c").alias("c"))
-    return counts.select("a", "b", "w", "c", *[x.over(own).alias(n) for n, x in _context("c").items()], (F.min("w").over(own) == F.col("w")).alias("first"))
-
-
-def _context(c: str) -> dict[str, Column]:
-    """What a context is known by: its sum of counts, and how many of them are 1, 2 and more."""
-    return {"t": F.sum(c), **{n: F.sum(F.when(x, 1).otherwise(0)) for n, x in (("n1", F.col(c) == 1), ("n2", F.col(c) == 2), ("n3", F.col(c) > 2))}}
+def _trigrams(ids: np.ndarray, sizes: np.ndarray, n: int, **also: bool) -> tuple[np.ndarray, ...]:
+    """The distinct trigrams ``a, b, w`` of all texts, ordered by ``a, b, w``, and what else ``np.unique`` shall return of them."""
+    at, pairs = _predicted(sizes), None
+    ab = ids[at - 2] * n + ids[at - 1]
+    if n**3 >= 1 << 63:
+        pairs, ab = np.unique(ab, return_inverse=True)
+    code, more = ab * n + ids[at], []
+    if also:
+        code, *more = np.unique(code, **also)
+    else:
+        code = np.sort(code)
+        code = code[np.diff(code, prepend=-1) != 0]
+    ab, w = np.divmod(code, n)
+    a, b = np.divmod(ab if pairs is None else pairs[ab], n)
+    return a, b, w, *more
 
 
 def _discounts(n: dict[int, int]) -> list[float]:
@@ -143,20 +169,33 @@ def _discounts(n: dict[int, int]) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True)]
 
 
-def gram_keys(*parts: np.ndarray) -> np.ndarray:
-    """48-bit keys of n-grams; n-grams of different length have different ones."""
-    return mix(_key(np.full(len(parts[0]), len(parts), np.uint64), *parts)) >> np.uint64(64 - KEY_BITS)
+def gram_keys(kind: int, *parts: np.ndarray) -> np.ndarray:
+    """48-bit keys from the hashes of words; those of different kinds differ."""
+    return mix(_key(np.full(len(parts[0]), kind, np.uint64), *parts)) >> np.uint64(64 - KEY_BITS)
+
+
+def _context_keys(parts: list[np.ndarray]) -> np.ndarray:
+    """Keys of the contexts of n-grams; a word without one stands for itself."""
+    return gram_keys(TWO, *parts[:2]) if len(parts) == 3 else gram_keys(ONE, parts[0])
 
 
-def _table(df: DataFrame) -> DataFrame:
-    """``durable``, packed closer; the shuffle files that led to it are removed at once."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, "false")
-    conf.set(name, "true")
-    try:
-        return durable(df, "zstd")
-    finally:
-        conf.set(name, before)
+def _table(df: DataFrame, *by: str) -> DataFrame:
+    """``durable``, packed closer; the shuffle files that led to it are removed at once.
+
+    Executors remove theirs when the driver's collector finds the written plan gone, which may be long after.
+    """
+    table = durable(df, "zstd", *by)
+    df.sparkSession._jvm.System.gc()
+    return table
+
+
+def _level_table(df: DataFrame) -> list[DataFrame]:
+    """``_table`` of ``LEVEL`` rows in two folders: what shards hold, and what they send on, which can be discarded alone."""
+    df = _table(df, "own")
+    folders = collections.defaultdict(list)
+    for file in df.inputFiles():
+        folders["/own=true/" in file].append(file)
+    return [df.sparkSession.read.schema(df.drop("own").schema).parquet(*folders[x]) if folders[x] else df.where(F.lit(False)).drop("own") for x in (True, False)]
 
 
 def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -164,133 +203,189 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
-    shard = _shard_of(keys, shards)
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each of the sorted shards and where its rows lie."""
     cut = np.flatnonzero(np.diff(shard, prepend=-1))
-    for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=False):
+    for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=False):
         yield int(shard[a]), slice(a, e)
 
 
-def _packed(grams: DataFrame, shards: int, *orders: tuple[list[str], list[str]], where: str | None = None) -> DataFrame:
-    """``shard, keys, told``: per shard the sorted keys of n-grams and what is told of them, the columns of ``TOLD`` (0 for those not named).
+def _sent(parts: list[np.ndarray], c: np.ndarray, shards: int, turn: int | None = None) -> list[tuple[int, bytes, bytes]]:
+    """``shard, words, counts``: n-grams, given by the hashes of their words, for the shards of their contexts (those of a turn, or all)."""
+    shard = _shard_of(_context_keys(parts), shards)
+    at = np.argsort(shard, kind="stable")
+    if turn is not None:
+        at = at[shard[at] % COUNT_TURNS == turn]
+    parts, c = [x[at] for x in parts], c[at]
+    return [(s, b"".join(pack48(x[own]) for x in parts), pack_counts(c[own])) for s, own in _by_shard(shard[at])]
 
-    Each of ``orders`` names the columns of an n-gram's words and those told of it; the last is for the rows that ``where`` marks alone.
-    """
-    names = sorted({c for words_, told in orders for c in (*words_, *told)} | ({where} if where else set()))
-
-    def pack(held: list[pd.DataFrame]) -> pd.DataFrame:
-        rows, keys, told = pd.concat(held), [], []
-        for i, (words_, cols) in enumerate(orders):
-            own = rows[rows[where]] if where and i == len(orders) - 1 else rows
-            keys.append(gram_keys(*(own[c].to_numpy(np.int64).view(np.uint64) for c in words_)))
-            told.append(np.stack([own[c].to_numpy(np.int64) if c in cols else np.zeros(len(own), np.int64) for c in TOLD]))
-        key, told = np.concatenate(keys), np.concatenate(told, axis=1)
-        at = np.argsort(key)
-        key, told = key[at], told[:, at]
-        out = [(s, pack_sorted(key[own]), zlib.compress(told[:, own].astype("<i8").tobytes(), 1)) for s, own in _by_shard(key, shards)]
-        return pd.DataFrame(out, columns=["shard", "keys", "told"])
+
+def trigram_counts(blocks: DataFrame, shards: int, turn: int) -> DataFrame:
+    """``shard, keys, c``: the distinct trigrams of the trusted texts of each block, and how often it has them; for the shards of a turn."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += len(b)
-            if n >= PACK_ROWS:
-                yield pack(held)
-                held, n = [], 0
-        if n:
-            yield pack(held)
+        for row in _rows(batches):
+            ids, h, sizes = _unpacked(row, only_trusted=True)
+            *parts, c = _trigrams(ids, sizes, len(h), return_counts=True)
+            yield pd.DataFrame(_sent([h[x] for x in parts], c, shards, turn), columns=["shard", "keys", "c"])
+
+    return blocks.select("trusted", "sizes", "hashes", "ids").mapInPandas(run, "shard long, keys binary, c binary")
+
 
-    return grams.select(*names).mapInPandas(run, "shard long, keys binary, told binary")
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.iloc[i]
+
+
+def _level(order: int, shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Adds up what one shard was sent of the n-grams of an order, and counts for the next lower one how many of them end in each."""
+
+    def run(sent: pd.DataFrame) -> pd.DataFrame:
+        shard = sent["shard"].iloc[0]
+        parts = list(np.concatenate([unpack48(x).reshape(order, -1) for x in sent["keys"]], axis=1))
+        c = np.concatenate([unpack_counts(x) for x in sent["c"]])
+        key = gram_keys(order, *parts)
+        at = np.argsort(key)
+        begin = np.flatnonzero(np.diff(key[at], prepend=~key[at[:1]]))
+        c, first = np.add.reduceat(c[at], begin), at[begin]
+        parts, key = [x[first] for x in parts], key[first]
+        own, out = (None, None), []
+        if order > 1:
+            context = _context_keys(parts)
+            at = np.argsort(context)
+            context, key, c = context[at], key[at], c[at]
+            begin = np.flatnonzero(np.diff(context, prepend=~context[:1]))
+            own = pack_sorted(context[begin]), pack_counts(np.diff(begin, append=len(c)))
+            lower = gram_keys(order - 1, *parts[1:])
+            _, first, n = np.unique(lower, return_index=True, return_counts=True)
+            out = [(s, False, k, x, None, None, 0, 0, 0, 0, 0, 0) for s, k, x in _sent([x[first] for x in parts[1:]], n, shards)]
+        out.append((shard, True, pack48(key), pack_counts(c), *own, *(int((c == i).sum()) for i in (1, 2, 3, 4)), int(c.sum()), len(c)))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in LEVEL.split(", ")])
+
+    return run
 
 
 def train(texts: DataFrame, shards: int = SHARDS) -> tuple[tuple[DataFrame, int], tuple[list[list[float]], float, float]]:
-    """Counts of modified Kneser-Ney with interpolation: of trigrams, then continuation counts for the lower orders.
+    """``train_blocks`` of the distinct ones of some texts."""
+    blocks = text_blocks(texts.select(*_text_keys(), "text"), None, shards)
+    model = train_blocks(blocks, shards)
+    discard(blocks)
+    return model
+
+
+def train_blocks(blocks: DataFrame, shards: int) -> tuple[tuple[DataFrame, int], tuple[list[list[float]], float, float]]:
+    """Counts of modified Kneser-Ney with interpolation: of the trigrams of trusted texts, then continuation counts for the lower orders.
 
     Returns the packed counts with the number of their shards, and the discounts of the three orders with the sum of the words' counts and
     the probability of an unseen word.
     """
-    abw = _table(trigram_counts(texts))
-    bw = _table(abw.groupBy("b", "w").agg(F.count("*").alias("c")))
-    w = _table(bw.groupBy("w").agg(F.count("*").alias("c")))
-    d3, d2, d1 = (_discounts({r["c"]: r["n"] for r in x.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}) for x in (abw, bw, w))
-    own = F.when(F.col("c") == 1, d1[0]).when(F.col("c") == 2, d1[1]).otherwise(d1[2])
-    total, freed, size = w.agg(F.coalesce(F.sum("c"), F.lit(1)), F.coalesce(F.sum(own), F.lit(1.0)), F.count("*")).first()
-    context = bw.groupBy("b").agg(*[x.alias(n) for n, x in _context("c").items()])
-    trigrams = _packed(abw, shards, (["a", "b", "w"], ["c"]), (["a", "b"], CONTEXT), where="first")
-    lower = [_packed(bw, shards, (["b", "w"], ["c"])), _packed(context, shards, (["b"], CONTEXT)), _packed(w, shards, (["w"], ["c"]))]
-    counts = _table(reduce(DataFrame.union, lower, trigrams))
-    discard(abw, bw, w)
-    return (counts, shards), ([d1, d2, d3], float(total), freed / total / (size + 1))
-
-
-def _grams_of(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all n-grams in a row, the places of predicted words, and the number of words of each text.
-
-    N-grams that reach from one text into the next are among them, and a shuffle hands on rows in any order: texts stand by their keys, so
-    that question and answer speak of the same n-grams.
-    """
-    h, sizes = _word_hashes(own["text"].tolist(), {})
-    return np.concatenate([gram_keys(*(h[i : len(h) - n + 1 + i] for i in range(n))) for n in (1, 2, 3)]), _predicted(sizes), sizes
+    tables, discounts = [], []
+    sent = [trigram_counts(blocks, shards, turn) for turn in range(COUNT_TURNS)]
+    for order in (3, 2, 1):
+        written = [_level_table(x.groupBy("shard").applyInPandas(_level(order, shards), LEVEL)) for x in sent]
+        discard(*(x for x in sent if order < 3))
+        own, below = (reduce(DataFrame.union, x) for x in zip(*written, strict=True))
+        sums = own.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n1", "n2", "n3", "n4", "total", "types")]).first()
+        discounts.insert(0, _discounts({i: sums[f"n{i}"] for i in (1, 2, 3, 4)}))
+        tables.append(own.select("shard", F.lit(order).alias("order"), "keys", "c", "contexts", "sizes"))
+        sent = [below]
+    d, n1, n2, size, total = discounts[0], sums["n1"], sums["n2"], sums["types"], max(1, sums["total"])
+    freed = d[0] * n1 + d[1] * n2 + d[2] * (size - n1 - n2) if size else 1.0
+    return (reduce(DataFrame.union, tables), shards), (discounts, float(total), freed / total / (size + 1))
+
+
+class _Questions:
+    """The distinct trigrams of texts, in any order, and what they ask of a model: five kinds of keys, and the shard that holds each."""
+
+    def __init__(self, row: pd.Series, shards: int, **also: bool) -> None:
+        ids, h, self.sizes = _unpacked(row)
+        n = len(h)
+        a, self.b, self.w, *self.place = _trigrams(ids, self.sizes, n, **also)
+        new = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(self.b, prepend=-1) != 0))
+        self.ab = np.repeat(np.arange(len(new)), np.diff(new, append=len(a)))
+        bw, self.bw = np.unique(self.b * n + self.w, return_inverse=True)
+        b, w = np.divmod(bw, n)
+        two, one = gram_keys(TWO, h[a[new]], h[self.b[new]]), gram_keys(ONE, h)
+        in_two, in_one = _shard_of(two, shards), _shard_of(one, shards)
+        keys = [gram_keys(TRI, h[a], h[self.b], h[self.w]), two, gram_keys(BI, h[b], h[w]), one, gram_keys(UNI, h)]
+        self.ends = np.cumsum([len(x) for x in keys])[:-1]
+        #: Shard and key as one number.
+        self.keys = np.concatenate([in_two[self.ab], in_two, in_one[b], in_one, in_one]).astype(np.uint64) << np.uint64(KEY_BITS) | np.concatenate(keys)
 
 
 def score_texts(texts: DataFrame, counts: tuple[DataFrame, int], discounts: tuple[list[list[float]], float, float]) -> DataFrame:
-    """``(key, key2, n_words, nll)`` of distinct texts from rows ``(key, key2, text)``.
+    """``(key, key2, n_words, nll)`` of distinct texts from rows ``(key, key2, text)``."""
+    blocks = text_blocks(texts, None, _blocks_of(int(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])))
+    scores = score_blocks(blocks, counts, discounts)
+    discard(blocks)
+    return scores
+
 
-    Blocks of texts ask every shard for the n-grams they hold, once each, and get the counts back in the order of their question.
+def _blocks_of(chars: int) -> int:
+    return max(1, -(-chars // GROUP_CHARS))
+
+
+def score_blocks(blocks: DataFrame, counts: tuple[DataFrame, int], discounts: tuple[list[list[float]], float, float]) -> DataFrame:
+    """``(key, key2, n_words, nll)`` of the texts of blocks.
+
+    Blocks ask every shard for the n-grams they hold, once each, and get their terms back in the order of their question.
     """
     known, shards = counts
-    (d1, d2, d3), total, unseen = discounts
-    texts = _table(texts.groupBy("key", "key2").agg(F.first("text").alias("text")))
-    blocks = max(1, -(-int(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // GROUP_CHARS))
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key", "key2"), F.lit(blocks)))
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(_grams_of(pdf.sort_values(["key", "key2"]))[0])
-        return pd.DataFrame([(s, pdf["block"].iloc[0], pack_sorted(keys[own])) for s, own in _by_shard(keys, shards)], columns=["shard", "block", "keys"])
+    cuts, total, unseen = discounts
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in _rows(batches):
+            keys = np.sort(_Questions(row, shards).keys)
+            key = keys & np.uint64((1 << KEY_BITS) - 1)
+            out = [(s, row["block"], pack_sorted(key[own])) for s, own in _by_shard((keys >> np.uint64(KEY_BITS)).astype(np.int64))]
+            yield pd.DataFrame(out, columns=["shard", "block", "keys"])
+
+    def terms(order: int, keys: bytes, counted: bytes, contexts: bytes | None, sizes: bytes | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """What n-grams add to a probability, and the weight that their contexts leave to the lower order."""
+        c = unpack_counts(counted)
+        cut = np.array([0.0, *cuts[order - 1]])[np.minimum(c, 3)]
+        if order == 1:
+            return [unpack48(keys)], [np.maximum(c - cut, 0) / total]
+        size = unpack_counts(sizes)
+        begin = np.cumsum(size) - size
+        t = np.add.reduceat(c, begin)
+        return [unpack48(keys), unpack_sorted(contexts)], [(c - cut) / np.repeat(t, size), np.add.reduceat(cut, begin) / t]
 
     def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for x in own["keys"])])
-        told = np.concatenate([np.zeros((len(TOLD), 0), np.int64), *(np.frombuffer(zlib.decompress(x), "<i8").reshape(len(TOLD), -1) for x in own["told"])], axis=1)
-        at = np.argsort(keys, kind="stable")
-        keys, told = keys[at], told[:, at]
-        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        if len(keys):
-            keys, told = keys[begin], np.add.reduceat(told, begin, axis=1)
+        keys, told = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for r in own.itertuples() if len(asked) else ():
+            k, x = terms(r.order, r.keys, r.c, r.contexts, r.sizes)
+            keys, told = keys + k, told + x
+        keys, told = np.concatenate(keys), np.concatenate(told)
+        at = np.argsort(keys)
+        keys, told = keys[at], told[at]
         out = []
-        for block, raw in zip(asked["block"], asked["keys"], strict=True):
-            want = unpack_sorted(raw)
+        for r in asked.itertuples():
+            want = unpack_sorted(r.keys)
             place = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
             held = keys[place] == want if len(keys) else np.zeros(len(want), bool)
-            out.append((block, asked["shard"].iloc[0], len(want), np.packbits(held).tobytes(), zlib.compress(told[:, place[held]].astype("<i8").tobytes(), 1)))
+            out.append((r.block, r.shard, len(want), np.packbits(held).tobytes(), pa.compress(told[place[held]].tobytes(), "zstd", asbytes=True)))
         return pd.DataFrame(out, columns=["block", "shard", "n", "held", "told"])
 
-    def back(c: np.ndarray, context: np.ndarray, d: list[float], low: np.ndarray) -> np.ndarray:
-        t, freed = context[0], (context[1:] * np.array(d)[:, None]).sum(axis=0)
-        return np.where(t > 0, (c - np.array([0.0, *d])[np.minimum(c, 3)] + freed * low) / np.maximum(t, 1), low)
-
     def score(own: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["key", "key2"])
-        keys, at, sizes = _grams_of(own)
-        _, place = np.unique(keys, return_inverse=True)
-        parts = []
-        for r in said.sort_values("shard").itertuples():
-            part = np.zeros((len(TOLD), r.n), np.int64)
-            part[:, np.unpackbits(np.frombuffer(r.held, np.uint8), count=r.n).astype(bool)] = np.frombuffer(zlib.decompress(r.told), "<i8").reshape(len(TOLD), -1)
-            parts.append(part)
-        told, n = np.concatenate(parts, axis=1), int(sizes.sum())
-        one, two, three = place[:n], place[n : 2 * n - 1], place[2 * n - 1 :]
-        c = told[0, one[at]]
-        p = np.maximum(c - np.array([0.0, *d1])[np.minimum(c, 3)], 0) / total + unseen
-        p = back(told[0, two[at - 1]], told[1:, one[at - 1]], d2, p)
-        p = back(told[0, three[at - 2]], told[1:, two[at - 2]], d3, p)
-        begin = np.cumsum(sizes - 2) - (sizes - 2)
-        return pd.DataFrame({"key": own["key"], "key2": own["key2"], "n_words": sizes - 2, "nll": -np.add.reduceat(np.log(p), begin) / (sizes - 2)})
-
-    asked = dealt.groupBy("block").applyInPandas(ask, "shard long, block long, keys binary")
+        q = _Questions(own.iloc[0], shards, return_inverse=True)
+        said = said.sort_values("shard")
+        held = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(said["held"], said["n"], strict=True)])
+        assert len(held) == len(q.keys), "a block was answered another question than it has"
+        size = [8 * int(x.sum()) for x in np.split(held, np.cumsum(said["n"].to_numpy())[:-1])]
+        told = np.zeros(len(held))
+        told[q.ends[0] : q.ends[1]] = told[q.ends[2] : q.ends[3]] = 1.0  # an unknown context leaves all to the lower order
+        told[np.argsort(q.keys)[held]] = np.concatenate([np.frombuffer(pa.decompress(x, n, "zstd") if n else b"") for x, n in zip(said["told"], size, strict=True)])
+        tri, two, bi, one, uni = np.split(told, q.ends)
+        p = tri + two[q.ab] * (bi[q.bw] + one[q.b] * (uni[q.w] + unseen))
+        n, (key, key2) = q.sizes - 2, np.frombuffer(own["keys"].iloc[0], "<i8").reshape(-1, 2).T
+        return pd.DataFrame({"key": key, "key2": key2, "n_words": n, "nll": -np.add.reduceat(np.log(p)[q.place[0]], np.cumsum(n) - n) / n})
+
+    asked = blocks.select("block", "sizes", "hashes", "ids").mapInPandas(ask, "shard long, block long, keys binary")
     answers = _table(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(answer, "block long, shard long, n long, held binary, told binary"))
-    scores = _table(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "key long, key2 long, n_words long, nll double"))
-    discard(texts, answers)
+    scores = _table(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "key long, key2 long, n_words long, nll double"))
+    discard(answers)
     return scores
 
 
@@ -305,27 +400,24 @@ def _part() -> Column:
     return F.pmod(F.xxhash64(F.lit("part"), "key", "key2"), F.lit(PARTS))
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``half, text``: the distinct texts of all rows with label quality 1, whole."""
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
-    rows = docs.where(F.length("text") > 0).join(trusted, "doc_id", "left_semi").select(*_text_keys(), "text")
-    return rows.groupBy("key", "key2").agg(F.first("text").alias("text")).select((_part() % 2).alias("half"), "text")
-
-
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, lang, key, key2, n_words, nll`` of every row's whole text, by the model of the trusted texts of the other half.
 
-    Both models together are trained on every trusted text, and none judges a text that it knows by heart.
+    Trusted texts are the distinct ones of all rows with label quality 1, but for the empty one. Both models together are trained on all of
+    them, and none judges a text that it knows by heart.
     """
-    trusted = _table(trusted_texts(docs, labels))
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    trusted = _table(docs.where(F.length("text") > 0).select("doc_id", *_text_keys()).join(good, "doc_id", "left_semi").select("key", "key2").distinct())
     chars = int(docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])
-    rows = docs.select(*_text_keys(), F.coalesce("text", F.lit("")).alias("text")).withColumn("part", _part())
+    shards = min(2**16 - 1, max(SHARDS, -(-chars // SHARD_CHARS)))
+    rows = docs.select(*_text_keys(), F.coalesce("text", F.lit("")).alias("text"))
+    halves = [text_blocks(*(x.where(_part() % 2 == half) for x in (rows, trusted)), _blocks_of(chars // 2)) for half in (0, 1)]
     scores = []
-    for half in (0, 1):
-        counts, discounts = train(trusted.where(F.col("half") != half), max(SHARDS, -(-chars // SHARD_CHARS)))
-        scores += [score_texts(rows.where(F.col("part") == part), counts, discounts) for part in range(half, PARTS, 2)]
+    for own, other in (halves, halves[::-1]):
+        counts, discounts = train_blocks(other, shards)
+        scores += [score_blocks(own.where(F.col("block") % SCORE_TURNS == turn), counts, discounts) for turn in range(SCORE_TURNS)]
         discard(counts[0])
-    discard(trusted)
+    discard(trusted, *halves)
     return docs.select("doc_id", "lang", *_text_keys()).join(reduce(DataFrame.union, scores), ["key", "key2"])
 
 
