@@ -36,6 +36,17 @@ def durable(df: DataFrame, compression: str = "snappy", *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def settled(df: DataFrame, compression: str = "snappy", *by: str) -> DataFrame:
+    """``durable``, and the driver's garbage is collected, with which shuffle files, broadcasts and generated code of the written plan go.
+
+    Executors remove their shuffle files when the driver's collector finds the plan gone, which may be long after; and in loops of many
+    small plans the driver holds what hundreds of them left.
+    """
+    table = durable(df, compression, *by)
+    df.sparkSession._jvm.System.gc()
+    return table
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``durable`` that nothing will read again."""
     for df in tables:

@@ -2,7 +2,8 @@
 
 Every trusted text trains: texts are cut into two halves by hash, each half trains a model, and a document is judged by the model of
 the other half, so that no perplexity is that of a memorised text. Distinct texts lie in blocks, as hashes of their words and the places
-of these in the texts. Blocks send the shards the distinct trigrams they hold with their counts; a shard adds them up and sends what counts for the lower order on. A model is a table of counts sharded by context: all
+of these in the texts. Blocks send the shards the distinct trigrams they hold with their counts; a shard adds them up and sends what
+counts for the lower order on. A model is a table of terms sharded by context, and bucketed by shard, so that it is never shuffled: all
 n-grams that begin alike lie in one shard. Blocks of documents ask the shards for the terms of the n-grams they hold, once each, and
 turn the answers into probabilities. Nothing of a model is broadcast or held whole. Thresholds come from quantiles over all distinct
 texts of a language.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import collections
 import itertools
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, durable
+from .common import discard, settled, shared_folder, shuffle_width
 from .shingles import batches_of, mix, pack48, pack_counts, pack_sorted, unpack48, unpack_counts, unpack_sorted
 
 #: A sample for small models, which no query uses: one in so many trusted rows, and at most so many documents and words of them.
@@ -36,16 +38,18 @@ START, END = " ^", " $"
 #: Standard deviation of one word's negative log-probability, for the interval of a document's mean.
 WORD_SD = 3.0
 #: Shards of the counts at least, code points of the documents that make one more, and of those that ask together.
-SHARDS, SHARD_CHARS, GROUP_CHARS = 8, 20_000_000, 3_000_000
+SHARDS, SHARD_CHARS, GROUP_CHARS = 8, 20_000_000, 6_000_000
 #: Parts of the documents, which make two halves; parts of the shards and of a half's blocks that come one after the other, to save disk.
-PARTS, COUNT_TURNS, SCORE_TURNS = 4, 2, 6
+PARTS, COUNT_TURNS, SCORE_TURNS = 4, 4, 12
 #: Kinds of keys: n-grams of 1, 2 and 3 words that end in a predicted one, and contexts of 1 and 2 words.
 UNI, BI, TRI, ONE, TWO = 1, 2, 3, 4, 5
 KEY_BITS = 48
 #: Distinct texts, some of them trusted: their keys, how many words each has, the hashes of all words, and each word's place among these.
 BLOCK = "block long, keys binary, trusted binary, sizes binary, hashes binary, ids binary"
-#: What a shard holds of an order, or (``own`` is false) sends on to the shards of the next lower one.
-LEVEL = "shard long, own boolean, keys binary, c binary, contexts binary, sizes binary, n1 long, n2 long, n3 long, n4 long, total long, types long"
+#: What a shard holds of an order (part -1), or sends on to the shards of the next lower one, by their turn.
+LEVEL = "shard long, part int, keys binary, c binary, contexts binary, sizes binary, n1 long, n2 long, n3 long, n4 long, total long, types long"
+#: What a model holds of a shard and an order: the sorted keys of its n-grams and of their contexts, and a term for each.
+MODEL = "shard long, keys binary, values binary, codes binary"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -114,8 +118,9 @@ def text_blocks(rows: DataFrame, trusted: DataFrame | None, blocks: int) -> Data
         known = None if good is None else set(zip(good["key"].tolist(), good["key2"].tolist(), strict=True))
         marks = [known is None or x in known for x in zip(own["key"].tolist(), own["key2"].tolist(), strict=True)]
         keys = own[["key", "key2"]].to_numpy("<i8").tobytes()
-        planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # the upper ones are nearly empty
-        raw = keys, np.packbits(marks).tobytes(), sizes.astype("<u4").tobytes(), pack48(h), pa.compress(planes, "zstd", asbytes=True)
+        # A word's first place needs no number: it is the next one.
+        new = np.diff(np.maximum.accumulate(ids), prepend=-1) > 0
+        raw = keys, np.packbits(marks).tobytes(), sizes.astype("<u4").tobytes(), pack48(h), _pack_codes(np.where(new, 0, ids + 1))
         return pd.DataFrame([(own["block"].iloc[0], *raw)], columns=[x.split()[0] for x in BLOCK.split(", ")])
 
     if trusted is None:
@@ -127,8 +132,8 @@ def text_blocks(rows: DataFrame, trusted: DataFrame | None, blocks: int) -> Data
 def _unpacked(row: pd.Series, only_trusted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What ``_word_ids`` gives of the texts of a ``BLOCK`` row."""
     h, sizes = unpack48(row["hashes"]), np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-    planes = np.frombuffer(pa.decompress(row["ids"], 4 * int(sizes.sum()), "zstd"), np.uint8)
-    ids = planes.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    ids = _unpack_codes(row["ids"], int(sizes.sum())) - 1
+    ids[ids < 0] = np.arange(len(h))
     if only_trusted:
         marks = np.unpackbits(np.frombuffer(row["trusted"], np.uint8), count=len(sizes)).astype(bool)
         ids, sizes = ids[np.repeat(marks, sizes)], sizes[marks]
@@ -180,22 +185,18 @@ def _context_keys(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _table(df: DataFrame, *by: str) -> DataFrame:
-    """``durable``, packed closer; the shuffle files that led to it are removed at once.
-
-    Executors remove theirs when the driver's collector finds the written plan gone, which may be long after.
-    """
-    table = durable(df, "zstd", *by)
-    df.sparkSession._jvm.System.gc()
-    return table
+    """``settled``, packed closer."""
+    return settled(df, "zstd", *by)
 
 
-def _level_table(df: DataFrame) -> list[DataFrame]:
-    """``_table`` of ``LEVEL`` rows in two folders: what shards hold, and what they send on, which can be discarded alone."""
-    df = _table(df, "own")
+def _level_table(df: DataFrame) -> dict[int, DataFrame]:
+    """``_table`` of ``LEVEL`` rows, by their part; each lies in a folder, which can be discarded alone."""
+    df = _table(df, "part")
     folders = collections.defaultdict(list)
     for file in df.inputFiles():
-        folders["/own=true/" in file].append(file)
-    return [df.sparkSession.read.schema(df.drop("own").schema).parquet(*folders[x]) if folders[x] else df.where(F.lit(False)).drop("own") for x in (True, False)]
+        folders[int(file.rsplit("/part=", 1)[1].split("/")[0])].append(file)
+    schema, empty = df.drop("part").schema, df.where(F.lit(False)).drop("part")
+    return {x: df.sparkSession.read.schema(schema).parquet(*folders[x]) if folders[x] else empty for x in range(-1, COUNT_TURNS)}
 
 
 def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -210,6 +211,35 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(shard[a]), slice(a, e)
 
 
+def _pack_codes(x: np.ndarray) -> bytes:
+    """Small numbers by planes of their four bytes; the upper ones are nearly empty."""
+    return pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack_codes(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, 4 * n, "zstd"), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _pack_gaps(keys: np.ndarray) -> bytes:
+    """Distances of sorted keys, the first from zero: how many, their lower 32 bits, and their upper 16, which are small."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    upper = (gaps >> np.uint64(32)).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    return np.array([len(keys)], "<u4").tobytes() + gaps.astype("<u4").tobytes() + pa.compress(upper, "zstd", asbytes=True)
+
+
+def _unpack_gaps(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    upper = np.frombuffer(pa.decompress(raw[4 + 4 * n :], 2 * n, "zstd"), np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
+    return np.cumsum(upper.astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, "<u4", n, 4), dtype=np.uint64)
+
+
+def _used(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the numbers below ``n`` occur, in order, and each one's place among these."""
+    held = np.zeros(n, bool)
+    held[ids] = True
+    return np.flatnonzero(held), (np.cumsum(held) - 1)[ids]
+
+
 def _sent(parts: list[np.ndarray], c: np.ndarray, shards: int, turn: int | None = None) -> list[tuple[int, bytes, bytes]]:
     """``shard, words, counts``: n-grams, given by the hashes of their words, for the shards of their contexts (those of a turn, or all)."""
     shard = _shard_of(_context_keys(parts), shards)
@@ -259,14 +289,44 @@ def _level(order: int, shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             own = pack_sorted(context[begin]), pack_counts(np.diff(begin, append=len(c)))
             lower = gram_keys(order - 1, *parts[1:])
             _, first, n = np.unique(lower, return_index=True, return_counts=True)
-            out = [(s, False, k, x, None, None, 0, 0, 0, 0, 0, 0) for s, k, x in _sent([x[first] for x in parts[1:]], n, shards)]
-        out.append((shard, True, pack48(key), pack_counts(c), *own, *(int((c == i).sum()) for i in (1, 2, 3, 4)), int(c.sum()), len(c)))
+            by = np.argsort(parts[1][first])  # n-grams that begin alike lie side by side, which packs closer
+            first, n = first[by], n[by]
+            out = [(s, s % COUNT_TURNS, k, x, None, None, 0, 0, 0, 0, 0, 0) for s, k, x in _sent([x[first] for x in parts[1:]], n, shards)]
+        out.append((shard, -1, pack48(key), pack_counts(c), *own, *(int((c == i).sum()) for i in (1, 2, 3, 4)), int(c.sum()), len(c)))
         return pd.DataFrame(out, columns=[x.split()[0] for x in LEVEL.split(", ")])
 
     return run
 
 
-def train(texts: DataFrame, shards: int = SHARDS) -> tuple[tuple[DataFrame, int], tuple[list[list[float]], float, float]]:
+def _terms(order: int, cut: list[float], total: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``MODEL`` rows: what n-grams add to a probability, and the weight that their contexts leave to the lower order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in _rows(batches):
+            keys, c = unpack48(row["keys"]), unpack_counts(row["c"])
+            off = np.array([0.0, *cut])[np.minimum(c, 3)]
+            if order == 1:
+                told = np.maximum(c - off, 0) / total
+            else:
+                size = unpack_counts(row["sizes"])
+                begin = np.cumsum(size) - size
+                t = np.add.reduceat(c, begin)
+                keys = np.concatenate((keys, unpack_sorted(row["contexts"])))
+                told = np.concatenate(((c - off) / np.repeat(t, size), np.add.reduceat(off, begin) / t))
+            at = np.argsort(keys)
+            values, codes = np.unique(told[at], return_inverse=True)
+            yield pd.DataFrame([(row["shard"], _pack_gaps(keys[at]), values.tobytes(), _pack_codes(codes))], columns=[x.split()[0] for x in MODEL.split(", ")])
+
+    return run
+
+
+def _forget(counts: tuple[DataFrame, int, str]) -> None:
+    """Drop a model."""
+    discard(counts[0])
+    counts[0].sparkSession.sql(f"DROP TABLE IF EXISTS {counts[2]}")
+
+
+def train(texts: DataFrame, shards: int = SHARDS) -> tuple[tuple[DataFrame, int, str], float]:
     """``train_blocks`` of the distinct ones of some texts."""
     blocks = text_blocks(texts.select(*_text_keys(), "text"), None, shards)
     model = train_blocks(blocks, shards)
@@ -274,25 +334,29 @@ def train(texts: DataFrame, shards: int = SHARDS) -> tuple[tuple[DataFrame, int]
     return model
 
 
-def train_blocks(blocks: DataFrame, shards: int) -> tuple[tuple[DataFrame, int], tuple[list[list[float]], float, float]]:
-    """Counts of modified Kneser-Ney with interpolation: of the trigrams of trusted texts, then continuation counts for the lower orders.
+def train_blocks(blocks: DataFrame, shards: int) -> tuple[tuple[DataFrame, int, str], float]:
+    """Modified Kneser-Ney with interpolation: counts of the trigrams of trusted texts, then continuation counts for the lower orders.
 
-    Returns the packed counts with the number of their shards, and the discounts of the three orders with the sum of the words' counts and
-    the probability of an unseen word.
+    Returns the terms, a table bucketed by shard, with the number of the shards and the table's name, and the probability of an unseen word.
     """
-    tables, discounts = [], []
+    spark, name = blocks.sparkSession, f"quality_model_{uuid.uuid4().hex}"
+    path, buckets = f"{shared_folder(spark)}/{name}", max(shards, shuffle_width(spark))  # with fewer, Spark would shuffle the table
     sent = [trigram_counts(blocks, shards, turn) for turn in range(COUNT_TURNS)]
     for order in (3, 2, 1):
-        written = [_level_table(x.groupBy("shard").applyInPandas(_level(order, shards), LEVEL)) for x in sent]
-        discard(*(x for x in sent if order < 3))
-        own, below = (reduce(DataFrame.union, x) for x in zip(*written, strict=True))
-        sums = own.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n1", "n2", "n3", "n4", "total", "types")]).first()
-        discounts.insert(0, _discounts({i: sums[f"n{i}"] for i in (1, 2, 3, 4)}))
-        tables.append(own.select("shard", F.lit(order).alias("order"), "keys", "c", "contexts", "sizes"))
-        sent = [below]
-    d, n1, n2, size, total = discounts[0], sums["n1"], sums["n2"], sums["types"], max(1, sums["total"])
-    freed = d[0] * n1 + d[1] * n2 + d[2] * (size - n1 - n2) if size else 1.0
-    return (reduce(DataFrame.union, tables), shards), (discounts, float(total), freed / total / (size + 1))
+        written = []
+        for x in sent:
+            written.append(_level_table(x.groupBy("shard").applyInPandas(_level(order, shards), LEVEL)))
+            discard(*([x] if order < 3 else []))
+        sums = reduce(DataFrame.union, [x[-1] for x in written]).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n1", "n2", "n3", "n4", "total", "types")]).first()
+        cut = _discounts({i: sums[f"n{i}"] for i in (1, 2, 3, 4)})
+        for x in written:
+            terms = x[-1].select("shard", "keys", "c", "contexts", "sizes").mapInPandas(_terms(order, cut, float(max(1, sums["total"]))), MODEL)
+            terms.write.mode("append").bucketBy(buckets, "shard").format("parquet").option("path", path).option("compression", "zstd").saveAsTable(name)
+            discard(x[-1])
+        sent = [reduce(DataFrame.union, [x[turn] for x in written]) for turn in range(COUNT_TURNS)]
+    n1, n2, size, total = sums["n1"], sums["n2"], sums["types"], max(1, sums["total"])
+    freed = cut[0] * n1 + cut[1] * n2 + cut[2] * (size - n1 - n2) if size else 1.0
+    return (spark.table(name), shards, name), freed / total / (size + 1)
 
 
 class _Questions:
@@ -314,10 +378,10 @@ class _Questions:
         self.keys = np.concatenate([in_two[self.ab], in_two, in_one[b], in_one, in_one]).astype(np.uint64) << np.uint64(KEY_BITS) | np.concatenate(keys)
 
 
-def score_texts(texts: DataFrame, counts: tuple[DataFrame, int], discounts: tuple[list[list[float]], float, float]) -> DataFrame:
+def score_texts(texts: DataFrame, counts: tuple[DataFrame, int, str], unseen: float) -> DataFrame:
     """``(key, key2, n_words, nll)`` of distinct texts from rows ``(key, key2, text)``."""
     blocks = text_blocks(texts, None, _blocks_of(int(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])))
-    scores = score_blocks(blocks, counts, discounts)
+    scores = score_blocks(blocks, counts, unseen)
     discard(blocks)
     return scores
 
@@ -326,64 +390,54 @@ def _blocks_of(chars: int) -> int:
     return max(1, -(-chars // GROUP_CHARS))
 
 
-def score_blocks(blocks: DataFrame, counts: tuple[DataFrame, int], discounts: tuple[list[list[float]], float, float]) -> DataFrame:
+def score_blocks(blocks: DataFrame, counts: tuple[DataFrame, int, str], unseen: float) -> DataFrame:
     """``(key, key2, n_words, nll)`` of the texts of blocks.
 
     Blocks ask every shard for the n-grams they hold, once each, and get their terms back in the order of their question.
     """
-    known, shards = counts
-    cuts, total, unseen = discounts
+    known, shards, _ = counts
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in _rows(batches):
             keys = np.sort(_Questions(row, shards).keys)
             key = keys & np.uint64((1 << KEY_BITS) - 1)
-            out = [(s, row["block"], pack_sorted(key[own])) for s, own in _by_shard((keys >> np.uint64(KEY_BITS)).astype(np.int64))]
+            out = [(s, row["block"], _pack_gaps(key[own])) for s, own in _by_shard((keys >> np.uint64(KEY_BITS)).astype(np.int64))]
             yield pd.DataFrame(out, columns=["shard", "block", "keys"])
 
-    def terms(order: int, keys: bytes, counted: bytes, contexts: bytes | None, sizes: bytes | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """What n-grams add to a probability, and the weight that their contexts leave to the lower order."""
-        c = unpack_counts(counted)
-        cut = np.array([0.0, *cuts[order - 1]])[np.minimum(c, 3)]
-        if order == 1:
-            return [unpack48(keys)], [np.maximum(c - cut, 0) / total]
-        size = unpack_counts(sizes)
-        begin = np.cumsum(size) - size
-        t = np.add.reduceat(c, begin)
-        return [unpack48(keys), unpack_sorted(contexts)], [(c - cut) / np.repeat(t, size), np.add.reduceat(cut, begin) / t]
-
     def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        keys, told = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        keys, codes, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for r in own.itertuples() if len(asked) else ():
-            k, x = terms(r.order, r.keys, r.c, r.contexts, r.sizes)
-            keys, told = keys + k, told + x
-        keys, told = np.concatenate(keys), np.concatenate(told)
-        at = np.argsort(keys)
-        keys, told = keys[at], told[at]
+            keys.append(_unpack_gaps(r.keys))
+            codes.append(_unpack_codes(r.codes, len(keys[-1])) + sum(map(len, values)))
+            values.append(np.frombuffer(r.values))
+        keys, codes, values = np.concatenate(keys), np.concatenate(codes), np.concatenate(values)
+        at = np.argsort(keys, kind="stable")  # a few sorted runs
+        keys, codes = keys[at], codes[at]
         out = []
         for r in asked.itertuples():
-            want = unpack_sorted(r.keys)
+            want = _unpack_gaps(r.keys)
             place = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
             held = keys[place] == want if len(keys) else np.zeros(len(want), bool)
-            out.append((r.block, r.shard, len(want), np.packbits(held).tobytes(), pa.compress(told[place[held]].tobytes(), "zstd", asbytes=True)))
-        return pd.DataFrame(out, columns=["block", "shard", "n", "held", "told"])
+            told, code = _used(codes[place[held]], len(values))
+            out.append((r.block, r.shard, len(want), np.packbits(held).tobytes(), values[told].tobytes(), _pack_codes(code)))
+        return pd.DataFrame(out, columns=["block", "shard", "n", "held", "values", "codes"])
 
     def score(own: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         q = _Questions(own.iloc[0], shards, return_inverse=True)
         said = said.sort_values("shard")
         held = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(said["held"], said["n"], strict=True)])
         assert len(held) == len(q.keys), "a block was answered another question than it has"
-        size = [8 * int(x.sum()) for x in np.split(held, np.cumsum(said["n"].to_numpy())[:-1])]
+        size = [int(x.sum()) for x in np.split(held, np.cumsum(said["n"].to_numpy())[:-1])]
         told = np.zeros(len(held))
         told[q.ends[0] : q.ends[1]] = told[q.ends[2] : q.ends[3]] = 1.0  # an unknown context leaves all to the lower order
-        told[np.argsort(q.keys)[held]] = np.concatenate([np.frombuffer(pa.decompress(x, n, "zstd") if n else b"") for x, n in zip(said["told"], size, strict=True)])
+        told[np.argsort(q.keys)[held]] = np.concatenate([np.frombuffer(v)[_unpack_codes(x, n)] for v, x, n in zip(said["values"], said["codes"], size, strict=True)])
         tri, two, bi, one, uni = np.split(told, q.ends)
         p = tri + two[q.ab] * (bi[q.bw] + one[q.b] * (uni[q.w] + unseen))
         n, (key, key2) = q.sizes - 2, np.frombuffer(own["keys"].iloc[0], "<i8").reshape(-1, 2).T
         return pd.DataFrame({"key": key, "key2": key2, "n_words": n, "nll": -np.add.reduceat(np.log(p)[q.place[0]], np.cumsum(n) - n) / n})
 
     asked = blocks.select("block", "sizes", "hashes", "ids").mapInPandas(ask, "shard long, block long, keys binary")
-    answers = _table(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(answer, "block long, shard long, n long, held binary, told binary"))
+    answers = _table(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(answer, "block long, shard long, n long, held binary, values binary, codes binary"))
     scores = _table(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "key long, key2 long, n_words long, nll double"))
     discard(answers)
     return scores
@@ -414,9 +468,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     halves = [text_blocks(*(x.where(_part() % 2 == half) for x in (rows, trusted)), _blocks_of(chars // 2)) for half in (0, 1)]
     scores = []
     for own, other in (halves, halves[::-1]):
-        counts, discounts = train_blocks(other, shards)
-        scores += [score_blocks(own.where(F.col("block") % SCORE_TURNS == turn), counts, discounts) for turn in range(SCORE_TURNS)]
-        discard(counts[0])
+        counts, unseen = train_blocks(other, shards)
+        scores += [score_blocks(own.where(F.col("block") % SCORE_TURNS == turn), counts, unseen) for turn in range(SCORE_TURNS)]
+        _forget(counts)
     discard(trusted, *halves)
     return docs.select("doc_id", "lang", *_text_keys()).join(reduce(DataFrame.union, scores), ["key", "key2"])
 

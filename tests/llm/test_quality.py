@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -69,3 +70,23 @@ def test_blocks_get_their_answers_in_any_order_of_rows(spark, monkeypatch):
     one = GroupedData.applyInPandas  # a shuffle may hand on the rows of a block in one order when it asks and in another when it is scored
     monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: one(self, lambda pdf: f(pdf[::-1]), schema))
     assert {r.key: r.nll for r in Q.score_texts(rows, *model).collect()} == pytest.approx(want, abs=1e-9)
+
+
+def test_models_take_little_room(spark):
+    """Sorted keys, numbers and blocks come back as they were, in fewer bytes; a model is bucketed, so that scoring doesn't shuffle it."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 48, 20_000, np.uint64))
+    assert (Q._unpack_gaps(Q._pack_gaps(keys)) == keys).all() and len(Q._pack_gaps(keys)) < 5 * len(keys)
+    assert all((Q._unpack_gaps(Q._pack_gaps(keys[:n])) == keys[:n]).all() for n in (0, 1))
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 300) % 5000) for _ in range(40)]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "key long, key2 long, text string")
+    block = Q.text_blocks(rows, None, 1).toPandas().iloc[0]
+    ids, h, sizes = Q._unpacked(block)
+    at = {k: i for i, k in enumerate(np.frombuffer(block["keys"], "<i8").reshape(-1, 2)[:, 0].tolist())}
+    begin = np.cumsum(sizes) - sizes
+    assert all(h[ids[begin[at[i]] + 2 : begin[at[i]] + sizes[at[i]] - 1]].tolist() == [Q.word_hash(w) for w in t.split()] for i, t in enumerate(texts))
+    (model, shards, name), _ = Q.train(rows.select("text"))
+    plan = model.groupBy("shard").applyInPandas(lambda pdf: pdf[["shard"]], "shard long")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and model.select("shard").distinct().count() == shards
+    Q._forget((model, shards, name))
+    assert not spark.catalog.tableExists(name)
