@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import discard, durable
+from .common import discard, settled
 
 #: Nodes of a start block, on average; they are compared with each other.
 BLOCK_NODES = 200
@@ -171,10 +171,10 @@ def _descend(graph: DataFrame, codes: DataFrame, k: int, emit: int, turn: int) -
 
 def nn_descent(codes: DataFrame, k: int, rounds: int, emit: int, stop_share: float) -> DataFrame:
     """``(u, w, score, fresh)``: the neighbour graph; ends early when a round replaces fewer than ``stop_share`` of the edges."""
-    graph = durable(_best(_start(codes, k), k))
+    graph = settled(_best(_start(codes, k), k))
     for turn in range(rounds):
         seen, last = Observation(), graph
-        graph = durable(_descend(graph, codes, k, emit, turn).observe(seen, F.count_if("fresh").alias("fresh"), F.count(F.lit(1)).alias("all")))
+        graph = settled(_descend(graph, codes, k, emit, turn).observe(seen, F.count_if("fresh").alias("fresh"), F.count(F.lit(1)).alias("all")))
         discard(last)
         if seen.get["fresh"] <= stop_share * max(1, seen.get["all"]):
             break
@@ -187,7 +187,7 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, seeds: list[i
     ``queries`` and ``seeds`` are nodes. A pool row is ``(node, score, open)``; nodes that were dropped may come back, but only with the
     same score. Ends when no node of a pool is open, or after ``rounds`` rounds, whatever is open then.
     """
-    near = durable(_around(graph, k, 0).select("v", F.col("member").alias("node")))
+    near = settled(_around(graph, k, 0).select("v", F.col("member").alias("node")))
     asked = queries.select(F.col("node").alias("q")).join(codes.select(F.col("node").alias("q"), F.col("code").alias("q_code")), "q")
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, seeds: list[i
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "node")
     own = queries.select(F.col("node").alias("q"))
     first = own.join(near.withColumnRenamed("v", "q"), "q").select("q", "node").union(own.withColumn("node", F.explode(F.array(*[F.lit(x) for x in seeds]).cast("array<long>"))).where("q <> node")).distinct()
-    pools = durable(scored(first).withColumn("open", F.lit(True)))
+    pools = settled(scored(first).withColumn("open", F.lit(True)))
     for _ in range(rounds):
         best_open = Window.partitionBy("q", "open").orderBy(F.desc("score"), "node")
         marked = pools.withColumn("turn", F.col("open") & (F.row_number().over(best_open) <= expand))
@@ -216,7 +216,7 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, seeds: list[i
         merged = marked.select("q", "node", "score", (F.col("open") & ~F.col("turn")).alias("open")).unionByName(fresh)
         seen, last = Observation(), pools
         kept = merged.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= pool).drop("rank")
-        pools = durable(kept.observe(seen, F.count_if("open").alias("open")))
+        pools = settled(kept.observe(seen, F.count_if("open").alias("open")))
         discard(last)
         if not seen.get["open"]:
             break
@@ -235,19 +235,19 @@ def nearest(
     vectors share a node, whose smallest ids are listed, as many as a result can hold. Of rows that repeat an id the one with the
     smallest bytes counts. With at most ``top`` candidates all are returned; an empty table gives no rows. Other columns are ignored.
     """
-    valid = durable(usable_vectors(table, id_col, vector_col))
+    valid = settled(usable_vectors(table, id_col, vector_col))
     rank = F.row_number().over(Window.partitionBy("raw").orderBy("vec_id"))
     first = valid.groupBy("raw").agg(F.min("vec_id").alias("node"), F.max("norm").alias("norm"))
-    first = durable(first)
+    first = settled(first)
     few = valid.select("vec_id", "raw").withColumn("n", rank).where(F.col("n") <= top + 1)
-    members = durable(few.join(first, "raw").select("node", "vec_id"))
+    members = settled(few.join(first, "raw").select("node", "vec_id"))
     n = first.count()
     bits = max(0, int(np.ceil(np.log2(max(1, n) / BLOCK_NODES))))
-    codes = durable(_codes(first.select("node", "raw"), seed, trees, bits))
+    codes = settled(_codes(first.select("node", "raw"), seed, trees, bits))
     graph = nn_descent(codes, neighbours, rounds, emit, 0.02)
 
     asked = valid.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("raw").alias("q_raw"))
-    at = durable(asked.join(first.select(F.col("raw").alias("q_raw"), F.col("node").alias("q")), "q_raw"))
+    at = settled(asked.join(first.select(F.col("raw").alias("q_raw"), F.col("node").alias("q")), "q_raw"))
     longest = [r["node"] for r in first.orderBy(F.desc("norm"), "node").select("node").limit(seeds).collect()]  # so many ids at most
     found = search(graph, codes, at.select(F.col("q").alias("node")).distinct(), longest, neighbours, max(pool, top), expand, hops)
     found = found.union(at.select("q", F.col("q").alias("node")).distinct())
