@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,18 @@ def durable(df: DataFrame, compression: str = "snappy", *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What is written inside hands Python so many rows at once: of whole texts, 10,000 a batch are held several times over, in JVM and worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def settled(df: DataFrame, compression: str = "snappy", *by: str) -> DataFrame:
     """``durable``, and the driver's garbage is collected, with which shuffle files, broadcasts and generated code of the written plan go.
 

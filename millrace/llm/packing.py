@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cells, durable
+from .common import cells, durable, small_batches
 
 PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, {ids}cell long"
 #: Words whose ids a worker keeps; the store is emptied when full.
@@ -183,7 +183,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, end_
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     n_cells = cells(spark, docs.count(), 5_000)
-    pieces = durable(token_pieces(docs, tokenizer, max_tokens, end_id, n_cells, with_ids))
+    with small_batches(spark):
+        pieces = durable(token_pieces(docs, tokenizer, max_tokens, end_id, n_cells, with_ids))
     counts = pieces.groupBy("length", "cell").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max_tokens rows
     places = spark.sparkContext.broadcast(_places(pack_patterns(histogram, max_tokens)))
