@@ -17,7 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import shared_folder
+from .common import shared_folder, small_batches
 
 _WORD = re.compile(r"\w+")
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -145,7 +145,8 @@ def written_blocks(spark: SparkSession, rows: DataFrame, size: int, n_chars: int
     """Write the blocks to a bucketed table, whose files lie in the shared folder, and return its name; the caller drops both."""
     name = f"shingle_blocks_{uuid.uuid4().hex}"
     buckets = min(50_000, max(1, n_chars // (6 * BLOCK_SHINGLES * BUCKET_BLOCKS)))
-    shingle_blocks(rows, size).write.bucketBy(int(buckets), "block").format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    with small_batches(spark):
+        shingle_blocks(rows, size).write.bucketBy(int(buckets), "block").format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return name
 
 
